@@ -54,6 +54,15 @@ select o_custkey as portfolio_id, {SYM.format(k='l_suppkey')} as symbol,
 from orders join lineitem on o_orderkey = l_orderkey group by 1, 2
 """)
 
+cte("m_rebalance", f"""
+select portfolio_id, date, symbol,
+       cast(v as double) / cast(sum(v) over (partition by portfolio_id, date) as double) as weight
+from (select o_custkey as portfolio_id, cast(o_orderdate as date) as date,
+             {SYM.format(k='l_suppkey')} as symbol,
+             sum(cast(l_extendedprice as decimal(15,2))) as v
+      from orders join lineitem on o_orderkey = l_orderkey group by 1, 2, 3) x
+""")
+
 # ---- E1–E10, D1, G1–G3 -------------------------------------------------
 cte("m_path1", """
 select symbol, date, close,
@@ -174,8 +183,9 @@ def with_ctes(body: str) -> str:
     if not names:
         return body
     parts = ",\n".join(f"{n} as (\n{CTES[n]}\n)" for n in names)
-    if re.match(r"(?i)with\s", body):
-        return f"with {parts},\n{body[5:]}"
+    m = re.match(r"(?i)with(\s+recursive)?\s", body)
+    if m:
+        return f"with{m.group(1) or ''} {parts},\n{body[m.end():]}"
     return f"with {parts}\n{body}"
 
 

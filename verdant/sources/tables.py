@@ -114,3 +114,23 @@ class Tables:
 
     def holdings(self) -> DataFrame:
         return holdings(self.spark, self.sf_dir)
+
+    def rebalance(self) -> DataFrame:
+        return rebalance_weights(self.spark, self.sf_dir)
+
+
+def rebalance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebalance weights (portfolio_id, date, symbol, weight): one portfolio
+    per customer, rebalanced on each order date; a symbol's weight is its share
+    of the day's order value (decimal sums, one conversion to double)."""
+    from pyspark.sql import Window
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    j = o.join(li, o.o_orderkey == li.l_orderkey)
+    g = (j.groupBy(F.col("o_custkey").alias("portfolio_id"),
+                   F.col("o_orderdate").cast("date").alias("date"),
+                   symbol_of("l_suppkey").alias("symbol"))
+          .agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).alias("_v")))
+    total = F.sum("_v").over(Window.partitionBy("portfolio_id", "date"))
+    return g.select("portfolio_id", "date", "symbol",
+                    (F.col("_v").cast("double") / total.cast("double")).alias("weight"))

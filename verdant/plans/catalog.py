@@ -118,3 +118,4 @@ def sel(*cols: str, doubles: tuple[str, ...] = ()) -> str:
 # Import the query modules so their @register calls run.
 from verdant.plans import queries_read  # noqa: E402,F401
 from verdant.plans import queries_models  # noqa: E402,F401
+from verdant.plans import queries_text  # noqa: E402,F401

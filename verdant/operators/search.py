@@ -174,11 +174,17 @@ def centroids(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 # ----------------------------------------------------------------- I5, I6
 
 def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    L = F.length(text)
-    return (df.where(L >= n)
-              .select(key, F.explode(F.sequence(F.lit(1), L - n + 1)).alias("_p"), text)
-              .select(key, F.substring(F.col(text), F.col("_p"), n).alias("gram"))
-              .distinct())
+    """Distinct n-grams of each row's text, built inside the row in linear
+    time: the text is split once into code points, and the n-grams are the
+    element-wise concatenation of n shifted slices (no per-position
+    substring, no copy of the text per gram, no extra shuffle)."""
+    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)
+    m = F.size(chars) - n + 1
+    grams = F.slice(chars, 1, m)
+    for i in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(chars, i, m), lambda x, y: F.concat(x, y))
+    return (df.where(F.length(text) >= n)
+              .select(key, F.explode(F.array_distinct(grams)).alias("gram")))
 
 
 def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:

@@ -120,3 +120,4 @@ from verdant.plans import queries_read  # noqa: E402,F401
 from verdant.plans import queries_models  # noqa: E402,F401
 from verdant.plans import queries_text  # noqa: E402,F401
 from verdant.plans import queries_search  # noqa: E402,F401
+from verdant.plans import queries_stream  # noqa: E402,F401

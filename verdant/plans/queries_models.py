@@ -579,9 +579,7 @@ def h13_reward_columns(t):
     return r.select("portfolio_id", "date", "reward_return", "reward_drawdown", "reward_combined")
 
 
-@register("h14_h15_recurrences", """
-select * from (
-with recursive s as (
+_DSR_SQL_BODY = """s as (
   select portfolio_id, date, port_return as r, row_number() over (partition by portfolio_id order by date) as rn,
          count(*) over (partition by portfolio_id) as n
   from m_preturn),
@@ -595,7 +593,12 @@ d(portfolio_id, rn, date, r, a, b, dsr) as (
          case when d.b - d.a * d.a < 0 then null
               when abs(pow(d.b - d.a * d.a, 1.5)) < 1e-12 then 0.0e0
               else (d.b * s.r - 0.5 * d.a * s.r * s.r) / pow(d.b - d.a * d.a, 1.5) end
-  from d join s on s.portfolio_id = d.portfolio_id and s.rn = d.rn + 1),
+  from d join s on s.portfolio_id = d.portfolio_id and s.rn = d.rn + 1)"""
+
+
+@register("h14_h15_recurrences", f"""
+select * from (
+with recursive {_DSR_SQL_BODY},
 g(portfolio_id, rn, date, gval) as (
   select portfolio_id, rn, date, r from s where rn = n
   union all

@@ -174,32 +174,35 @@ def centroids(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 # ----------------------------------------------------------------- I5, I6
 
 def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Distinct n-grams of each row's text, built inside the row in linear
-    time: the text is split once into code points, and the n-grams are the
-    element-wise concatenation of n shifted slices (no per-position
-    substring, no copy of the text per gram, no extra shuffle)."""
-    chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), 0)
-    m = F.size(chars) - n + 1
-    grams = F.slice(chars, 1, m)
-    for i in range(2, n + 1):
-        grams = F.zip_with(grams, F.slice(chars, i, m), lambda x, y: F.concat(x, y))
+    """Distinct n-grams (code points) of each row's text, built inside the
+    row in one linear regex pass (a zero-width look-ahead captures the n
+    characters at every position), de-duplicated per row before the explode —
+    no per-position substring, no copy of the text per gram."""
+    grams = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
     return (df.where(F.length(text) >= n)
               .select(key, F.explode(F.array_distinct(grams)).alias("gram")))
 
 
 def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
     """Exact (word, doc_id, in_content, in_title) for every distinct query
-    word contained (lower-cased substring) in a document."""
+    word contained (lower-cased substring) in a document.
+
+    Document n-grams are kept only when some query word has them (a semi
+    join against the query vocabulary's n-grams, right after they are made),
+    so the index that is shuffled is the part the queries can use."""
     docs = kb.select("doc_id", F.lower("content").alias("c"), F.lower("title").alias("tt"))
     w = words.select("word").distinct()
     short = w.where(F.length("word") < 3)
-    g12 = _grams(docs, "doc_id", "c", 1).unionByName(_grams(docs, "doc_id", "c", 2))
-    short_hits = short.join(g12, short.word == g12.gram).select("word", "doc_id")
     long_w = w.where(F.length("word") >= 3)
-    g3 = _grams(docs, "doc_id", "c", 3)
+    wg = _grams(long_w, "word", "word", 3)
+    need3 = wg.select("gram").distinct()
+    g12 = (_grams(docs, "doc_id", "c", 1).unionByName(_grams(docs, "doc_id", "c", 2))
+           .join(short.select(F.col("word").alias("gram")), "gram", "left_semi"))
+    short_hits = g12.select(F.col("gram").alias("word"), "doc_id")
+    g3 = _grams(docs, "doc_id", "c", 3).join(need3, "gram", "left_semi")
     df3 = g3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    wg = _grams(long_w, "word", "word", 3).join(df3, "gram")
-    rarest = wg.groupBy("word").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    rarest = (wg.join(df3, "gram")
+                .groupBy("word").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
     cand = rarest.join(g3, "gram").select("word", "doc_id")
     per_doc = cand.groupBy("doc_id").agg(F.collect_set("word").alias("_ws"))
     verified = (per_doc.join(docs.select("doc_id", "c"), "doc_id")

@@ -5,8 +5,9 @@ Weights decided on a date are applied to the return of the next trading date
 table bounded by the number of trading dates — and the weight × return product
 is an equi-join on (symbol, next date). Running values (equity, peak, rolling
 volatility) are windows per portfolio ordered by date; the two recurrences with
-no window form (differential Sharpe, discounted return-to-go) run as one
-grouped Arrow pass per portfolio, whose group is one portfolio's date history.
+no window form (differential Sharpe, discounted return-to-go) run in one sorted
+pass per partition (``run_by_key``), each kernel call seeing one portfolio's
+date history.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdant.functions import risk
+from verdant.functions.sequential import run_by_key
 
 # Fixed values of the back-test and reward rules.
 ROLLING_VOL_ROWS = 20
@@ -146,7 +148,6 @@ def _rtg(r: np.ndarray, gamma: float) -> np.ndarray:
 
 def _recurrences(eta: float, gamma: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", kind="stable")
         r = pdf["port_return"].to_numpy(dtype="float64")
         g = _rtg(r, gamma)
         if len(g) > 1 and g.std(ddof=1) > 0:
@@ -171,7 +172,7 @@ def differential_sharpe(ledger: DataFrame, eta: float = DSR_ETA, gamma: float =
     discounted return-to-go (γ) with its per-portfolio z-score, in one grouped
     pass per portfolio."""
     src = ledger.select(F.col("portfolio_id").cast("bigint"), "date", "port_return")
-    out = src.groupBy("portfolio_id").applyInPandas(_recurrences(eta, gamma), RECURRENCE_SCHEMA)
+    out = run_by_key(src, "portfolio_id", "date", _recurrences(eta, gamma), RECURRENCE_SCHEMA)
     return out.withColumn("dsr", F.when(~F.isnan("dsr"), F.col("dsr")))
 
 

@@ -2,9 +2,9 @@
 
 All rolling values share ``Window.partitionBy("symbol").orderBy("date")``: one
 exchange by symbol and one sort serve F1–F4 and F7. The two recurrences (EMA
-and MACD, F5/F6) have no window form; they run as one grouped Arrow pass per
-symbol (``applyInPandas``), whose group is one symbol's daily history — bounded
-by the number of trading dates, not by the table size.
+and MACD, F5/F6) have no window form; they run in one sorted Arrow pass per
+partition (``run_by_key``), each kernel call seeing one symbol's daily history
+— bounded by the number of trading dates, not by the table size.
 
 A rolling value is NULL until its window is full (pandas ``min_periods`` equal
 to the window). RSI and %B are filled with their neutral values (50 and 0.5)
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdant.functions.sequential import run_by_key
 from verdant.operators.query import latest
 
 # Fixed values of the feature definitions.
@@ -104,9 +105,8 @@ def _ema(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def ema_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    """EMA / MACD columns for one symbol's rows (any order)."""
+    """EMA / MACD columns for one symbol's rows, sorted by date."""
     spans = (MACD_FAST, MACD_SLOW)
-    pdf = pdf.sort_values("date", kind="stable")
     x = pdf["close"].to_numpy(dtype="float64")
     out = pd.DataFrame({"symbol": pdf["symbol"].to_numpy(), "date": pdf["date"].to_numpy()})
     if len(x) == 0:
@@ -134,7 +134,7 @@ def ema_macd(prices: DataFrame) -> DataFrame:
     """F5 + F6: EMA12, EMA26, MACD line, signal (EMA9 of the line) and
     histogram for every symbol and date, in one grouped Arrow pass."""
     p = prices.where(F.col("close").isNotNull()).select("symbol", "date", "close")
-    return p.groupBy("symbol").applyInPandas(ema_frame, EMA_SCHEMA)
+    return run_by_key(p, "symbol", "date", ema_frame, EMA_SCHEMA)
 
 
 # -------------------------------------------------------------- D5, D6, F8

@@ -113,11 +113,3 @@ def register(name: str, sql: str | None, sig: tuple[str, ...] = ()):
 def sel(*cols: str, doubles: tuple[str, ...] = ()) -> str:
     """Select list for the oracle: doubles rounded, others as is."""
     return ", ".join(r6(c) if c.split(".")[-1] in doubles else c for c in cols)
-
-
-# Import the query modules so their @register calls run.
-from verdant.plans import queries_read  # noqa: E402,F401
-from verdant.plans import queries_models  # noqa: E402,F401
-from verdant.plans import queries_text  # noqa: E402,F401
-from verdant.plans import queries_search  # noqa: E402,F401
-from verdant.plans import queries_stream  # noqa: E402,F401

@@ -452,3 +452,85 @@ def a23_job_history(t):
     led = _ledger(t).select("job_id", "total_chunks", "chunks_processed", "errors", "started_at",
                             "completed_at", "records_stored", "records_total", "status")
     return A.job_history(led, 20)
+
+
+# ------------------------------------------------ A1, A2, A5, A18, A19
+
+@register("a1_a2_file_manifest", None)
+def a1_a2_file_manifest(t):
+    """A1 + A2: manifest (size, SHA-256, signature check, accept / reject)
+    and reader routing for every file of the table folder."""
+    m = A.file_manifest(t.spark, t.sf_dir)
+    return A.route_by_format(m).select("file_name", "extension", "file_size", "file_sha256",
+                                       "accepted", "reject_reason", "reader")
+
+
+def _html_parts(t):
+    """Decoded parts of the web pages: each page of a file is one paragraph
+    block; list items are table rows, the tag-stripped paragraph is text."""
+    p = t.raw("pages").select(F.col("page_id").alias("file_id"),
+                              F.posexplode(F.split("html", "<p>")).alias("page_no", "seg"))
+    rows = p.select("file_id", "page_no",
+                    F.posexplode(F.regexp_extract_all("seg", F.lit("<li>(.*?)</li>"), 1)).alias("part_no", "cell"))
+    rows = rows.select("file_id", "page_no", "part_no", F.lit("row").alias("kind"),
+                       F.regexp_replace("cell", "<[^>]*>", "\t").alias("text"))
+    text = p.select("file_id", "page_no", F.lit(0).alias("part_no"), F.lit("text").alias("kind"),
+                    A.strip_ws(F.regexp_replace(F.regexp_replace("seg", "<[^>]*>", " "), " +", " ")).alias("text"))
+    return rows.unionByName(text)
+
+
+@register("a5_document_pages", """
+with p as (select page_id as file_id, unnest(range(len(segs))) as page_no, unnest(segs) as seg
+           from (select page_id, string_split(html, '<p>') as segs from pages) x),
+r as (select file_id, page_no, unnest(range(len(cells))) as part_no, unnest(cells) as cell
+      from (select file_id, page_no, regexp_extract_all(seg, '<li>(.*?)</li>', 1) as cells from p) y),
+parts as (
+  select file_id, page_no, 0 as o, part_no, regexp_replace(cell, '<[^>]*>', chr(9), 'g') as text from r
+  union all
+  select file_id, page_no, 1 as o, 0 as part_no,
+    regexp_replace(regexp_replace(regexp_replace(seg, '<[^>]*>', ' ', 'g'), ' +', ' ', 'g'),
+                   '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') as text from p),
+g as (select file_id, page_no,
+        regexp_replace(string_agg(text, chr(10) order by o, part_no, text),
+                       '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') as body
+      from parts where text is not null group by 1, 2)
+select file_id, page_no, '[PDF Page ' || cast(page_no as varchar) || ']' || chr(10) || body as page_text
+from g where length(body) > 0""")
+def a5_document_pages(t):
+    """A5: web pages decoded into table-row and text parts, assembled into
+    '[PDF Page n]' pages."""
+    return A.assemble_pages(_html_parts(t))
+
+
+@register("a18_validation_stats", """
+select count(*) as total,
+  count(*) filter (where not (low <= 0 or high <= 0 or close <= 0 or low > close or volume < 0
+                   or date > date '2024-01-01' or close is null)) as valid,
+  count(*) filter (where low <= 0 or high <= 0 or close <= 0 or low > close or volume < 0
+                   or date > date '2024-01-01' or close is null) as rejected,
+  count(*) filter (where not regexp_matches(coalesce(symbol, ''), '^[A-Z]{1,5}$')
+                   or date < date '2000-01-01') as with_warnings,
+  'price_data' as kind
+from m_prices""")
+def a18_validation_stats(t):
+    """A18 stats: totals of the price validation."""
+    v = A.validate_prices(t.prices().withColumn("open", F.lit(None).cast("double")), "2024-01-01")
+    return A.validation_stats(v, "price_data")
+
+
+@register("a19_store_by_type", """
+select 'price_data' as record_type, count(*) as records_stored from m_prices
+union all select 'esg_scores', count(*) from m_esg
+union all select 'company_meta', count(*) from m_companies""")
+def a19_store_by_type(t):
+    """One batch of typed records (prices, ESG, companies as JSON
+    payload rows) written to one table per type; counts by type."""
+    from verdant.streaming.pipelines import scratch
+    p = t.prices().select(F.lit("price_data").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
+    e = t.esg().select(F.lit("esg_scores").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
+    c = t.companies().select(F.lit("company_meta").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
+    root = scratch(t.spark, "a19")
+    targets = {k: f"{root}/{k}" for k in ("price_data", "esg_scores", "company_meta")}
+    counts = A.store_by_type(p.unionByName(e).unionByName(c), targets)
+    rows = counts.collect()  # one row per record type
+    return t.spark.createDataFrame(rows, counts.schema)

@@ -57,40 +57,58 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
 def turnover(weights: DataFrame) -> DataFrame:
     """Σ |w_t − w_{t−1}| per (portfolio, date) over the union of the two
     dates' holdings (entries and exits count); before the first date the
-    portfolio is equally weighted over its distinct symbols. Sparse: a full
-    outer equi-join of each date's rows with the previous date's rows, no
-    symbol × date densification."""
-    dates = weights.select("portfolio_id", "date").distinct()
-    wd = Window.partitionBy("portfolio_id").orderBy("date")
-    dates = dates.withColumn("prev_date", F.lag("date").over(wd)) \
-                 .withColumn("next_date", F.lead("date").over(wd))
-    cur = weights.join(dates, ["portfolio_id", "date"]).select(
-        "portfolio_id", "symbol", "date", "prev_date", F.col("weight").alias("w_cur"))
-    prev = weights.join(dates, ["portfolio_id", "date"]).where(F.col("next_date").isNotNull()).select(
-        "portfolio_id", "symbol", F.col("next_date").alias("date"), F.col("weight").alias("w_prev"))
-    later = cur.where(F.col("prev_date").isNotNull()).drop("prev_date")
-    pairs = later.join(prev, ["portfolio_id", "symbol", "date"], "full_outer")
-    moved = pairs.groupBy("portfolio_id", "date").agg(
-        F.sum(F.abs(F.coalesce(F.col("w_cur"), F.lit(0.0)) - F.coalesce(F.col("w_prev"), F.lit(0.0))))
-        .alias("turnover"))
-    n_assets = weights.groupBy("portfolio_id").agg(F.countDistinct("symbol").alias("_n"))
-    first = cur.where(F.col("prev_date").isNull()).join(n_assets, "portfolio_id")
-    first = first.groupBy("portfolio_id", "date").agg(
-        (F.sum(F.abs(F.col("w_cur") - 1.0 / F.col("_n")))
-         + (F.max("_n") - F.count(F.lit(1))) / F.max("_n")).alias("turnover"))
-    return moved.unionByName(first)
+    portfolio is equally weighted over its N distinct symbols.
+
+    One pass over the weights, all windows partitioned by portfolio (one
+    exchange): the portfolio's previous / next rebalance date come from range
+    frames over the date, a symbol's previous / next holding from a window
+    per (portfolio, symbol). A holding that continues contributes
+    |w_t − w_prev|, a new one |w_t|, an exit |w_prev| at the next date, and
+    the first date |w − 1/N| plus 1/N for each symbol not yet held."""
+    wp = Window.partitionBy("portfolio_id")
+    wd = Window.partitionBy("portfolio_id").orderBy("_d")
+    ws = Window.partitionBy("portfolio_id", "symbol").orderBy("date")
+    x = weights.select("portfolio_id", "symbol", "date", "weight", F.unix_date("date").alias("_d"))
+    x = x.select(
+        "*",
+        F.max("date").over(wd.rangeBetween(Window.unboundedPreceding, -1)).alias("_prev"),
+        F.min("date").over(wd.rangeBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.size(F.collect_set("symbol").over(wp)).alias("_n"),
+        F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "date")).alias("_held"),
+        F.lag("date").over(ws).alias("_sym_prev"),
+        F.lag("weight").over(ws).alias("_sym_prev_w"),
+        F.lead("date").over(ws).alias("_sym_next"),
+    )
+    first = F.col("_prev").isNull()
+    carried = F.when(F.col("_sym_prev") == F.col("_prev"), F.col("_sym_prev_w")).otherwise(F.lit(0.0))
+    here = (F.when(first, F.abs(F.col("weight") - 1.0 / F.col("_n"))
+                   + (F.col("_n") - F.col("_held")) / F.col("_n") / F.col("_held"))
+             .otherwise(F.abs(F.col("weight") - carried)))
+    at_date = x.select("portfolio_id", "date", here.alias("_c"))
+    exits = (x.where(F.col("_next").isNotNull()
+                     & (F.col("_sym_next").isNull() | (F.col("_sym_next") != F.col("_next"))))
+              .select("portfolio_id", F.col("_next").alias("date"), F.abs("weight").alias("_c")))
+    return (at_date.unionByName(exits).groupBy("portfolio_id", "date")
+                   .agg(F.sum("_c").alias("turnover")))
 
 
 def backtest_ledger(weights: DataFrame, returns: DataFrame, esg_unit: DataFrame) -> DataFrame:
     """Per (portfolio, date): portfolio return, value (base 1.0), peak
     (base 1.0), drawdown, turnover, trailing-20 population std of returns (0
-    with one row), ESG exposure Σ w·esg (esg_unit 0.5 default)."""
-    pr = portfolio_returns(weights, returns)
+    with one row), ESG exposure Σ w·esg (esg_unit 0.5 default).
+
+    Return and ESG exposure come from one aggregation of the weights joined to
+    the next-day returns and the per-symbol ESG table; the running values are
+    windows per portfolio; turnover is its own one-exchange pass."""
+    j = weights_to_next_return(weights, returns).join(esg_unit, "symbol", "left")
+    pr = j.groupBy("portfolio_id", "date").agg(
+        F.sum(F.col("weight") * F.col("next_ret")).alias("port_return"),
+        F.sum(F.col("weight") * F.coalesce(F.col("esg_unit"), F.lit(0.5))).alias("esg"))
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     trail = w.rowsBetween(-(ROLLING_VOL_ROWS - 1), 0)
     led = pr.select(
-        "portfolio_id", "date", "port_return",
+        "portfolio_id", "date", "port_return", "esg",
         F.product(1 + F.col("port_return")).over(run).alias("value"),
         F.when(F.count(F.lit(1)).over(run) > 1, F.stddev_pop("port_return").over(trail))
          .otherwise(F.lit(0.0)).alias("rolling_vol"),
@@ -99,12 +117,7 @@ def backtest_ledger(weights: DataFrame, returns: DataFrame, esg_unit: DataFrame)
     led = led.withColumn("peak", F.greatest(F.lit(1.0), F.max("value").over(run)))
     led = led.withColumn("drawdown", (F.col("value") - F.col("peak")) / F.col("peak"))
     led = led.withColumn("prev_value", F.coalesce(F.lag("value").over(w), F.lit(1.0)))
-    ex = (weights.join(esg_unit, "symbol", "left")
-                 .groupBy("portfolio_id", "date")
-                 .agg(F.sum(F.col("weight") * F.coalesce(F.col("esg_unit"), F.lit(0.5))).alias("esg")))
-    led = led.join(turnover(weights), ["portfolio_id", "date"], "left") \
-             .join(ex, ["portfolio_id", "date"], "left")
-    return led
+    return led.join(turnover(weights), ["portfolio_id", "date"], "left")
 
 
 def reward_columns(ledger: DataFrame, lam: float = 0.5) -> DataFrame:

@@ -29,6 +29,10 @@ KEYWORD_CONTENT_POINTS = 1
 KEYWORD_TITLE_POINTS = 2
 TITLE_CHARS = 80
 IVF_LISTS = 20
+IVF_PROBES = 3
+# Largest query set scored exactly by shipping the query vectors to every
+# corpus task; above it, search goes through the inverted lists.
+MAX_EXACT_QUERIES = 10_000
 WS_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
@@ -55,9 +59,14 @@ def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, query_key: str,
             vec: str = "vec", exclude_self: bool = False) -> DataFrame:
     """Exact top-k by cosine distance for each query (see module notes).
-    Returns query_key, corpus_key, distance, rank (distance, then key)."""
+    Returns query_key, corpus_key, distance, rank (distance, then key).
+    The query set must be request-sized (checked: at most MAX_EXACT_QUERIES);
+    ``semantic_search`` routes larger sets to the inverted lists."""
     c = with_norm(corpus.select(corpus_key, vec, *[x for x in corpus.columns if x not in (corpus_key, vec)]), vec)
     q = with_norm(queries.select(F.col(query_key).alias("_q"), F.col(vec).alias("vec")), "vec")
+    n = q.count()
+    if n > MAX_EXACT_QUERIES:
+        raise ValueError(f"{n} query vectors: above {MAX_EXACT_QUERIES}, use ivf_search")
     qarr = q.select(F.collect_list(F.struct("_q", F.col("vec").alias("qv"), F.col("_norm").alias("qn")))).scalar()
     per_query = c.select("*", F.explode(qarr).alias("_r"))
     scored = per_query.select(
@@ -155,10 +164,21 @@ def similar(corpus: DataFrame, refs: DataFrame, metrics: DataFrame, k: int = 5,
         fixed_round(1 - F.col("distance"), 3).alias("similarity"))
 
 
-def semantic_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:
+def semantic_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K,
+                    max_exact: int = MAX_EXACT_QUERIES) -> DataFrame:
     """I4: k nearest knowledge entries per query vector (query_id, vec);
-    entries and queries with NULL or zero vectors take no part."""
-    top = nearest(kb.select("doc_id", "vec", "title", "topic"), queries, k, "doc_id", "query_id")
+    entries and queries with NULL or zero vectors take no part.
+
+    The query set's size is checked first: up to ``max_exact`` queries are
+    scored exactly (their vectors travel to every corpus task); a larger set
+    is answered through the inverted lists (I7) instead."""
+    n = queries.count()
+    if n > max_exact:
+        indexed, cents = ivf_build(kb.select("doc_id", "vec"), "doc_id")
+        top = ivf_search(indexed, cents, queries.select("query_id", "vec"), "doc_id", k, IVF_PROBES)
+        top = top.join(kb.select("doc_id", "title", "topic"), "doc_id")
+    else:
+        top = nearest(kb.select("doc_id", "vec", "title", "topic"), queries, k, "doc_id", "query_id")
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "title",
                       "topic", "distance")
 

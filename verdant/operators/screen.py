@@ -99,3 +99,38 @@ def pareto(metrics: DataFrame, companies: DataFrame, pool: int = PARETO_POOL,
     return front.select(*keys, "frontier_rank", "symbol", "name",
                         F.col("sharpe_252d").alias("sharpe"),
                         F.col("avg_esg_composite").alias("esg"))
+
+
+def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64) -> DataFrame:
+    """G6 without a pool: the Sharpe / ESG frontier of *all* companies,
+    computed as a distributed skyline.
+
+    Rows are cut into ``buckets`` Sharpe ranges (split points from an
+    approximate quantile — a list of ``buckets`` numbers). Within a bucket a
+    window finds the rows whose ESG beats every better-ranked row of the
+    bucket; the bucket maxima (``buckets`` rows) give, for each bucket, the
+    best ESG of all better buckets. A row is on the frontier when it beats
+    both — the same answer as one walk down the whole ranking, with no
+    single-partition window over the table."""
+    j = _joined(metrics, companies).where(
+        F.col("sharpe_252d").isNotNull() & F.col("avg_esg_composite").isNotNull())
+    j = j.select("symbol", "name", "sharpe_252d", "avg_esg_composite")
+    probs = [i / buckets for i in range(1, buckets)]
+    splits = j.select(F.percentile_approx("sharpe_252d", probs, 10000)).first()[0] or []
+    bucket = F.lit(0)
+    for b in sorted(set(splits)):
+        bucket = bucket + (F.col("sharpe_252d") < F.lit(b)).cast("int")
+    # bucket = number of split points above the value: 0 holds the highest
+    # Sharpe values, and equal values always share a bucket
+    j = j.withColumn("_b", bucket.cast("int"))
+    order = [F.desc("sharpe_252d"), F.desc("avg_esg_composite"), F.asc("symbol")]
+    w_in = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = j.withColumn("_above_in", F.coalesce(F.max("avg_esg_composite").over(w_in), F.lit(-1.0)))
+    local = local.where(F.col("avg_esg_composite") > F.col("_above_in"))
+    tops = j.groupBy("_b").agg(F.max("avg_esg_composite").alias("_bmax"))
+    w_b = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_above_out", F.coalesce(F.max("_bmax").over(w_b), F.lit(-1.0)))
+    front = local.join(tops.select("_b", "_above_out"), "_b").where(
+        F.col("avg_esg_composite") > F.col("_above_out"))
+    return front.select("symbol", "name", F.col("sharpe_252d").alias("sharpe"),
+                        F.col("avg_esg_composite").alias("esg"))

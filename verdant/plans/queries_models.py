@@ -96,6 +96,20 @@ def g6_pareto_by_sector(t):
     return S.pareto(metrics_of(t), t.companies(), pool=100, top_n=20, by="sector")
 
 
+@register("g6_pareto_all", """
+with r as (
+  select m.symbol, c.name, m.sharpe_252d, m.avg_esg_composite,
+    coalesce(max(m.avg_esg_composite) over (order by m.sharpe_252d desc, m.avg_esg_composite desc, m.symbol
+             rows between unbounded preceding and 1 preceding), -1.0e0) as best_above
+  from m_metrics m join m_companies c on m.symbol = c.symbol
+  where m.sharpe_252d is not null and m.avg_esg_composite is not null)
+select symbol, name, round(sharpe_252d, 6) as sharpe, round(avg_esg_composite, 6) as esg
+from r where avg_esg_composite > best_above""")
+def g6_pareto_all(t):
+    """G6 without a pool: the frontier of every company (distributed skyline)."""
+    return S.pareto_all(metrics_of(t), t.companies())
+
+
 # ------------------------------------------------------------------ F, D5, D6
 
 cte("m_feat0", """

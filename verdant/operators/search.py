@@ -9,10 +9,11 @@ the shuffle). No join and no pair table is formed. Corpus-sized query sets use
 the inverted-list index (I7), which equi-joins queries to the lists they probe.
 
 Keyword search (I5) keeps the substring semantics exactly without comparing
-every word with every document: each query word is looked up through the
-document trigram index by its rarest trigram (an equi-join), and only those
-candidates are verified with ``instr``; words shorter than three characters
-join the 1- and 2-gram index directly, which is already exact.
+every word with every document: a query word (no whitespace) occurs in a text
+exactly when it is a substring of one of the text's tokens, so words are
+matched against the distinct token vocabulary (through its trigram index,
+verified with ``instr``) and token hits are mapped to documents through the
+(token → document) index — equi-joins only.
 """
 
 from __future__ import annotations
@@ -203,34 +204,54 @@ def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
               .select(key, F.explode(F.array_distinct(grams)).alias("gram")))
 
 
-def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
-    """Exact (word, doc_id, in_content, in_title) for every distinct query
-    word contained (lower-cased substring) in a document.
+def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Distinct whitespace-delimited tokens of each row's text."""
+    toks = F.array_distinct(F.split(F.col(text), WS_SPLIT))
+    return df.select(key, F.explode(toks).alias("tok")).where(F.length("tok") > 0)
 
-    Document n-grams are kept only when some query word has them (a semi
-    join against the query vocabulary's n-grams, right after they are made),
-    so the index that is shuffled is the part the queries can use."""
-    docs = kb.select("doc_id", F.lower("content").alias("c"), F.lower("title").alias("tt"))
+
+def word_in_tokens(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, tok) for every query word that is a substring of a vocabulary
+    token: candidates from the token n-gram index (a word of three or more
+    characters through its rarest trigram, a shorter word through the 1- or
+    2-grams, which is already exact), verified with ``instr`` on the short
+    token strings."""
     w = words.select("word").distinct()
     short = w.where(F.length("word") < 3)
     long_w = w.where(F.length("word") >= 3)
+    g12 = _grams(vocab, "tok", "tok", 1).unionByName(_grams(vocab, "tok", "tok", 2))
+    short_hits = g12.join(short.select(F.col("word").alias("gram")), "gram", "left_semi") \
+                    .select(F.col("gram").alias("word"), "tok")
     wg = _grams(long_w, "word", "word", 3)
-    need3 = wg.select("gram").distinct()
-    g12 = (_grams(docs, "doc_id", "c", 1).unionByName(_grams(docs, "doc_id", "c", 2))
-           .join(short.select(F.col("word").alias("gram")), "gram", "left_semi"))
-    short_hits = g12.select(F.col("gram").alias("word"), "doc_id")
-    g3 = _grams(docs, "doc_id", "c", 3).join(need3, "gram", "left_semi")
+    g3 = _grams(vocab, "tok", "tok", 3).join(wg.select("gram").distinct(), "gram", "left_semi")
     df3 = g3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = (wg.join(df3, "gram")
                 .groupBy("word").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    cand = rarest.join(g3, "gram").select("word", "doc_id")
-    per_doc = cand.groupBy("doc_id").agg(F.collect_set("word").alias("_ws"))
-    verified = (per_doc.join(docs.select("doc_id", "c"), "doc_id")
-                .select("doc_id", F.explode(F.filter("_ws", lambda x: F.instr(F.col("c"), x) > 0)).alias("word")))
-    hits = verified.unionByName(short_hits.select("doc_id", "word"))
-    return (hits.join(docs.select("doc_id", "tt"), "doc_id")
-                .select("word", "doc_id", F.lit(True).alias("in_content"),
-                        (F.instr(F.col("tt"), F.col("word")) > 0).alias("in_title")))
+    long_hits = (rarest.join(g3, "gram").where(F.instr(F.col("tok"), F.col("word")) > 0)
+                       .select("word", "tok"))
+    return long_hits.unionByName(short_hits)
+
+
+def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
+    """Exact (word, doc_id, in_content, in_title) for every distinct query
+    word contained (lower-cased substring) in a document.
+
+    A query word has no whitespace, so it occurs in a text exactly when it is
+    a substring of one of the text's whitespace-delimited tokens. Matching
+    therefore runs against the distinct token vocabulary (far smaller than
+    the texts), and the (token → document) index, one row per distinct token
+    of a document, maps token hits back to documents with an equi-join."""
+    docs = kb.select("doc_id", F.lower("content").alias("c"), F.lower("title").alias("tt"))
+    content_idx = _tokens(docs, "doc_id", "c")
+    title_idx = _tokens(docs, "doc_id", "tt")
+    vocab = content_idx.select("tok").unionByName(title_idx.select("tok")).distinct()
+    wt = word_in_tokens(words, vocab)
+    in_content = wt.join(content_idx, "tok").select("word", "doc_id").distinct()
+    in_title = wt.join(title_idx, "tok").select("word", "doc_id").distinct() \
+                 .withColumn("in_title", F.lit(True))
+    return (in_content.join(in_title, ["word", "doc_id"], "left")
+                      .select("word", "doc_id", F.lit(True).alias("in_content"),
+                              F.coalesce(F.col("in_title"), F.lit(False)).alias("in_title")))
 
 
 def query_words(queries: DataFrame, text: str = "query_text") -> DataFrame:

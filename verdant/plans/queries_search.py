@@ -92,7 +92,7 @@ def _label_centroids(t):
 
 
 cte("m_centroids", """
-select label as query_id, list(x order by i) as qv from (
+select cast(label as bigint) as query_id, list(x order by i) as qv from (
   select label, i, avg(x) as x from (
     select label, unnest(range(len(embedding))) as i, unnest(list_transform(embedding, lambda y: y::double)) as x
     from embeddings) a group by 1, 2) b group by 1

@@ -71,8 +71,8 @@ def k1_ingest_stream(t):
 @register("k2_progress_stream", """
 select user_id as job_id, date_trunc('hour', ts) as window_start, count(*) as chunks,
   count(*) filter (where event_type = 'error') as errors,
-  sum(case when event_type != 'error' then cast(nullif(regexp_extract(props, '"k"\\s*:\\s*(\\d+)', 1), '') as bigint) end)
-    as records
+  cast(sum(case when event_type != 'error' then cast(nullif(regexp_extract(props, '"k"\\s*:\\s*(\\d+)', 1), '') as bigint) end)
+    as bigint) as records
 from events group by 1, 2""")
 def k2_progress_stream(t):
     """K2: job progress per hour from the event table streamed in order."""

@@ -206,7 +206,7 @@ with s as (
     case l_linenumber % 10 {' '.join(f"when {i} then strftime(l_shipdate, '{f}')" for i, f in enumerate(_DATE_DUCK))} end
       as raw
   from lineitem)
-select l_orderkey, l_linenumber, raw,
+select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, raw,
   coalesce({', '.join(f"case when regexp_matches(raw, '{g}') then strftime(try_strptime(raw, '{f}'), '%Y-%m-%d') end"
                       for f, g in zip(_DATE_DUCK, _DATE_GUARD))}, raw) as normalized
 from s""")
@@ -236,7 +236,7 @@ with s as (
 c as (select *, regexp_replace(regexp_replace(raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'),
                                '[,$%]', '', 'g') as v0,
              regexp_replace(raw, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') as s from s)
-select l_orderkey, l_linenumber, raw,
+select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, raw,
   case when s is null or s = '' then ''
        when s in ('#N/A', '#N/A N/A', 'N/A', '#VALUE!', '#REF!', '#DIV/0!', '-', '--', 'None', 'nan') then ''
        when regexp_matches(regexp_replace(v0, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'),
@@ -417,7 +417,7 @@ x as (select job_id, ts, ok, nullif(regexp_extract(result_text, '"type"\\s*:\\s*
       from r),
 bt as (select job_id, typ, sum(n) as n from x where ok and typ is not null and n > 0 group by 1, 2),
 rec as (select job_id, string_agg(typ || ':' || cast(n as varchar), ',' order by typ || ':' || cast(n as varchar))
-          as records_stored, sum(n) as records_total from bt group by 1),
+          as records_stored, cast(sum(n) as bigint) as records_total from bt group by 1),
 g as (select job_id, count(*) as total_chunks, count(*) filter (where ok) as chunks_processed,
         count(*) filter (where not ok) as errors, min(ts) as started_at, max(ts) as completed_at
       from x group by 1)

@@ -13,7 +13,13 @@ _M_DOUBLES = tuple(M.METRIC_COLUMNS + M.ESG_COLUMNS + ["composite_score", "secto
 
 
 def metrics_of(t):
-    return M.recompute(t.prices(), t.esg(), t.companies())
+    """computed_metrics as the reference keeps it: a table written by the
+    recompute job (here a reliable checkpoint under spark.checkpoint.dir)
+    that the read-side queries then read, instead of every reader and every
+    scalar subquery re-running the recompute."""
+    from verdant.session import checkpoint_dir
+    checkpoint_dir(t.spark)
+    return M.recompute(t.prices(), t.esg(), t.companies()).checkpoint(eager=True)
 
 
 def sectors_of(t, metrics=None):

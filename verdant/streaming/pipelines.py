@@ -89,6 +89,9 @@ def progress_stream(spark: SparkSession, source: str, sink: str, ckpt: str, sche
     batch-id partition (replay-safe); a watermark bounds the state, dropping
     windows older than ``delay`` behind the newest event. Read the current
     progress with ``current_progress``."""
+    # Event time must be a TIMESTAMP for the watermark; wall-clock NTZ values
+    # are read as session-time instants and the window start is turned back
+    # into wall-clock time (exact for sessions whose UTC offset is whole hours).
     ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
           .parquet(source).withColumn("ts", F.col("ts").cast("timestamp")))
     g = (ev.withWatermark("ts", delay)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdant.plans.oracle import r6, with_ctes
+from verdant.session import ship_package
 from verdant.sources.tables import Tables
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -102,6 +103,7 @@ def finish(df: DataFrame, digits: int = 6, sig: tuple[str, ...] = ()) -> DataFra
 def register(name: str, sql: str | None, sig: tuple[str, ...] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return finish(fn(Tables(spark, sf_dir)), sig=sig)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,9 +51,30 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the ``verdant`` package importable on the executors' Python
+    workers (grouped Arrow passes and pandas UDFs run there) by shipping it
+    as a zip with ``addPyFile`` — once per application. On a cluster the
+    package can equally be passed with ``--py-files``."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="verdant-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "verdant"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="verdant")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 

@@ -217,8 +217,13 @@ select symbol, date, round(close, 6) as close, {', '.join(f'round(coalesce({c},
 from m_panel
 where date >= coalesce((select d from firstok), (select min(date) from m_panel))""")
 def f10_trimmed_panel(t):
-    """panel from the first fully complete date on, NULL → 0."""
-    return FE.trim_warmup(FE.feature_panel(t.prices(), t.esg()))
+    """panel from the first fully complete date on, NULL → 0. The panel
+    is the stored feature table (a reliable checkpoint), read once by the
+    trim and by its completeness subqueries."""
+    from verdant.session import checkpoint_dir
+    checkpoint_dir(t.spark)
+    panel = FE.feature_panel(t.prices(), t.esg()).checkpoint(eager=True)
+    return FE.trim_warmup(panel)
 
 
 @register("d6_cross_section", "select date, " + ", ".join(

@@ -211,25 +211,27 @@ def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def word_in_tokens(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, tok) for every query word that is a substring of a vocabulary
-    token: candidates from the token n-gram index (a word of three or more
-    characters through its rarest trigram, a shorter word through the 1- or
-    2-grams, which is already exact), verified with ``instr`` on the short
+    """(word, tok) for every query word of three or more characters that is a
+    substring of a vocabulary token: candidates through the word's rarest
+    trigram in the token trigram index, verified with ``instr`` on the short
     token strings."""
-    w = words.select("word").distinct()
-    short = w.where(F.length("word") < 3)
-    long_w = w.where(F.length("word") >= 3)
-    g12 = _grams(vocab, "tok", "tok", 1).unionByName(_grams(vocab, "tok", "tok", 2))
-    short_hits = g12.join(short.select(F.col("word").alias("gram")), "gram", "left_semi") \
-                    .select(F.col("gram").alias("word"), "tok")
+    long_w = words.select("word").distinct().where(F.length("word") >= 3)
     wg = _grams(long_w, "word", "word", 3)
     g3 = _grams(vocab, "tok", "tok", 3).join(wg.select("gram").distinct(), "gram", "left_semi")
     df3 = g3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = (wg.join(df3, "gram")
                 .groupBy("word").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    long_hits = (rarest.join(g3, "gram").where(F.instr(F.col("tok"), F.col("word")) > 0)
-                       .select("word", "tok"))
-    return long_hits.unionByName(short_hits)
+    return (rarest.join(g3, "gram").where(F.instr(F.col("tok"), F.col("word")) > 0)
+                  .select("word", "tok"))
+
+
+def _short_hits(docs: DataFrame, short: DataFrame, text: str) -> DataFrame:
+    """(word, doc_id) for words of one or two characters: a document contains
+    such a word exactly when the word is one of the document's distinct 1- or
+    2-grams (a small set per document), so an equi-join is exact."""
+    g = _grams(docs, "doc_id", text, 1).unionByName(_grams(docs, "doc_id", text, 2))
+    return (g.join(short.select(F.col("word").alias("gram")), "gram", "left_semi")
+             .select(F.col("gram").alias("word"), "doc_id"))
 
 
 def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
@@ -237,18 +239,24 @@ def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
     word contained (lower-cased substring) in a document.
 
     A query word has no whitespace, so it occurs in a text exactly when it is
-    a substring of one of the text's whitespace-delimited tokens. Matching
-    therefore runs against the distinct token vocabulary (far smaller than
-    the texts), and the (token → document) index, one row per distinct token
-    of a document, maps token hits back to documents with an equi-join."""
+    a substring of one of the text's whitespace-delimited tokens. Words of
+    three or more characters are therefore matched against the distinct token
+    vocabulary (far smaller than the texts), and the (token → document) index,
+    one row per distinct token of a document, maps token hits back to
+    documents with an equi-join. One- and two-character words, which sit
+    inside most tokens, join each document's small 1/2-gram set instead."""
     docs = kb.select("doc_id", F.lower("content").alias("c"), F.lower("title").alias("tt"))
+    w = words.select("word").distinct()
+    short = w.where(F.length("word") < 3)
     content_idx = _tokens(docs, "doc_id", "c")
     title_idx = _tokens(docs, "doc_id", "tt")
     vocab = content_idx.select("tok").unionByName(title_idx.select("tok")).distinct()
-    wt = word_in_tokens(words, vocab)
-    in_content = wt.join(content_idx, "tok").select("word", "doc_id").distinct()
-    in_title = wt.join(title_idx, "tok").select("word", "doc_id").distinct() \
-                 .withColumn("in_title", F.lit(True))
+    wt = word_in_tokens(w, vocab)
+    in_content = (wt.join(content_idx, "tok").select("word", "doc_id")
+                    .unionByName(_short_hits(docs, short, "c")).distinct())
+    in_title = (wt.join(title_idx, "tok").select("word", "doc_id")
+                  .unionByName(_short_hits(docs, short, "tt")).distinct()
+                  .withColumn("in_title", F.lit(True)))
     return (in_content.join(in_title, ["word", "doc_id"], "left")
                       .select("word", "doc_id", F.lit(True).alias("in_content"),
                               F.coalesce(F.col("in_title"), F.lit(False)).alias("in_title")))

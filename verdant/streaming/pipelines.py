@@ -89,18 +89,20 @@ def progress_stream(spark: SparkSession, source: str, sink: str, ckpt: str, sche
     batch-id partition (replay-safe); a watermark bounds the state, dropping
     windows older than ``delay`` behind the newest event. Read the current
     progress with ``current_progress``."""
-    # Event time must be a TIMESTAMP for the watermark; wall-clock NTZ values
-    # are read as session-time instants and the window start is turned back
-    # into wall-clock time (exact for sessions whose UTC offset is whole hours).
+    # Event time must be a TIMESTAMP for the watermark. Wall-clock (NTZ)
+    # values are mapped to the instant with the same wall clock in UTC, so
+    # windows align to wall-clock hours whatever the session time zone; the
+    # window start is mapped back the same way.
+    tz = F.current_timezone()
     ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-          .parquet(source).withColumn("ts", F.col("ts").cast("timestamp")))
+          .parquet(source).withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), tz)))
     g = (ev.withWatermark("ts", delay)
            .groupBy(F.col("user_id").alias("job_id"), F.window("ts", window).alias("w"))
            .agg(F.count(F.lit(1)).alias("chunks"),
                 F.count_if(F.col("event_type") == "error").alias("errors"),
                 F.sum(F.when(F.col("event_type") != "error",
                              F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).cast("bigint"))).alias("records")))
-    out = g.select("job_id", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+    out = g.select("job_id", F.from_utc_timestamp(F.col("w.start"), tz).cast("timestamp_ntz").alias("window_start"),
                    "chunks", "errors", "records")
 
     def batch(df: DataFrame, batch_id: int) -> None:

@@ -82,20 +82,28 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of every text, A-Z
-    lower-cased, and the number of words per text (null: none). Works on the
-    UTF-8 bytes of the whole batch at once: the separators are ASCII, so they
-    never fall inside a character."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a batch of texts, and where each begins and the last ends."""
     texts = pa.concat_arrays([texts]) if not isinstance(texts, pa.ChunkedArray) else texts.combine_chunks()
     texts = texts.cast(pa.large_string())
     n = len(texts)
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1]
     if n == 0 or off[-1] == off[0]:
+        return np.empty(0, np.uint8), np.zeros(n + 1, np.int64)
+    return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0]:off[-1]], off - off[0]
+
+
+def word_hashes(texts: pa.Array, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every text, A-Z lower-cased, and the
+    number of words per text (null: none). Words are the runs between
+    separators, by default ``[^\\x20\\x09-\\x0D]+``. Works on the UTF-8 bytes of
+    the whole batch at once: separators are ASCII, so they never fall inside a
+    character."""
+    raw, off = utf8(texts)
+    n = len(off) - 1
+    if not len(raw):
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
-    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0]:off[-1]]
-    off = off - off[0]
-    solid = ~_SPACE[raw]
+    solid = ~separators[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = off[:-1][(off[:-1] < len(raw)) & (off[:-1] < off[1:])]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdant.llm import bpe, fingerprints
+from verdant.llm import bpe, fingerprints, quality, resharding, url_rules, warc
 from verdant.llm.common import prepare
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
@@ -23,7 +24,43 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP10_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p),
+m as (select payload_digest, max(page_id) as keep, count(*) as n from d where payload_bytes >= 1000 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+       case when m.n > 1 and d.page_id <> m.keep then 'revisit' else 'response' end as record_type,
+       case when m.n > 1 and d.page_id <> m.keep then m.keep end as refers_to
+from d left join m on m.payload_digest = d.payload_digest and d.payload_bytes >= 1000
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad pages are those whose id is labelled of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels", F.col("doc_id").alias("page_id"),
+                    ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge(_table(spark, sf_dir, "pages", "page_id", "url"), labels)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return quality.judge(docs, model).drop("text")
+
+
 LLM_QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
+    "op9_quality": (op9_quality, None),
+    "op10_warc": (op10_warc, OP10_SQL),
+    "op7_url_rules": (op7_url_rules, None),
+    "op6_flow_resharding": (op6_flow_resharding, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
 }

@@ -10,8 +10,9 @@ some window of the item, ``WINDOW`` words long or the whole item if it is
 shorter, agrees with the document in all but a sixth of its words. The masks
 are chosen so that every such window holds a seed; nothing is missed.
 
-Seeds that no benchmark item has are dropped early by a fixed-size bit array of
-the benchmark's seeds (FILTER_WORDS longs whatever the benchmark's size).
+The benchmark is the query set: its distinct seeds are taken in blocks of about
+``BLOCK_SEEDS``, and a block's seeds are listed in the filter that picks the
+positions of a document worth joining, so that positions are never exploded.
 
 Defined cases: null and empty texts have no words and match nothing; items of
 fewer than ``LEAST`` words are too short to be evidence and match nothing;
@@ -24,13 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import fresh
+from verdant.llm.common import fresh, stored
 
 WINDOW, LEAST = 12, 8
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 4, 5, 6))        # positions of a stretch that count
 BEFORE = WINDOW - 6                               # words before a seed that a window with it can reach
 NEAR = BEFORE + WINDOW
-FILTER_WORDS = 1 << 17
+BLOCK_SEEDS = 100_000
 SALTS = 8
 
 
@@ -66,35 +67,18 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _seed_filter(seeds: DataFrame) -> Column:
-    """Scalar: bit ``seed mod (64 * FILTER_WORDS)`` of an array of longs is set
-    for every seed."""
-    slot = F.pmod("seed", F.lit(64 * FILTER_WORDS))
-    words = (seeds.select(F.shiftright(slot, 6).alias("w"), F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("b"))
-        .groupBy("w").agg(F.expr("bit_or(b)").alias("b")))
-    spark = seeds.sparkSession
-    return (spark.range(FILTER_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("bigint")).alias("b")))),
-                             lambda x: x["b"]).alias("bits"))).scalar()
-
-
-def document_seeds(docs: DataFrame, bits: Column) -> DataFrame:
-    """mask, seed, doc_id, near of the document seeds that the filter lets through."""
-
-    def listed(seed: Column) -> Column:
-        slot = F.pmod(seed, F.lit(64 * FILTER_WORDS))
-        word = F.get(bits, F.shiftright(slot, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
+def document_seeds(docs: DataFrame, listed: dict[int, list[int]]) -> DataFrame:
+    """mask, seed, doc_id, near of the document seeds listed by mask."""
     texts = docs.select("doc_id", word_array(F.col("text")).alias("words"))
-    hits = [F.transform(F.filter(_places(F.col("words"), mask), lambda i, mask=mask: listed(_seed(F.col("words"), i, mask))),
-                        lambda i, m=m: F.struct(F.lit(m).alias("mask"), i.alias("at"))) for m, mask in enumerate(MASKS)]
-    found = texts.select("doc_id", "words", F.explode(F.concat(*hits)).alias("hit"))
+    parts = []
+    for m, seeds in listed.items():
+        looked = ", ".join(f"get(words, i + {k})" for k in MASKS[m])
+        parts.append(f"""transform(filter(places{m}, i -> xxhash64({looked}) in ({", ".join(f"{x}L" for x in seeds)})),
+                                  i -> struct({m} as mask, i as at))""")
+    texts = texts.withColumns({f"places{m}": _places(F.col("words"), MASKS[m]) for m in listed})
+    found = texts.select("doc_id", "words", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("hit"))
     at, mask = F.col("hit.at"), F.col("hit.mask")
-    seed = _seed(F.col("words"), at, MASKS[0])
-    for m in range(1, len(MASKS)):
-        seed = F.when(mask == m, _seed(F.col("words"), at, MASKS[m])).otherwise(seed)
+    seed = F.coalesce(*[F.when(mask == m, _seed(F.col("words"), at, MASKS[m])) for m in listed])
     return found.select(mask.alias("mask"), seed.alias("seed"), "doc_id", _around(F.col("words"), at).alias("near"))
 
 
@@ -103,7 +87,15 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     most words that agree in one window."""
     seeds = item_seeds(items)
     salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = document_seeds(docs, _seed_filter(seeds)).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    distinct = stored(seeds.select("mask", "seed").distinct(), "seeds")
+    blocks = -(-distinct.count() // BLOCK_SEEDS)
+    found = docs.sparkSession.createDataFrame([], "mask int, seed bigint, doc_id bigint, near array<bigint>")
+    for k in range(blocks):
+        listed: dict[int, list[int]] = {}
+        for r in distinct.where(F.pmod("seed", F.lit(blocks)) == k).collect():
+            listed.setdefault(r.mask, []).append(r.seed)
+        found = found.unionByName(document_seeds(docs, listed))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     hits = (found.withColumnRenamed("near", "doc_near")
             .join(salted, ["mask", "seed", "salt"])
             .select("doc_id", "item_id", "doc_near", "near", "window").distinct())

@@ -203,10 +203,8 @@ def shared_entries(docs: DataFrame, hot: np.ndarray, x: int, parts: int) -> Data
             rows = rows[keep]
             for k in range(0, len(rows), 100_000):
                 r = rows[k:k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["key"].view(np.int64) if r["key"].flags.c_contiguous else r["key"].copy().view(np.int64)),
-                     pa.array(r["class"].copy().view(np.int64)), pa.array(r["n"].astype(np.int64))],
-                    names=["key", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[c].astype(np.uint64).view(np.int64)) for c in ("key", "class", "n")],
+                                                 names=["key", "class", "n"])
 
         for b in batches:
             for k, blob in zip(b.column("part").to_pylist(), b.column("rows").to_pylist()):
@@ -225,9 +223,8 @@ def shared_entries(docs: DataFrame, hot: np.ndarray, x: int, parts: int) -> Data
 
 def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class, shingles (sorted hashes, packed) of the classes named."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(classes.select(F.xxhash64("class").alias("h")), "h"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(classes, "class"))
 
-    # a class is its set's hash already; xxhash64 only spreads it over the filter, so mirror it with the mixed value
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:

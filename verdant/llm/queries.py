@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import bpe, fingerprints, quality, resharding, url_rules, warc
+from verdant.llm import bpe, decontaminate, fingerprints, jaccard_join, quality, resharding, url_rules, warc
 from verdant.llm.common import prepare
 
 
@@ -18,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe.digest(_table(spark, sf_dir, "documents", "doc_id", "text"),
@@ -50,6 +54,28 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages", "page_id", "url"), labels)
 
 
+# Every alignment of an item with a document that agrees in all but a sixth of
+# the words of some window, from equal words alone.
+OP8_SQL = """
+with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w
+           from documents),
+b as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w
+      from benchmark),
+i as (select item_id, hash(w) as item, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as j from b where len(w) >= 8),
+t as (select doc_id, hash(text) as doc, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+m as (select t.doc_id, t.doc, i.item_id, i.item, i.n, i.j, t.p - i.j as diagonal from t join i using (word)),
+c as (select doc_id, item_id, n, count(*) over (partition by doc_id, doc, item_id, item, diagonal order by j
+                                                range between current row and least(12, n) - 1 following) as matched from m)
+select doc_id, item_id, max(matched) as matched from c
+where matched >= least(12, n) - least(12, n) // 6 group by doc_id, item_id
+"""
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -58,9 +84,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
+    "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_quality": (op9_quality, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op7_url_rules": (op7_url_rules, None),
     "op6_flow_resharding": (op6_flow_resharding, None),
+    "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import bpe, decontaminate, fingerprints, jaccard_join, quality, resharding, url_rules, warc
+from verdant.llm import bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, quality, resharding, url_rules, warc
 from verdant.llm.common import prepare
 
 
@@ -28,6 +28,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -88,6 +92,7 @@ LLM_QUERIES = {
     "op9_quality": (op9_quality, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op7_url_rules": (op7_url_rules, None),
+    "op5_hmm_lm": (op5_hmm_lm, None),
     "op6_flow_resharding": (op6_flow_resharding, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_byte_bpe": (op4_byte_bpe, None),

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from verdant.session import checkpoint_dir, ship_package
 
-BATCH_ROWS = 256          # rows of one Arrow batch; texts may be long
-WORD_SQL = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 512              # rows of one Arrow batch,
+BATCH_BYTES = 2 << 20         # which is also closed beyond so many bytes: texts may be long
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,6 +23,7 @@ def prepare(spark: SparkSession) -> None:
     batches (bounded Python memory whatever the text length) and the package
     on the executors' path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, quality, resharding, url_rules, warc
+from verdant.llm import bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, pii, quality, resharding, url_rules, warc
 from verdant.llm.common import prepare
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*columns)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -87,6 +91,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_pii": (op1_pii, None),
     "op2_fingerprints": (op2_fingerprints, None),
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_quality": (op9_quality, None),

@@ -94,16 +94,17 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(texts.buffers()[2], dtype=np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def word_hashes(texts: pa.Array, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, separators: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()):
     """64-bit hashes of the words of every text, A-Z lower-cased, and the
-    number of words per text (null: none). Words are the runs between
+    number of words per text (null: none); for every length in ``prefixes``
+    also the hashes of the words' first bytes, shorter words being 0. Words are the runs between
     separators, by default ``[^\\x20\\x09-\\x0D]+``. Works on the UTF-8 bytes of
     the whole batch at once: separators are ASCII, so they never fall inside a
     character."""
     raw, off = utf8(texts)
     n = len(off) - 1
     if not len(raw):
-        return np.empty(0, np.uint64), np.zeros(n, np.int64)
+        return (np.empty(0, np.uint64), np.zeros(n, np.int64), *[np.empty(0, np.uint64)] * len(prefixes))
     solid = ~separators[raw]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
@@ -112,14 +113,19 @@ def word_hashes(texts: pa.Array, separators: np.ndarray = _SPACE) -> tuple[np.nd
     starts = np.flatnonzero(first)
     counts = np.diff(np.searchsorted(starts, off))
     if len(starts) == 0:
-        return np.empty(0, np.uint64), counts
+        return (np.empty(0, np.uint64), counts, *[np.empty(0, np.uint64)] * len(prefixes))
     at = np.flatnonzero(solid)
     begin = np.searchsorted(at, starts)
     lens = np.diff(np.append(begin, len(at)))
     place = (np.arange(len(at)) - np.repeat(begin, lens)) & (_POWERS - 1)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[_LOWER[raw[at]]] * _POW[place], begin)
-        return mix64(sums ^ (lens.astype(np.uint64) * _U(_SEED))), counts
+        value = _BYTE[_LOWER[raw[at]]] * _POW[place]
+        words = mix64(np.add.reduceat(value, begin) ^ (lens.astype(np.uint64) * _U(_SEED)))
+        heads = []
+        for k in prefixes:
+            total = np.add.reduceat(np.where(place < k, value, _U(0)), begin)
+            heads.append(np.where(lens >= k, mix64(total ^ _U(k << 48)), _U(0)))
+        return (words, counts, *heads)
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -10,7 +10,9 @@ class; the posterior of a document's pattern labels it. A hashed linear scorer
 trained on the posteriors and judges documents by their text alone.
 
 The lexicon and the scorer are fitted on a sample of at most ``FIT_ROWS``
-labelled documents (smallest id hashes), near copies counted once; the vote
+labelled documents (smallest id hashes), near copies counted once. A labelled
+document is voted on with a lexicon mined without its fold, so that the
+lexicon's accuracy is estimated on documents it was not made from. The vote
 patterns are counted over all documents, and all are judged whole.
 
 Defined cases: a null text is the empty text (no words; kept); documents
@@ -33,10 +35,14 @@ from pyspark.sql import functions as F
 from verdant.llm.common import arrow_map, fresh, mix64, prepare, utf8, word_hashes
 
 FIT_ROWS = 20_000             # labelled documents the scorer is fitted on
-LEXICON_SHARE = 0.02          # a lexicon token occurs in this share of the toxic documents,
-LEXICON_MIN = 3               # in so many at least,
-LEXICON_LIFT = 25.0           # and so many times as often as in the others
-MIN_DOCS, MIN_Z = 5, 4.0      # support and significance of a feature
+LEXICON_MIN = 3               # toxic documents with a lexicon token, at least,
+LEXICON_LIFT = 20.0           # and how many times as often it is met as in the others
+MIN_DOCS, MIN_Z = 8, 5.0      # support and significance of a token as a feature
+MIN_MARKED = 2                # support of a style mark
+PREFIXES, TIMES = (5, 6, 7), 3   # a beginning of so many bytes that so many tokens share is a token of its own
+FOLDS = 3                     # labelled documents are voted on with the lexicon of the other folds
+ANCHOR_RIGHT = 0.95           # accuracy of the labels table where it has an opinion
+TWINS = 4                     # smallest hashes of which near copies share at least one
 TARGETS = ("junk", "toxic")
 
 _BREAK = np.ones(256, dtype=bool)                 # tokens: letters, digits and non-ASCII
@@ -55,8 +61,8 @@ _LETTER[97:123] = 1
 
 @dataclass
 class Reading:
-    """What a pass over a batch of texts finds: distinct tokens (document,
-    hash) and shares by document."""
+    """What a pass over a batch of texts finds: distinct tokens and frequent
+    beginnings (document, hash), and shares by document."""
     doc: np.ndarray
     token: np.ndarray
     n_tokens: np.ndarray
@@ -66,7 +72,7 @@ class Reading:
     top: np.ndarray
     distinct: np.ndarray
     stutter: np.ndarray
-    signature: np.ndarray
+    signature: np.ndarray         # documents x TWINS
 
 
 def read(texts: pa.Array) -> Reading:
@@ -80,7 +86,7 @@ def read(texts: pa.Array) -> Reading:
     size = np.maximum(np.diff(off), 1)
     letters = np.maximum(share_of(_LETTER), 1)
     symbols, pipes, upper = share_of(_SYMBOL) / size, share_of(_PIPE), share_of(_UPPER) / letters
-    hashes, counts = word_hashes(texts, _BREAK)
+    hashes, counts, *heads = word_hashes(texts, _BREAK, PREFIXES)
     doc = np.repeat(np.arange(n), counts)
     tokens = np.maximum(counts, 1)
     same = np.append(False, (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])) if len(hashes) else np.empty(0, bool)
@@ -93,14 +99,23 @@ def read(texts: pa.Array) -> Reading:
     top = np.zeros(n, np.int64)
     np.maximum.at(top, d[at], runs)
     kinds = np.bincount(d[at], minlength=n)
-    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)      # smallest hash of two neighbours: near copies share it
+    low = np.full((TWINS, n), np.iinfo(np.uint64).max, np.uint64)      # smallest hashes of two neighbours
     if len(hashes) > 1:
         with np.errstate(over="ignore"):
-            pair = mix64(hashes[:-1] * np.uint64(3) + hashes[1:])
-        inside = doc[1:] == doc[:-1]
-        np.minimum.at(low, doc[1:][inside], pair[inside])
-    return Reading(d[at], h[at], counts, symbols, pipes / tokens, upper, top / tokens, kinds / tokens, stutter,
-                   low.view(np.int64))
+            pair = hashes[:-1] * np.uint64(3) + hashes[1:]
+            inside = doc[1:] == doc[:-1]
+            for k in range(TWINS):
+                np.minimum.at(low[k], doc[1:][inside], mix64(pair[inside] + np.uint64(k << 32)))
+    docs, found = [d[at]], [h[at]]
+    for head in heads:                                        # beginnings that several tokens share
+        order = np.lexsort((head, doc))
+        hd, hh = doc[order], head[order]
+        first = np.flatnonzero(np.append(True, (hh[1:] != hh[:-1]) | (hd[1:] != hd[:-1]))) if len(hh) else np.empty(0, np.int64)
+        often = first[(np.diff(np.append(first, len(hh))) >= TIMES) & (hh[first] != 0)]
+        docs.append(hd[often])
+        found.append(hh[often])
+    return Reading(np.concatenate(docs), np.concatenate(found), counts, symbols, pipes / tokens, upper, top / tokens,
+                   kinds / tokens, stutter, low.T)
 
 
 def _marks(yes: np.ndarray, no: np.ndarray | None = None) -> np.ndarray:
@@ -122,37 +137,69 @@ def junk_votes(r: Reading) -> np.ndarray:
 
 
 def toxic_votes(n_tokens: np.ndarray, doc: np.ndarray, token: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-    """By the number and the density of distinct lexicon tokens; without a lexicon no opinion."""
+    """By the number of distinct lexicon tokens; without a lexicon no opinion."""
     hits = np.bincount(doc[np.isin(token, lexicon)], minlength=len(n_tokens))
     none = (hits == 0) & (len(lexicon) > 0)
-    return np.stack([_marks(hits >= 1, none), _marks(hits >= 2),
-                     _marks((hits >= 1) & (hits >= 0.01 * n_tokens), none)], axis=1)
+    return np.stack([_marks(hits >= 1, none), _marks(hits >= 2, none), _marks(hits >= 3, none)], axis=1)
 
 
-def style(r: Reading) -> tuple[np.ndarray, np.ndarray]:
-    """Style marks as (document, hash) pairs: levels that a share exceeds."""
-    docs, marks = [], []
-    for kind, (share, levels) in enumerate(((r.symbols, (0.005, 0.01, 0.02)), (r.pipes, (0.03, 0.06, 0.12)),
-                                            (r.upper, (0.2, 0.3, 0.45)), (r.stutter, (0.05, 0.1, 0.25)),
-                                            (1 - r.distinct, (0.8, 0.88, 0.94)))):
+_MARKS = [("symbols", (0.005, 0.01, 0.02), 3), ("pipes", (0.03, 0.06, 0.12), 3), ("upper", (0.2, 0.3, 0.45), 3),
+          ("stutter", (0.05, 0.1, 0.25), 10), ("distinct", (0.2, 0.12, 0.06), 20), ("lexicon", (1, 2, 3, 5), 1)]
+MARK_HASHES = mix64(np.arange(1, 16 * len(_MARKS) + 1, dtype=np.uint64) << np.uint64(40))
+
+
+def features(r: Reading, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) pairs: the distinct tokens, and marks for the levels
+    that a share of style, or the number of lexicon tokens, passes."""
+    hits = np.bincount(r.doc[np.isin(r.token, lexicon)], minlength=len(r.n_tokens))
+    docs, marks = [r.doc], [r.token]
+    for kind, (name, levels, least) in enumerate(_MARKS):
         for level, bound in enumerate(levels):
-            over = np.flatnonzero((share > bound) & (r.n_tokens >= 10))
+            passed = hits >= bound if name == "lexicon" else getattr(r, name) < bound if name == "distinct" else getattr(r, name) > bound
+            over = np.flatnonzero(passed & (r.n_tokens >= least))
             docs.append(over)
-            marks.append(np.full(len(over), kind * 16 + level + 1, np.uint64))
-    return np.concatenate(docs), mix64(np.concatenate(marks) << np.uint64(40))
+            marks.append(np.full(len(over), MARK_HASHES[16 * kind + level], np.uint64))
+    return np.concatenate(docs), np.concatenate(marks)
+
+
+def _fit(onehot: np.ndarray, counts: np.ndarray, q: np.ndarray) -> tuple[float, np.ndarray]:
+    """Share of the class and P(vote | class) when pattern ``r`` has it with probability ``q[r]``."""
+    table = np.zeros((onehot.shape[1], 2, 3))
+    for y, weight in ((0, (1 - q) * counts), (1, q * counts)):
+        table[:, y, :] = (np.einsum("r,rkv->kv", weight, onehot) + 0.1) / (weight.sum() + 0.3)
+    return float(np.clip((q * counts).sum() / counts.sum(), 1e-4, 1 - 1e-4)), table
+
 
+def _anchored(table: np.ndarray) -> np.ndarray:
+    """The share of classes left as they are, the votes right ANCHOR_RIGHT of the time."""
+    out, voted = table.copy(), 1 - table[:, 2]
+    out[0, 0], out[0, 1] = voted[0] * ANCHOR_RIGHT, voted[0] * (1 - ANCHOR_RIGHT)
+    out[1, 1], out[1, 0] = voted[1] * ANCHOR_RIGHT, voted[1] * (1 - ANCHOR_RIGHT)
+    return np.clip(out, 1e-6, 1)
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200,
+                             anchor: int | None = None) -> tuple[float, np.ndarray]:
     """patterns: votes (rows) of labellers (columns) in 1, 0, -1. The share of
-    the positive class and P(vote | class) as labellers x classes x votes."""
+    the positive class and P(vote | class) as labellers x classes x votes. The
+    first guess is any vote for the class. The labeller ``anchor`` is taken to
+    be right ANCHOR_RIGHT of the time it votes; where it votes at all, the first
+    guess is its votes alone."""
     k = patterns.shape[1]
     onehot = np.stack([patterns == v for v in (0, 1, -1)], axis=2).astype(float)      # rows, labellers, votes
     q = np.clip((patterns == 1).any(axis=1) * 0.9 + 0.05, 0, 1)
     prior, table = 0.5, np.zeros((k, 2, 3))
+    if anchor is not None and (patterns[:, anchor] >= 0).any():
+        known = patterns[:, anchor] >= 0
+        q, table = _fit(onehot[known], counts[known], np.where(patterns[known, anchor] == 1, 0.95, 0.05))
+        table[anchor] = _anchored(np.tile([known.mean() / 2, known.mean() / 2, 1 - known.mean()], (2, 1)))
+        q = posterior(patterns, q, table)
     for _ in range(rounds):
-        prior = float(np.clip((q * counts).sum() / counts.sum(), 1e-4, 1 - 1e-4))
-        for y, weight in ((0, (1 - q) * counts), (1, q * counts)):
-            table[:, y, :] = (np.einsum("r,rkv->kv", weight, onehot) + 0.1) / (weight.sum() + 0.3)
+        prior, table = _fit(onehot, counts, q)
+        if anchor is not None:
+            table[anchor] = _anchored(table[anchor])
+            if (known := patterns[:, anchor] >= 0).any():             # where it votes it also tells the class's share
+                prior = float(np.clip((q * counts)[known].sum() / counts[known].sum(), 1e-4, 1 - 1e-4))
         before, q = q, posterior(patterns, prior, table)
         if np.abs(q - before).max() < 1e-6:
             break
@@ -194,7 +241,8 @@ def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, ridg
     seen = np.bincount(at)
     yes = np.bincount(at, weights=q[doc])
     z = (yes - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
-    keep = (seen >= MIN_DOCS) & (np.abs(z) >= MIN_Z) & ((yes / seen > 0.5) | (z < 0) & (seen > 0.2 * n))
+    told = (seen >= MIN_DOCS) & (z >= MIN_Z) & (yes / seen > 0.5)
+    keep = told | np.isin(kinds, MARK_HASHES) & (seen >= MIN_MARKED)
     place = np.full(len(kinds), -1)
     place[keep] = np.arange(keep.sum())
     use = keep[at]
@@ -212,16 +260,22 @@ def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, ridg
     return Scorer(kinds[keep], w, float(bias))
 
 
-def mine_lexicon(n: int, doc: np.ndarray, token: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Tokens far more frequent in toxic documents than in others."""
-    n_yes, n_no = int(toxic.sum()), int(n - toxic.sum())
+def mine_lexicon(doc: np.ndarray, token: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Tokens far more frequent in toxic documents than in others, beyond what
+    the best of so many tokens would be by chance."""
+    n, n_yes = int(use.sum()), int(toxic[use].sum())
+    n_no = n - n_yes
     if not n_yes or not n_no:
         return np.empty(0, np.uint64)
+    doc, token = doc[use[doc]], token[use[doc]]
     kinds, at = np.unique(token, return_inverse=True)
     seen = np.bincount(at)
     yes = np.bincount(at, weights=toxic[doc])
     lift = ((yes + 0.5) / (n_yes + 1)) / ((seen - yes + 0.5) / (n_no + 1))
-    return kinds[(yes >= max(LEXICON_MIN, LEXICON_SHARE * n_yes)) & (lift >= LEXICON_LIFT)]
+    often = yes >= LEXICON_MIN
+    share, base = np.clip(yes / seen, 1e-9, 1 - 1e-9), n_yes / n
+    surprise = seen * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    return kinds[often & (lift >= LEXICON_LIFT) & (surprise > np.log(max(1, (seen >= LEXICON_MIN).sum())))]
 
 
 @dataclass
@@ -236,6 +290,10 @@ def _gold(labels: DataFrame) -> DataFrame:
             .agg((F.min("quality") == 0).cast("int").alias("gold_junk"), (F.max("toxic") == 1).cast("int").alias("gold_toxic")))
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+
+
 def _vote_code(v: np.ndarray) -> list[str]:
     return ["".join("01-"[x] for x in row) for row in v]
 
@@ -248,50 +306,49 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality, toxic)."""
     spark = docs.sparkSession
     prepare(spark)
-    gold = _gold(labels)
+    gold = _gold(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
     chosen = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")     # FIT_ROWS ids at most
-              .select(F.coalesce("text", F.lit("")).alias("text"), "gold_junk", "gold_toxic"))
+              .select(F.coalesce("text", F.lit("")).alias("text"), "gold_junk", "gold_toxic", "fold"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = read(b.column("text"))
-            style_doc, style_mark = style(r)
-            doc, token = np.append(r.doc, style_doc), np.append(r.token, style_mark)
-            order = np.argsort(doc, kind="stable")
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=b.num_rows))).astype(np.int32)),
-                pa.array(token[order].view(np.int64)))
-            codes = _vote_code(junk_votes(r))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r.signature), lists, pa.array(codes), pa.array(r.n_tokens), b.column("gold_junk"), b.column("gold_toxic")],
-                names=["signature", "tokens", "junk", "n_tokens", "gold_junk", "gold_toxic"])
-
-    read_sample = (arrow_map(sample, sampled, "signature bigint, tokens array<bigint>, junk string, n_tokens bigint, "
-                                              "gold_junk int, gold_toxic int")
-                   .dropDuplicates(["signature"]).toArrow())
-    n = read_sample.num_rows
-    lists = read_sample.column("tokens").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-    token = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    golds = {t: read_sample.column(f"gold_{t}").to_numpy() for t in TARGETS}
-    lexicon = mine_lexicon(n, doc, token, np.nan_to_num(golds["toxic"].astype(float)))
-
-    shared = spark.sparkContext.broadcast(lexicon)
+            t = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), _lists(read(b.column("text")).signature.view(np.int64)),
+                                              b.column("gold_junk"), b.column("gold_toxic"), b.column("fold")],
+                                             names=["text", "twins", "gold_junk", "gold_toxic", "fold"])
+
+    drawn = arrow_map(sample, sampled, "text string, twins array<bigint>, gold_junk int, gold_toxic int, fold int").toArrow()
+    seen_twins: set[tuple[int, int]] = set()
+    single = []
+    for i, twins in enumerate(drawn.column("twins").to_pylist()):
+        marks = [*enumerate(twins)]
+        if not any(x in seen_twins for x in marks):
+            single.append(i)
+        seen_twins.update(marks)
+    drawn = drawn.take(pa.array(single, pa.int64()))
+    n = drawn.num_rows
+    golds = {t: drawn.column(f"gold_{t}").to_numpy().astype(float) for t in TARGETS}
+    reading = read(pa.concat_arrays(drawn.column("text").chunks) if n else pa.array([], pa.string()))
+    fold = drawn.column("fold").to_numpy()
+    toxic = np.nan_to_num(golds["toxic"])
+    lexicons = [mine_lexicon(reading.doc, reading.token, toxic, fold != k) for k in range(FOLDS)]
+    lexicons.append(mine_lexicon(reading.doc, reading.token, toxic, np.ones(n, bool)))
+    shared = spark.sparkContext.broadcast(lexicons)
+    codes = [f"toxic{k}" for k in range(FOLDS + 1)]
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = read(b.column("text"))
-            toxic = toxic_votes(r.n_tokens, r.doc, r.token, shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(_vote_code(junk_votes(r)), pa.string()), pa.array(_vote_code(toxic), pa.string())],
-                names=["doc_id", *TARGETS])
+            by_fold = [pa.array(_vote_code(toxic_votes(r.n_tokens, r.doc, r.token, x)), pa.string()) for x in shared.value]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_vote_code(junk_votes(r)), pa.string()), *by_fold],
+                                             names=["doc_id", "junk", *codes])
 
     by_doc = arrow_map(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), voted,
-                       "doc_id bigint, junk string, toxic string")
-    with_gold = by_doc.join(gold, "doc_id", "left").select(*[
-        F.concat(t, F.coalesce(F.col(f"gold_{t}").cast("string"), F.lit("-"))).alias(t) for t in TARGETS])
+                       "doc_id bigint, junk string, " + ", ".join(f"{c} string" for c in codes))
+    with_gold = (by_doc.join(gold, "doc_id", "left")
+                 .withColumn("toxic", F.coalesce(*[F.when(F.col("fold") == k, F.col(codes[k])) for k in range(FOLDS)], codes[-1]))
+                 .select(*[F.concat(t, F.coalesce(F.col(f"gold_{t}").cast("string"), F.lit("-"))).alias(t) for t in TARGETS]))
     tables = {}
     counted = with_gold.groupBy(*TARGETS).count().collect()          # at most 3 ** labellers rows
     for t in TARGETS:
@@ -300,33 +357,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             seen[r[t]] = seen.get(r[t], 0) + r["count"]
         if seen:
             patterns = _vote_matrix(sorted(seen))
-            tables[t] = expectation_maximisation(patterns, np.array([seen[c] for c in sorted(seen)], float))
+            tables[t] = expectation_maximisation(patterns, np.array([seen[c] for c in sorted(seen)], float),
+                                                 anchor=patterns.shape[1] - 1)
     scorers = {}
-    lengths = read_sample.column("n_tokens").to_numpy()
+    parts = [features(reading, x) for x in lexicons]
+    doc = np.concatenate([d[fold[d] == k] for k, (d, _) in enumerate(parts[:FOLDS])]) if n else np.empty(0, np.int64)
+    token = np.concatenate([t[fold[d] == k] for k, (d, t) in enumerate(parts[:FOLDS])]) if n else np.empty(0, np.uint64)
     for t in TARGETS:
         if not n or t not in tables:
             scorers[t] = Scorer(np.empty(0, np.uint64), np.empty(0), -10.0)
             continue
-        text_votes = (_vote_matrix(read_sample.column("junk").to_pylist()) if t == "junk"
-                      else toxic_votes(lengths, doc, token, lexicon))
-        g = golds[t].astype(float)
+        text_votes = junk_votes(reading)
+        if t == "toxic":
+            by_fold = [toxic_votes(reading.n_tokens, reading.doc, reading.token, x) for x in lexicons[:FOLDS]]
+            text_votes = np.stack(by_fold)[fold, np.arange(n)]
+        g = golds[t]
         full = np.column_stack([text_votes, np.where(np.isnan(g), -1, np.nan_to_num(g)).astype(np.int8)])
         scorers[t] = train_scorer(n, doc, token, posterior(full, *tables[t]))
-    return Model(lexicon, scorers, tables)
+    return Model(lexicons[-1], scorers, tables)
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with p_junk, p_toxic and keep (both below one half)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.scorers)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     new = [fresh(names, c) for c in ("p_junk", "p_toxic", "keep")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = read(b.column("text"))
-            style_doc, style_mark = style(r)
-            doc, token = np.append(r.doc, style_doc), np.append(r.token, style_mark)
-            p = [shared.value[t].score(b.num_rows, doc, token) for t in TARGETS]
+            doc, token = features(read(b.column("text")), shared.value.lexicon)
+            p = [shared.value.scorers[t].score(b.num_rows, doc, token) for t in TARGETS]
             keep = (p[0] < 0.5) & (p[1] < 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[0]), pa.array(p[1]), pa.array(keep)], names=[*names, *new])
 

@@ -30,17 +30,22 @@ RTG_EPS = 1e-8
 HOLDING_MIN_WEIGHT = 0.01
 
 
-def next_dates(returns: DataFrame, date: str = "date") -> DataFrame:
-    """Calendar (date, next_date) of the distinct trading dates."""
-    cal = returns.select(date).distinct()
-    return cal.withColumn("next_date", F.lead(date).over(Window.orderBy(date)))
+def next_dates(dates: DataFrame, returns: DataFrame, date: str = "date") -> DataFrame:
+    """(date, next_date) for every date of ``dates``: the first trading date
+    after it, whether or not it is one itself; NULL after the last. One window
+    over distinct dates, of which there are as many as days."""
+    days = (dates.select(date).unionByName(returns.select(date)).distinct()
+            .join(returns.select(F.col(date).alias("trading_date")).distinct(), F.col(date) == F.col("trading_date"), "left"))
+    after = Window.orderBy(date).rowsBetween(1, Window.unboundedFollowing)
+    return days.select(date, F.min("trading_date").over(after).alias("next_date"))
 
 
 def weights_to_next_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
     """Each (portfolio, date, symbol, weight) row with the symbol's return
-    on the next trading date (0 when the symbol has none that day); rows whose
-    date is the last of the calendar are dropped (no next return)."""
-    cal = next_dates(returns)
+    on the next trading date (0 when the symbol has none that day). A date that
+    is no trading date itself counts too; only rows with no trading date after
+    them are dropped."""
+    cal = next_dates(weights, returns)
     w = weights.join(cal, "date").where(F.col("next_date").isNotNull())
     r = returns.select("symbol", F.col("date").alias("next_date"), F.col("ret").alias("next_ret"))
     j = w.join(r, ["symbol", "next_date"], "left")
@@ -65,15 +70,16 @@ def turnover(weights: DataFrame) -> DataFrame:
     per (portfolio, symbol). A holding that continues contributes
     |w_t − w_prev|, a new one |w_t|, an exit |w_prev| at the next date, and
     the first date |w − 1/N| plus 1/N for each symbol not yet held."""
-    wp = Window.partitionBy("portfolio_id")
     wd = Window.partitionBy("portfolio_id").orderBy("_d")
     ws = Window.partitionBy("portfolio_id", "symbol").orderBy("date")
-    x = weights.select("portfolio_id", "symbol", "date", "weight", F.unix_date("date").alias("_d"))
+    n = weights.groupBy("portfolio_id").agg(F.countDistinct("symbol").alias("_n"))
+    x = (weights.join(n, "portfolio_id")
+         .select("portfolio_id", "symbol", "date", "weight", "_n", F.unix_date("date").alias("_d")))
     x = x.select(
         "*",
         F.max("date").over(wd.rangeBetween(Window.unboundedPreceding, -1)).alias("_prev"),
         F.min("date").over(wd.rangeBetween(1, Window.unboundedFollowing)).alias("_next"),
-        F.size(F.collect_set("symbol").over(wp)).alias("_n"),
+        "_n",
         F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "date")).alias("_held"),
         F.lag("date").over(ws).alias("_sym_prev"),
         F.lag("weight").over(ws).alias("_sym_prev_w"),
@@ -135,18 +141,20 @@ def reward_columns(ledger: DataFrame, lam: float = 0.5) -> DataFrame:
 
 # --------------------------------------------------- H14 / H15 (Arrow pass)
 
+def dsr_step(a: float, b: float, x: float, eta: float) -> tuple[float, float, float | None]:
+    """One step of the differential Sharpe ratio: the new moments and the value
+    (None where rounding left B below A²)."""
+    v = b - a * a
+    value = None if v < 0 else 0.0 if v ** 1.5 < DSR_EPS else (b * x - 0.5 * a * x * x) / v ** 1.5
+    return a + eta * (x - a), b + eta * (x * x - b), value
+
+
 def _dsr(r: np.ndarray, eta: float) -> np.ndarray:
     a, b = DSR_A0, DSR_B0
     out = np.empty_like(r)
     for i, x in enumerate(r):
-        v = b - a * a
-        if v < 0:
-            out[i] = np.nan  # rounding made B < A²; undefined
-        else:
-            den = v ** 1.5
-            out[i] = 0.0 if abs(den) < DSR_EPS else (b * x - 0.5 * a * x * x) / den
-        a = a + eta * (x - a)
-        b = b + eta * (x * x - b)
+        a, b, value = dsr_step(a, b, x, eta)
+        out[i] = np.nan if value is None else value
     return out
 
 
@@ -247,6 +255,11 @@ def activate(registry: DataFrame, model_id) -> DataFrame:
     return registry.withColumn("status", status)
 
 
+def models(registry: DataFrame, created: str = "created_at") -> DataFrame:
+    """The registry's rows, newest first."""
+    return registry.orderBy(F.desc_nulls_last(created), F.desc("model_id"))
+
+
 def active(registry: DataFrame) -> DataFrame:
     """The active model row(s) (at most one after ``activate``)."""
     return registry.where(F.col("status") == "active")

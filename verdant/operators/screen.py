@@ -66,55 +66,43 @@ def select_universe(metrics: DataFrame, companies: DataFrame,
                 .limit(int(max_stocks)))
 
 
-def pareto(metrics: DataFrame, companies: DataFrame, pool: int = PARETO_POOL,
+def pareto(metrics: DataFrame, companies: DataFrame, pool: int | None = None,
            top_n: int = 20, by: str | None = None) -> DataFrame:
-    """Sharpe / ESG Pareto frontier.
-
-    The pool is the top ``pool`` companies by Sharpe with both measures known;
-    walking down by Sharpe (ties: ESG desc, symbol), a company is on the
-    frontier when its ESG strictly beats every company above it (start −1).
-    First ``top_n`` (1–100) frontier rows. With ``by`` (e.g. "sector") the
-    frontier is built per group, each group with its own pool.
-    """
+    """The first ``top_n`` (1–100) rows of the Sharpe / ESG Pareto frontier,
+    walking down by Sharpe (ties: ESG desc, symbol): a company is on it when its
+    ESG strictly beats every company above it (start −1). All companies take
+    part; the reference looks only at the best ``pool`` by Sharpe, which the
+    argument asks for. With ``by`` (e.g. "sector") one frontier per group."""
     top_n = clamp(top_n, 1, PARETO_MAX_N)
-    j = _joined(metrics, companies).where(
-        F.col("sharpe_252d").isNotNull() & F.col("avg_esg_composite").isNotNull())
+    order = [F.desc("sharpe"), F.desc("esg"), F.asc("symbol")]
+    front = pareto_all(metrics, companies, by=by, pool=pool)
     keys = [by] if by else []
-    order = [F.desc("sharpe_252d"), F.desc("avg_esg_composite"), F.asc("symbol")]
-    if by:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        pooled = j.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= pool)
-    else:
-        pooled = j.orderBy(*order).limit(int(pool)).withColumn("_pos", F.lit(0))
-    # The pool is bounded (≤ pool rows per group), so this window is small.
-    w_prev = (Window.partitionBy(*keys).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1)) if by else \
-             (Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    best_above = F.coalesce(F.max("avg_esg_composite").over(w_prev), F.lit(-1.0))
-    front = pooled.withColumn("_best_above", best_above).where(
-        F.col("avg_esg_composite") > F.col("_best_above"))
-    w_rank = (Window.partitionBy(*keys) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    front = front.withColumn("frontier_rank", F.row_number().over(w_rank).cast("bigint"))
-    front = front.where(F.col("frontier_rank") <= top_n)
-    return front.select(*keys, "frontier_rank", "symbol", "name",
-                        F.col("sharpe_252d").alias("sharpe"),
-                        F.col("avg_esg_composite").alias("esg"))
+    if not by:  # first the top n of the whole frontier, then their ranks
+        front = front.orderBy(*order).limit(top_n)
+    ranked = front.withColumn("frontier_rank", F.row_number().over(
+        Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)).cast("bigint"))
+    return ranked.where(F.col("frontier_rank") <= top_n).select(*keys, "frontier_rank", "symbol", "name", "sharpe", "esg")
 
 
-def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64) -> DataFrame:
-    """G6 without a pool: the Sharpe / ESG frontier of *all* companies,
-    computed as a distributed skyline.
+def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64, by: str | None = None,
+               pool: int | None = None) -> DataFrame:
+    """The whole frontier, as a distributed skyline.
 
     Rows are cut into ``buckets`` Sharpe ranges (split points from an
     approximate quantile — a list of ``buckets`` numbers). Within a bucket a
     window finds the rows whose ESG beats every better-ranked row of the
-    bucket; the bucket maxima (``buckets`` rows) give, for each bucket, the
-    best ESG of all better buckets. A row is on the frontier when it beats
+    bucket; the bucket maxima (``buckets`` rows a group) give, for each bucket,
+    the best ESG of all better buckets. A row is on the frontier when it beats
     both — the same answer as one walk down the whole ranking, with no
     single-partition window over the table."""
-    j = _joined(metrics, companies).where(
-        F.col("sharpe_252d").isNotNull() & F.col("avg_esg_composite").isNotNull())
-    j = j.select("symbol", "name", "sharpe_252d", "avg_esg_composite")
+    keys = [by] if by else []
+    order = [F.desc("sharpe_252d"), F.desc("avg_esg_composite"), F.asc("symbol")]
+    j = (_joined(metrics, companies)
+         .where(F.col("sharpe_252d").isNotNull() & F.col("avg_esg_composite").isNotNull())
+         .select(*keys, "symbol", "name", "sharpe_252d", "avg_esg_composite"))
+    if pool is not None:
+        j = (j.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+              .where(F.col("_pos") <= int(pool)).drop("_pos") if by else j.orderBy(*order).limit(int(pool)))
     probs = [i / buckets for i in range(1, buckets)]
     splits = j.select(F.percentile_approx("sharpe_252d", probs, 10000)).first()[0] or []
     bucket = F.lit(0)
@@ -123,14 +111,16 @@ def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64) -> D
     # bucket = number of split points above the value: 0 holds the highest
     # Sharpe values, and equal values always share a bucket
     j = j.withColumn("_b", bucket.cast("int"))
-    order = [F.desc("sharpe_252d"), F.desc("avg_esg_composite"), F.asc("symbol")]
-    w_in = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = j.withColumn("_above_in", F.coalesce(F.max("avg_esg_composite").over(w_in), F.lit(-1.0)))
     local = local.where(F.col("avg_esg_composite") > F.col("_above_in"))
-    tops = j.groupBy("_b").agg(F.max("avg_esg_composite").alias("_bmax"))
-    w_b = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tops = j.groupBy(*keys, "_b").agg(F.max("avg_esg_composite").alias("_bmax"))
+    w_b = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.withColumn("_above_out", F.coalesce(F.max("_bmax").over(w_b), F.lit(-1.0)))
-    front = local.join(tops.select("_b", "_above_out"), "_b").where(
-        F.col("avg_esg_composite") > F.col("_above_out"))
-    return front.select("symbol", "name", F.col("sharpe_252d").alias("sharpe"),
+    tops = tops.select(*[F.col(k).alias("_k") for k in keys], F.col("_b").alias("_tb"), "_above_out")
+    same = F.col("_b") == F.col("_tb")
+    if by:
+        same = same & F.col(by).eqNullSafe(F.col("_k"))
+    front = local.join(tops, same).where(F.col("avg_esg_composite") > F.col("_above_out"))
+    return front.select(*keys, "symbol", "name", F.col("sharpe_252d").alias("sharpe"),
                         F.col("avg_esg_composite").alias("esg"))

@@ -1,39 +1,42 @@
 """Text and vector search.
 
-Exact nearest neighbours for a *request-sized* query set (one or a few
-reference companies, class centroids, a user's questions): the query vectors
-travel as one array literal (a scalar subquery whose size is the query count
-× dimension) and every corpus row scores itself against them, then a per-query
-``row_number() <= k`` keeps the top k (Catalyst adds a WindowGroupLimit before
-the shuffle). No join and no pair table is formed. Corpus-sized query sets use
-the inverted-list index (I7), which equi-joins queries to the lists they probe.
+Exact nearest neighbours (I3, I4): the queries are a stated set, taken in blocks
+of ``QUERY_BLOCK`` vectors. A block travels to every corpus task, which scores
+its rows against it and passes on the best k of each query (and ties); a window
+over those ranks them exactly. The answer does not depend on the number of
+queries, and no table of pairs is formed. The inverted lists (I7) are an
+approximate index of their own, used only when asked for.
 
 Keyword search (I5) keeps the substring semantics exactly without comparing
 every word with every document: a query word (no whitespace) occurs in a text
 exactly when it is a substring of one of the text's tokens, so words are
 matched against the distinct token vocabulary (through its trigram index,
-verified with ``instr``) and token hits are mapped to documents through the
-(token → document) index — equi-joins only.
+verified with ``instr``) and token hits are mapped to documents through one
+written (token → document) index — equi-joins only.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdant.functions.numeric import fixed_round
+from verdant.session import checkpoint_dir
 
 # Result caps and defaults.
 SIMILAR_MAX = 50
 SEARCH_K = 5
 KEYWORD_CONTENT_POINTS = 1
 KEYWORD_TITLE_POINTS = 2
-TITLE_CHARS = 80
 IVF_LISTS = 20
 IVF_PROBES = 3
-# Largest query set scored exactly by shipping the query vectors to every
-# corpus task; above it, search goes through the inverted lists.
-MAX_EXACT_QUERIES = 10_000
+QUERY_BLOCK = 1024            # query vectors that travel to the corpus tasks together
 WS_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
@@ -58,27 +61,62 @@ def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, query_key: str,
-            vec: str = "vec", exclude_self: bool = False) -> DataFrame:
-    """Exact top-k by cosine distance for each query (see module notes).
-    Returns query_key, corpus_key, distance, rank (distance, then key).
-    The query set must be request-sized (checked: at most MAX_EXACT_QUERIES);
-    ``semantic_search`` routes larger sets to the inverted lists."""
-    c = with_norm(corpus.select(corpus_key, vec, *[x for x in corpus.columns if x not in (corpus_key, vec)]), vec)
-    q = with_norm(queries.select(F.col(query_key).alias("_q"), F.col(vec).alias("vec")), "vec")
-    n = q.count()
-    if n > MAX_EXACT_QUERIES:
-        raise ValueError(f"{n} query vectors: above {MAX_EXACT_QUERIES}, use ivf_search")
-    qarr = q.select(F.collect_list(F.struct("_q", F.col("vec").alias("qv"), F.col("_norm").alias("qn")))).scalar()
-    per_query = c.select("*", F.explode(qarr).alias("_r"))
-    scored = per_query.select(
-        "*", F.col("_r._q").alias("_q"),
-        (F.lit(1.0) - dot(F.col(vec), F.col("_r.qv")) / (F.col("_norm") * F.col("_r.qn"))).alias("distance")
-    ).drop("_r", "_norm", vec)
-    if exclude_self:
-        scored = scored.where(F.col("_q") != F.col(corpus_key))
-    w = Window.partitionBy("_q").orderBy("distance", corpus_key)
-    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.withColumnRenamed("_q", query_key)
+            vec: str = "vec", exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact top-k by cosine distance for each query, however many there are
+    (see module notes): query_key, the other columns of ``corpus``, distance,
+    rank (distance, then key). Corpus keys are unique."""
+    c = with_norm(corpus.select(F.col(corpus_key).alias("_c"), F.col(vec).alias("_v")), "_v")
+    q = with_norm(queries.select(F.col(query_key).alias("_q"), F.col(vec).alias("_qv")), "_qv").withColumnRenamed("_norm", "_qn")
+    blocks = max(1, -(-q.count() // block))
+    kinds = f"_q {q.schema['_q'].dataType.simpleString()}, _c {c.schema['_c'].dataType.simpleString()}"
+    best = None
+    for i in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).collect()
+        part = c.mapInArrow(_best_of_task(rows, to_arrow_type(q.schema["_q"].dataType), k, exclude_self), kinds)
+        best = part if best is None else best.unionByName(part)
+    # what tasks kept, ranked by the exact distances
+    scored = (best.join(c, "_c").join(q, "_q")
+              .withColumn("distance", F.lit(1.0) - dot(F.col("_v"), F.col("_qv")) / (F.col("_norm") * F.col("_qn"))))
+    w = Window.partitionBy("_q").orderBy("distance", "_c")
+    top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("_q", "_c", "distance", "rank")
+    rest = corpus.drop(vec)
+    return (top.join(rest, F.col("_c") == F.col(corpus_key)).drop("_c").withColumnRenamed("_q", query_key))
+
+
+def _best_of_task(rows: list, key_type: pa.DataType, k: int, exclude_self: bool):
+    """mapInArrow function: the k corpus keys nearest to each query among the
+    rows of a task, with all that tie or might by rounding."""
+    keys = [r["_q"] for r in rows]
+    units = np.array([r["_qv"] for r in rows], float) / np.array([[r["_qn"]] for r in rows], float) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_q, held_c, held_d, kind = np.empty(0, int), [], np.empty(0), None
+        for b in batches:
+            kind = b.column(0).type
+            if units is None or not b.num_rows:
+                continue
+            own = b.column(0).to_pylist()
+            vecs = np.stack(b.column(1).to_numpy(zero_copy_only=False)) / b.column(2).to_numpy()[:, None]
+            distance = 1.0 - vecs @ units.T
+            if exclude_self:
+                at = {x: i for i, x in enumerate(own)}
+                for j, x in enumerate(keys):
+                    if x in at:
+                        distance[at[x], j] = np.inf
+            kth = np.partition(distance, min(k, len(own)) - 1, axis=0)[min(k, len(own)) - 1]
+            i, j = np.nonzero((distance <= kth + 1e-9) & (distance < np.inf))
+            held_q, held_d = np.append(held_q, j), np.append(held_d, distance[i, j])
+            held_c += [own[x] for x in i]
+            order = np.lexsort((held_d, held_q))                   # keep what can still be among the best k
+            q, d = held_q[order], held_d[order]
+            first = np.searchsorted(q, q)
+            limit = d[np.minimum(first + k - 1, np.searchsorted(q, q, side="right") - 1)]
+            keep = order[(np.arange(len(q)) - first < k) | (d <= limit + 1e-9)]
+            held_q, held_d, held_c = held_q[keep], held_d[keep], [held_c[x] for x in keep]
+        if len(held_q):
+            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in held_q], key_type), pa.array(held_c, kind)], names=["_q", "_c"])
+
+    return run
 
 
 # ------------------------------------------------------------- I1, I2
@@ -119,12 +157,12 @@ def profile_text(companies: DataFrame, metrics: DataFrame) -> DataFrame:
     return j.select("symbol", txt.alias("profile_text"))
 
 
-def knowledge_base(documents: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
-    """Knowledge entries from documents: title = first 80 characters, content
-    = the whole text, topic = source; vector from ``embeddings`` where
-    vec_id = doc_id (NULL otherwise)."""
-    kb = documents.select("doc_id", F.substring("text", 1, TITLE_CHARS).alias("title"),
-                          F.col("text").alias("content"), F.col("source").alias("topic"))
+def knowledge_base(documents: DataFrame, titles: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+    """Knowledge entries from documents: content = the whole text, topic =
+    source; title from ``titles`` (doc_id, title) where there is one; vector
+    from ``embeddings`` where vec_id = doc_id (NULL otherwise)."""
+    kb = (documents.select("doc_id", F.col("text").alias("content"), F.col("source").alias("topic"))
+          .join(titles.select("doc_id", "title"), "doc_id", "left").select("doc_id", "title", "content", "topic"))
     if embeddings is None:
         return kb.withColumn("vec", F.lit(None).cast("array<float>"))
     e = embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
@@ -165,21 +203,10 @@ def similar(corpus: DataFrame, refs: DataFrame, metrics: DataFrame, k: int = 5,
         fixed_round(1 - F.col("distance"), 3).alias("similarity"))
 
 
-def semantic_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K,
-                    max_exact: int = MAX_EXACT_QUERIES) -> DataFrame:
+def semantic_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:
     """I4: k nearest knowledge entries per query vector (query_id, vec);
-    entries and queries with NULL or zero vectors take no part.
-
-    The query set's size is checked first: up to ``max_exact`` queries are
-    scored exactly (their vectors travel to every corpus task); a larger set
-    is answered through the inverted lists (I7) instead."""
-    n = queries.count()
-    if n > max_exact:
-        indexed, cents = ivf_build(kb.select("doc_id", "vec"), "doc_id")
-        top = ivf_search(indexed, cents, queries.select("query_id", "vec"), "doc_id", k, IVF_PROBES)
-        top = top.join(kb.select("doc_id", "title", "topic"), "doc_id")
-    else:
-        top = nearest(kb.select("doc_id", "vec", "title", "topic"), queries, k, "doc_id", "query_id")
+    entries and queries with NULL or zero vectors take no part."""
+    top = nearest(kb.select("doc_id", "vec", "title", "topic"), queries, k, "doc_id", "query_id")
     return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "title",
                       "topic", "distance")
 
@@ -204,10 +231,16 @@ def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
               .select(key, F.explode(F.array_distinct(grams)).alias("gram")))
 
 
-def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct whitespace-delimited tokens of each row's text."""
-    toks = F.array_distinct(F.split(F.col(text), WS_SPLIT))
-    return df.select(key, F.explode(toks).alias("tok")).where(F.length("tok") > 0)
+def token_index(kb: DataFrame) -> DataFrame:
+    """(tok, doc_id, points): the distinct whitespace-delimited tokens of every
+    entry's content (KEYWORD_CONTENT_POINTS) and title (KEYWORD_TITLE_POINTS),
+    lower-cased; one pass over the texts."""
+    def listed(text, points):
+        toks = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WS_SPLIT))
+        return F.transform(F.array_remove(toks, ""), lambda x: F.struct(x.alias("tok"), F.lit(points).alias("points")))
+
+    both = F.concat(listed(F.col("content"), KEYWORD_CONTENT_POINTS), listed(F.col("title"), KEYWORD_TITLE_POINTS))
+    return kb.select("doc_id", F.explode(both).alias("t")).select("t.tok", "doc_id", "t.points")
 
 
 def word_in_tokens(words: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -225,41 +258,38 @@ def word_in_tokens(words: DataFrame, vocab: DataFrame) -> DataFrame:
                   .select("word", "tok"))
 
 
-def _short_hits(docs: DataFrame, short: DataFrame, text: str) -> DataFrame:
-    """(word, doc_id) for words of one or two characters: a document contains
-    such a word exactly when the word is one of the document's distinct 1- or
-    2-grams (a small set per document), so an equi-join is exact."""
-    g = _grams(docs, "doc_id", text, 1).unionByName(_grams(docs, "doc_id", text, 2))
-    return (g.join(short.select(F.col("word").alias("gram")), "gram", "left_semi")
-             .select(F.col("gram").alias("word"), "doc_id"))
+def _short_hits(kb: DataFrame, short: list[str]) -> DataFrame:
+    """(word, doc_id, points) for words of one or two characters, which sit
+    inside most tokens: every entry looks for each of them in its own text."""
+    def met(text, points):
+        there = F.filter(F.array(*map(F.lit, short)), lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))
+        return F.transform(there, lambda w: F.struct(w.alias("word"), F.lit(points).alias("points")))
+
+    both = F.concat(met(F.col("content"), KEYWORD_CONTENT_POINTS), met(F.col("title"), KEYWORD_TITLE_POINTS))
+    return kb.select("doc_id", F.explode(both).alias("t")).select("t.word", "doc_id", "t.points")
 
 
-def keyword_matches(kb: DataFrame, words: DataFrame) -> DataFrame:
-    """Exact (word, doc_id, in_content, in_title) for every distinct query
-    word contained (lower-cased substring) in a document.
+def keyword_matches(kb: DataFrame, words: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Exact (word, doc_id, points), one row for every distinct query word and
+    each of content and title that contains it (lower-cased substring).
 
     A query word has no whitespace, so it occurs in a text exactly when it is
     a substring of one of the text's whitespace-delimited tokens. Words of
     three or more characters are therefore matched against the distinct token
-    vocabulary (far smaller than the texts), and the (token → document) index,
-    one row per distinct token of a document, maps token hits back to
-    documents with an equi-join. One- and two-character words, which sit
-    inside most tokens, join each document's small 1/2-gram set instead."""
-    docs = kb.select("doc_id", F.lower("content").alias("c"), F.lower("title").alias("tt"))
+    vocabulary (far smaller than the texts), and ``index`` (``token_index``,
+    written once under the shared folder unless given) maps token hits back to
+    documents with an equi-join. The shorter words — no more than the query
+    set's alphabet allows — are looked for in the texts."""
+    spark = kb.sparkSession
+    if index is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/token-index-{uuid.uuid4().hex}"
+        token_index(kb).write.parquet(path)
+        index = spark.read.parquet(path)
     w = words.select("word").distinct()
-    short = w.where(F.length("word") < 3)
-    content_idx = _tokens(docs, "doc_id", "c")
-    title_idx = _tokens(docs, "doc_id", "tt")
-    vocab = content_idx.select("tok").unionByName(title_idx.select("tok")).distinct()
-    wt = word_in_tokens(w, vocab)
-    in_content = (wt.join(content_idx, "tok").select("word", "doc_id")
-                    .unionByName(_short_hits(docs, short, "c")).distinct())
-    in_title = (wt.join(title_idx, "tok").select("word", "doc_id")
-                  .unionByName(_short_hits(docs, short, "tt")).distinct()
-                  .withColumn("in_title", F.lit(True)))
-    return (in_content.join(in_title, ["word", "doc_id"], "left")
-                      .select("word", "doc_id", F.lit(True).alias("in_content"),
-                              F.coalesce(F.col("in_title"), F.lit(False)).alias("in_title")))
+    wt = word_in_tokens(w, index.select("tok").distinct())
+    hits = wt.join(index, "tok").select("word", "doc_id", "points").distinct()
+    short = sorted(r.word for r in w.where(F.length("word") < 3).collect())
+    return hits.unionByName(_short_hits(kb, short)) if short else hits
 
 
 def query_words(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -274,12 +304,8 @@ def keyword_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K, text: s
     contains it); score > 0; top k per query (score desc, doc_id). Scans the
     whole knowledge base."""
     qw = query_words(queries, text)
-    m = keyword_matches(kb, qw)
-    s = (qw.join(m, "word")
-           .groupBy("query_id", "doc_id")
-           .agg(F.sum(F.col("n") * (KEYWORD_CONTENT_POINTS
-                                    + F.when(F.col("in_title"), F.lit(KEYWORD_TITLE_POINTS)).otherwise(0)))
-                .alias("score")))
+    s = (qw.join(keyword_matches(kb, qw), "word")
+           .groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("points")).alias("score")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return (s.where(F.col("score") > 0).withColumn("rank", F.row_number().over(w))
              .where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"),

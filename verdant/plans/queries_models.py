@@ -74,7 +74,7 @@ with pool as (
 walk as (
   select *, coalesce(max(avg_esg_composite) over ({part2} order by pos
             rows between unbounded preceding and 1 preceding), -1.0e0) as best_above
-  from pool where pos <= 100),
+  from pool),
 front as (
   select *, row_number() over ({part2} order by pos) as frontier_rank
   from walk where avg_esg_composite > best_above)
@@ -85,15 +85,15 @@ from front where frontier_rank <= 20"""
 
 @register("g6_pareto_frontier", _PARETO_SQL.format(keys="", part="", part2="", keys2=""))
 def g6_pareto_frontier(t):
-    """Sharpe / ESG Pareto frontier over the top 100 by Sharpe."""
-    return S.pareto(metrics_of(t), t.companies(), pool=100, top_n=20)
+    """The first 20 rows of the Sharpe / ESG Pareto frontier of all companies."""
+    return S.pareto(metrics_of(t), t.companies(), top_n=20)
 
 
 @register("g6_pareto_by_sector", _PARETO_SQL.format(
     keys="c.sector,", part="partition by c.sector", part2="partition by sector", keys2="sector,"))
 def g6_pareto_by_sector(t):
     """G6 per sector: one frontier per sector (NULL sector its own group)."""
-    return S.pareto(metrics_of(t), t.companies(), pool=100, top_n=20, by="sector")
+    return S.pareto(metrics_of(t), t.companies(), top_n=20, by="sector")
 
 
 @register("g6_pareto_all", """
@@ -512,7 +512,8 @@ cte("m_ret", "select symbol, date, ret from m_path where ret is not null")
 cte("m_preturn", """
 select w.portfolio_id, w.date, sum(w.weight * coalesce(r.ret, 0.0e0)) as port_return
 from m_rebalance w
-join (select date, lead(date) over (order by date) as next_date from (select distinct date from m_ret) d) cal
+join (select d.date, (select min(t.date) from m_ret t where t.date > d.date) as next_date
+      from (select distinct date from m_rebalance) d) cal
   on w.date = cal.date
 left join m_ret r on r.symbol = w.symbol and r.date = cal.next_date
 where cal.next_date is not null
@@ -687,7 +688,7 @@ with reg as (
   from (select portfolio_id, case when stddev_samp(port_return) = 0 then 0.0e0
           else avg(port_return) / stddev_samp(port_return) * sqrt(252) end as sharpe
         from m_ledger group by portfolio_id) s),
-best as (select arg_max(model_id, sharpe) as id from (select * from reg where sharpe is not null) r)
+best as (select model_id as id from reg where sharpe is not null order by sharpe desc, model_id limit 1)
 select model_id, round(sharpe, 6) as sharpe,
   case when model_id = (select id from best) then 'active' when status = 'active' then 'retired' else status end as status
 from reg""")
@@ -698,5 +699,6 @@ def h16_model_registry(t):
     reg = s.select(F.col("portfolio_id").alias("model_id"), "sharpe",
                    F.when(F.col("portfolio_id") % 7 == 0, F.lit("active")).otherwise(F.lit("trained"))
                     .alias("status"))
-    best = reg.where(F.col("sharpe").isNotNull()).select(F.max_by("model_id", "sharpe")).scalar()
+    best = reg.where(F.col("sharpe").isNotNull()).select(
+        F.max_by("model_id", F.struct("sharpe", -F.col("model_id")))).scalar()
     return B.activate(reg, best)

@@ -46,13 +46,18 @@ def i1_profile_text(t):
 
 
 @register("i2_embedding_backlog", """
-select d.doc_id, coalesce(substring(d.text, 1, 80), '') || ': ' || d.text as embed_text
-from documents d left join embeddings e on e.vec_id = d.doc_id
+select d.doc_id, coalesce(p.url, '') || ': ' || d.text as embed_text
+from documents d left join embeddings e on e.vec_id = d.doc_id left join pages p on p.page_id = d.doc_id
 where e.embedding is null or list_max(list_transform(e.embedding, lambda x: abs(x))) = 0""")
 def i2_embedding_backlog(t):
     """Knowledge entries (documents) still without a vector."""
-    kb = S.knowledge_base(t.raw("documents"), t.raw("embeddings"))
-    return S.embedding_backlog(kb)
+    return S.embedding_backlog(_knowledge(t))
+
+
+def _knowledge(t, vectors: bool = True):
+    """Documents as knowledge entries, titled by the url of the page of their id."""
+    titles = t.raw("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"))
+    return S.knowledge_base(t.raw("documents"), titles, t.raw("embeddings") if vectors else None)
 
 
 def _company_vectors(t):
@@ -100,9 +105,9 @@ select cast(label as bigint) as query_id, list(x order by i) as qv from (
 
 
 @register("i4_semantic_search", f"""
-with kb as (select d.doc_id, substring(d.text, 1, 80) as title, d.source as topic,
+with kb as (select d.doc_id, p.url as title, d.source as topic,
               list_transform(e.embedding, lambda x: x::double) as v
-            from documents d join embeddings e on e.vec_id = d.doc_id),
+            from documents d join embeddings e on e.vec_id = d.doc_id left join pages p on p.page_id = d.doc_id),
 kbn as (select *, sqrt({_dot('v', 'v')}) as n from kb),
 q as (select query_id, qv, sqrt({_dot('qv', 'qv')}) as qn from m_centroids),
 pairs as (select q.query_id, kbn.doc_id, kbn.title, kbn.topic, 1.0e0 - {_dot('kbn.v', 'q.qv')} / (kbn.n * q.qn) as distance
@@ -111,8 +116,7 @@ ranked as (select *, row_number() over (partition by query_id order by distance,
 select query_id, rank, doc_id, title, topic, round(distance, 6) as distance from ranked where rank <= 5""")
 def i4_semantic_search(t):
     """I4: the 5 knowledge entries nearest to each label centroid."""
-    kb = S.knowledge_base(t.raw("documents"), t.raw("embeddings"))
-    return S.semantic_search(kb, _label_centroids(t), 5)
+    return S.semantic_search(_knowledge(t), _label_centroids(t), 5)
 
 
 @register("i5_keyword_search", """
@@ -120,24 +124,24 @@ with qw as (select query_id, w as word, count(*) as n from (
               select item_id as query_id, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) as w
               from benchmark) x where length(w) > 0 group by 1, 2),
 dw as (select distinct word from qw),
-kb as (select doc_id, lower(text) as c, lower(substring(text, 1, 80)) as tt from documents),
-m as (select dw.word, kb.doc_id, contains(kb.tt, dw.word) as in_title from dw join kb on contains(kb.c, dw.word)),
-s as (select qw.query_id, m.doc_id, sum(qw.n * (1 + case when m.in_title then 2 else 0 end)) as score
-      from qw join m on qw.word = m.word group by 1, 2),
+kb as (select d.doc_id, lower(d.text) as c, lower(coalesce(p.url, '')) as tt
+       from documents d left join pages p on p.page_id = d.doc_id),
+m as (select dw.word, kb.doc_id, case when contains(kb.c, dw.word) then 1 else 0 end
+                               + case when contains(kb.tt, dw.word) then 2 else 0 end as points
+      from dw join kb on contains(kb.c, dw.word) or contains(kb.tt, dw.word)),
+s as (select qw.query_id, m.doc_id, sum(qw.n * m.points) as score from qw join m on qw.word = m.word group by 1, 2),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0)
 select query_id, rank, doc_id, cast(score as bigint) as score from r where rank <= 5""")
 def i5_keyword_search(t):
     """Keyword scoring of every benchmark passage against all documents."""
-    kb = S.knowledge_base(t.raw("documents"))
+    kb = _knowledge(t, vectors=False)
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return S.keyword_search(kb, q, 5)
 
 
 def _hashed(t, dim: int = 256):
     docs = t.raw("documents").select("doc_id", "text", "source")
-    kb = S.hash_embed(docs, "text", dim).select(
-        "doc_id", F.substring("text", 1, S.TITLE_CHARS).alias("title"), F.col("text").alias("content"),
-        F.col("source").alias("topic"), "vec")
+    kb = _knowledge(t, vectors=False).drop("vec").join(S.hash_embed(docs, "text", dim).select("doc_id", "vec"), "doc_id")
     bench = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     q = S.hash_embed(bench, "query_text", dim, fit_on=docs.select(F.col("text").alias("query_text")))
     return kb, q
@@ -155,7 +159,7 @@ def i6_search_with_fallback(t):
 def i7_ivf_search(t):
     """Inverted-list (20 lists, 3 probes) search of label centroids over
     the document vectors."""
-    kb = S.knowledge_base(t.raw("documents"), t.raw("embeddings")).where(F.col("vec").isNotNull())
+    kb = _knowledge(t).where(F.col("vec").isNotNull())
     indexed, cents = S.ivf_build(kb.select("doc_id", "vec"), "doc_id", lists=20)
     return S.ivf_search(indexed, cents, _label_centroids(t), "doc_id", k=5, probes=3)
 

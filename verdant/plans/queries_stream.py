@@ -5,8 +5,6 @@ and returns the resulting table — which must equal its batch twin."""
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from verdant.functions import risk
@@ -15,33 +13,31 @@ from verdant.streaming import pipelines as K
 from verdant.plans.catalog import register
 from verdant.plans.queries_models import _DSR_SQL_BODY
 
-_STREAM_TIMEOUT_S = 3600
-
-
-def _write_in_order(df, key, parts: int, path: str) -> None:
-    """Write ``df`` as ``parts`` folders in ascending ``key`` order, one write
-    after another, so a file source (which takes files by modification time)
-    sees them in that order. Split points are approximate quantiles."""
-    df = df.persist()
-    try:
-        probs = [i / parts for i in range(1, parts)]
-        bounds = df.select(F.percentile_approx(key, probs)).first()[0]
-        edges = [None] + list(bounds) + [None]
-        for i in range(parts):
-            lo, hi = edges[i], edges[i + 1]
-            part = df
-            if lo is not None:
-                part = part.where(key > lo)
-            if hi is not None:
-                part = part.where(key <= hi)
-            part.coalesce(1).write.parquet(f"{path}/p{i}")
-            time.sleep(0.05)
-    finally:
-        df.unpersist()
+_SECTORS_SQL = """
+select sector, as_of_date, company_count, round(avg_sharpe, 6) as avg_sharpe,
+  round(avg_esg, 6) as avg_esg, round(avg_volatility, 6) as avg_volatility,
+  round(avg_return, 6) as avg_return, round(composite_score, 6) as composite_score
+from m_sector_rankings"""
+_FILES = 4                    # files of one part, which one micro-batch takes together
+
+
+def _write_in_order(df, key, parts: int, path: str, by: str | None = None) -> None:
+    """Write ``df`` as ``parts`` folders in ascending ``key`` order (nulls
+    first), ``_FILES`` files each, so that a file source, which takes files by
+    modification time, sees the parts in that order; with ``by``, rows of one
+    value stay in one file of each part. Split points are approximate
+    quantiles."""
+    bounds = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] or []
+    edges = [None, *sorted(set(bounds)), None]
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        inside = F.lit(True) if lo is None else key > lo
+        inside = inside if hi is None else inside & (key <= hi)
+        part = df.where(inside | key.isNull() if lo is None else inside)
+        (part.repartition(_FILES, by) if by else part.repartition(_FILES)).write.parquet(f"{path}/p{i}")
 
 
 def _drain(q) -> None:
-    q.awaitTermination(_STREAM_TIMEOUT_S)
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
@@ -60,7 +56,6 @@ def k1_ingest_stream(t):
                    F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"),
                    F.col("close").cast("string").alias("close"), F.col("volume").cast("string").alias("volume"))
     rec.repartitionByRange(4, "date").write.json(f"{root}/src/part1")
-    time.sleep(0.05)
     rec.where(F.year(F.col("date").cast("date")) == 1995).write.json(f"{root}/src/part2")
     q = K.ingest_stream(spark, f"{root}/src/*", f"{root}/log", f"{root}/rejects", f"{root}/ckpt",
                         today="2100-01-01", files_per_trigger=2)
@@ -81,7 +76,9 @@ def k2_progress_stream(t):
     ev = t.raw("events")
     _write_in_order(ev, F.unix_micros(F.col("ts").cast("timestamp")), 5, f"{root}/src")
     q = K.progress_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", ev.schema,
-                          window="1 hour", delay="10 minutes", files_per_trigger=1)
+                          job=F.col("user_id"), ts=F.col("ts"), failed=F.col("event_type") == "error",
+                          records=F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).try_cast("bigint"),
+                          window="1 hour", delay="10 minutes", files_per_trigger=_FILES)
     _drain(q)
     return K.current_progress(spark, f"{root}/sink")
 
@@ -98,8 +95,9 @@ def k3_streaming_dsr(t):
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
     pr = B.portfolio_returns(t.rebalance(), returns).select(
         F.col("portfolio_id").cast("bigint"), "date", "port_return")
-    _write_in_order(pr, F.unix_date("date"), 4, f"{root}/src")
-    q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt")
+    _write_in_order(pr, F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
+    q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", files_per_trigger=_FILES,
+                                     ttl_days=40 * 365)
     _drain(q)
     out = spark.read.parquet(f"{root}/sink")
     return out.where(~F.col("late")).select("portfolio_id", "date", "dsr")
@@ -114,19 +112,36 @@ select symbol, as_of_date, round(annual_return, 6) as annual_return, round(annua
 from m_metrics""")
 def k4_incremental_recompute(t):
     """K4: price histories arriving in three batches of symbols; each batch
-    re-measures only its symbols and re-ranks their sectors; the final metric
-    table equals a full recompute."""
-    spark = t.spark
+    re-measures only its symbols and re-ranks their sectors; a quarter of the
+    symbols is uploaded again; the final metric table equals a full recompute."""
     root = K.scratch(spark, "k4")
+    last = _recomputed(t, root)
+    m = last("metrics")
+    return m.select("symbol", "as_of_date", "annual_return", "annual_volatility", "sharpe_252d", "sortino_252d",
+                    "calmar_ratio", "max_drawdown", "momentum_20d", "momentum_60d", "avg_esg_composite",
+                    "composite_score", "eligible_hard_screen", "sector_rank_pct")
+
+
+def _recomputed(t, root: str):
+    """Stream the price table in three batches of symbols, then one of them
+    again (a re-upload); reader of the last version of either table."""
+    spark = t.spark
     p = t.prices().select("symbol", "date", "close")
-    p.repartitionByRange(3, "symbol").write.parquet(f"{root}/src")
+    p.repartitionByRange(3, "symbol").write.parquet(f"{root}/src/first")
+    p.where(F.pmod(F.xxhash64("symbol"), F.lit(4)) == 0).repartitionByRange(2, "symbol").write.parquet(f"{root}/src/again")
     as_of = F.lit(p.select(F.max("date")).first()[0])
-    q = K.recompute_stream(spark, f"{root}/src", f"{root}/prices", t.esg(), t.companies(),
+    q = K.recompute_stream(spark, f"{root}/src/*", f"{root}/prices", t.esg(), t.companies(),
                            f"{root}/metrics", f"{root}/sectors", f"{root}/ckpt", as_of=as_of)
     _drain(q)
-    versions = spark.read.parquet(f"{root}/metrics")
-    last = versions.select(F.max("v")).first()[0]
-    m = versions.where(F.col("v") == last)
-    return m.select("symbol", "as_of_date", "annual_return", "annual_volatility", "sharpe_252d", "sortino_252d",
-                    "calmar_ratio", "max_drawdown", "momentum_20d", "momentum_60d", "avg_esg_composite",
-                    "composite_score", "eligible_hard_screen", "sector_rank_pct")
+
+    def last(table: str):
+        versions = spark.read.parquet(f"{root}/{table}")
+        return versions.where(F.col("v") == versions.select(F.max("v")).first()[0]).drop("v")
+
+    return last
+
+
+@register("k4_incremental_sectors", _SECTORS_SQL)
+def k4_incremental_sectors(t):
+    """K4: the sector table after the same batches equals a full ranking."""
+    return _recomputed(t, K.scratch(t.spark, "k4s"))("sectors")

@@ -372,6 +372,23 @@ def a18_validate_prices(t):
                     F.array_join("warnings", ",").alias("warnings"), "status")
 
 
+@register("a18_validate_esg", """
+select symbol, date, provider,
+  concat_ws(',', case when e_score < 0 or e_score > hi then 'e_score_out_of_range' end,
+    case when s_score < 0 or s_score > hi then 's_score_out_of_range' end,
+    case when g_score < 0 or g_score > hi then 'g_score_out_of_range' end,
+    case when composite_score < 0 or composite_score > hi then 'composite_score_out_of_range' end) as errors
+from (select *, case when provider = 'bloomberg' then 10 else 100 end as hi
+      from (select symbol, date, case when provider = 'A' then 'bloomberg' else provider end as provider,
+              e_score, s_score, g_score * 1.5 as g_score, composite_score from m_esg) x) y""")
+def a18_validate_esg(t):
+    """A18 for ESG: provider A as the one with the 0–10 scale, and g scores
+    half as high again, against the scales."""
+    e = t.esg().withColumns({"provider": F.when(F.col("provider") == "A", "bloomberg").otherwise(F.col("provider")),
+                             "g_score": F.col("g_score") * 1.5})
+    return A.validate_esg(e).select("symbol", "date", "provider", F.array_join("errors", ",").alias("errors"))
+
+
 @register("a20_upsert_prices", """
 with tgt as (select symbol, date, low, high, close, volume from m_prices where date < date '1996-01-01'),
 b as (select symbol, date, close * 1.01 as close, 1 as seq from m_prices where date >= date '1995-07-01'
@@ -399,10 +416,13 @@ def a20_upsert_prices(t):
 
 
 @register("a21_orphan_prices", """
-select p.symbol, p.date from m_prices p where not exists (select 1 from m_companies c where c.symbol = p.symbol)""")
+select p.symbol, p.date from m_prices p
+where not exists (select 1 from m_companies c where c.symbol = p.symbol and ascii(right(c.symbol, 1)) % 5 <> 0)""")
 def a21_orphan_prices(t):
-    """Price rows whose symbol is not a listed company (quarantine)."""
-    _, orphans = A.quarantine_orphans(t.prices().select("symbol", "date"), t.companies())
+    """Price rows whose symbol is not a listed company (quarantine);
+    every fifth last letter is taken off the list."""
+    listed = t.companies().where(F.ascii(F.expr("right(symbol, 1)")) % 5 != 0)
+    _, orphans = A.quarantine_orphans(t.prices().select("symbol", "date"), listed)
     return orphans
 
 
@@ -420,11 +440,13 @@ rec as (select job_id, string_agg(typ || ':' || cast(n as varchar), ',' order by
           as records_stored, cast(sum(n) as bigint) as records_total from bt group by 1),
 g as (select job_id, count(*) as total_chunks, count(*) filter (where ok) as chunks_processed,
         count(*) filter (where not ok) as errors, min(ts) as started_at, max(ts) as completed_at
-      from x group by 1)
-select g.*, rec.records_stored, rec.records_total,
-  case when chunks_processed = 0 then 'failed' when errors = 0 then 'completed' else 'completed_with_errors' end
+      from x group by 1),
+j as (select user_id as job_id from events union select c_custkey from customer)
+select j.job_id, coalesce(total_chunks, 0) as total_chunks, coalesce(chunks_processed, 0) as chunks_processed,
+  coalesce(errors, 0) as errors, started_at, completed_at, rec.records_stored, rec.records_total,
+  case when total_chunks is null then 'failed' when errors = 0 then 'completed' else 'completed_with_errors' end
     as status
-from g left join rec on g.job_id = rec.job_id
+from j left join g on g.job_id = j.job_id left join rec on j.job_id = rec.job_id
 """)
 
 
@@ -435,7 +457,10 @@ def _ledger(t):
         F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "records_stored": '),
                  F.coalesce(F.nullif(F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1), F.lit("")), F.lit("0")),
                  F.lit("}")).alias("result_text"))
-    return A.job_ledger(res, chunk_ok=F.col("ok"))
+    # chunks come from the events, jobs also from the customers; those without events never got a chunk
+    jobs = ev.select(F.col("user_id").alias("job_id")).unionByName(
+        t.raw("customer").select(F.col("c_custkey").alias("job_id")))
+    return A.job_ledger(res, chunk_ok=F.col("ok"), jobs=jobs)
 
 
 @register("a22_job_ledger", "select * from m_jobs")
@@ -519,18 +544,39 @@ def a18_validation_stats(t):
 
 
 @register("a19_store_by_type", """
-select 'price_data' as record_type, count(*) as records_stored from m_prices
-union all select 'esg_scores', count(*) from m_esg
-union all select 'company_meta', count(*) from m_companies""")
+select 'price_data' as record_type, count(*) as records_found, count(*) as records_stored, 'ok' as status from m_prices
+union all select 'esg_scores', count(*), count(*), 'ok' from m_esg
+union all select 'company_meta', count(*), count(*), 'ok' from m_companies
+union all select 'research_text', count(*), count(*), 'ok' from documents
+union all select 'unknown', count(*), 0, 'no_target' from conversations""")
 def a19_store_by_type(t):
-    """One batch of typed records (prices, ESG, companies as JSON
-    payload rows) written to one table per type; counts by type."""
+    """One batch of typed records (prices, ESG, companies, knowledge
+    texts, and messages of no known type) stored twice, one table per type;
+    counts by type of what was found and stored."""
     from verdant.streaming.pipelines import scratch
-    p = t.prices().select(F.lit("price_data").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
-    e = t.esg().select(F.lit("esg_scores").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
-    c = t.companies().select(F.lit("company_meta").alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
+
+    def rows(kind, df):
+        return df.select(F.lit(kind).alias("record_type"), F.to_json(F.struct("*")).alias("payload"))
+
+    batch = rows("unknown", t.raw("conversations"))
+    for kind, df in (("price_data", t.prices()), ("esg_scores", t.esg()), ("company_meta", t.companies()),
+                     ("research_text", t.raw("documents").select("doc_id", "source", "text"))):
+        batch = batch.unionByName(rows(kind, df))
     root = scratch(t.spark, "a19")
-    targets = {k: f"{root}/{k}" for k in ("price_data", "esg_scores", "company_meta")}
-    counts = A.store_by_type(p.unionByName(e).unionByName(c), targets)
-    rows = counts.collect()  # one row per record type
-    return t.spark.createDataFrame(rows, counts.schema)
+    targets = {k: f"{root}/{k}" for k in ("price_data", "esg_scores", "company_meta", "research_text")}
+    A.store_by_type(batch, targets, batch_id=1)
+    return A.store_by_type(batch, targets, batch_id=1)
+
+
+@register("a19_stored_prices", """
+select symbol, date, round(close * case when date >= date '1996-01-01' then 2 else 1 end, 6) as close from m_prices""")
+def a19_stored_prices(t):
+    """A19 read side: prices stored in one batch, those from 1996 on restated
+    in a second; the newest row of every key is read."""
+    from verdant.streaming.pipelines import scratch
+    p = t.prices().select(F.lit("price_data").alias("record_type"), "symbol", "date", "close")
+    path = scratch(t.spark, "a19p")
+    A.store_by_type(p, {"price_data": path}, batch_id=1)
+    late = p.where(F.col("date") >= F.lit("1996-01-01").cast("date")).withColumn("close", F.col("close") * 2)
+    A.store_by_type(late, {"price_data": path}, batch_id=2)
+    return A.stored_table(t.spark, path, ["symbol", "date"])

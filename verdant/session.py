@@ -76,13 +76,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and streaming checkpoints.
-
-    A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only when it is unset (local runs, tests) do we create a private folder.
-    """
+    """Shared folder for written intermediate tables, lineage cuts and
+    streaming checkpoints: the one the session names in
+    ``spark.checkpoint.dir``. A local session (one machine, as in tests) that
+    names none gets a private folder; on a cluster the setting is required,
+    because executors do not see the driver's temporary folders."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="verdant-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -2,17 +2,19 @@
 
 * K1 ``ingest_stream`` — a file source of price records; each micro-batch is
   coerced, validated and written to a batch-id partition of an append log, so
-  a replayed batch overwrites its own output (idempotent). The current table
-  is the latest-wins view of the log (A20).
+  a replayed batch overwrites its own output (idempotent). Lines that are no
+  record, records that cannot be typed and rows that fail validation go to the
+  reject log with their reason. The current table is the last-arrival view of
+  the log.
 * K2 ``progress_stream`` — job progress per event-time window with a watermark,
   so finished windows leave the state store.
 * K3 ``differential_sharpe_stream`` — the (A, B) moments of the differential
   Sharpe ratio carried per portfolio in the state store
   (``applyInPandasWithState``); rows at or before a key's last processed date
-  are late and dropped, and counted.
+  are late and marked so; a key not seen for the time-to-live leaves the store.
 * K4 ``recompute_touched`` — in ``foreachBatch``: only the symbols present in
-  the batch are re-measured (E10 on their whole history) and only their
-  sectors re-ranked (D2).
+  the batch are re-measured (E10 on their whole history, the latest upload of
+  a key winning) and only their sectors re-ranked (D2).
 
 Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 """
@@ -23,7 +25,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,7 @@ from verdant.session import checkpoint_dir
 PRICE_RECORD_SCHEMA = T.StructType([
     T.StructField(c, T.StringType()) for c in ("symbol", "date", "open", "high", "low", "close", "volume")
 ])
+BROKEN = "_corrupt_record"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -50,41 +53,52 @@ def _read_log(spark: SparkSession, path: str) -> DataFrame:
 def ingest_stream(spark: SparkSession, source: str, log_path: str, reject_path: str,
                   ckpt: str, today: str, files_per_trigger: int = 1, fmt: str = "json"):
     """K1: start the ingestion stream (returns the StreamingQuery)."""
-    src = (spark.readStream.schema(PRICE_RECORD_SCHEMA).format(fmt)
-           .option("maxFilesPerTrigger", files_per_trigger).load(source))
+    lines = T.StructType([*PRICE_RECORD_SCHEMA.fields, T.StructField(BROKEN, T.StringType())])
+    src = (spark.readStream.schema(lines).format(fmt).option("columnNameOfCorruptRecord", BROKEN)
+           .option("maxFilesPerTrigger", files_per_trigger).load(source)
+           .select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_file")))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rec = df.select(F.create_map(*[x for c in PRICE_RECORD_SCHEMA.fieldNames()
-                                       for x in (F.lit(c), F.col(c))]).alias("record"))
-        typed = A.coerce_prices(rec)
-        checked = A.validate_prices(typed, today).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        checked = checked.persist()
+        # arrival: the file's time and name, then the place in it
+        arrived = df.withColumn("arrival", F.struct(F.col("_file.file_modification_time").alias("time"),
+                                                    F.col("_file.file_path").alias("path"),
+                                                    F.monotonically_increasing_id().alias("place"))).persist()
         try:
+            rec = (arrived.where(F.col(BROKEN).isNull()).withColumn("record", F.create_map(
+                *[x for c in PRICE_RECORD_SCHEMA.fieldNames() for x in (F.lit(c), F.col(c))])).select("arrival", "record"))
+            typed, untyped = A.split_prices(rec)
+            checked = A.validate_prices(typed, today)
             (checked.where(F.col("status") == "valid").drop("errors", "warnings", "status")
                     .write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}"))
-            (checked.where(F.col("status") == "rejected")
-                    .write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}"))
+            rejects = (arrived.where(F.col(BROKEN).isNotNull())
+                       .select("arrival", F.col(BROKEN).alias("raw"), F.lit("malformed").alias("reason"))
+                       .unionByName(untyped.select("arrival", F.to_json("record").alias("raw"), F.col("reject_reason").alias("reason")))
+                       .unionByName(checked.where(F.col("status") == "rejected").select(
+                           "arrival", F.to_json(F.struct("symbol", "date", "open", "high", "low", "close", "volume")).alias("raw"),
+                           F.array_join("errors", ",").alias("reason"))))
+            rejects.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
         finally:
-            checked.unpersist()
+            arrived.unpersist()
 
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())
 
 
 def current_prices(spark: SparkSession, log_path: str) -> DataFrame:
-    """K1 read side: latest-wins view of the append log (newest batch per key)."""
+    """K1 read side: the last arrival of every key in the append log."""
     log = _read_log(spark, log_path)
-    cols = [c for c in log.columns if c not in ("symbol", "date", "batch_id")]
-    return A.upsert(log.limit(0).select("symbol", "date", *cols),
-                    log.select("symbol", "date", *cols, F.col("batch_id").alias("seq")),
-                    ["symbol", "date"])
+    cols = [c for c in log.columns if c not in ("symbol", "date", "batch_id", "arrival")]
+    last = F.max_by(F.struct(*cols), F.struct("batch_id", "arrival")).alias("_r")
+    return log.groupBy("symbol", "date").agg(last).select("symbol", "date", *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------------- K2
 
 def progress_stream(spark: SparkSession, source: str, sink: str, ckpt: str, schema: T.StructType,
+                    job: Column, ts: Column, failed: Column, records: Column,
                     window: str = "1 hour", delay: str = "10 minutes", files_per_trigger: int = 1):
-    """K2: per job and event-time window — chunks, errors, records stored.
+    """K2: per job and event-time window — chunks, errors, records stored of
+    the chunks that did not fail; the columns are expressions over ``schema``.
     Update mode: each micro-batch emits the windows it changed, written to its
     batch-id partition (replay-safe); a watermark bounds the state, dropping
     windows older than ``delay`` behind the newest event. Read the current
@@ -95,13 +109,12 @@ def progress_stream(spark: SparkSession, source: str, sink: str, ckpt: str, sche
     # window start is mapped back the same way.
     tz = F.current_timezone()
     ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-          .parquet(source).withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), tz)))
+          .parquet(source).select(job.alias("job_id"), F.to_utc_timestamp(ts.cast("timestamp"), tz).alias("ts"),
+                                  failed.alias("failed"), records.cast("bigint").alias("n")))
     g = (ev.withWatermark("ts", delay)
-           .groupBy(F.col("user_id").alias("job_id"), F.window("ts", window).alias("w"))
-           .agg(F.count(F.lit(1)).alias("chunks"),
-                F.count_if(F.col("event_type") == "error").alias("errors"),
-                F.sum(F.when(F.col("event_type") != "error",
-                             F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).cast("bigint"))).alias("records")))
+           .groupBy("job_id", F.window("ts", window).alias("w"))
+           .agg(F.count(F.lit(1)).alias("chunks"), F.count_if("failed").alias("errors"),
+                F.sum(F.when(~F.col("failed"), F.col("n"))).alias("records")))
     out = g.select("job_id", F.from_utc_timestamp(F.col("w.start"), tz).cast("timestamp_ntz").alias("window_start"),
                    "chunks", "errors", "records")
 
@@ -136,13 +149,13 @@ DSR_STATE = T.StructType([
 
 
 def _dsr_state_fn(eta: float):
-    from verdant.operators.backtest import DSR_A0, DSR_B0, DSR_EPS
+    from verdant.operators.backtest import DSR_A0, DSR_B0, dsr_step
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            a, b, last = state.get
-        else:
-            a, b, last = DSR_A0, DSR_B0, None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        a, b, last = state.get if state.exists else (DSR_A0, DSR_B0, None)
         parts = [p for p in pdfs]
         pdf = pd.concat(parts) if parts else pd.DataFrame(columns=["date", "port_return"])
         pdf = pdf.sort_values("date", kind="stable")
@@ -151,81 +164,86 @@ def _dsr_state_fn(eta: float):
             if last is not None and d <= last:
                 rows.append((key[0], d, r, None, True))
                 continue
-            v = b - a * a
-            if v < 0:
-                x = None
-            else:
-                den = v ** 1.5
-                x = 0.0 if abs(den) < DSR_EPS else (b * r - 0.5 * a * r * r) / den
-            a = a + eta * (r - a)
-            b = b + eta * (r * r - b)
+            a, b, value = dsr_step(a, b, r, eta)
             last = d
-            rows.append((key[0], d, r, x, False))
+            rows.append((key[0], d, r, value, False))
         state.update((a, b, last))
+        day = int(pd.Timestamp(last).timestamp() * 1000) if last is not None else 0
+        state.setTimeoutTimestamp(max(day, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["portfolio_id", "date", "port_return", "dsr", "late"])
 
     return fn
 
 
 def differential_sharpe_stream(spark: SparkSession, source: str, sink: str, ckpt: str,
-                               eta: float = 0.01, files_per_trigger: int = 1):
+                               eta: float = 0.01, files_per_trigger: int = 1, ttl_days: int = 400):
     """K3: start the stateful differential-Sharpe stream over
-    (portfolio_id, date, port_return) files."""
+    (portfolio_id, date, port_return) files. A portfolio whose last row is
+    ``ttl_days`` older than the newest of all loses its state and starts anew
+    when it returns; rows that old are beyond the watermark and not processed."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     schema = T.StructType([T.StructField("portfolio_id", T.LongType()), T.StructField("date", T.DateType()),
                            T.StructField("port_return", T.DoubleType())])
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    out = src.groupBy("portfolio_id").applyInPandasWithState(
-        _dsr_state_fn(eta), DSR_OUT, DSR_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = src.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", f"{ttl_days} days")
+    out = timed.groupBy("portfolio_id").applyInPandasWithState(
+        _dsr_state_fn(eta), DSR_OUT, DSR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
                .outputMode("append").trigger(availableNow=True).start())
 
 
 # ---------------------------------------------------------------------- K4
 
+def latest_prices(log: DataFrame) -> DataFrame:
+    """The newest upload of every (symbol, date) in an append log with ``batch_id``."""
+    cols = [c for c in log.columns if c not in ("symbol", "date", "batch_id")]
+    return (log.groupBy("symbol", "date").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
+            .select("symbol", "date", *[F.col(f"_r.{c}").alias(c) for c in cols]))
+
+
 def recompute_touched(batch: DataFrame, prices: DataFrame, esg: DataFrame, companies: DataFrame,
-                      metrics: DataFrame | None, as_of=None) -> tuple[DataFrame, DataFrame]:
+                      metrics: DataFrame | None, sectors: DataFrame | None = None,
+                      as_of=None) -> tuple[DataFrame, DataFrame]:
     """K4: metrics for the symbols touched by ``batch`` only (their whole
-    history), merged over the previous ``metrics``; sector rankings for the
-    touched sectors recomputed from the merged metrics. Returns
-    (metrics, touched sector rankings)."""
+    history), merged over the previous ``metrics``; sector rankings of the
+    touched sectors, merged over the previous ``sectors``. ``prices`` holds one
+    row a key. Returns (metrics, sector rankings), both complete and of one
+    as-of date."""
+    day = as_of if as_of is not None else prices.select(F.max("date")).scalar()
     touched = batch.select("symbol").distinct()
     hist = prices.join(touched, "symbol", "left_semi")
-    fresh = M.recompute(hist, esg.join(touched, "symbol", "left_semi"), companies,
-                        as_of=as_of if as_of is not None else prices.select(F.max("date")).scalar())
-    if metrics is None:
-        merged = fresh
-    else:
-        merged = metrics.join(touched, "symbol", "left_anti").unionByName(fresh)
+    fresh = M.recompute(hist, esg.join(touched, "symbol", "left_semi"), companies, as_of=day)
+    merged = fresh if metrics is None else metrics.join(touched, "symbol", "left_anti").unionByName(fresh)
     # The sector percentile (G3) depends on every company of the sector.
-    with_sector = merged.join(companies.select("symbol", "sector"), "symbol", "left")
+    with_sector = merged.withColumn("as_of_date", day).join(companies.select("symbol", "sector"), "symbol", "left")
     merged = with_sector.withColumn("sector_rank_pct", M.sector_rank_pct(with_sector)).drop("sector")
-    sectors = companies.join(touched, "symbol", "left_semi").select("sector").distinct()
-    in_sectors = merged.join(companies.select("symbol", "sector")
-                             .join(sectors, "sector", "left_semi"), "symbol", "left_semi")
-    return merged, M.sector_rankings(in_sectors, companies)
+    again = companies.join(touched, "symbol", "left_semi").select("sector").distinct()
+    in_again = merged.join(companies.select("symbol", "sector").join(again, "sector", "left_semi"), "symbol", "left_semi")
+    ranked = M.sector_rankings(in_again, companies)
+    if sectors is not None:
+        ranked = sectors.join(again, "sector", "left_anti").withColumn("as_of_date", day).unionByName(ranked)
+    return merged, ranked
 
 
 def recompute_stream(spark: SparkSession, source: str, prices_path: str, esg: DataFrame,
                      companies: DataFrame, metrics_path: str, sectors_path: str, ckpt: str,
                      files_per_trigger: int = 1, as_of=None):
-    """K4 as a stream: each batch of price rows is appended to the price
-    table, then ``recompute_touched`` refreshes the metric and sector tables
-    (each written to a new version folder, never over the one being read)."""
+    """K4 as a stream: each batch of price rows is appended to the price log,
+    then ``recompute_touched`` refreshes the metric and sector tables (each
+    version is a complete table in a folder of its own, never written over the
+    one being read)."""
     schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()),
                            T.StructField("close", T.DoubleType())])
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{prices_path}/batch_id={batch_id}")
-        prices = spark.read.parquet(prices_path).drop("batch_id")
-        prev = None
-        if batch_id > 0:
-            prev = spark.read.parquet(f"{metrics_path}/v={batch_id - 1}")
-        merged, sec = recompute_touched(df, prices, esg, companies, prev, as_of)
+        prices = latest_prices(spark.read.parquet(prices_path))
+        before = [spark.read.parquet(f"{p}/v={batch_id - 1}") if batch_id > 0 else None for p in (metrics_path, sectors_path)]
+        merged, ranked = recompute_touched(df, prices, esg, companies, *before, as_of=as_of)
         merged.write.mode("overwrite").parquet(f"{metrics_path}/v={batch_id}")
-        sec.write.mode("overwrite").parquet(f"{sectors_path}/v={batch_id}")
+        ranked.write.mode("overwrite").parquet(f"{sectors_path}/v={batch_id}")
 
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())

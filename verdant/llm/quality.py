@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.common import arrow_map, fresh, mix64, prepare, utf8, word_hashes
 
-FIT_ROWS = 20_000             # labelled documents the scorer is fitted on
+FIT_ROWS = 8_000              # labelled documents the scorer is fitted on
 LEXICON_MIN = 3               # toxic documents with a lexicon token, at least,
 LEXICON_LIFT = 20.0           # and how many times as often it is met as in the others
 MIN_DOCS, MIN_Z = 8, 5.0      # support and significance of a token as a feature
@@ -136,32 +136,39 @@ def junk_votes(r: Reading) -> np.ndarray:
                      _marks(odd & long, plain)], axis=1)
 
 
-def toxic_votes(n_tokens: np.ndarray, doc: np.ndarray, token: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+def toxic_votes(n: int, doc: np.ndarray, token: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
     """By the number of distinct lexicon tokens; without a lexicon no opinion."""
-    hits = np.bincount(doc[np.isin(token, lexicon)], minlength=len(n_tokens))
+    hits = np.bincount(doc[np.isin(token, lexicon)], minlength=n)
     none = (hits == 0) & (len(lexicon) > 0)
     return np.stack([_marks(hits >= 1, none), _marks(hits >= 2, none), _marks(hits >= 3, none)], axis=1)
 
 
 _MARKS = [("symbols", (0.005, 0.01, 0.02), 3), ("pipes", (0.03, 0.06, 0.12), 3), ("upper", (0.2, 0.3, 0.45), 3),
-          ("stutter", (0.05, 0.1, 0.25), 10), ("distinct", (0.2, 0.12, 0.06), 20), ("lexicon", (1, 2, 3, 5), 1)]
-MARK_HASHES = mix64(np.arange(1, 16 * len(_MARKS) + 1, dtype=np.uint64) << np.uint64(40))
+          ("stutter", (0.05, 0.1, 0.25), 10), ("distinct", (0.2, 0.12, 0.06), 20)]
+_HITS = (1, 2, 3, 5)
+MARK_HASHES = mix64(np.arange(1, 16 * (len(_MARKS) + 1) + 1, dtype=np.uint64) << np.uint64(40))
 
 
-def features(r: Reading, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) pairs: the distinct tokens, and marks for the levels
-    that a share of style, or the number of lexicon tokens, passes."""
-    hits = np.bincount(r.doc[np.isin(r.token, lexicon)], minlength=len(r.n_tokens))
-    docs, marks = [r.doc], [r.token]
+def style_marks(r: Reading) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) pairs for the levels that a share of style passes."""
+    docs, marks = [], []
     for kind, (name, levels, least) in enumerate(_MARKS):
+        share = getattr(r, name)
         for level, bound in enumerate(levels):
-            passed = hits >= bound if name == "lexicon" else getattr(r, name) < bound if name == "distinct" else getattr(r, name) > bound
-            over = np.flatnonzero(passed & (r.n_tokens >= least))
+            over = np.flatnonzero(((share < bound) if name == "distinct" else (share > bound)) & (r.n_tokens >= least))
             docs.append(over)
             marks.append(np.full(len(over), MARK_HASHES[16 * kind + level], np.uint64))
     return np.concatenate(docs), np.concatenate(marks)
 
 
+def lexicon_marks(n: int, doc: np.ndarray, token: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) pairs for the numbers of lexicon tokens that are reached."""
+    hits = np.bincount(doc[np.isin(token, lexicon)], minlength=n)
+    docs = [np.flatnonzero(hits >= k) for k in _HITS]
+    marks = [np.full(len(d), MARK_HASHES[16 * len(_MARKS) + i], np.uint64) for i, d in enumerate(docs)]
+    return np.concatenate(docs), np.concatenate(marks)
+
+
 def _fit(onehot: np.ndarray, counts: np.ndarray, q: np.ndarray) -> tuple[float, np.ndarray]:
     """Share of the class and P(vote | class) when pattern ``r`` has it with probability ``q[r]``."""
     table = np.zeros((onehot.shape[1], 2, 3))
@@ -290,8 +297,17 @@ def _gold(labels: DataFrame) -> DataFrame:
             .agg((F.min("quality") == 0).cast("int").alias("gold_junk"), (F.max("toxic") == 1).cast("int").alias("gold_toxic")))
 
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
+def _lists(n: int, doc: np.ndarray, value: np.ndarray) -> pa.ListArray:
+    order = np.argsort(doc, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=n))).astype(np.int32)),
+                                    pa.array(value[order].view(np.int64)))
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) pairs of a list column."""
+    sizes = np.array([len(x) for part in column.chunks for x in part], np.int64)
+    values = [part.flatten().to_numpy(zero_copy_only=False) for part in column.chunks]
+    return np.repeat(np.arange(len(sizes)), sizes), (np.concatenate(values) if values else np.empty(0, np.int64)).view(np.uint64)
 
 
 def _vote_code(v: np.ndarray) -> list[str]:
@@ -313,12 +329,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), _lists(read(b.column("text")).signature.view(np.int64)),
-                                              b.column("gold_junk"), b.column("gold_toxic"), b.column("fold")],
-                                             names=["text", "twins", "gold_junk", "gold_toxic", "fold"])
-
-    drawn = arrow_map(sample, sampled, "text string, twins array<bigint>, gold_junk int, gold_toxic int, fold int").toArrow()
+            r, n = read(b.column("text")), b.num_rows
+            twins = np.repeat(np.arange(n), TWINS)
+            yield pa.RecordBatch.from_arrays(
+                [_lists(n, twins, r.signature.ravel()), _lists(n, r.doc, r.token), _lists(n, *style_marks(r)),
+                 pa.array(_vote_code(junk_votes(r)), pa.string()), *(b.column(c) for c in ("gold_junk", "gold_toxic", "fold"))],
+                names=["twins", "tokens", "marks", "junk", "gold_junk", "gold_toxic", "fold"])
+
+    drawn = arrow_map(sample, sampled, "twins array<bigint>, tokens array<bigint>, marks array<bigint>, junk string, "
+                                       "gold_junk int, gold_toxic int, fold int").toArrow()
     seen_twins: set[tuple[int, int]] = set()
     single = []
     for i, twins in enumerate(drawn.column("twins").to_pylist()):
@@ -329,18 +348,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     drawn = drawn.take(pa.array(single, pa.int64()))
     n = drawn.num_rows
     golds = {t: drawn.column(f"gold_{t}").to_numpy().astype(float) for t in TARGETS}
-    reading = read(pa.concat_arrays(drawn.column("text").chunks) if n else pa.array([], pa.string()))
+    doc, token = _flat(drawn.column("tokens"))
     fold = drawn.column("fold").to_numpy()
     toxic = np.nan_to_num(golds["toxic"])
-    lexicons = [mine_lexicon(reading.doc, reading.token, toxic, fold != k) for k in range(FOLDS)]
-    lexicons.append(mine_lexicon(reading.doc, reading.token, toxic, np.ones(n, bool)))
+    lexicons = [mine_lexicon(doc, token, toxic, fold != k) for k in range(FOLDS)]
+    lexicons.append(mine_lexicon(doc, token, toxic, np.ones(n, bool)))
     shared = spark.sparkContext.broadcast(lexicons)
     codes = [f"toxic{k}" for k in range(FOLDS + 1)]
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = read(b.column("text"))
-            by_fold = [pa.array(_vote_code(toxic_votes(r.n_tokens, r.doc, r.token, x)), pa.string()) for x in shared.value]
+            by_fold = [pa.array(_vote_code(toxic_votes(b.num_rows, r.doc, r.token, x)), pa.string()) for x in shared.value]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_vote_code(junk_votes(r)), pa.string()), *by_fold],
                                              names=["doc_id", "junk", *codes])
 
@@ -360,20 +379,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             tables[t] = expectation_maximisation(patterns, np.array([seen[c] for c in sorted(seen)], float),
                                                  anchor=patterns.shape[1] - 1)
     scorers = {}
-    parts = [features(reading, x) for x in lexicons]
-    doc = np.concatenate([d[fold[d] == k] for k, (d, _) in enumerate(parts[:FOLDS])]) if n else np.empty(0, np.int64)
-    token = np.concatenate([t[fold[d] == k] for k, (d, t) in enumerate(parts[:FOLDS])]) if n else np.empty(0, np.uint64)
+    by_fold = [lexicon_marks(n, doc, token, x) for x in lexicons[:FOLDS]]
+    mark_doc, mark = _flat(drawn.column("marks"))
+    all_doc = np.concatenate([doc, mark_doc, *(d[fold[d] == k] for k, (d, _) in enumerate(by_fold))])
+    all_token = np.concatenate([token, mark, *(m[fold[d] == k] for k, (d, m) in enumerate(by_fold))])
     for t in TARGETS:
         if not n or t not in tables:
             scorers[t] = Scorer(np.empty(0, np.uint64), np.empty(0), -10.0)
             continue
-        text_votes = junk_votes(reading)
-        if t == "toxic":
-            by_fold = [toxic_votes(reading.n_tokens, reading.doc, reading.token, x) for x in lexicons[:FOLDS]]
-            text_votes = np.stack(by_fold)[fold, np.arange(n)]
+        if t == "junk":
+            text_votes = _vote_matrix(drawn.column("junk").to_pylist())
+        else:
+            text_votes = np.stack([toxic_votes(n, doc, token, x) for x in lexicons[:FOLDS]])[fold, np.arange(n)]
         g = golds[t]
         full = np.column_stack([text_votes, np.where(np.isnan(g), -1, np.nan_to_num(g)).astype(np.int8)])
-        scorers[t] = train_scorer(n, doc, token, posterior(full, *tables[t]))
+        scorers[t] = train_scorer(n, all_doc, all_token, posterior(full, *tables[t]))
     return Model(lexicons[-1], scorers, tables)
 
 
@@ -385,7 +405,9 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, token = features(read(b.column("text")), shared.value.lexicon)
+            r = read(b.column("text"))
+            parts = [(r.doc, r.token), style_marks(r), lexicon_marks(b.num_rows, r.doc, r.token, shared.value.lexicon)]
+            doc, token = (np.concatenate(x) for x in zip(*parts))
             p = [shared.value.scorers[t].score(b.num_rows, doc, token) for t in TARGETS]
             keep = (p[0] < 0.5) & (p[1] < 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[0]), pa.array(p[1]), pa.array(keep)], names=[*names, *new])

@@ -19,16 +19,23 @@ BLOCKED_PHRASES = [
     "pump and dump", "get rich quick", "hack", "exploit",
 ]
 SLICE_CHARS = 50
-# Status text shown for an author's step in a trace.
-STEP_STATUS = {
-    "system": "Preparing context",
-    "assistant": "Composing answer",
+# The author whose events are the answer itself, and the detail
+# text of the other authors' steps.
+FORMATTER = "ResponseBeautifier"
+STEP_DETAIL = {
+    "InvestmentAdvisorRouter": "Routing to specialist...",
+    "SectorAnalyst": "Analyzing sectors...",
+    "CompanyAnalyst": "Analyzing companies...",
+    "PortfolioOptimizer": "Optimizing portfolio...",
+    "InvestmentEducator": "Searching knowledge base...",
+    "QualityJudge": "Validating response...",
 }
 
 
 def sessions(turns: DataFrame) -> DataFrame:
     """Per conversation, title = first 80 characters of its first user
-    message (else 'Untitled Chat'), first and last turn, turn count."""
+    message (else 'Untitled Chat'), first and last turn, turn count; newest
+    first."""
     is_user = F.col("role") == "user"
     g = turns.groupBy("conv_id").agg(
         F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("_first_user"),
@@ -37,12 +44,17 @@ def sessions(turns: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_turns"),
     )
     title = F.coalesce(F.substring("_first_user", 1, TITLE_CHARS), F.lit(UNTITLED))
-    return g.select("conv_id", title.alias("title"), "created_turn", "last_turn", "n_turns")
+    return (g.select("conv_id", title.alias("title"), "created_turn", "last_turn", "n_turns")
+             .orderBy(F.desc("last_turn"), F.desc("conv_id")))
 
 
-def transcript(turns: DataFrame) -> DataFrame:
+def transcript(turns: DataFrame, part: str | None = None) -> DataFrame:
     """Messages in turn order with the role folded to user / assistant;
-    empty texts dropped. Long form (one row per message)."""
+    empty texts dropped. Long form (one row per message). With ``part`` (the
+    position column) a message's parts are joined in their order first."""
+    if part is not None:
+        texts = F.transform(F.array_sort(F.collect_list(F.struct(part, "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+        turns = turns.groupBy("conv_id", "turn", "role").agg(F.array_join(texts, "").alias("text"))
     return (turns.where(F.col("text").isNotNull() & (F.length("text") > 0))
                  .select("conv_id", "turn",
                          F.when(F.col("role") == "user", F.lit("user")).otherwise(F.lit("assistant"))
@@ -77,11 +89,15 @@ def slice_text(turns: DataFrame, width: int = SLICE_CHARS, text: str = "text") -
     return turns.select("conv_id", "turn", F.posexplode(pieces).alias("slice_no", "slice"))
 
 
-def step_trace(turns: DataFrame) -> DataFrame:
-    """Numbered steps per conversation — every event except the user's
-    own messages, each with a status text for its author."""
-    status = F.create_map(*[x for k, v in STEP_STATUS.items() for x in (F.lit(k), F.lit(v))])
-    ev = turns.where(F.col("role") != "user")
+def step_trace(events: DataFrame, author: str = "author", tool: str = "tool") -> DataFrame:
+    """Numbered steps per conversation — every event with an author other
+    than the user and the formatter; an event that calls a tool says so, the
+    others show their author's detail text."""
+    known = F.create_map(*[x for k, v in STEP_DETAIL.items() for x in (F.lit(k), F.lit(v))])
+    name, called = F.col(author), F.col(tool).isNotNull()
+    ev = events.where((F.coalesce(F.length(name), F.lit(0)) > 0) & ~name.isin("user", FORMATTER))
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return ev.select("conv_id", "turn", F.row_number().over(w).cast("bigint").alias("step"),
-                     "role", F.coalesce(status[F.col("role")], F.lit("Working")).alias("status"))
+    return ev.select("conv_id", "turn", F.row_number().over(w).cast("bigint").alias("step"), name.alias("agent"),
+                     F.col(tool).alias("tool"), F.when(called, "calling").otherwise("processing").alias("status"),
+                     F.when(called, F.concat(F.lit("Calling "), F.col(tool), F.lit("...")))
+                     .otherwise(F.coalesce(known[name], F.concat(name, F.lit(" processing...")))).alias("detail"))

@@ -58,14 +58,46 @@ def j4_text_slices(t):
     return J.slice_text(t.raw("conversations"))
 
 
-@register("j5_step_trace", """
-select conv_id, turn, row_number() over (partition by conv_id order by turn) as step, role,
-  case role when 'system' then 'Preparing context' when 'assistant' then 'Composing answer' else 'Working' end
-    as status
-from conversations where role != 'user'""")
+@register("j3_latest_guard", f"""
+select conv_id, turn, len(h) as n_hits, array_to_string(h, ',') as phrases, len(h) > 0 as blocked
+from (select conv_id, turn, list_filter({_PHRASES}, lambda p: contains(lower(text), p)) as h
+      from (select conv_id, max(turn) as turn, arg_max(text, turn) as text from conversations
+            where role = 'user' group by 1) u) x""")
+def j3_latest_guard(t):
+    """J3 as a request guard: the newest user message of every conversation."""
+    return J.flag_blocked(t.raw("conversations"), latest_only=True)
+
+
+@register("j2_transcript_parts", """
+select conv_id, turn, case when role = 'user' then 'user' else 'assistant' end as role, text as content
+from conversations where text is not null and length(text) > 0""")
+def j2_transcript_parts(t):
+    """Messages that come in parts (their 50-character slices), joined."""
+    turns = t.raw("conversations")
+    parts = J.slice_text(turns).join(turns.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return J.transcript(parts.withColumnRenamed("slice", "text"), part="slice_no")
+
+
+_AUTHORS = ["user", J.FORMATTER, *J.STEP_DETAIL, "Helper"]
+
+
+@register("j5_step_trace", f"""
+with e as (select conv_id, turn,
+             case when role = 'user' then 'user' else {[*_AUTHORS]}[cast(turn * 5 % {len(_AUTHORS)} as integer) + 1] end as author,
+             case when turn % 3 = 0 then 'search' end as tool from conversations)
+select conv_id, turn, row_number() over (partition by conv_id order by turn) as step, author as agent, tool,
+  case when tool is not null then 'calling' else 'processing' end as status,
+  case when tool is not null then 'Calling ' || tool || '...'
+       {' '.join(f"when author = '{k}' then '{v}'" for k, v in J.STEP_DETAIL.items())}
+       else author || ' processing...' end as detail
+from e where author not in ('user', '{J.FORMATTER}')""")
 def j5_step_trace(t):
-    """Numbered non-user steps with status text."""
-    return J.step_trace(t.raw("conversations"))
+    """Steps of every conversation; authors dealt over the turns, every
+    third turn a tool call."""
+    at = (F.col("turn") * 5 % len(_AUTHORS)).cast("int")
+    author = F.when(F.col("role") == "user", "user").otherwise(F.get(F.array(*map(F.lit, _AUTHORS)), at))
+    return J.step_trace(t.raw("conversations").withColumns(
+        {"author": author, "tool": F.when(F.col("turn") % 3 == 0, F.lit("search"))}))
 
 
 # ------------------------------------------------------------------ A

@@ -134,11 +134,29 @@ def softmax_weights(scores: DataFrame, keys=("portfolio_id", "date"), score: str
 
 # ------------------------------------------------------------------- H4
 
+# The guard on requests.
+ALLOCATE_MAX = 30
+NEGATIVE_AMOUNT = "Investment amount must be positive"
+
+
+def guard_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H4 guard: (requests to serve, their size capped at ALLOCATE_MAX; refused
+    ones as request_id, error). A negative amount is refused, a missing one not."""
+    amount = F.col("investment_amount") if "investment_amount" in requests.columns else F.lit(None).cast("double")
+    negative = F.coalesce(amount < 0, F.lit(False))
+    served = requests.where(~negative)
+    if "max_stocks" in requests.columns:
+        served = served.withColumn("max_stocks", F.least("max_stocks", F.lit(ALLOCATE_MAX)))
+    return served, requests.where(negative).select("request_id", F.lit(NEGATIVE_AMOUNT).alias("error"))
+
+
 def allocate(metrics: DataFrame, companies: DataFrame, requests: DataFrame,
              method: str = "esg", project: bool = True) -> DataFrame:
-    """H4 allocation rows per request: eligible companies only, weights by
-    ``method`` (esg | equal), optionally projected (H1); weight rounded to 4
-    dp, percent text, amount = weight · investment (2 dp)."""
+    """H4 allocation rows of the requests that pass ``guard_requests``:
+    eligible companies only, weights by ``method`` (esg | equal), optionally
+    projected (H1); weight rounded to 4 dp, percent text, amount = weight ·
+    investment (2 dp). ``by_weight`` orders them as shown."""
+    requests, _ = guard_requests(requests)
     sel = select_top(metrics, companies, requests, eligible_only=True)
     sel = esg_weight(sel) if method == "esg" else equal_weight(sel)
     if project:
@@ -157,6 +175,11 @@ def allocate(metrics: DataFrame, companies: DataFrame, requests: DataFrame,
     )
 
 
+def by_weight(allocations: DataFrame) -> DataFrame:
+    """H4: each request's rows, the largest weight first."""
+    return allocations.orderBy("request_id", F.desc("weight"), "symbol")
+
+
 def allocation_totals(allocations: DataFrame, requests: DataFrame) -> DataFrame:
     """H4 totals per request: weighted Sharpe (3 dp) and ESG (1 dp) from the
     rounded weights, holdings, distinct sectors, and the profile echoes."""

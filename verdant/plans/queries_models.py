@@ -393,7 +393,7 @@ select request_id as portfolio_id, symbol, sector, name, sharpe_252d, avg_esg_co
   case when sum(coalesce(avg_esg_composite, 0)) over (partition by request_id) > 0
     then coalesce(avg_esg_composite, 0) / sum(coalesce(avg_esg_composite, 0)) over (partition by request_id)
     else 1.0e0 / count(*) over (partition by request_id) end as w0
-from m_sel_elig
+from m_sel_elig where rank <= 30 and (investment_amount is null or investment_amount >= 0)
 """)
 
 
@@ -406,7 +406,7 @@ select portfolio_id as request_id, symbol, name, sector, round(weight_final, 4)
 from proj""")
 def h4_allocations(t):
     """H4: allocation rows per request (ESG weights, projected)."""
-    return P.allocate(metrics_of(t), t.companies(), _segment_requests(t), method="esg")
+    return P.by_weight(P.allocate(metrics_of(t), t.companies(), _segment_requests(t), method="esg"))
 
 
 @register("h4_allocation_totals", f"""

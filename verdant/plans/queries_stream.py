@@ -114,7 +114,7 @@ def k4_incremental_recompute(t):
     """K4: price histories arriving in three batches of symbols; each batch
     re-measures only its symbols and re-ranks their sectors; a quarter of the
     symbols is uploaded again; the final metric table equals a full recompute."""
-    root = K.scratch(spark, "k4")
+    root = K.scratch(t.spark, "k4")
     last = _recomputed(t, root)
     m = last("metrics")
     return m.select("symbol", "as_of_date", "annual_return", "annual_volatility", "sharpe_252d", "sortino_252d",

@@ -39,7 +39,7 @@ END = CLASSES                 # the class of a text's end
 STATES, ROUNDS = 6, 5
 STRETCH = 256                 # tokens of a stretch in training and in transfer matrices
 CHUNK_TOKENS, CHUNK_DOCS = 256_000, 20_000
-PART_ENTRIES = 1_000_000      # vocabulary entries that meet in one task
+PART_ENTRIES = 400_000        # vocabulary entries that meet in one task
 FOLDS, HELD = 7, 2
 SMOOTH = 2.0                  # weight of the class frequencies in every state's emissions
 
@@ -54,7 +54,8 @@ def classes_of(kinds: np.ndarray) -> np.ndarray:
 
 def read_chunks(docs: DataFrame) -> DataFrame:
     """One row a chunk of documents: ids, whether held out, words of each, word
-    numbers, and the sorted hashes and training counts of the local vocabulary."""
+    numbers, and the sorted hashes, their classes and the training counts of
+    the local vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -68,11 +69,11 @@ def read_chunks(docs: DataFrame) -> DataFrame:
             kinds, at = np.unique(words, return_inverse=True)
             counts = np.bincount(at[np.repeat(~held, n)], minlength=len(kinds))
             at = at.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
-            blobs = (held, n.astype(np.int32), at, kinds, counts.astype(np.uint32))
+            blobs = (held, n.astype(np.int32), at, kinds, classes_of(kinds).astype(np.uint16), counts.astype(np.uint32))
             return pa.RecordBatch.from_arrays(
                 [pa.array([task << 32 | number]), pa.array([ids], pa.list_(pa.int64())),
                  *(pa.array([x.tobytes()], pa.binary()) for x in blobs)],
-                names=["chunk", "doc_ids", "held", "lens", "at", "kinds", "counts"])
+                names=["chunk", "doc_ids", "held", "lens", "at", "kinds", "classes", "counts"])
 
         for b in batches:
             h, n = word_hashes(b.column("text"))
@@ -87,7 +88,7 @@ def read_chunks(docs: DataFrame) -> DataFrame:
             yield flush()
 
     return arrow_map(docs.select("doc_id", "text"), run, "chunk bigint, doc_ids array<bigint>, held binary, lens binary, "
-                                                         "at binary, kinds binary, counts binary")
+                                                         "at binary, kinds binary, classes binary, counts binary")
 
 
 def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
@@ -115,15 +116,16 @@ def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
             kinds, at = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate([c for _, _, c in held])).astype(np.int64)
             ends = np.cumsum([len(k) for _, k, _ in held])
-            answers = np.split(total[at], ends[:-1])
+            answers = np.split(total[at].astype(np.uint32 if total.max() < 1 << 32 else np.int64), ends[:-1])
             for i in range(0, len(held), 200):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in held[i:i + 200]], pa.int64()), pa.array([part] * len(held[i:i + 200]), pa.int64()),
-                     pa.array([x.tobytes() for x in answers[i:i + 200]], pa.binary())], names=["chunk", "part", "counts"])
+                     pa.array([x.tobytes() for x in answers[i:i + 200]], pa.binary()),
+                     pa.array([answers[0].itemsize] * len(held[i:i + 200]), pa.int64())], names=["chunk", "part", "counts", "width"])
             cls, at = np.unique(classes_of(kinds), return_inverse=True)
             table = np.stack([cls, np.bincount(at, weights=total).astype(np.int64), np.bincount(at, weights=total > 0).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part], pa.int64()), pa.array([table.tobytes()], pa.binary())],
-                                             names=["chunk", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([part], pa.int64()), pa.array([table.tobytes()], pa.binary()),
+                                              pa.array([8])], names=["chunk", "part", "counts", "width"])
 
         for b in batches:
             for k, chunk, kinds, counts in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "kinds", "counts"))):
@@ -138,7 +140,7 @@ def word_counts(chunks: DataFrame, parts: int) -> DataFrame:
     dealt = arrow_map(chunks.select("chunk", "kinds", "counts"), deal, "part bigint, chunk bigint, kinds binary, counts binary")
     tasks = max(partitions(spark), min(parts, 4 * partitions(spark)))
     return arrow_map(dealt.repartition(tasks, "part").sortWithinPartitions("part", "chunk"), meet,
-                     "chunk bigint, part bigint, counts binary")
+                     "chunk bigint, part bigint, counts binary, width bigint")
 
 
 @dataclass
@@ -261,9 +263,9 @@ def baum_welch(chunks: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -
             emits, steps, starts = np.zeros((CLASSES + 1, STATES)), np.zeros((STATES, STATES)), np.zeros((2, STATES))
             for b in batches:
                 for row in b.to_pylist():
-                    held, lens, at, kinds = _arrays(row)
+                    held, lens, at, classes = _arrays(row)
                     train = ~held
-                    cls = classes_of(kinds)[at[np.repeat(train, lens)]]
+                    cls = classes[at[np.repeat(train, lens)]]
                     if train.any():
                         e, t, s = expected_counts(m, cut(cls, lens[train]))
                         emits, steps, starts = emits + e, steps + t, starts + s
@@ -271,7 +273,7 @@ def baum_welch(chunks: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -
             some = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(table[some, k]) for k in range(STATES))], names=["row", *names])
 
-        sums = (arrow_map(chunks.select("held", "lens", "at", "kinds"), run, "row bigint, " + ", ".join(f"{x} double" for x in names))
+        sums = (arrow_map(chunks.select("held", "lens", "at", "classes"), run, "row bigint, " + ", ".join(f"{x} double" for x in names))
                 .groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow())      # CLASSES + 1 + STATES + 2 rows
         table = np.zeros((CLASSES + 1 + STATES + 2, STATES))
         table[sums.column("row").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], axis=1)
@@ -284,9 +286,10 @@ def baum_welch(chunks: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    kinds = np.frombuffer(row["kinds"], np.uint64)
-    at = np.frombuffer(row["at"], np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
-    return np.frombuffer(row["held"], bool), np.frombuffer(row["lens"], np.int32).astype(np.int64), at, kinds
+    """Whether held out, words, word numbers, and the classes these number."""
+    classes = np.frombuffer(row["classes"], np.uint16).astype(np.int64)
+    at = np.frombuffer(row["at"], np.uint16 if len(classes) <= 1 << 16 else np.uint32)
+    return np.frombuffer(row["held"], bool), np.frombuffer(row["lens"], np.int32).astype(np.int64), at, classes
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -320,9 +323,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         head, parts = None, []
 
         def flush() -> pa.RecordBatch:
-            held, lens, at, kinds = _arrays(head)
+            held, lens, at, cls = _arrays(head)
             c = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            cls = classes_of(kinds)
             s = cut(cls[at], lens)
             hidden = log_likelihood(m, s, len(lens)) / np.log(10)
             word = np.log10((c + 1) / (seen[cls] + kinds_of[cls] + 1))
@@ -342,11 +344,11 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         yield flush()
                     head, parts = row, []
                 else:
-                    parts.append(np.frombuffer(row["counts"], np.int64))
+                    parts.append(np.frombuffer(row["counts"], np.uint32 if row["width"] == 4 else np.int64).astype(np.int64))
         if head is not None:
             yield flush()
 
-    heads = chunks.drop("counts").withColumns({"part": F.lit(-1).cast("bigint"), "counts": F.lit(None).cast("binary")})
+    heads = chunks.drop("counts", "kinds").withColumns({"part": F.lit(-1).cast("bigint")})
     both = heads.unionByName(counts.where("chunk >= 0"), allowMissingColumns=True)
     gathered = both.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "part")
     return arrow_map(gathered, run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

@@ -4,7 +4,10 @@ A document's set holds its distinct 4-word shingles. Documents with equal sets
 form a class; classes are joined, copies are not. Two sets of Jaccard
 similarity 0.85 share, under any common order of shingles, ``c`` of the first
 ``n - ceil(0.85 n) + c`` (the prefix of a set of size n). The order puts
-shingles that repeat within a stretch of the corpus last.
+shingles that many classes have last: all shingles are counted, by 40 bits of
+their hashes, and filters of fixed size hold those of at least as many classes
+as keeps the first sparse, and of some times as many. A wrong member only
+costs order, never a result.
 
 * Light sets (size up to a boundary) enumerate the 2-subsets of their prefix
   (c = 2) and meet in equal subsets.
@@ -20,7 +23,9 @@ Candidates are not all pairs of a list: each list links its members to one
 leader, links are verified on the whole sets, and lists whose members are not
 yet connected elect another leader. What stays unconnected when that no longer
 pays is compared pair by pair, across components only, so no link between
-different components is lost.
+different components is lost. Before whole sets are fetched, pairs are tried
+on parity bitmaps: sets differ in at least as many shingles as their bitmaps
+in bits, so too many bits rule a pair out for certain.
 
 Defined cases: a null or empty text, or one without words, has the empty set
 and is linked with nothing; a text of one to three words has one shingle;
@@ -37,15 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import (arrow_map, bit_filter, components, in_filter, mix64, partitions, prepare,
+from verdant.llm.common import (FILTER_BITS, arrow_map, bit_filter, components, in_filter, mix64, partitions, prepare,
                                 shingle_hashes, stored)
 
 WIDTH = 4
 NUM, DEN = 85, 100            # similarity at least NUM / DEN
 LEAST = 6                     # smaller sets are similar to equal ones only
-STRETCH = 2_000_000           # shingles among which repetition is looked for
+STRETCH = 2_000_000           # shingles sorted and sent together when they are counted
+SLOT_BITS = 40                # of a shingle's hash by which it is counted
+LEVELS = (2, 3, 4, 6, 8, 12, 16, 32, 64, 256, 1024)   # classes from which on a shingle may count as frequent
 PART_ROWS = 1_000_000         # entries of one part of the key space
 SALTS = 16
+LONG_LIST = 1000              # entries beyond which a key's list is dealt over SALTS tasks
+BITMAP = 1024                 # bits of a set's parity bitmap
 MAX_LIGHT = 64                # sizes considered for the boundary
 
 
@@ -73,44 +82,107 @@ def _sets(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return np.split(h, ends[:-1]), sizes, cls
 
 
+def _bitmaps(sets: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
+    cell = np.repeat(np.arange(len(sizes)) * BITMAP, sizes) + (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) % BITMAP
+    odd = (np.bincount(cell, minlength=len(sizes) * BITMAP) & 1).astype(np.uint8).reshape(len(sizes), BITMAP)
+    return [row.tobytes() for row in np.packbits(odd, axis=1)]
+
+
 def read_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, class (set hash), n, hot: shingles that occur in several classes
-    of a stretch, listed with one row of the stretch."""
+    """doc_id, class (set hash), n, bits (parity bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sets, sizes, cls = _sets(b)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array(cls.view(np.int64)), pa.array(sizes, pa.int64()),
+                     pa.array(_bitmaps(sets, sizes), pa.binary())], names=["doc_id", "class", "n", "bits"])
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, class bigint, n bigint, bits binary")
+
+
+def frequent(docs: DataFrame, total: int) -> tuple[list[np.ndarray], float]:
+    """Filters (see ``in_filter``) of the shingles that many, more and still
+    more classes share, and the share of all shingles that occur in several
+    classes."""
+    spark = docs.sparkSession
+    bits = 6
+    while bits < 20 and total >> bits > PART_ROWS:
+        bits += 1                                                   # 2 ** bits parts of the hash space
+    low = np.uint64((1 << (SLOT_BITS - bits)) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            slots = np.sort(np.concatenate(held) >> np.uint64(64 - SLOT_BITS))
+            kinds, at = np.unique(slots >> np.uint64(SLOT_BITS - bits), return_index=True)
+            # within a part the slots ascend: differences are short
+            blobs = [np.diff(x & low, prepend=np.uint64(0)).astype(np.uint32 if SLOT_BITS - bits <= 32 else np.uint64).tobytes()
+                     for x in np.split(slots, at[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "slots"])
+
         for b in batches:
-            sets, sizes, cls = _sets(b)
+            sets, _, cls = _sets(b)
             for s, c in zip(sets, cls.tolist()):
                 if len(s) >= LEAST and c not in seen:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
-            hot = None
             if size >= STRETCH:
-                hot, held, size = _repeated(held), [], 0
-                seen.clear()
-            yield _marks(b.column("doc_id"), cls, sizes, hot)
+                yield flush()
+                held, size = [], 0
         if held:
-            yield _marks(pa.array([None], pa.int64()), np.zeros(1, np.uint64), np.array([-1]), _repeated(held))
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, class bigint, n bigint, hot array<bigint>")
+            yield flush()
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
 
-def _repeated(sets: list[np.ndarray]) -> np.ndarray:
-    h = np.sort(np.concatenate(sets))
-    twice = h[1:] == h[:-1]
-    return np.unique(h[1:][twice])
+        def flush() -> pa.RecordBatch:
+            slots, times = np.unique(np.concatenate(held), return_counts=True)
+            words = FILTER_BITS // 64 >> bits
+            place = slots >> np.uint64(SLOT_BITS - 26)               # the filter's bit, from the part's first on
+            pieces, members = [], []
+            for level in LEVELS:
+                piece = np.zeros(words, np.uint64)
+                at = place[times >= level]
+                np.bitwise_or.at(piece, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+                pieces.append(piece.tobytes())
+                members.append(len(at))
+            several = int(times[times >= 2].sum())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(LEVELS)), pa.array(list(range(len(LEVELS)))), pa.array(members, pa.int64()),
+                 pa.array([several] * len(LEVELS), pa.int64()), pa.array(pieces, pa.binary())],
+                names=["part", "level", "members", "several", "piece"])
 
+        for b in batches:
+            for k, blob in zip(b.column("part").to_pylist(), b.column("slots").to_pylist()):
+                if k != part and held:
+                    yield flush()
+                    held = []
+                part = k
+                held.append(np.cumsum(np.frombuffer(blob, np.uint32 if SLOT_BITS - bits <= 32 else np.uint64), dtype=np.uint64))
+        if held:
+            yield flush()
 
-def _marks(ids: pa.Array, cls: np.ndarray, sizes: np.ndarray, hot: np.ndarray | None) -> pa.RecordBatch:
-    lists = [None] * len(sizes)
-    if hot is not None and len(lists):
-        lists[-1] = hot.view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(cls.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-        names=["doc_id", "class", "n", "hot"])
+    tasks = max(partitions(spark), min(1 << bits, 4 * partitions(spark)))
+    dealt = arrow_map(docs.select("doc_id", "text"), deal, "part bigint, slots binary")
+    pieces = stored(arrow_map(dealt.repartition(tasks, "part").sortWithinPartitions("part"), count,
+                              "part bigint, level bigint, members bigint, several bigint, piece binary"), "frequent")
+    sums = {r.level: r for r in pieces.groupBy("level").agg(F.sum("members").alias("members"), F.sum("several").alias("several")).collect()}
+    if not sums:
+        return [], 0.0
+    level = next((k for k in range(len(LEVELS)) if sums[k].members <= FILTER_BITS // 8), len(LEVELS) - 1)
+    words, filters = FILTER_BITS // 64 >> bits, []
+    for k in range(level, len(LEVELS)):
+        if k == level or LEVELS[k] >= 4 * LEVELS[level]:
+            level, out = k, np.zeros(FILTER_BITS // 64, np.uint64)
+            for r in pieces.where(F.col("level") == k).select("part", "piece").collect():      # FILTER_BITS in all
+                out[r.part * words:(r.part + 1) * words] = np.frombuffer(r.piece, np.uint64)
+            filters.append(out)
+    return filters, sums[0].several / max(1, total)
 
 
 def boundary(histogram: dict[int, int], companions: float) -> int:
@@ -132,33 +204,35 @@ def boundary(histogram: dict[int, int], companions: float) -> int:
     return min(range(LEAST - 1, MAX_LIGHT + 1), key=cost)
 
 
-def _entries(s: np.ndarray, hot: np.ndarray, x: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and whether each is built of frequent shingles only."""
+def _entries(s: np.ndarray, filters: list[np.ndarray], x: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set and whether each is built of very frequent shingles only."""
     n = len(s)
-    common = in_filter(hot, s)
-    order = np.concatenate([np.flatnonzero(~common), np.flatnonzero(common)])
-    keys, often = [], []
+    often = np.zeros(n, np.int64)
+    for f in filters:
+        often += in_filter(f, s)
+    order = np.argsort(often, kind="stable")              # the rarest first
+    keys, hot = [], []
     with np.errstate(over="ignore"):
         if n <= x:
             at = order[:prefix_length(n, 2)]
             i, j = np.triu_indices(len(at), 1)
             lo, hi = np.minimum(s[at][i], s[at][j]), np.maximum(s[at][i], s[at][j])
             keys.append(mix64(lo * np.uint64(0x9E3779B97F4A7C15) ^ hi))
-            often.append(common[at][i] & common[at][j])
+            hot.append(np.minimum(often[at][i], often[at][j]) > 2)
         if n >= overlap_needed(x + 1):
             at = order[:prefix_length(n, 1)]
             keys.append(s[at])
-            often.append(common[at])
-    return np.concatenate(keys), np.concatenate(often)
+            hot.append(often[at] > 2)
+    return np.concatenate(keys), np.concatenate(hot)
 
 
 _ROW = np.dtype([("key", "<u8"), ("class", "<u8"), ("n", "<u4"), ("hot", "<u4")])
 
 
-def shared_entries(docs: DataFrame, hot: np.ndarray, x: int, parts: int) -> DataFrame:
+def shared_entries(docs: DataFrame, filters: list[np.ndarray], x: int, parts: int) -> DataFrame:
     """key, class, n of the keys that several classes have."""
     spark = docs.sparkSession
-    filter_ = spark.sparkContext.broadcast(hot)
+    shared = spark.sparkContext.broadcast(filters)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,7 +255,7 @@ def shared_entries(docs: DataFrame, hot: np.ndarray, x: int, parts: int) -> Data
                 if len(s) < LEAST or c in seen:
                     continue
                 seen.add(c)
-                keys, often = _entries(s, filter_.value, x)
+                keys, often = _entries(s, shared.value, x)
                 rows = np.empty(len(keys), _ROW)
                 rows["key"], rows["class"], rows["n"], rows["hot"] = keys, c, len(s), often
                 held.append(rows)
@@ -242,6 +316,22 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
+def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose parity bitmaps do not rule them out."""
+    a = bitmaps.select(F.col("class").alias("a"), F.col("bits").alias("bits_a"))
+    b = bitmaps.select(F.col("class").alias("b"), F.col("bits").alias("bits_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            most = total - 2 * (-(-NUM * total // (NUM + DEN)))
+            keep = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a bigint, b bigint")
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
@@ -261,38 +351,46 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint")
 
 
-def link_classes(entries: DataFrame, sets: DataFrame) -> DataFrame:
+def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """class, root: the components of similar classes among ``entries``."""
     links, tried, owner = None, None, None
-    before = None
+    before, lists = None, entries
     for turn in range(1 << 30):
-        lists = entries if owner is None else entries.join(owner, "class", "left")
+        lists = lists.select("key", "class", "n")           # keys left open; the others need no further look
+        if owner is not None:
+            lists = lists.join(owner, "class", "left")
         lists = lists.withColumn("root", F.coalesce("root", "class") if owner is not None else F.col("class"))
         by_root = lists.groupBy("key", "root").count()
         open_keys = (by_root.groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
                      .withColumn("pairs", (F.col("all") * F.col("all") - F.col("own")) / 2).where("pairs > 0"))
-        lists = stored(lists.join(open_keys.select("key"), "key", "left_semi"), "lists")
+        salts = F.when(F.col("all") > LONG_LIST, F.lit(SALTS)).otherwise(F.lit(1))
+        lists = stored(lists.join(open_keys.select("key", salts.alias("salts")), "key"), "lists")
         left = open_keys.agg(F.sum("pairs"), F.sum("all")).first()
         if not left[0]:
             break
-        last = left[0] <= 4 * left[1] or (before is not None and left[0] > 0.8 * before)
+        last = left[0] <= 4 * left[1] or (before is not None and left[0] > 0.9 * before)
         before = left[0]
         if last:
             other = lists.select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
             pairs = (lists.select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
                      .join(other, "key").where("a < b and root_a <> root_b"))
         else:
-            leader = lists.groupBy("key").agg(F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("l"))
-            leader = leader.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            salted = lists.withColumn("salt", F.pmod(F.col("class"), F.lit(SALTS)).cast("int"))
+            leader = (lists.groupBy("key", "salts")
+                      .agg(F.min_by(F.struct("class", "n", "root"), F.xxhash64("class", F.lit(turn))).alias("l"))
+                      .select("key", "l", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
+            salted = lists.withColumn("salt", F.pmod(F.col("class"), F.col("salts")).cast("int"))
             pairs = (salted.join(leader, ["key", "salt"]).where("root <> l.root")
                      .select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"),
-                             F.col("n").alias("n_a"), F.col("l.n").alias("n_b")))
-        pairs = pairs.where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").select("a", "b").distinct()
+                             F.when(F.col("class") < F.col("l.class"), F.col("n")).otherwise(F.col("l.n")).alias("n_a"),
+                             F.when(F.col("class") < F.col("l.class"), F.col("l.n")).otherwise(F.col("n")).alias("n_b")))
+        pairs = pairs.where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        found = stored(similar(pairs, sets), "links")
+        close = stored(possible(pairs, bitmaps), "close")
+        both = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        found = stored(similar(close, candidate_sets(docs, both)), "links")
+        pairs = pairs.select("a", "b")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         owner = stored(components(links, "a", "b").select(F.col("node").alias("class"), "root"), "owners")
@@ -307,18 +405,15 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     marks = stored(read_sets(docs), "sets")
-    rows = marks.where("n >= 0").select("doc_id", "class", "n")
-    hot = bit_filter(marks.select(F.explode("hot").alias("h")), "h")
+    rows = marks.select("doc_id", "class", "n")
     sizes = rows.where(f"n >= {LEAST}").agg(F.sum("n"), F.sum(F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)).first()
     histogram = {r.n: r["count"] for r in rows.where(f"n between {LEAST} and {4 * MAX_LIGHT}").groupBy("n").count().collect()}
-    repeats = marks.select(F.sum(F.size("hot").cast("bigint")).alias("k")).where("k > 0").first()
-    companions = (repeats.k if repeats else 0) / max(1, sizes[0] or 0) * 10
+    filters, companions = frequent(docs, sizes[0] or 0)
     x = boundary(histogram, companions)
     parts = max(partitions(spark), int((sizes[1] or 0) * 1.2) // PART_ROWS + 1)
-    entries = stored(shared_entries(docs, hot, x, parts), "entries")
-    listed = entries.select("class").distinct()
-    sets = stored(candidate_sets(docs, listed), "candidates")
-    owner = link_classes(entries, sets)
+    entries = stored(shared_entries(docs, filters, x, parts), "entries")
+    bitmaps = stored(marks.where(f"n >= {LEAST}").groupBy("class").agg(F.first("bits").alias("bits")), "bitmaps")
+    owner = link_classes(entries, bitmaps, docs)
     classes = (rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     if owner is not None:
         classes = classes.join(owner, "class", "left")

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 from verdant.llm import decontaminate as D
 
@@ -12,13 +13,18 @@ def words(t):
 
 
 def brute(docs, items):
-    out = {}
+    out, at = {}, {}
+    for d, t in docs:
+        places = at.setdefault((d, t), {})
+        for p, x in enumerate(words(t)):
+            places.setdefault(x, set()).add(p)
     for (d, t), (i, s) in itertools.product(docs, items):
         w, b = words(t), words(s)
         if len(b) < D.LEAST:
             continue
         n = min(D.WINDOW, len(b))
-        for shift in range(-len(b), len(w)):
+        shifts = Counter(p - j for j, x in enumerate(b) for p in at.get((d, t), {}).get(x, ()))
+        for shift in (k for k, c in shifts.items() if c >= n - n // 6):
             same = [0 <= shift + j < len(w) and w[shift + j] == b[j] for j in range(len(b))]
             best = max(sum(same[k:k + n]) for k in range(len(b) - n + 1))
             if best >= n - n // 6:

@@ -1,9 +1,10 @@
 """Operator 3 — n-gram Jaccard self-join, size-aware heavy-light.
 
-A document's set holds its distinct 4-word shingles. Documents with equal sets
-form a class; classes are joined, copies are not. Two sets of Jaccard
-similarity 0.85 share, under any common order of shingles, ``c`` of the first
-``n - ceil(0.85 n) + c`` (the prefix of a set of size n). The order puts
+A document's set holds its distinct shingles of ``width`` words. Documents with
+equal sets form a class; classes are joined, copies are not. Two sets of Jaccard
+similarity s share, under any common order of shingles, ``c`` of the first
+``n - ceil(s n) + c`` (the prefix of a set of size n). Width and similarity are
+arguments (``Likeness``): 4 words and 0.85 unless the caller says otherwise. The order puts
 shingles that many classes have last: all shingles are counted, by 40 bits of
 their hashes, and filters of fixed size hold those of at least as many classes
 as keeps the first sparse, and of some times as many. A wrong member only
@@ -28,7 +29,7 @@ on parity bitmaps: sets differ in at least as many shingles as their bitmaps
 in bits, so too many bits rule a pair out for certain.
 
 Defined cases: a null or empty text, or one without words, has the empty set
-and is linked with nothing; a text of one to three words has one shingle;
+and is linked with nothing; a text of fewer words than a shingle has one shingle;
 repeated rows are copies; a null doc_id takes part, and a component's id is its
 smallest non-null id; other columns pass through ``keep_one``.
 """
@@ -36,6 +37,7 @@ smallest non-null id; other columns pass through ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,32 @@ from pyspark.sql import functions as F
 from verdant.llm.common import (FILTER_BITS, arrow_map, bit_filter, components, in_filter, mix64, partitions, prepare,
                                 shingle_hashes, stored)
 
-WIDTH = 4
-NUM, DEN = 85, 100            # similarity at least NUM / DEN
-LEAST = 6                     # smaller sets are similar to equal ones only
+
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of shingles of ``width`` words, similar from ``num / den`` on."""
+    width: int = 4
+    num: int = 85
+    den: int = 100
+
+    def __post_init__(self):
+        if self.width < 1 or not self.den < 2 * self.num < 2 * self.den:     # two shared shingles need more than a half
+            raise ValueError("width must be positive and similarity between 1/2 and 1")
+
+    @property
+    def least(self) -> int:
+        """Smaller sets are similar to equal ones only."""
+        return -(-self.num // (self.den - self.num))
+
+    def overlap_needed(self, n):
+        return (self.num * n + self.den - 1) // self.den
+
+    def prefix_length(self, n, c: int):
+        return n - self.overlap_needed(n) + c
+
+
+CONTRACT = Likeness()         # of the query op3_jaccard_join
+LEAST = CONTRACT.least
 STRETCH = 2_000_000           # shingles sorted and sent together when they are counted
 SLOT_BITS = 40                # of a shingle's hash by which it is counted
 LEVELS = (2, 3, 4, 6, 8, 12, 16, 32, 64, 256, 1024)   # classes from which on a shingle may count as frequent
@@ -58,17 +83,9 @@ BITMAP = 1024                 # bits of a set's parity bitmap
 MAX_LIGHT = 64                # sizes considered for the boundary
 
 
-def overlap_needed(n):
-    return (NUM * n + DEN - 1) // DEN
-
-
-def prefix_length(n, c: int):
-    return n - overlap_needed(n) + c
-
-
-def _sets(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _sets(b: pa.RecordBatch, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text (sorted), their number, and a hash of the set."""
-    hashes, counts, _ = shingle_hashes(b.column("text"), WIDTH)
+    hashes, counts, _ = shingle_hashes(b.column("text"), width)
     doc = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((hashes, doc))
     h, d = hashes[order], doc[order]
@@ -88,13 +105,13 @@ def _bitmaps(sets: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.packbits(odd, axis=1)]
 
 
-def read_sets(docs: DataFrame) -> DataFrame:
+def read_sets(docs: DataFrame, like: Likeness) -> DataFrame:
     """doc_id, class (set hash), n, bits (parity bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sets, sizes, cls = _sets(b)
+                sets, sizes, cls = _sets(b, like.width)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(cls.view(np.int64)), pa.array(sizes, pa.int64()),
                      pa.array(_bitmaps(sets, sizes), pa.binary())], names=["doc_id", "class", "n", "bits"])
@@ -102,7 +119,7 @@ def read_sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, class bigint, n bigint, bits binary")
 
 
-def frequent(docs: DataFrame, total: int) -> tuple[list[np.ndarray], float]:
+def frequent(docs: DataFrame, total: int, like: Likeness) -> tuple[list[np.ndarray], float]:
     """Filters (see ``in_filter``) of the shingles that many, more and still
     more classes share, and the share of all shingles that occur in several
     classes."""
@@ -125,9 +142,9 @@ def frequent(docs: DataFrame, total: int) -> tuple[list[np.ndarray], float]:
             return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(blobs, pa.binary())], names=["part", "slots"])
 
         for b in batches:
-            sets, _, cls = _sets(b)
+            sets, _, cls = _sets(b, like.width)
             for s, c in zip(sets, cls.tolist()):
-                if len(s) >= LEAST and c not in seen:
+                if len(s) >= like.least and c not in seen:
                     seen.add(c)
                     held.append(s)
                     size += len(s)
@@ -185,26 +202,26 @@ def frequent(docs: DataFrame, total: int) -> tuple[list[np.ndarray], float]:
     return filters, sums[0].several / max(1, total)
 
 
-def boundary(histogram: dict[int, int], companions: float) -> int:
+def boundary(histogram: dict[int, int], companions: float, like: Likeness = CONTRACT) -> int:
     """The size up to which sets are light: least cost of subset entries and
     list entries, each with the companions it can expect."""
 
     def cost(x: int) -> float:
         out = 0.0
         for n, count in histogram.items():
-            if n < LEAST:
+            if n < like.least:
                 continue
-            p = prefix_length(n, 2)
+            p = like.prefix_length(n, 2)
             if n <= x:
                 out += count * (p * (p - 1) / 2) * (1 + companions ** 2)
-            if n >= overlap_needed(x + 1):
-                out += count * prefix_length(n, 1) * (1 + companions)
+            if n >= like.overlap_needed(x + 1):
+                out += count * like.prefix_length(n, 1) * (1 + companions)
         return out
 
-    return min(range(LEAST - 1, MAX_LIGHT + 1), key=cost)
+    return min(range(like.least - 1, MAX_LIGHT + 1), key=cost)
 
 
-def _entries(s: np.ndarray, filters: list[np.ndarray], x: int) -> tuple[np.ndarray, np.ndarray]:
+def _entries(s: np.ndarray, filters: list[np.ndarray], x: int, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set and whether each is built of very frequent shingles only."""
     n = len(s)
     often = np.zeros(n, np.int64)
@@ -214,13 +231,13 @@ def _entries(s: np.ndarray, filters: list[np.ndarray], x: int) -> tuple[np.ndarr
     keys, hot = [], []
     with np.errstate(over="ignore"):
         if n <= x:
-            at = order[:prefix_length(n, 2)]
+            at = order[:like.prefix_length(n, 2)]
             i, j = np.triu_indices(len(at), 1)
             lo, hi = np.minimum(s[at][i], s[at][j]), np.maximum(s[at][i], s[at][j])
             keys.append(mix64(lo * np.uint64(0x9E3779B97F4A7C15) ^ hi))
             hot.append(np.minimum(often[at][i], often[at][j]) > 2)
-        if n >= overlap_needed(x + 1):
-            at = order[:prefix_length(n, 1)]
+        if n >= like.overlap_needed(x + 1):
+            at = order[:like.prefix_length(n, 1)]
             keys.append(s[at])
             hot.append(often[at] > 2)
     return np.concatenate(keys), np.concatenate(hot)
@@ -229,7 +246,7 @@ def _entries(s: np.ndarray, filters: list[np.ndarray], x: int) -> tuple[np.ndarr
 _ROW = np.dtype([("key", "<u8"), ("class", "<u8"), ("n", "<u4"), ("hot", "<u4")])
 
 
-def shared_entries(docs: DataFrame, filters: list[np.ndarray], x: int, parts: int) -> DataFrame:
+def shared_entries(docs: DataFrame, filters: list[np.ndarray], x: int, parts: int, like: Likeness) -> DataFrame:
     """key, class, n of the keys that several classes have."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(filters)
@@ -250,12 +267,12 @@ def shared_entries(docs: DataFrame, filters: list[np.ndarray], x: int, parts: in
                 names=["part", "rows"])
 
         for b in batches:
-            sets, sizes, cls = _sets(b)
+            sets, sizes, cls = _sets(b, like.width)
             for s, c in zip(sets, cls.tolist()):
-                if len(s) < LEAST or c in seen:
+                if len(s) < like.least or c in seen:
                     continue
                 seen.add(c)
-                keys, often = _entries(s, shared.value, x)
+                keys, often = _entries(s, shared.value, x, like)
                 rows = np.empty(len(keys), _ROW)
                 rows["key"], rows["class"], rows["n"], rows["hot"] = keys, c, len(s), often
                 held.append(rows)
@@ -295,15 +312,15 @@ def shared_entries(docs: DataFrame, filters: list[np.ndarray], x: int, parts: in
                      meet, "key bigint, class bigint, n bigint")
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """class, shingles (sorted hashes, packed) of the classes named."""
     wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(classes, "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            sets, sizes, cls = _sets(b)
-            pick = np.flatnonzero((sizes >= LEAST) & in_filter(wanted.value, cls))
+            sets, sizes, cls = _sets(b, like.width)
+            pick = np.flatnonzero((sizes >= like.least) & in_filter(wanted.value, cls))
             pick = [i for i in pick.tolist() if int(cls[i]) not in seen]
             seen.update(int(cls[i]) for i in pick)
             if pick:
@@ -316,7 +333,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, bitmaps: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b, n_a, n_b) whose parity bitmaps do not rule them out."""
     a = bitmaps.select(F.col("class").alias("a"), F.col("bits").alias("bits_a"))
     b = bitmaps.select(F.col("class").alias("b"), F.col("bits").alias("bits_b"))
@@ -325,14 +342,14 @@ def possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
             total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            most = total - 2 * (-(-NUM * total // (NUM + DEN)))
+            most = total - 2 * (-(-like.num * total // (like.num + like.den)))
             keep = pa.array(np.flatnonzero(np.bitwise_count(x ^ y).sum(axis=1) <= most))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), run, "a bigint, b bigint")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
@@ -343,7 +360,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if DEN * both >= NUM * (len(x) + len(y) - both):
+                if like.den * both >= like.num * (len(x) + len(y) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())),
                                               batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
@@ -351,7 +368,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b"), run, "a bigint, b bigint")
 
 
-def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> DataFrame | None:
+def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame | None:
     """class, root: the components of similar classes among ``entries``."""
     links, tried, owner = None, None, None
     before, lists = None, entries
@@ -383,13 +400,13 @@ def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> Dat
                      .select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b"),
                              F.when(F.col("class") < F.col("l.class"), F.col("n")).otherwise(F.col("l.n")).alias("n_a"),
                              F.when(F.col("class") < F.col("l.class"), F.col("l.n")).otherwise(F.col("n")).alias("n_b")))
-        pairs = pairs.where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct()
+        pairs = pairs.where(f"{like.den} * least(n_a, n_b) >= {like.num} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        close = stored(possible(pairs, bitmaps), "close")
+        close = stored(possible(pairs, bitmaps, like), "close")
         both = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        found = stored(similar(close, candidate_sets(docs, both)), "links")
+        found = stored(similar(close, candidate_sets(docs, both, like), like), "links")
         pairs = pairs.select("a", "b")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
@@ -399,21 +416,21 @@ def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame) -> Dat
     return owner
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and
     class_id (smallest doc_id of an equal set) of every row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    marks = stored(read_sets(docs), "sets")
+    marks = stored(read_sets(docs, like), "sets")
     rows = marks.select("doc_id", "class", "n")
-    sizes = rows.where(f"n >= {LEAST}").agg(F.sum("n"), F.sum(F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)).first()
-    histogram = {r.n: r["count"] for r in rows.where(f"n between {LEAST} and {4 * MAX_LIGHT}").groupBy("n").count().collect()}
-    filters, companions = frequent(docs, sizes[0] or 0)
-    x = boundary(histogram, companions)
+    sizes = rows.where(f"n >= {like.least}").agg(F.sum("n"), F.sum(F.floor(F.col("n") * (like.den - like.num) / like.den) + 1)).first()
+    histogram = {r.n: r["count"] for r in rows.where(f"n between {like.least} and {4 * MAX_LIGHT}").groupBy("n").count().collect()}
+    filters, companions = frequent(docs, sizes[0] or 0, like)
+    x = boundary(histogram, companions, like)
     parts = max(partitions(spark), int((sizes[1] or 0) * 1.2) // PART_ROWS + 1)
-    entries = stored(shared_entries(docs, filters, x, parts), "entries")
-    bitmaps = stored(marks.where(f"n >= {LEAST}").groupBy("class").agg(F.first("bits").alias("bits")), "bitmaps")
-    owner = link_classes(entries, bitmaps, docs)
+    entries = stored(shared_entries(docs, filters, x, parts, like), "entries")
+    bitmaps = stored(marks.where(f"n >= {like.least}").groupBy("class").agg(F.first("bits").alias("bits")), "bitmaps")
+    owner = link_classes(entries, bitmaps, docs, like)
     classes = (rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     if owner is not None:
         classes = classes.join(owner, "class", "left")
@@ -430,9 +447,9 @@ def join(docs: DataFrame) -> DataFrame:
                     F.coalesce("class_id", "doc_id").alias("class_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id."""
-    found = stored(join(docs), "components")
+    found = stored(join(docs, like), "components")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     once = kept.groupBy("doc_id").agg(F.count("*").alias("times"))
     single = docs.join(once.where("times = 1").select("doc_id"), "doc_id", "left_semi")

@@ -71,17 +71,18 @@ def tokens(url: Column) -> Column:
 
 def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
     """Rules (rule bigint, tokens array, confidence, support) from ``labelled``
-    (url, bad boolean); repeated urls of one label count once. Tokens of more
-    than half the urls say nothing and are left out (there are at most twice
-    as many as a url has tokens on average). The number of rules is bounded by
-    the support threshold, not by the pages; a rule needs MIN_URLS urls."""
+    (url, bad boolean); repeated urls of one label count once. Tokens of every
+    labelled url change neither confidence nor lift and are left out (there are
+    at most as many as the shortest url has); all others are mined, however
+    common. The number of rules is bounded by the support threshold, not by the
+    pages; a rule needs MIN_URLS urls."""
     seen = labelled.select(tokens(F.col("url")).alias("tokens"), "url", "bad").distinct()
     total = seen.count()
     if total == 0:
         return seen.sparkSession.createDataFrame([], "rule bigint, tokens array<string>, confidence double, support double")
-    common = [r.token for r in seen.select(F.explode("tokens").alias("token")).groupBy("token").count()
-              .where(F.col("count") * 2 > total).collect()]
-    told = F.array_except("tokens", F.array(*map(F.lit, common)).cast("array<string>"))
+    everywhere = [r.token for r in seen.select(F.explode("tokens").alias("token")).groupBy("token").count()
+              .where(F.col("count") == total).collect()]
+    told = F.array_except("tokens", F.array(*map(F.lit, everywhere)).cast("array<string>"))
     items = seen.select(F.when(F.col("bad"), F.concat(told, F.array(F.lit(BAD)))).otherwise(told).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min(1.0, MIN_URLS / total)),
                      minConfidence=min_confidence).fit(items)

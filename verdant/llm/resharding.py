@@ -5,8 +5,10 @@ to the new shards: staying costs nothing, leaving costs the block's bytes a
 row, and each new shard takes exactly its capacity. The cheapest flow
 (successive shortest paths; its size depends on shards and blocks, not on the
 data) says how many rows of which block go where. Rows are numbered inside
-their block and the flow's intervals are read off that numbering; only rows
-that change shard are written again.
+their block while the old files are written, a number for each writing task and
+block, and the flow's intervals are read off that numbering, so that no text is
+shuffled. Every shard that loses or gains rows is written anew, whole, in one
+folder; only shards that do neither keep their old files.
 
 Law ``rows``: the shards' row counts are at most one apart. Defined cases: a
 null text has no bytes (size 1) and the checksum of the empty text; a null id
@@ -17,16 +19,19 @@ gives empty shards; other columns travel with the rows.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verdant.llm.common import fresh, scratch, stored
+from verdant.llm.common import arrow_map, fresh, scratch, stored
 
 BLOCKS = 16                   # blocks of an old shard
-RUN_ROWS = 50_000             # rows numbered by one task
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -111,60 +116,103 @@ def plan(blocks: list[tuple[int, int, int, int]], capacities: list[int]) -> list
     return moves
 
 
-def reshard(docs: DataFrame, n_old: int, n_new: int) -> tuple[DataFrame, str, str]:
+def numbered(rows: DataFrame, shard: str, block: str, at: str, n_old: int) -> DataFrame:
+    """``rows`` and their number ``at`` among those of their task, shard and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(n_old * BLOCKS, np.int64)
+        for b in batches:
+            key = b.column(shard).to_numpy().astype(np.int64) * BLOCKS + b.column(block).to_numpy()
+            kinds, counts = np.unique(key, return_counts=True)
+            place = np.empty(len(key), np.int64)
+            place[np.argsort(key, kind="stable")] = np.arange(len(key)) + np.repeat(met[kinds] - np.cumsum(counts) + counts, counts)
+            met[kinds] += counts
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place)], names=[*b.schema.names, at])
+
+    return arrow_map(rows, run, T.StructType([*rows.schema.fields, T.StructField(at, T.LongType())]))
+
+
+@dataclass
+class Layout:
+    """``placed``: uid, doc_id, size, text_crc32, old_shard, shard, slot of every
+    row. ``before``: folder of the old files, ``old_shard=`` by shard. ``after``:
+    folder of the shards written anew, ``shard=`` by shard, those that stayed
+    and those that arrived in files of their own (``arrived=``). ``rows``: all
+    rows of the new shards with shard and slot, read from the shards' files: those
+    of ``after`` and, for the shards ``untouched``, those of ``before``."""
+    placed: DataFrame
+    before: str
+    after: str
+    untouched: list[int]
+    rows: DataFrame
+
+
+def lay_out(docs: DataFrame, n_old: int, n_new: int) -> Layout:
     """Lay ``docs`` (doc_id, text and others) out in ``n_old`` hash shards, then
-    move it to ``n_new``. Returns the placement (uid, doc_id, size, text_crc32,
-    old_shard, shard, slot), the folder of the old files and that of the files
-    written anew, which hold the moved rows, ``shard=`` by shard."""
+    rewrite these as ``n_new``."""
     spark = docs.sparkSession
-    uid = fresh(docs.columns, "uid")
-    before, after = scratch(spark, "shards-old"), scratch(spark, "shards-moved")
+    uid, size, crc, block, run, at, shard_of = (fresh(docs.columns, c) for c in (
+        "uid", "size", "text_crc32", "block", "run", "at", "old_shard"))
+    before, after = scratch(spark, "shards-old"), scratch(spark, "shards-new")
     text = F.coalesce("text", F.lit(""))
-    (docs.withColumns({
+    cut = docs.withColumns({
         uid: F.monotonically_increasing_id(),
-        "size": F.octet_length(text).cast("bigint") + 1, "text_crc32": F.crc32(text.cast("binary")),
-        "old_shard": F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
-                            F.lit(n_old)).cast("int")})
-     .write.parquet(before))
-    old = spark.read.parquet(before)
-    rows = old.select(F.col(uid).alias("uid"), "doc_id", "size", "text_crc32", "old_shard",
-                      F.pmod(F.xxhash64(uid), F.lit(BLOCKS)).cast("int").alias("block"))
-    blocks = [tuple(r) for r in rows.groupBy("old_shard", "block")
-              .agg(F.count("*"), F.sum("size")).orderBy("old_shard", "block").collect()]
+        size: F.octet_length(text).cast("bigint") + 1, crc: F.crc32(text.cast("binary")),
+        shard_of: F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")),
+                         F.lit(n_old)).cast("int")})
+    cut = cut.withColumns({run: F.shiftright(uid, 33),                     # the writing task
+                           block: F.pmod(F.xxhash64(uid), F.lit(BLOCKS)).cast("int")})
+    cut = numbered(cut, shard_of, block, at, n_old)
+    cut.write.partitionBy(shard_of).parquet(before)
+    old = spark.read.schema(cut.schema).parquet(before)
+    runs = stored(old.groupBy(shard_of, block, run).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+                  .withColumn("start", F.sum("n").over(W.partitionBy(shard_of, block).orderBy(run)) - F.col("n")), "runs")
+    blocks = [tuple(r) for r in runs.groupBy(shard_of, block)
+              .agg(F.sum("n"), F.sum("bytes")).orderBy(shard_of, block).collect()]
     total = sum(b[2] for b in blocks)
     moves = plan(blocks, [total // n_new + (j < total % n_new) for j in range(n_new)])
     pieces = F.broadcast(spark.createDataFrame(          # at most blocks + shards rows
         [(m.old, m.block, m.lo, m.hi, m.shard, m.slot) for m in moves],
-        "old_shard int, block int, lo bigint, hi bigint, shard int, base bigint"))
-    runs = max(1, total // (RUN_ROWS * n_old * BLOCKS))
-    cut = rows.withColumn("run", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(runs)))
-    starts = (cut.groupBy("old_shard", "block", "run").agg(F.count("*").alias("n"))
-              .withColumn("start", F.sum("n").over(W.partitionBy("old_shard", "block").orderBy("run")) - F.col("n"))
-              .drop("n"))
-    numbered = (cut.withColumn("at", F.row_number().over(W.partitionBy("old_shard", "block", "run").orderBy("uid")) - 1)
-                .join(starts, ["old_shard", "block", "run"])
-                .withColumn("at", F.col("at") + F.col("start")))
-    placed = (numbered.join(pieces, ["old_shard", "block"])
-              .where("at >= lo and at < hi")
-              .select("uid", "doc_id", "size", "text_crc32", "old_shard", "shard",
-                      (F.col("base") + F.col("at") - F.col("lo")).alias("slot")))
-    placed = stored(placed, "placement")
-    moving = placed.where("shard <> old_shard").select(F.col("uid").alias(uid), "shard", "slot")
-    (old.drop("size", "text_crc32", "old_shard").join(moving, uid)
-     .write.partitionBy("shard").parquet(after))
-    return placed, before, after
+        "old int, piece_of int, lo bigint, hi bigint, shard int, base bigint"))
+    starts = runs.select(F.col(shard_of).alias("old"), F.col(block).alias("piece_of"), F.col(run).alias("by"), "start")
+    changed = {s for m in moves if m.old != m.shard for s in (m.old, m.shard)}
+    untouched = sorted({m.old for m in moves} - changed)
+
+    def located(rows: DataFrame, *columns) -> DataFrame:
+        """``columns`` of old rows, their shard and slot."""
+        o, s, p = rows.alias("o"), starts.alias("s"), pieces.alias("p")
+        nth = F.col(f"o.{at}") + F.col("s.start")
+        return (o.join(s, (F.col(f"o.{shard_of}") == F.col("s.old")) & (F.col(f"o.{block}") == F.col("s.piece_of"))
+                       & (F.col(f"o.{run}") == F.col("s.by")))
+                .join(p, (F.col(f"o.{shard_of}") == F.col("p.old")) & (F.col(f"o.{block}") == F.col("p.piece_of"))
+                      & (nth >= F.col("p.lo")) & (nth < F.col("p.hi")))
+                .select(*columns, F.col("p.shard").alias("shard"), (F.col("p.base") + nth - F.col("p.lo")).alias("slot")))
+
+    given = [F.col(f"o.`{c}`") for c in docs.columns]
+    stays = F.col(shard_of).isin(untouched)
+    anew = located(old.where(~stays), *given, F.col(f"o.{shard_of}").alias(shard_of))
+    anew = anew.withColumn("arrived", (F.col("shard") != F.col(shard_of)).cast("int")).drop(shard_of)
+    anew.write.partitionBy("shard", "arrived").parquet(after)
+    rows = spark.read.schema(anew.schema).parquet(after).drop("arrived")
+    if untouched:
+        rows = rows.unionByName(located(old.where(stays), *given))
+    placed = located(old, F.col(f"o.{uid}").alias("uid"), "o.doc_id", F.col(f"o.{size}").alias("size"),
+                     F.col(f"o.{crc}").alias("text_crc32"), F.col(f"o.{shard_of}").alias("old_shard"))
+    return Layout(placed, before, after, untouched, rows)
+
+
+def reshard(docs: DataFrame, n_old: int, n_new: int) -> tuple[DataFrame, str, str]:
+    """The placement (uid, doc_id, size, text_crc32, old_shard, shard, slot) of
+    ``lay_out``, the folder of its old files and the path of those files of the
+    new shards that hold the rows which changed shard."""
+    new = lay_out(docs, n_old, n_new)
+    return new.placed, new.before, f"{new.after}/shard=*/arrived=1"
 
 
 def digest(docs: DataFrame, n_old: int = 12, n_new: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: moved rows as
-    read back from the files written, the others as they stayed."""
-    spark = docs.sparkSession
-    placed, _, after = reshard(docs.select("doc_id", "text"), n_old, n_new)
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, as
+    read back from the files of the new shards."""
     text = F.coalesce("text", F.lit(""))
-    moved = (spark.read.schema("doc_id bigint, text string, slot bigint, shard int").parquet(after)
-             .select("doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"),
-                     F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot"))
-    kept = placed.where("shard = old_shard").select("doc_id", "size", "text_crc32", "shard", "slot")
-    return kept.unionByName(moved).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-        "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return lay_out(docs.select("doc_id", "text"), n_old, n_new).rows.select(
+        "doc_id", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,4 +1,4 @@
-"""Training-data operators (numbered 1 to 10) and their registered queries.
+"""Training-data operators (numbered 1 to 13) and their registered queries.
 
 Nothing outside this folder imports it; ``queries.py`` is the table of
 registered queries. Each operator module documents its method, the cases it

@@ -52,7 +52,7 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
+              schema) -> DataFrame:
     prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

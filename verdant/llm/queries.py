@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, pii, quality, resharding, url_rules, warc
+from verdant.llm import (bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, periodic_runs, pii, quality, resharding,
+                         url_rules, warc)
 from verdant.llm.common import prepare
 
 
@@ -90,6 +91,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 LLM_QUERIES = {
     "op1_pii": (op1_pii, None),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -101,4 +106,5 @@ LLM_QUERIES = {
     "op6_flow_resharding": (op6_flow_resharding, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import (bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, periodic_runs, pii, quality, resharding,
-                         url_rules, warc)
+from verdant.llm import (bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, periodic_runs, pieces, pii, quality,
+                         resharding, url_rules, warc)
 from verdant.llm.common import prepare
 
 
@@ -91,6 +91,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return pieces.digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -106,5 +111,6 @@ LLM_QUERIES = {
     "op6_flow_resharding": (op6_flow_resharding, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op12_sentencepiece": (op12_sentencepiece, None),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import (bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, periodic_runs, pieces, pii, quality,
-                         resharding, url_rules, warc)
+from verdant.llm import (ball_codes, bpe, decontaminate, fingerprints, hmm_lm, jaccard_join, periodic_runs, pieces, pii,
+                         quality, resharding, url_rules, warc)
 from verdant.llm.common import prepare
 
 
@@ -91,6 +91,37 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).drop("text")
 
 
+_OP11_ROUND = """
+k{r} as materialized (select p.vec_id, p.part, p.v, min(cast(list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v)
+                             + list_inner_product(b.v, b.v) as bigint) * 256 + b.e) as best
+        from p join b{r} b using (part) group by p.vec_id, p.part, p.v),
+"""
+_OP11_MEAN = """
+u{r} as (select part, best % 256 as e, unnest(v) as x, unnest(range(len(v))) as place from k{r}),
+m{r} as (select part, e, list(x order by place) as v
+         from (select part, e, place, floor(sum(x) / count(*)) as x from u{r} group by part, e, place) group by part, e),
+b{n} as materialized (select b.part, b.e, coalesce(m.v, b.v) as v from b{r} b left join m{r} m using (part, e)),
+"""
+OP11_SQL = """
+with kept as (select * from embeddings where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+p as materialized (select vec_id, t.part, [floor(1024 * cast(x as double)) for x in
+                          embedding[t.part * len(embedding) // 4 + 1 : (t.part + 1) * len(embedding) // 4]] as v
+      from kept, range(4) t(part)),
+s as (select vec_id, row_number() over (order by vec_id) - 1 as e from kept),
+b0 as materialized (select part, e, v from p join s using (vec_id) where e < 256),
+""" + "".join(_OP11_ROUND.format(r=r) + _OP11_MEAN.format(r=r, n=r + 1) for r in range(4)) + _OP11_ROUND.format(r=4) + """
+c as (select vec_id, string_agg(printf('%02x', best % 256), '' order by part) as code, cast(sum(best // 256) as bigint) as error
+      from k4 group by vec_id),
+h as (select sha256(string_agg(array_to_string([cast(x as bigint) for x in v], ','), ',' order by part, e)) as codebooks_sha256 from b4)
+select c.vec_id, c.code, c.error, cast(sum(c.error) over (partition by kept.label) as bigint) as label_error, h.codebooks_sha256
+from c join kept using (vec_id), h
+"""
+
+
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.digest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return pieces.digest(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -111,6 +142,7 @@ LLM_QUERIES = {
     "op6_flow_resharding": (op6_flow_resharding, None),
     "op3_jaccard_join": (op3_jaccard_join, None),
     "op4_byte_bpe": (op4_byte_bpe, None),
+    "op11_ball_codes": (op11_ball_codes, OP11_SQL),
     "op12_sentencepiece": (op12_sentencepiece, None),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }

@@ -84,6 +84,27 @@ def test_against_all_pairs(spark, monkeypatch, seed, stretch, light):
     assert kept.columns == df.columns and ids == sorted({c for d, _, c in got if d == c and c >= 0})
 
 
+def test_blocks_and_short_lists(spark, monkeypatch):
+    """Long lists compared block by block, lists of two as pairs at once."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "SHORT_LIST", 2)
+    rows = corpus(5)
+    out = J.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    none = lambda x: -1 if x is None else x
+    assert sorted((none(r.doc_id), r.n_shingles, none(r.component_id)) for r in out) == brute(rows)
+
+
+def test_repeated_and_missing_ids_lose_no_clean_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, 7), (1, b, 8), (2, a + " end", 9), (3, b, 1), (3, b, 1), (4, "c d e f g", 0), (4, "c d e f g", 0),
+            (None, a, 2), (None, "only here and nowhere else", 3), (None, "only here and nowhere else", 4), (5, "", 5), (5, "", 5), (6, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark int")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert got == sorted([(1, a), (1, b), (4, "c d e f g"), (0, "only here and nowhere else"), (5, ""), (5, ""), (6, "")])
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert J.join(df).collect() == [] and J.keep_one(df).collect() == []

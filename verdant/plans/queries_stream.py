@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions import risk
 from verdant.operators import backtest as B
+from verdant.streaming import incremental as I
 from verdant.streaming import pipelines as K
 from verdant.plans.catalog import register
 from verdant.plans.queries_models import _DSR_SQL_BODY
@@ -111,37 +112,37 @@ select symbol, as_of_date, round(annual_return, 6) as annual_return, round(annua
   eligible_hard_screen, round(sector_rank_pct, 6) as sector_rank_pct
 from m_metrics""")
 def k4_incremental_recompute(t):
-    """K4: price histories arriving in three batches of symbols; each batch
-    re-measures only its symbols and re-ranks their sectors; a quarter of the
-    symbols is uploaded again; the final metric table equals a full recompute."""
-    root = K.scratch(t.spark, "k4")
-    last = _recomputed(t, root)
-    m = last("metrics")
+    """K4: the price table arriving in batches that cut histories by date and
+    by symbol, with late dates and wrong closes restated later; the metric
+    table equals a full recompute."""
+    m = _recomputed(t, K.scratch(t.spark, "k4")).current_metrics()
     return m.select("symbol", "as_of_date", "annual_return", "annual_volatility", "sharpe_252d", "sortino_252d",
                     "calmar_ratio", "max_drawdown", "momentum_20d", "momentum_60d", "avg_esg_composite",
                     "composite_score", "eligible_hard_screen", "sector_rank_pct")
 
 
-def _recomputed(t, root: str):
-    """Stream the price table in three batches of symbols, then one of them
-    again (a re-upload); reader of the last version of either table."""
+def _recomputed(t, root: str) -> I.IncrementalMetrics:
+    """Stream the price table in four batches: the first years (a sixth of the
+    dates missing, every ninth close wrong), the later years, what was missing,
+    and a quarter of the symbols once more, wrong closes corrected."""
     spark = t.spark
-    p = t.prices().select("symbol", "date", "close")
-    p.repartitionByRange(3, "symbol").write.parquet(f"{root}/src/first")
-    p.where(F.pmod(F.xxhash64("symbol"), F.lit(4)) == 0).repartitionByRange(2, "symbol").write.parquet(f"{root}/src/again")
+    p = t.prices().select("symbol", "date", "close").persist()
+    early = F.year("date") <= 1995
+    late = F.pmod(F.xxhash64("symbol", "date"), F.lit(6)) == 0
+    wrong = early & (F.pmod(F.xxhash64("date", "symbol"), F.lit(9)) == 0)
+    quarter = F.pmod(F.xxhash64("symbol"), F.lit(4)) == 0
+    batches = [p.where(early & ~late).withColumn("close", F.when(wrong, F.col("close") * 1.1).otherwise(F.col("close"))),
+               p.where(~early), p.where(early & late), p.where(quarter | wrong)]
+    for k, rows in enumerate(batches):
+        rows.repartition(_FILES, "symbol").write.parquet(f"{root}/src/p{k}")
     as_of = F.lit(p.select(F.max("date")).first()[0])
-    q = K.recompute_stream(spark, f"{root}/src/*", f"{root}/prices", t.esg(), t.companies(),
-                           f"{root}/metrics", f"{root}/sectors", f"{root}/ckpt", as_of=as_of)
-    _drain(q)
-
-    def last(table: str):
-        versions = spark.read.parquet(f"{root}/{table}")
-        return versions.where(F.col("v") == versions.select(F.max("v")).first()[0]).drop("v")
-
-    return last
+    p.unpersist()
+    tables = I.IncrementalMetrics(spark, f"{root}/tables", t.esg(), t.companies())
+    _drain(I.recompute_stream(tables, f"{root}/src/*", f"{root}/ckpt", files_per_trigger=_FILES, as_of=as_of))
+    return tables
 
 
 @register("k4_incremental_sectors", _SECTORS_SQL)
 def k4_incremental_sectors(t):
     """K4: the sector table after the same batches equals a full ranking."""
-    return _recomputed(t, K.scratch(t.spark, "k4s"))("sectors")
+    return _recomputed(t, K.scratch(t.spark, "k4s")).current_sectors()

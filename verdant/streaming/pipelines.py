@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (K1–K4).
+"""Structured Streaming jobs (K1–K3; K4 is ``streaming.incremental``).
 
 * K1 ``ingest_stream`` — a file source of price records; each micro-batch is
   coerced, validated and written to a batch-id partition of an append log, so
@@ -12,9 +12,6 @@
   Sharpe ratio carried per portfolio in the state store
   (``applyInPandasWithState``); rows at or before a key's last processed date
   are late and marked so; a key not seen for the time-to-live leaves the store.
-* K4 ``recompute_touched`` — in ``foreachBatch``: only the symbols present in
-  the batch are re-measured (E10 on their whole history, the latest upload of
-  a key winning) and only their sectors re-ranked (D2).
 
 Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 """
@@ -30,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdant.operators import ingest as A
-from verdant.operators import metrics as M
 from verdant.session import checkpoint_dir
 
 PRICE_RECORD_SCHEMA = T.StructType([
@@ -191,59 +187,3 @@ def differential_sharpe_stream(spark: SparkSession, source: str, sink: str, ckpt
         _dsr_state_fn(eta), DSR_OUT, DSR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
                .outputMode("append").trigger(availableNow=True).start())
-
-
-# ---------------------------------------------------------------------- K4
-
-def latest_prices(log: DataFrame) -> DataFrame:
-    """The newest upload of every (symbol, date) in an append log with ``batch_id``."""
-    cols = [c for c in log.columns if c not in ("symbol", "date", "batch_id")]
-    return (log.groupBy("symbol", "date").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_r"))
-            .select("symbol", "date", *[F.col(f"_r.{c}").alias(c) for c in cols]))
-
-
-def recompute_touched(batch: DataFrame, prices: DataFrame, esg: DataFrame, companies: DataFrame,
-                      metrics: DataFrame | None, sectors: DataFrame | None = None,
-                      as_of=None) -> tuple[DataFrame, DataFrame]:
-    """K4: metrics for the symbols touched by ``batch`` only (their whole
-    history), merged over the previous ``metrics``; sector rankings of the
-    touched sectors, merged over the previous ``sectors``. ``prices`` holds one
-    row a key. Returns (metrics, sector rankings), both complete and of one
-    as-of date."""
-    day = as_of if as_of is not None else prices.select(F.max("date")).scalar()
-    touched = batch.select("symbol").distinct()
-    hist = prices.join(touched, "symbol", "left_semi")
-    fresh = M.recompute(hist, esg.join(touched, "symbol", "left_semi"), companies, as_of=day)
-    merged = fresh if metrics is None else metrics.join(touched, "symbol", "left_anti").unionByName(fresh)
-    # The sector percentile (G3) depends on every company of the sector.
-    with_sector = merged.withColumn("as_of_date", day).join(companies.select("symbol", "sector"), "symbol", "left")
-    merged = with_sector.withColumn("sector_rank_pct", M.sector_rank_pct(with_sector)).drop("sector")
-    again = companies.join(touched, "symbol", "left_semi").select("sector").distinct()
-    in_again = merged.join(companies.select("symbol", "sector").join(again, "sector", "left_semi"), "symbol", "left_semi")
-    ranked = M.sector_rankings(in_again, companies)
-    if sectors is not None:
-        ranked = sectors.join(again, "sector", "left_anti").withColumn("as_of_date", day).unionByName(ranked)
-    return merged, ranked
-
-
-def recompute_stream(spark: SparkSession, source: str, prices_path: str, esg: DataFrame,
-                     companies: DataFrame, metrics_path: str, sectors_path: str, ckpt: str,
-                     files_per_trigger: int = 1, as_of=None):
-    """K4 as a stream: each batch of price rows is appended to the price log,
-    then ``recompute_touched`` refreshes the metric and sector tables (each
-    version is a complete table in a folder of its own, never written over the
-    one being read)."""
-    schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("date", T.DateType()),
-                           T.StructField("close", T.DoubleType())])
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-
-    def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{prices_path}/batch_id={batch_id}")
-        prices = latest_prices(spark.read.parquet(prices_path))
-        before = [spark.read.parquet(f"{p}/v={batch_id - 1}") if batch_id > 0 else None for p in (metrics_path, sectors_path)]
-        merged, ranked = recompute_touched(df, prices, esg, companies, *before, as_of=as_of)
-        merged.write.mode("overwrite").parquet(f"{metrics_path}/v={batch_id}")
-        ranked.write.mode("overwrite").parquet(f"{sectors_path}/v={batch_id}")
-
-    return (src.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
-               .trigger(availableNow=True).start())

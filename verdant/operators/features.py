@@ -6,6 +6,11 @@ and MACD, F5/F6) have no window form; they run in one sorted Arrow pass per
 partition (``run_by_key``), each kernel call seeing one symbol's daily history
 — bounded by the number of trading dates, not by the table size.
 
+A panel lies on each symbol's own dates, or on one calendar for all, where a
+symbol may have gaps: returns and momentum then look at the last known close,
+rolling values need every close of their window, and EMAs decay over the gap
+(``functions.scan``).
+
 A rolling value is NULL until its window is full (pandas ``min_periods`` equal
 to the window). RSI and %B are filled with their neutral values (50 and 0.5)
 wherever undefined, as in the reference.
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdant.functions.scan import gap_aware_macd
 from verdant.functions.sequential import run_by_key
 from verdant.operators.query import latest
 
@@ -165,18 +171,42 @@ def cross_section(panel: DataFrame, features: list[str] | None = None) -> DataFr
 
 # ------------------------------------------------------------------ F9–F13
 
-def feature_panel(prices: DataFrame, esg: DataFrame, with_macd: bool = True) -> DataFrame:
-    """(symbol, date, close, f0…f10) on each symbol's own trading dates.
+def common_calendar(prices: DataFrame) -> DataFrame:
+    """Every symbol on every date of the table that has a close at all:
+    symbol, date, pos (0, 1, … over the calendar), close (NULL in a gap) and
+    ``known``, the last close up to then. The calendar is the one array that
+    every symbol is laid out on; grid and closes meet by symbol, in the
+    partitioning the rolling windows use."""
+    p = prices.where(F.col("close").isNotNull()).select("symbol", "date", "close")
+    calendar = p.select("date").distinct().agg(F.array_sort(F.collect_list("date"))).scalar()
+    grid = p.select("symbol").distinct().select("symbol", F.posexplode(calendar).alias("pos", "date"))
+    rows = (grid.select("symbol", "date", "pos", F.lit(None).cast("double").alias("close"))
+            .unionByName(p.select("symbol", "date", F.lit(None).cast("int").alias("pos"), "close")))
+    rows = rows.repartition("symbol").groupBy("symbol", "date").agg(F.max("pos").alias("pos"), F.max("close").alias("close"))
+    up_to_now = _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("known", F.last("close", ignorenulls=True).over(up_to_now))
+
+
+def feature_panel(prices: DataFrame, esg: DataFrame, with_macd: bool = True, calendar: str = "own") -> DataFrame:
+    """(symbol, date, close, f0…f10) on each symbol's own trading dates
+    (``calendar="own"``) or on the common calendar of all (``"common"``), with
+    NULL closes in the gaps.
 
     f0 return, f1/f2 momentum 20/60, f3 20-day volatility, f4 60-day
     drawdown, f5/f6 ESG unit score, f7 MACD histogram, f8 RSI/100, f9 %B,
     f10 volume change (always 0, as in the reference)."""
-    p = prices.where(F.col("close").isNotNull()).select("symbol", "date", "close")
+    if calendar not in ("own", "common"):
+        raise ValueError("the calendar is 'own' or 'common'")
+    if calendar == "common":
+        grid = p = common_calendar(prices)
+        known = "known"
+    else:
+        p, known = prices.where(F.col("close").isNotNull()).select("symbol", "date", "close"), "close"
     p = p.select(
         "symbol", "date", "close",
-        return_col().alias("f0_return"),
-        momentum_col(20).alias("f1_mom20"),
-        momentum_col(60).alias("f2_mom60"),
+        return_col(known).alias("f0_return"),
+        momentum_col(20, known).alias("f1_mom20"),
+        momentum_col(60, known).alias("f2_mom60"),
         rolling_drawdown().alias("f4_dd60"),
         (rsi() / 100.0).alias("f8_rsi"),
         bollinger_pct_b().alias("f9_pct_b"),
@@ -184,7 +214,7 @@ def feature_panel(prices: DataFrame, esg: DataFrame, with_macd: bool = True) ->
     p = p.withColumn("f3_vol20", rolling_vol("f0_return"))
     p = with_esg(p, esg)
     if with_macd:
-        m = ema_macd(prices).select("symbol", "date", F.col("macd_hist").alias("f7_macd"))
+        m = (ema_macd(prices) if calendar == "own" else gap_aware_macd(grid, "symbol", (MACD_FAST, MACD_SLOW, MACD_SIGNAL))).select("symbol", "date", F.col("macd_hist").alias("f7_macd"))
         p = p.join(m, ["symbol", "date"], "left")
     else:
         p = p.withColumn("f7_macd", F.lit(None).cast("double"))

@@ -226,6 +226,103 @@ def f10_trimmed_panel(t):
     return FE.trim_warmup(panel)
 
 
+# The panel on one calendar: closes by day, and by month for symbols that trade
+# in every month. In a gap returns look at the last known close; EMAs decay.
+def _common_ctes(name: str, closes: str) -> None:
+    """CTEs of the common-calendar panel of the closes in ``closes``: m_<name>."""
+    days = "rows between {} preceding and current row"
+    w = lambda n: f"(partition by symbol order by date {days.format(n - 1)})"
+    cte(f"m_{name}_grid", f"""
+select s.symbol, d.date, d.pos, p.close,
+  last_value(p.close ignore nulls) over (partition by s.symbol order by d.date rows between unbounded preceding and current row) as known
+from (select distinct symbol from {closes} where close is not null) s
+cross join (select date, row_number() over (order by date) - 1 as pos from (select distinct date from {closes} where close is not null) x) d
+left join {closes} p on p.symbol = s.symbol and p.date = d.date""")
+    cte(f"m_{name}_step", f"""
+select *, known / lag(known, 1) over v - 1 as ret,
+  case when close - lag(close) over v > 0 then close - lag(close) over v else 0.0e0 end as gain,
+  -(case when close - lag(close) over v < 0 then close - lag(close) over v else 0.0e0 end) as loss,
+  pos - max(case when close is not null then pos end) over (partition by symbol order by date
+            rows between unbounded preceding and 1 preceding) as gap
+from m_{name}_grid window v as (partition by symbol order by date)""")
+    fast, slow, sig = "2.0e0/13.0e0", "2.0e0/27.0e0", "2.0e0/10.0e0"
+    mixed = lambda a, y: (f"case when g.close is null then {y} else (pow(1 - {a}, g.gap) * {y} + {a} * g.close) "
+                          f"/ (pow(1 - {a}, g.gap) + {a}) end")
+    cte(f"m_{name}_ema", f"""
+select * from (
+  with recursive walk(symbol, pos, e12, e26, sig) as (
+    select symbol, pos, close, close, 0.0e0 from m_{name}_step where close is not null and gap is null
+    union all
+    select n.symbol, n.pos, n.e12, n.e26, {sig} * (n.e12 - n.e26) + (1 - {sig}) * n.sig from (
+      select g.symbol, g.pos, {mixed(fast, 'w.e12')} as e12, {mixed(slow, 'w.e26')} as e26, w.sig
+      from walk w join m_{name}_step g on g.symbol = w.symbol and g.pos = w.pos + 1) n)
+  select symbol, pos, (e12 - e26) - sig as macd_hist from walk) q""")
+    cte(f"m_{name}_panel", f"""
+select s.symbol, s.date, s.close, s.ret as f0_return,
+  s.known / lag(s.known, 20) over (partition by s.symbol order by s.date) - 1 as f1_mom20,
+  s.known / lag(s.known, 60) over (partition by s.symbol order by s.date) - 1 as f2_mom60,
+  case when s.n_ret >= 20 then s.sd_ret end as f3_vol20,
+  case when s.n60 >= 60 then s.close / s.max60 - 1 end as f4_dd60,
+  coalesce(u.esg_unit, 0.5e0) as f5_esg1, coalesce(u.esg_unit, 0.5e0) as f6_esg2, e.macd_hist as f7_macd,
+  coalesce(100 - 100 / (1 + (case when s.pos >= 13 then s.gain14 end) / nullif(case when s.pos >= 13 then s.loss14 end, 0)), 50.0e0)
+    / 100.0e0 as f8_rsi,
+  case when s.n20 >= 20 then coalesce((s.close - (s.sma - 2 * s.sd)) / nullif((s.sma + 2 * s.sd) - (s.sma - 2 * s.sd), 0), 0.5e0)
+    else 0.5e0 end as f9_pct_b, 0.0e0 as f10_volume_change
+from (select *, count(ret) over {w(20)} as n_ret, stddev_samp(ret) over {w(20)} as sd_ret, count(close) over {w(60)} as n60,
+        max(close) over {w(60)} as max60, avg(gain) over {w(14)} as gain14, avg(loss) over {w(14)} as loss14,
+        count(close) over {w(20)} as n20, avg(close) over {w(20)} as sma, stddev_samp(close) over {w(20)} as sd
+      from m_{name}_step) s
+left join m_esgunit u on s.symbol = u.symbol left join m_{name}_ema e on e.symbol = s.symbol and e.pos = s.pos""")
+
+
+cte("m_monthly_all", """
+select symbol, cast(date_trunc('month', date) as date) as date, max_by(close, date) as close
+from m_prices where close is not null group by 1, 2""")
+cte("m_monthly", """
+select * from m_monthly_all where symbol in (select symbol from m_monthly_all group by symbol
+  having count(*) = (select count(distinct date) from m_monthly_all))""")
+_common_ctes("daily", "m_prices")
+_common_ctes("months", "m_monthly")
+_common_ctes("allmonths", "m_monthly_all")
+
+
+def _monthly(t):
+    """The last close of every symbol and month."""
+    return (t.prices().where(F.col("close").isNotNull())
+            .groupBy("symbol", F.trunc("date", "month").alias("date")).agg(F.max_by("close", "date").alias("close")))
+
+
+@register("f9_common_calendar", f"select symbol, date, round(close, 6) as close, {_r(_FEATS)} from m_daily_panel")
+def f9_common_calendar(t):
+    """F9 on the common calendar: every symbol on every trading date, gaps and all."""
+    return FE.feature_panel(t.prices(), t.esg(), calendar="common")
+
+
+@register("f9_common_monthly", f"select symbol, date, round(close, 6) as close, {_r(_FEATS)} from m_allmonths_panel")
+def f9_common_monthly(t):
+    """F9 on the calendar of months: few gaps, so that every rolling feature is met."""
+    return FE.feature_panel(_monthly(t), t.esg(), calendar="common")
+
+
+@register("f10_common_trim", f"""
+with firstok as (
+  select min(date) as d from (
+    select date, count(*) filter (where {' and '.join(f'{c} is not null' for c in _FEATS)}) as k
+    from m_months_panel group by date) x
+  where k = (select count(distinct symbol) from m_months_panel))
+select symbol, date, round(close, 6) as close, {', '.join(f'round(coalesce({c}, 0), 6) as {c}' for c in _FEATS)}
+from m_months_panel
+where date >= coalesce((select d from firstok), (select min(date) from m_months_panel))""")
+def f10_common_trim(t):
+    """F11 + F9 + F10: monthly closes of the symbols that cover the calendar,
+    trimmed to the first month on which every symbol has every feature (the
+    five years before it go)."""
+    months = _monthly(t)
+    full = months.join(FE.coverage(months, 1.0).select("symbol"), "symbol", "left_semi")
+    panel = FE.feature_panel(full, t.esg(), calendar="common").checkpoint(eager=True)
+    return FE.trim_warmup(panel)
+
+
 @register("d6_cross_section", "select date, " + ", ".join(
     f"round(avg({c}), 6) as {c}_mean, round(stddev_samp({c}), 6) as {c}_std, round(max({c}), 6) as {c}_max"
     for c in ["f0_return", "f3_vol20", "f8_rsi", "f9_pct_b"]) + " from m_panel group by date")

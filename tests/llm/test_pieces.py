@@ -39,25 +39,41 @@ def test_ids_and_spans_equal_the_library(library, model):
     assert merge.cut is not None
     for t in texts():
         want = library.encode(t, return_type="proto")
-        ids, at = pieces.encode_text(normalise, merge, t)
+        ids, at = pieces.encode_texts(normalise, merge, [t])[0]
         assert ids.tolist() == [p.id for p in want.pieces], t
         if len(ids):
             assert list(zip(at[:-1].tolist(), at[1:].tolist())) == [(p.begin, p.end) for p in want.pieces], t
 
 
-def test_whole_texts_merge_like_chunks(library, model, monkeypatch):
-    monkeypatch.setattr(pieces, "SHORT", 0)
+def test_whole_texts_merge_like_chunks(library, model):
     normalise, merge = pieces.Normaliser(model), pieces.Merger(model)
     merge.cut = None
     for t in texts():
-        assert pieces.encode_text(normalise, merge, t)[0].tolist() == library.encode(t), t
+        assert pieces.encode_texts(normalise, merge, [t])[0][0].tolist() == library.encode(t), t
 
 
 def test_forgotten_chunks_are_merged_again(library, model, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_CHUNKS", 40)
     normalise, merge = pieces.Normaliser(model), pieces.Merger(model)
     for t in texts():
-        assert pieces.encode_text(normalise, merge, t)[0].tolist() == library.encode(t)
+        assert pieces.encode_texts(normalise, merge, [t])[0][0].tolist() == library.encode(t)
+    monkeypatch.setattr(pieces, "WIDTHS", (4, 5))
+    merge = pieces.Merger(model)
+    assert [i.tolist() for i, _ in pieces.encode_texts(normalise, merge, texts())] == [library.encode(t) for t in texts()]
+
+
+def test_characters_without_a_piece_merge_all_the_same(model):
+    """A piece may link characters that are none; alone they fall back to bytes."""
+    small = pieces.Model(pieces.read_model(PATH))
+    small.pieces, small.scores, small.kinds = ["<unk>", "ab", "abc", "c"], [0.0, -1.0, -2.0, -3.0], [2, 1, 1, 1]
+    small.unknown, small.byte_fallback = 0, False
+    merge = pieces.Merger(small)
+    got = [e.tolist() for e in merge(["ababcxacab", "", "abd", "c"])]
+    entry = lambda i, n: i | n << pieces._ID_BITS
+    assert got == [[entry(1, 2), entry(2, 3), entry(0, 2), entry(3, 1), entry(1, 2)], [], [entry(1, 2), entry(0, 1)], [entry(3, 1)]]
+    small.kinds = [2, 1, 5, 1]                                   # an unused piece falls apart again
+    merge = pieces.Merger(small)
+    assert [e.tolist() for e in merge(["ababc"])] == [[entry(1, 2), entry(1, 2), entry(3, 1)]]
 
 
 def test_decoding_equals_the_library(library, model):

@@ -126,9 +126,12 @@ def word_hashes(texts: pa.Array, separators: np.ndarray = _SPACE, prefixes: tupl
     at = np.flatnonzero(solid)
     begin = np.searchsorted(at, starts)
     lens = np.diff(np.append(begin, len(at)))
-    place = (np.arange(len(at)) - np.repeat(begin, lens)) & (_POWERS - 1)
+    place = np.arange(len(at)) - np.repeat(begin, lens)
     with np.errstate(over="ignore"):
-        value = _BYTE[_LOWER[raw[at]]] * _POW[place]
+        power = _POW[place & (_POWERS - 1)]
+        if lens.max() > _POWERS:                      # powers of longer words, a stretch of _POWERS bytes further each
+            power = power * np.append(_U(1), np.cumprod(np.full(int(lens.max()) // _POWERS, _POW[-1], np.uint64)))[place // _POWERS]
+        value = _BYTE[_LOWER[raw[at]]] * power
         words = mix64(np.add.reduceat(value, begin) ^ (lens.astype(np.uint64) * _U(_SEED)))
         heads = []
         for k in prefixes:
@@ -167,6 +170,47 @@ def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray,
     return out, counts, n_words
 
 
+class KeyTable:
+    """Place of int64 keys in the array they came in, by hashing. A key that
+    finds its slot taken goes to a smaller table, and the slot remembers that."""
+
+    def __init__(self, keys: np.ndarray):
+        self.levels = []
+        at, bits = np.arange(len(keys)), max(10, int(len(keys)).bit_length() + 2)
+        while len(keys) or not self.levels:
+            slot = self._slot(keys, bits)
+            held, place, more = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
+            held[slot], place[slot] = keys, at
+            left = held[slot] != keys
+            more[slot[left]] = True
+            keys, at = keys[left], at[left]
+            self.levels.append((bits, held, place, more))
+            bits = max(8, bits - 2)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(_U) * _U(_SEED)) >> _U(64 - bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` (none negative but for those that are nowhere), -1 without."""
+        keys = np.ascontiguousarray(keys)
+        bits, held, place, more = self.levels[0]
+        slot = self._slot(keys, bits)
+        hit = held[slot] == keys
+        out = np.where(hit, place[slot], -1)
+        rest = np.flatnonzero((~hit & more[slot]).ravel())
+        for bits, held, place, more in self.levels[1:]:
+            if not len(rest):
+                break
+            some = keys.ravel()[rest]
+            slot = self._slot(some, bits)
+            hit = held[slot] == some
+            out.ravel()[rest[hit]] = place[slot[hit]]
+            rest = rest[~hit & more[slot]]
+        return out
+
+
 # --- fixed-size bit filter ---------------------------------------------------
 
 FILTER_BITS = 1 << 26     # 8 MB whatever the data; more members only raise false hits

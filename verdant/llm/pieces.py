@@ -35,16 +35,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from verdant.llm.common import arrow_map, fresh
+from verdant.llm.common import KeyTable, arrow_map, fresh
 
 SPACE = "▁"              # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, OWN, UNUSED, BYTE = 1, 2, 3, 4, 5, 6        # kinds of pieces in model files
-SHORT = 48                    # characters up to which a chunk is merged by looking at all pairs
-KEPT_CHUNKS = 300_000         # merged chunks a task remembers
+WIDTHS = (4, 6, 8, 12, 16, 24, 48)     # characters of chunks merged side by side; longer ones one by one
+KEPT_CHUNKS = 400_000         # merged chunks a task remembers
 _ID_BITS = 24                 # of an entry; above them the characters it covers
-_SPAN = StructType([StructField("begin", LongType()), StructField("end", LongType())])
+_ID = (1 << _ID_BITS) - 1
+_SYMBOLS = 1 << 31
+_SPAN = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())])       # of a text below 2 GB
 
 
 # --- model file --------------------------------------------------------------
@@ -235,26 +237,30 @@ class Merger:
             letters = "[" + "".join(map(re.escape, linked)) + "]"
             other = "[^" + "".join(map(re.escape, linked)) + SPACE + "]"
             self.cut = re.compile(f"{SPACE}*{letters}+|{SPACE}+|{other}", re.DOTALL).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _merge_short(self, parts: list[str], halves: dict | None) -> list[str]:
-        rank, none = self.rank.get, len(self.id)
-        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            both = parts[i] + parts[i + 1]
-            if halves is not None:
-                halves.setdefault(both, (parts[i], parts[i + 1]))
-            parts[i:i + 2] = [both]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] + both, none)
-            if i < len(ranks):
-                ranks[i] = rank(both + parts[i + 1], none)
-        return parts
+            if not self.unused:
+                self._tables(linked)
+            else:
+                self.cut = None
+        self._forget()
+
+    def _tables(self, linked: list[str]) -> None:
+        """Symbols are the characters that pieces link, the pieces, and beyond
+        them all characters; pairs of symbols that make a piece, by key."""
+        number = {c: i for i, c in enumerate(dict.fromkeys([*linked, SPACE, *self.rank]))}
+        self.linked, self.none = len(number), len(self.id)
+        pairs = sorted((number[p[:k]] * _SYMBOLS + number[p[k:]], r, number[p]) for p, r in self.rank.items()
+                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.table = KeyTable(np.array([k for k, _, _ in pairs], np.int64))
+        self.ranks = np.array([r for _, r, _ in pairs] + [self.none], np.int32)     # the last for pairs that make none
+        self.made = np.array([m for _, _, m in pairs], np.int32)
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + np.int32(self.linked)
+        self.symbol_of[[ord(c) for c in (*linked, SPACE)]] = [number[c] for c in (*linked, SPACE)]
+        self.point_of = np.array([ord(p) if len(p) == 1 else 0 for p in number], np.int64)
+        self.entry_of = np.array([self.id[p] | len(p) << _ID_BITS if p in self.id else -1 for p in number] + [-1], np.int64)
+        self.entry_of_char = np.full(0x110000, -1, np.int64)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.entry_of_char[ord(p)] = i | 1 << _ID_BITS
 
     def _merge_long(self, parts: list[str], frozen: list[bool], halves: dict | None) -> list[str]:
         n = len(parts)
@@ -297,53 +303,151 @@ class Merger:
         else:
             out.append(at | len(piece) << _ID_BITS)
 
-    def merge(self, chunk: str) -> tuple[int, ...]:
+    def merge(self, chunk: str) -> list[int]:
+        """The entries of one chunk of any length, by a queue of pairs."""
         halves = {} if self.unused else None
-        if self.own:
-            parts, frozen, at = [], [], 0
-            for m in self.own.finditer(chunk):
-                parts += [*chunk[at:m.start()], m.group()]
-                frozen += [False] * (m.start() - at) + [True]
-                at = m.end()
-            parts += chunk[at:]
-            frozen += [False] * (len(chunk) - at)
-        else:
-            parts, frozen = list(chunk), [False] * len(chunk)
-        done = (self._merge_short(parts, halves) if len(parts) <= SHORT and not self.own
-                else self._merge_long(parts, frozen, halves))
+        parts, frozen, at = [], [], 0
+        for m in self.own.finditer(chunk) if self.own else ():
+            parts += [*chunk[at:m.start()], m.group()]
+            frozen += [False] * (m.start() - at) + [True]
+            at = m.end()
+        parts += chunk[at:]
+        frozen += [False] * (len(chunk) - at)
         out: list[int] = []
-        for p in done:
+        for p in self._merge_long(parts, frozen, halves):
             self._entry(p, halves, out)
-        return tuple(out)
-
-    def __call__(self, text: str) -> np.ndarray:
+        return out
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (``none`` without) and place in the pair table of symbols side by side."""
+        at = self.table.find(np.where(right < 0, -2, left.astype(np.int64) * _SYMBOLS + right))
+        return self.ranks[at], at
+
+    def _merge_rows(self, chunks: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left of every chunk of at most ``width`` characters, in one
+        array, and their number: a row a chunk, one merge a row at a time.
+        Merged symbols leave holes that the neighbours' links step over; the
+        last column stands for no neighbour."""
+        n = len(chunks)
+        lens = np.fromiter(map(len, chunks), np.int64, n)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        final = np.full((n, width + 1), -1, np.int32)
+        column = np.arange(width + 1, dtype=np.int32)
+        final[column < lens[:, None]] = self.symbol_of[points]
+        rows, sym = np.arange(n), final
+        after = np.where(column + 1 < lens[:, None], column + 1, width)
+        before = np.tile(np.append(width, column[:-1]), (n, 1))
+        rank = np.full((n, width + 1), self.none, np.int32)
+        rank[:, :-1] = self._pair(sym[:, :-1], sym[:, 1:])[0]
+        while True:
+            at = rank.argmin(axis=1)                                         # the leftmost of equals
+            line = np.flatnonzero(rank[np.arange(len(rank)), at] < self.none)
+            if 2 * len(line) < len(rank):
+                final[rows] = sym
+                rows, sym, rank, after, before, at = rows[line], sym[line], rank[line], after[line], before[line], at[line]
+                line = np.arange(len(rows))
+            if not len(line):
+                break
+            at = at[line]
+            right = after[line, at]
+            made = self.made[self._pair(sym[line, at], sym[line, right])[1]]
+            beyond, ahead = after[line, right], before[line, at]
+            sym[line, at], sym[line, right], rank[line, right] = made, -1, self.none
+            after[line, at], before[line, beyond] = beyond, at
+            rank[line, at] = self._pair(made, sym[line, beyond])[0]
+            rank[line, ahead] = self._pair(sym[line, ahead], made)[0]
+            rank[line[ahead == width], width] = self.none
+        there = final >= 0
+        return final[there].astype(np.int64), there.sum(axis=1)
+
+    def _entries(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of symbols; characters without a piece become their bytes."""
+        out = self.entry_of[np.minimum(symbols, self.linked)]
+        single = np.flatnonzero(symbols >= self.linked)
+        points = symbols[single] - self.linked
+        out[single] = self.entry_of_char[points]
+        strange = np.flatnonzero(out < 0)
+        if not len(strange):
+            return out, counts
+        left = symbols[strange]
+        chars, which = np.unique(np.where(left >= self.linked, left - self.linked, self.point_of[np.minimum(left, self.linked - 1)]),
+                                 return_inverse=True)
+        spelled = [np.array(self._spell(chr(c)), np.int64) for c in chars.tolist()]
+        times = np.ones(len(out), np.int64)
+        times[strange] = np.array([len(x) for x in spelled])[which]
+        ends = np.cumsum(times)
+        wide = np.repeat(out, times)
+        for k, x in enumerate(spelled):
+            begin = (ends - times)[strange[which == k]]
+            wide[begin[:, None] + np.arange(len(x))] = x
+        word_ends = np.append(0, ends)[np.cumsum(counts)]
+        return wide, np.diff(np.append(0, word_ends))
+
+    def _spell(self, char: str) -> list[int]:
+        out: list[int] = []
+        self._entry(char, None, out)
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Merge chunks met for the first time; ``known`` says where their entries are."""
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        low = 0
+        for width in WIDTHS:
+            some = [chunks[i] for i in np.flatnonzero((lens > low) & (lens <= width)).tolist()]
+            low = width
+            for k in range(0, len(some), 20_000):
+                part = some[k:k + 20_000]
+                self._keep(part, *self._entries(*self._merge_rows(part, width)))
+        long = [chunks[i] for i in np.flatnonzero(lens > low).tolist()]
+        if long:
+            found = [self.merge(c) for c in long]
+            self._keep(long, np.array([e for f in found for e in f], np.int64), np.array([len(f) for f in found]))
+
+    def _keep(self, chunks: list[str], entries: np.ndarray, counts: np.ndarray) -> None:
+        at = len(self.counts)
+        self.known.update(zip(chunks, range(at, at + len(chunks))))
+        self.begins = np.append(self.begins, len(self.flat) + np.cumsum(counts) - counts)
+        self.counts = np.append(self.counts, counts)
+        self.flat = np.append(self.flat, entries)
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = self.begins = self.counts = np.empty(0, np.int64)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.cut is None:
-            entries = np.array(self.merge(text), np.int64)
+            out = [np.array(self.merge(t), np.int64) for t in texts]
         else:
-            chunks = self.cut(text)
-            known = self.known
-            new = set(chunks).difference(known)
-            if len(known) + len(new) > KEPT_CHUNKS:
-                known.clear()
+            cut = [self.cut(t) for t in texts]
+            chunks = list(chain.from_iterable(cut))
+            new = set(chunks).difference(self.known)
+            if len(self.known) + len(new) > KEPT_CHUNKS:
+                self._forget()
                 new = set(chunks)
-            for c in new:
-                known[c] = self.merge(c)
-            entries = np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.int64)
-        if not self.model.byte_fallback and len(entries):       # neighbouring unknown characters are one piece
-            strange = entries & ((1 << _ID_BITS) - 1) == self.model.unknown
-            first = ~strange | ~np.append(False, strange[:-1])
-            lens = np.add.reduceat(entries >> _ID_BITS, np.flatnonzero(first))
-            entries = (entries[first] & ((1 << _ID_BITS) - 1)) | lens << _ID_BITS
-        return entries
-
-
-def encode_text(normalise: Normaliser, merge: Merger, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and, one longer, the source bytes at which the pieces begin and the last ends."""
-    if not text:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
-    flat, align = normalise(text)
-    entries = merge(flat)
-    return entries & ((1 << _ID_BITS) - 1), align[np.append(0, np.cumsum(entries >> _ID_BITS))]
+            self._learn(list(new))
+            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+            reps = self.counts[at]
+            ends = np.cumsum(reps)
+            step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - reps, reps)
+            entries = self.flat[np.repeat(self.begins[at], reps) + step]
+            out = np.split(entries, np.append(0, ends)[np.cumsum([len(c) for c in cut])][:-1]) if cut else []
+        return out if self.model.byte_fallback else [self._one_unknown(e) for e in out]
+
+    def _one_unknown(self, entries: np.ndarray) -> np.ndarray:
+        """Neighbouring unknown characters are one piece."""
+        if not len(entries):
+            return entries
+        strange = entries & _ID == self.model.unknown
+        first = ~strange | ~np.append(False, strange[:-1])
+        lens = np.add.reduceat(entries >> _ID_BITS, np.flatnonzero(first))
+        return (entries[first] & _ID) | lens << _ID_BITS
+
+
+def encode_texts(normalise: Normaliser, merge: Merger, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every text its ids and, one longer, the source bytes at which the
+    pieces begin and the last ends."""
+    flat = [normalise(t or "") for t in texts]
+    return [(e & _ID, align[np.append(0, np.cumsum(e >> _ID_BITS))]) for e, (_, align) in zip(merge([f for f, _ in flat]), flat)]
 
 
 # --- decoding ----------------------------------------------------------------
@@ -435,10 +539,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
         model = Model(shared.value)
         normalise, merge = Normaliser(model), Merger(model)
         for b in batches:
-            found = [encode_text(normalise, merge, t) for t in b.column(len(rest)).to_pylist()]
+            found = encode_texts(normalise, merge, b.column(len(rest)).to_pylist())
             ids = _lists([i.astype(np.int32) for i, _ in found], pa.int32())
-            begins = _lists([s[:-1] for _, s in found], pa.int64())
-            ends = _lists([s[1:] for _, s in found], pa.int64())
+            begins = _lists([s[:-1].astype(np.int32) for _, s in found], pa.int32())
+            ends = _lists([s[1:].astype(np.int32) for _, s in found], pa.int32())
             spans = pa.ListArray.from_arrays(begins.offsets, pa.StructArray.from_arrays([begins.values, ends.values], ["begin", "end"]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, spans], names=[*rest, ids_col, spans_col])
 
@@ -464,7 +568,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and covered_bytes (where the last span ends; 0 without)."""
     ids = encode(docs.select("doc_id", "text"), model_path)
-    short = ids.select("doc_id", "ids", F.coalesce(F.get("spans", F.size("spans") - 1)["end"], F.lit(0)).alias("covered_bytes"))
+    short = ids.select("doc_id", "ids", F.coalesce(F.get("spans", F.size("spans") - 1)["end"].cast("bigint"), F.lit(0)).alias("covered_bytes"))
     return decode(short, model_path).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -145,6 +145,27 @@ def a3_csv_pages(t):
     return A.rows_to_pages(_doc_rows(t).drop("lang"), kind="csv")
 
 
+_FILE_LINE = "concat_ws(chr(9), cast(doc_id as varchar), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))"
+
+
+@register("a3_delimited_file", f"""
+with r as (select {_FILE_LINE} as line, row_number() over (order by doc_id) as rn from documents),
+p as (select (rn - 1) // 100 as page_no, min(rn) + 1 as lo, max(rn) + 1 as hi, string_agg(line, chr(10) order by rn) as body
+      from r group by 1)
+select cast(page_no as bigint) as page_no,
+  concat('[CSV, Rows ', lo, '-', hi, ']', chr(10), 'doc_id', chr(9), 'lang', chr(9), 'source', chr(9), 'text', chr(10), body) as page_text
+from p""")
+def a3_delimited_file(t):
+    """A3: the documents as one delimited file, texts with commas, quotes and
+    line ends in quoted cells, read by splits and paged."""
+    from verdant.sources.delimited import read_delimited
+    from verdant.streaming.pipelines import scratch
+    path = scratch(t.spark, "a3")
+    (t.raw("documents").select("doc_id", "lang", "source", "text").orderBy("doc_id").coalesce(1)
+     .write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return A.rows_to_pages(read_delimited(t.spark, path), kind="csv").select("page_no", "page_text")
+
+
 @register("a4_sheet_pages", _pages_sql("sheet"))
 def a4_sheet_pages(t):
     """A4: documents as sheets named by language → pages with 5 header rows."""

@@ -51,14 +51,14 @@ def test_marginals_on_a_tree_are_exact():
     rng = np.random.default_rng(0)
     k = len(P.LABELS)
     sym = rng.normal(size=(k, k))
-    field = P.Field({"s": np.log(rng.dirichlet(np.ones(k)))}, rng.normal(size=k), rng.normal(size=(k, k)), sym + sym.T)
+    field = P.Field({P.cell_of("s"): np.log(rng.dirichlet(np.ones(k)))}, rng.normal(size=k), rng.normal(size=(k, k)), sym + sym.T)
     t = P.Tokens([(3 * i, 3 * i + 2) for i in range(4)], [-1, -1, 2, -1], ["s", "u", "s", "u"], [True, False, False, False],
                  [["p"], [], ["p"], ["q"]])
     want = np.zeros((4, k))
     for y in itertools.product(range(k), repeat=4):
         if y[2] != 2:
             continue
-        e = sum(field.shapes.get(t.shape[i], field.unseen)[y[i]] for i in (0, 1, 3))
+        e = sum(field.shapes.get(P.cell_of(t.shape[i]), field.unseen)[y[i]] for i in (0, 1, 3))
         e += field.chain[y[0], y[1]] + field.skip[y[0], y[2]]
         e += field.chain[0, y[0]] + field.chain[y[1], 0] + field.chain[0, y[2]] + field.chain[y[2], 0] + field.chain[0, y[3]] + field.chain[y[3], 0]
         for i in range(4):
@@ -109,3 +109,34 @@ def test_mask(spark):
 @pytest.mark.parametrize("token,shape", [("(614)", "(d3)"), ("and5", "ad1"), ("u7@x.com", "ad1@a.a")])
 def test_shapes(token, shape):
     assert P.shape_of(token) == shape
+
+
+def test_numbers_in_parts_share_keys():
+    text = "Call +1 614 555 8001 today. Again: 614 555 8001, or (614) 555 8001; 555 8001 too, not 555 8002 nor 2019 2020"
+    t = P.read_tokens(text, *P.base_spans(text))
+    words = [text[s:e] for s, e in t.span]
+    by = {}
+    for w, keys in zip(words, t.keys):
+        for k in keys:
+            by.setdefault(k, []).append(w)
+    assert by["6145558001"] == ["+1", "614", "555", "8001", "8001", "8001"]          # the full form, then each repeat
+    assert len(by["5558001"]) == 7 and by["5558002"] == ["8002"] and "2020" not in by
+    assert sum(words[i] == words[j] == "8001" for i, j in P.skip_links(t)) >= 3
+
+
+def test_spaced_repeat_takes_the_label_of_its_full_form(spark):
+    special = "Reach +1 614 555 8001 today. " + "filler words " * 40 + "or 614 555 8001 at night; order 714 556 8002."
+    df = spark.createDataFrame([*corpus(), (1000, special)], "doc_id bigint, text string")
+    spans = next(r.spans for r in P.find(df, P.train(df)).collect() if r.doc_id == 1000)
+    at = special.rindex("614 555 8001")
+    assert f"phone:{at}:{at + 12}" in spans and str(special.index("8002") + 4) not in spans
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd", 5, "x", "y")], "doc_id bigint, text string, n_email int, spans string, Base_Spans string")
+    field = P.train(df)
+    out = P.find(df, field)
+    assert out.columns == ["doc_id", "n_email", "spans", "Base_Spans", "n_email_", "n_ip", "n_card", "n_phone", "base_spans_", "spans_"]
+    r = out.first()
+    assert (r.n_email, r.n_email_, r.spans, r.spans_) == (5, 1, "x", "email:5:11")
+    assert P.mask(df, field).first().text == "mail [EMAIL]"

@@ -10,9 +10,11 @@ rest loopy message passing finds the label marginals, so that a number written
 without its prefix takes the label of its full form elsewhere. Sure tokens
 become further spans beside the base ones.
 
-Potentials are trained piecewise: Spark counts labels by token shape, by chain
-link and by skip link over all documents; a potential is the logarithm of how
-far the counts go beyond chance.
+Potentials are trained piecewise: Spark counts labels by token shape (in
+``SHAPE_BUCKETS`` hash cells, so that the table has one size whatever the
+corpus; shapes of one cell share a potential), by chain link and by skip link
+over all documents; a potential is the logarithm of how far the counts go
+beyond chance.
 
 Defined cases: a null text is the empty text; repeated rows are treated alike;
 a document with no candidate token keeps its base spans; overlapping spans of
@@ -23,6 +25,7 @@ several kinds are masked together under the first; other columns pass through
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import arrow_map
+from verdant.llm.common import arrow_map, fresh
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SURE = 0.9                    # marginal beyond which a token becomes a span
 ROUNDS, DAMPING = 20, 0.3
-SHAPE_CHARS = 24
-MIN_SHAPE = 5                 # labelled tokens behind a shape's potential
-MAX_SHAPES = 20_000
+SHAPE_BUCKETS = 1 << 16       # hash cells that shapes are counted in: all are, however many there are
+MIN_SHAPE = 5                 # labelled tokens behind a cell's potential
 UNSEEN = 2.0                  # what a shape no pattern ever matched loses against "none"
 SAME = 100                    # links between equal labels assumed before any is counted
 
@@ -53,6 +55,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACTIVE = re.compile(r"[0-9@]\S*")
 _DIGITS = re.compile(r"[^0-9]+")
+_PART = re.compile(r"[+(]?[0-9][0-9().-]*")
 _RUNS = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
@@ -106,7 +109,12 @@ class Tokens:
 def shape_of(token: str) -> str:
     """Letters become ``a``, digits ``d`` and their number; the rest stays."""
     mark = lambda m: f"d{min(len(m.group()), 20)}" if m.group()[0] in "0123456789" else "a"
-    return _RUNS.sub(mark, token[:4 * SHAPE_CHARS])[:SHAPE_CHARS]
+    return _RUNS.sub(mark, token)
+
+
+def cell_of(shape: str) -> int:
+    """The hash cell a shape is counted in."""
+    return zlib.crc32(shape.encode()) % SHAPE_BUCKETS
 
 
 def _keys(token: str) -> list[str]:
@@ -150,9 +158,24 @@ def read_tokens(text: str, found: list[tuple[int, int, int]], failed: list[tuple
         out.shape.append(shape_of(token))
         out.keys.append(list(dict.fromkeys(keys)))
     out.beside.append(False)
+    _keys_of_parts(text, out)
     return out
 
 
+def _keys_of_parts(text: str, t: Tokens) -> None:
+    """Keys of numbers written in parts: the last 7 and 10 digits of tokens of
+    digits side by side go to the last of them; chain links carry its label on."""
+    digits = [_DIGITS.sub("", text[s:e]) if _PART.fullmatch(text, s, e) else "" for s, e in t.span]
+    for i in range(1, len(digits)):
+        joined, j = digits[i], i
+        for k in (7, 10):
+            while joined and len(joined) < k and j and t.beside[j - 1] and digits[j - 1]:
+                j -= 1
+                joined = digits[j] + joined
+            if j < i and len(joined) >= k and joined[-k:] not in t.keys[i]:
+                t.keys[i].append(joined[-k:])
+
+
 def skip_links(t: Tokens) -> list[tuple[int, int]]:
     """Every token and the next one that shares a key with it: as many links as keys."""
     last: dict[str, int] = {}
@@ -167,8 +190,8 @@ def skip_links(t: Tokens) -> list[tuple[int, int]]:
 
 @dataclass
 class Field:
-    """Log potentials: of the labels by shape, of chain and of skip links."""
-    shapes: dict[str, np.ndarray]
+    """Log potentials: of the labels by cell of the shape, of chain and of skip links."""
+    shapes: dict[int, np.ndarray]
     unseen: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
@@ -178,7 +201,7 @@ def _observe(t: Tokens, counts: Counter) -> None:
     """Counts of one document; tokens that no pattern matched count as unlabelled."""
     label = [max(0, y) for y in t.label]
     for s, y in zip(t.shape, label):
-        counts["shape", s, y] += 1
+        counts["shape", str(cell_of(s)), y] += 1
     for i, y in enumerate(label):
         after = label[i + 1] if t.beside[i] else 0
         counts["chain", str(y), after] += 1
@@ -219,7 +242,7 @@ def train(docs: DataFrame) -> Field:
                 .agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))]))
     told = F.expr(" + ".join(f"n{k}" for k in range(1, len(LABELS))))
     prior = by_shape.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(LABELS))]).first()
-    kept = by_shape.where(told >= MIN_SHAPE).orderBy(told.desc(), "value").limit(MAX_SHAPES).collect()
+    kept = by_shape.where(told >= MIN_SHAPE).collect()                 # SHAPE_BUCKETS at most
     total = np.array([x or 0 for x in prior], float) + 1
     log_prior = np.log(total / total.sum())
     unseen = log_prior.copy()
@@ -227,14 +250,17 @@ def train(docs: DataFrame) -> Field:
     shapes = {}
     for r in kept:
         n = np.array(r[1:], float) + 0.5
-        shapes[r.value] = np.log(n / n.sum())
-    tables = {"chain": np.ones((len(LABELS),) * 2), "skip": np.ones((len(LABELS),) * 2)}
+        shapes[int(r.value)] = np.log(n / n.sum())
+    alone = np.exp(log_prior)
+    tables = {part: len(LABELS) ** 2 * np.outer(alone, alone) for part in ("chain", "skip")}     # chance, until counts say more
     for r in links:
         tables[r.part][int(r.value), r.label] += r.n
     chain = tables["chain"] / tables["chain"].sum()
-    skip = tables["skip"] + tables["skip"].T + SAME * np.eye(len(LABELS))
-    alone = np.exp(log_prior)
-    return Field(shapes, unseen, _beyond(chain, chain.sum(axis=1), chain.sum(axis=0)), _beyond(skip / skip.sum(), alone, alone))
+    chained = _beyond(chain, chain.sum(axis=1), chain.sum(axis=0))
+    chained[tables["chain"].sum(axis=1) < 1] = 0.0                     # a label no chain was seen with says nothing
+    chained[:, tables["chain"].sum(axis=0) < 1] = 0.0
+    skip = tables["skip"] + tables["skip"].T + SAME * np.diag(alone)
+    return Field(shapes, unseen, chained, _beyond(skip / skip.sum(), alone, alone))
 
 
 def _beyond(pair: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -251,7 +277,7 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
             unary[i] = -50.0
             unary[i, y] = 0.0
         else:
-            unary[i] = field.shapes.get(s, field.unseen)
+            unary[i] = field.shapes.get(cell_of(s), field.unseen)
     for i in range(n):                                    # plain words beside a token
         if not t.beside[i]:
             unary[i] += field.chain[:, 0]
@@ -318,21 +344,26 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 def find(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with n_email, n_ip, n_card, n_phone (base
-    matches), base_spans and spans (kind:start:end, by kind and start)."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)           # bounded by MAX_SHAPES
+    matches), base_spans and spans (kind:start:end, by kind and start); these
+    get underscores where such a column is there already."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)           # bounded by SHAPE_BUCKETS
     rest = [c for c in docs.columns if c != text_col]
+    names, place = [], docs.columns.index(text_col)
+    for name in (*(f"n_{k}" for k in KINDS), "base_spans", "spans"):
+        names.append(fresh([*rest, *names], name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [all_spans(t or "", shared.value) for t in b.column(text_col).to_pylist()]
+            read = [all_spans(t or "", shared.value) for t in b.column(place).to_pylist()]
             counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in read], pa.int64()) for kind in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in rest), *counts, pa.array([_written(base) for base, _ in read], pa.string()),
+                [*(c for i, c in enumerate(b.columns) if i != place), *counts, pa.array([_written(base) for base, _ in read], pa.string()),
                  pa.array([_written(base + more) for base, more in read], pa.string())],
-                names=[*rest, *(f"n_{k}" for k in KINDS), "base_spans", "spans"])
+                names=[*rest, *names])
 
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest] + [f"n_{k} bigint" for k in KINDS]
-    return arrow_map(docs, run, ", ".join(schema + ["base_spans string", "spans string"]))
+    kinds = ["bigint"] * len(KINDS) + ["string"] * 2
+    return arrow_map(docs, run, ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
+                                          + [f"`{n}` {k}" for n, k in zip(names, kinds)]))
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:

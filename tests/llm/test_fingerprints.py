@@ -59,3 +59,18 @@ def test_ties_nulls_and_empty_tables(spark):
 def test_fingerprint_column_keeps_other_columns(spark):
     df = spark.createDataFrame([("t", 1)], "text string, fingerprint_ int")
     assert FP.fingerprints(df).columns == ["text", "fingerprint_", "fingerprint"]
+
+
+def test_helper_with_a_clashing_column(spark):
+    from verdant.llm import fingerprints
+    df = spark.createDataFrame([(1, "a b c d e f", 7)], "doc_id bigint, text string, FINGERPRINT int")
+    out = fingerprints.fingerprints(df)
+    assert out.columns == ["doc_id", "text", "FINGERPRINT", "fingerprint_"] and out.first().FINGERPRINT == 7
+
+
+def test_long_words_that_swap_blocks_differ():
+    import pyarrow as pa
+    from verdant.llm.common import word_hashes
+    a, b = "a" * 65536, "b" * 65536
+    words, counts = word_hashes(pa.array([a + b, b + a, a + b + a, a + b, "x " + a + b]))
+    assert counts.tolist() == [1, 1, 1, 1, 2] and len({words[0], words[1], words[2]}) == 3 and words[0] == words[3] == words[5]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from verdant.llm.common import arrow_map, mix64, partitions, prepare, shingle_hashes
+from verdant.llm.common import arrow_map, fresh, mix64, partitions, prepare, shingle_hashes
 
 WIDTH, BIN_BITS, BITS = 5, 9, 4
 BINS = 1 << BIN_BITS
@@ -86,12 +86,13 @@ def likeness(a: np.ndarray, words_a: np.ndarray, b: np.ndarray, words_b: np.ndar
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """``df`` with ``out_col``: the packed fingerprint (base64) of every text."""
-    names = df.columns
+    """``df`` with ``out_col`` (and underscores where it is there already): the
+    packed fingerprint (base64) of every text."""
+    names, out_col = df.columns, fresh(df.columns, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low, _ = fingerprint_matrix(b.column(text_col))
+            low, _ = fingerprint_matrix(b.column(names.index(text_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pack(low), pa.string())], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` string"

@@ -50,3 +50,15 @@ def test_digest_reads_the_new_files(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(3000)], "doc_id bigint, text string")
     out = R.digest(df)
     assert out.inputFiles() and all("shards-new" in f for f in out.inputFiles()) and out.count() == 3000
+
+
+def test_clashing_columns(spark):
+    from verdant.llm import resharding
+    df = spark.createDataFrame([(k, f"t{k}", k, k + 1, k + 2) for k in range(40)], "doc_id bigint, text string, shard int, Slot int, arrived int")
+    new = resharding.lay_out(df, 3, 5)
+    assert (new.shard, new.slot, new.arrived) == ("shard_", "slot_", "arrived_")
+    rows = new.rows.collect()
+    assert sorted(new.rows.columns) == sorted([*df.columns, "shard_", "slot_"]) and len(rows) == 40
+    assert all(r.shard == r.doc_id and r.Slot == r.doc_id + 1 and r.arrived == r.doc_id + 2 for r in rows)
+    placed, before, moved = resharding.reshard(df, 3, 5)
+    assert "shard_=*/arrived_=1" in moved and spark.read.parquet(moved).count() == placed.where("old_shard <> shard").count()

@@ -139,20 +139,25 @@ class Layout:
     folder of the shards written anew, ``shard=`` by shard, those that stayed
     and those that arrived in files of their own (``arrived=``). ``rows``: all
     rows of the new shards with shard and slot, read from the shards' files: those
-    of ``after`` and, for the shards ``untouched``, those of ``before``."""
+    of ``after`` and, for the shards ``untouched``, those of ``before``. ``shard``,
+    ``slot`` and ``arrived`` name these columns: with underscores where the table
+    has such columns of its own."""
     placed: DataFrame
     before: str
     after: str
     untouched: list[int]
     rows: DataFrame
+    shard: str = "shard"
+    slot: str = "slot"
+    arrived: str = "arrived"
 
 
 def lay_out(docs: DataFrame, n_old: int, n_new: int) -> Layout:
     """Lay ``docs`` (doc_id, text and others) out in ``n_old`` hash shards, then
     rewrite these as ``n_new``."""
     spark = docs.sparkSession
-    uid, size, crc, block, run, at, shard_of = (fresh(docs.columns, c) for c in (
-        "uid", "size", "text_crc32", "block", "run", "at", "old_shard"))
+    uid, size, crc, block, run, at, shard_of, shard, slot, arrived = (fresh(docs.columns, c) for c in (
+        "uid", "size", "text_crc32", "block", "run", "at", "old_shard", "shard", "slot", "arrived"))
     before, after = scratch(spark, "shards-old"), scratch(spark, "shards-new")
     text = F.coalesce("text", F.lit(""))
     cut = docs.withColumns({
@@ -178,7 +183,7 @@ def lay_out(docs: DataFrame, n_old: int, n_new: int) -> Layout:
     changed = {s for m in moves if m.old != m.shard for s in (m.old, m.shard)}
     untouched = sorted({m.old for m in moves} - changed)
 
-    def located(rows: DataFrame, *columns) -> DataFrame:
+    def located(rows: DataFrame, *columns, names: tuple[str, str] = (shard, slot)) -> DataFrame:
         """``columns`` of old rows, their shard and slot."""
         o, s, p = rows.alias("o"), starts.alias("s"), pieces.alias("p")
         nth = F.col(f"o.{at}") + F.col("s.start")
@@ -186,19 +191,19 @@ def lay_out(docs: DataFrame, n_old: int, n_new: int) -> Layout:
                        & (F.col(f"o.{run}") == F.col("s.by")))
                 .join(p, (F.col(f"o.{shard_of}") == F.col("p.old")) & (F.col(f"o.{block}") == F.col("p.piece_of"))
                       & (nth >= F.col("p.lo")) & (nth < F.col("p.hi")))
-                .select(*columns, F.col("p.shard").alias("shard"), (F.col("p.base") + nth - F.col("p.lo")).alias("slot")))
+                .select(*columns, F.col("p.shard").alias(names[0]), (F.col("p.base") + nth - F.col("p.lo")).alias(names[1])))
 
     given = [F.col(f"o.`{c}`") for c in docs.columns]
     stays = F.col(shard_of).isin(untouched)
     anew = located(old.where(~stays), *given, F.col(f"o.{shard_of}").alias(shard_of))
-    anew = anew.withColumn("arrived", (F.col("shard") != F.col(shard_of)).cast("int")).drop(shard_of)
-    anew.write.partitionBy("shard", "arrived").parquet(after)
-    rows = spark.read.schema(anew.schema).parquet(after).drop("arrived")
+    anew = anew.withColumn(arrived, (F.col(shard) != F.col(shard_of)).cast("int")).drop(shard_of)
+    anew.write.partitionBy(shard, arrived).parquet(after)
+    rows = spark.read.schema(anew.schema).parquet(after).drop(arrived)
     if untouched:
         rows = rows.unionByName(located(old.where(stays), *given))
     placed = located(old, F.col(f"o.{uid}").alias("uid"), "o.doc_id", F.col(f"o.{size}").alias("size"),
-                     F.col(f"o.{crc}").alias("text_crc32"), F.col(f"o.{shard_of}").alias("old_shard"))
-    return Layout(placed, before, after, untouched, rows)
+                     F.col(f"o.{crc}").alias("text_crc32"), F.col(f"o.{shard_of}").alias("old_shard"), names=("shard", "slot"))
+    return Layout(placed, before, after, untouched, rows, shard, slot, arrived)
 
 
 def reshard(docs: DataFrame, n_old: int, n_new: int) -> tuple[DataFrame, str, str]:
@@ -206,7 +211,7 @@ def reshard(docs: DataFrame, n_old: int, n_new: int) -> tuple[DataFrame, str, st
     ``lay_out``, the folder of its old files and the path of those files of the
     new shards that hold the rows which changed shard."""
     new = lay_out(docs, n_old, n_new)
-    return new.placed, new.before, f"{new.after}/shard=*/arrived=1"
+    return new.placed, new.before, f"{new.after}/{new.shard}=*/{new.arrived}=1"
 
 
 def digest(docs: DataFrame, n_old: int = 12, n_new: int = 16) -> DataFrame:

@@ -53,3 +53,25 @@ def test_encoder_keeps_pieces_between_stretches(reference, monkeypatch):
     all_texts = texts()
     got = [x for k in range(0, len(all_texts), 9) for x in enc(all_texts[k:k + 9]).to_pylist()]
     assert got == [reference.encode_ordinary(t) for t in all_texts]
+
+
+def test_ranks_that_open_earlier_ones():
+    """A merge may make a pair of an earlier rank possible."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"bcb": 256, b"bc": 257, b"aa": 258, b"aab": 259, b"baab": 260, b"ab": 261}
+    lib = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(4)
+    words = ["bcbc", "bcbcb", "bbccbcbc"] + ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 30))) for _ in range(400)]
+    ids, counts = bpe.MergeReplay(ranks).encode([w.encode() for w in words])
+    at = 0
+    for w, n in zip(words, counts.tolist()):
+        assert ids[at:at + n].tolist() == lib.encode_ordinary(w), w
+        at += n
+    assert lib.encode_ordinary("bcbc") == [256, 99]
+    with pytest.raises(ValueError):
+        bpe.MergeReplay(ranks | {b"zz": 1 << 17})
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id bigint, text string, ids string, decoded string")
+    out = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, ids_col="ids_")
+    assert out.columns == ["doc_id", "ids", "decoded", "ids_", "decoded_"] and bytes(out.first().decoded_) == b"a b"

@@ -9,7 +9,8 @@ pre-tokens, so a pre-token is merged once per stretch however often it occurs.
 
 Defined cases: null text encodes like the empty text (no ids); repeated rows
 are encoded alike; texts of any length are encoded whole; columns other than
-the text pass through, and the output column may not clash with one of them.
+the text pass through, and the output columns get underscores where such a
+column is there already; rank files with ranks beyond 17 bits are refused.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import arrow_map
+from verdant.llm.common import arrow_map, fresh
 
 STRETCH_CHARS = 8_000_000     # texts whose pre-tokens are merged together
 STRETCH_DOCS = 20_000
@@ -52,6 +53,8 @@ class MergeReplay:
     """Encodes many byte strings together by replaying merges in rank order."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values()) > 0x1FFFF:
+            raise ValueError("ranks beyond 17 bits")       # two of them make a key
         self.tokens = {r: t for t, r in ranks.items()}
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         keys, vals = [], []
@@ -65,7 +68,7 @@ class MergeReplay:
         self.levels = self._table(self.keys, self.vals)
         # ranks after which an earlier rank may become possible: one merge a word at a time
         back = (self.vals < (self.keys >> 17)) | (self.vals < (self.keys & 0x1FFFF))
-        self.careful = set((self.keys[back] >> 32).tolist()) | set((self.keys[back] & 0xFFFFFFFF).tolist())
+        self.careful = set((self.keys[back] >> 17).tolist()) | set((self.keys[back] & 0x1FFFF).tolist())
 
     @staticmethod
     def _table(keys: np.ndarray, vals: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -269,6 +272,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))    # one vocabulary file: fixed size
     rest = [c for c in df.columns if c != text_col]
+    out_col = fresh(rest, out_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(MergeReplay(shared.value), pattern)
@@ -299,7 +303,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col`` binary, the bytes its token ids stand for."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    names = df.columns
+    names, out_col = df.columns, fresh(df.columns, out_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {r: t for t, r in shared.value.items()}

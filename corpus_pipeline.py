@@ -24,7 +24,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier (operator 9), trained here: junk and toxic documents go."""
     model = quality.train(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
-    return quality.judge(docs, model).where("keep").select(*docs.columns)
+    judged = quality.judge(docs, model)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)      # its last column, whatever ``docs`` has
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

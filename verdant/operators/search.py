@@ -1,11 +1,10 @@
 """Text and vector search.
 
-Exact nearest neighbours (I3, I4): the queries are a stated set, taken in blocks
-of ``QUERY_BLOCK`` vectors. A block travels to every corpus task, which scores
-its rows against it and passes on the best k of each query (and ties); a window
-over those ranks them exactly. The answer does not depend on the number of
-queries, and no table of pairs is formed. The inverted lists (I7) are an
-approximate index of their own, used only when asked for.
+Exact nearest neighbours (I3, I4): packed blocks of queries meet packed blocks
+of the corpus that could hold something near enough (``operators.vectors``); a
+window over what they pass on ranks it exactly. The answer does not depend on
+the number of queries, and no table of pairs is formed. The inverted lists (I7)
+are an approximate index of their own, used only when asked for.
 
 Keyword search (I5) keeps the substring semantics exactly without comparing
 every word with every document: a query word (no whitespace) occurs in a text
@@ -18,15 +17,12 @@ written (token → document) index — equi-joins only.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from verdant.functions.numeric import fixed_round
+from verdant.operators.vectors import candidates
 from verdant.session import checkpoint_dir
 
 # Result caps and defaults.
@@ -36,7 +32,6 @@ KEYWORD_CONTENT_POINTS = 1
 KEYWORD_TITLE_POINTS = 2
 IVF_LISTS = 20
 IVF_PROBES = 3
-QUERY_BLOCK = 1024            # query vectors that travel to the corpus tasks together
 WS_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
@@ -61,21 +56,17 @@ def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, query_key: str,
-            vec: str = "vec", exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+            vec: str = "vec", exclude_self: bool = False) -> DataFrame:
     """Exact top-k by cosine distance for each query, however many there are
-    (see module notes): query_key, the other columns of ``corpus``, distance,
-    rank (distance, then key). Corpus keys are unique."""
+    (``operators.vectors``): query_key, the other columns of ``corpus``,
+    distance, rank (distance, then key). Keys are unique on both sides."""
+    checkpoint_dir(corpus.sparkSession)
     c = with_norm(corpus.select(F.col(corpus_key).alias("_c"), F.col(vec).alias("_v")), "_v")
     q = with_norm(queries.select(F.col(query_key).alias("_q"), F.col(vec).alias("_qv")), "_qv").withColumnRenamed("_norm", "_qn")
-    blocks = max(1, -(-q.count() // block))
-    kinds = f"_q {q.schema['_q'].dataType.simpleString()}, _c {c.schema['_c'].dataType.simpleString()}"
-    best = None
-    for i in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).collect()
-        part = c.mapInArrow(_best_of_task(rows, to_arrow_type(q.schema["_q"].dataType), k, exclude_self), kinds)
-        best = part if best is None else best.unionByName(part)
-    # what tasks kept, ranked by the exact distances
-    scored = (best.join(c, "_c").join(q, "_q")
+    unit = lambda v, n: F.transform(v, lambda x: x / F.col(n)).alias("unit")
+    best = candidates(c.select(F.col("_c").alias("key"), unit("_v", "_norm")),
+                      q.select(F.col("_q").alias("key"), unit("_qv", "_qn")), k, exclude_self)
+    scored = (best.select(F.col("query").alias("_q"), F.col("key").alias("_c")).join(c, "_c").join(q, "_q")
               .withColumn("distance", F.lit(1.0) - dot(F.col("_v"), F.col("_qv")) / (F.col("_norm") * F.col("_qn"))))
     w = Window.partitionBy("_q").orderBy("distance", "_c")
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("_q", "_c", "distance", "rank")
@@ -83,42 +74,6 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, quer
     return (top.join(rest, F.col("_c") == F.col(corpus_key)).drop("_c").withColumnRenamed("_q", query_key))
 
 
-def _best_of_task(rows: list, key_type: pa.DataType, k: int, exclude_self: bool):
-    """mapInArrow function: the k corpus keys nearest to each query among the
-    rows of a task, with all that tie or might by rounding."""
-    keys = [r["_q"] for r in rows]
-    units = np.array([r["_qv"] for r in rows], float) / np.array([[r["_qn"]] for r in rows], float) if rows else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_q, held_c, held_d, kind = np.empty(0, int), [], np.empty(0), None
-        for b in batches:
-            kind = b.column(0).type
-            if units is None or not b.num_rows:
-                continue
-            own = b.column(0).to_pylist()
-            vecs = np.stack(b.column(1).to_numpy(zero_copy_only=False)) / b.column(2).to_numpy()[:, None]
-            distance = 1.0 - vecs @ units.T
-            if exclude_self:
-                at = {x: i for i, x in enumerate(own)}
-                for j, x in enumerate(keys):
-                    if x in at:
-                        distance[at[x], j] = np.inf
-            kth = np.partition(distance, min(k, len(own)) - 1, axis=0)[min(k, len(own)) - 1]
-            i, j = np.nonzero((distance <= kth + 1e-9) & (distance < np.inf))
-            held_q, held_d = np.append(held_q, j), np.append(held_d, distance[i, j])
-            held_c += [own[x] for x in i]
-            order = np.lexsort((held_d, held_q))                   # keep what can still be among the best k
-            q, d = held_q[order], held_d[order]
-            first = np.searchsorted(q, q)
-            limit = d[np.minimum(first + k - 1, np.searchsorted(q, q, side="right") - 1)]
-            keep = order[(np.arange(len(q)) - first < k) | (d <= limit + 1e-9)]
-            held_q, held_d, held_c = held_q[keep], held_d[keep], [held_c[x] for x in keep]
-        if len(held_q):
-            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in held_q], key_type), pa.array(held_c, kind)], names=["_q", "_c"])
-
-    return run
-
-
 # ------------------------------------------------------------- I1, I2
 
 def _pct(c: str) -> Column:

@@ -67,18 +67,20 @@ def test_ivf_with_all_lists_probed_is_exact(spark, tables):
     from verdant.operators import search as S
     from verdant.plans.queries_search import _knowledge, _label_centroids
     kb = _knowledge(tables).where(F.col("vec").isNotNull())
-    indexed, cents = S.ivf_build(kb.select("doc_id", "vec"), "doc_id", lists=8)
+    index = S.ivf_build(kb.select("doc_id", "vec"), "doc_id", lists=8)
     approx = {(r.query_id, r.doc_id) for r in
-              S.ivf_search(indexed, cents, _label_centroids(tables), "doc_id", k=5, probes=8).collect()}
+              S.ivf_search(index, _label_centroids(tables), "doc_id", k=5, probes=index.lists).collect()}
     exact = {(r.query_id, r.doc_id) for r in q(spark, "i4_semantic_search").collect()}
     assert approx == exact
 
 
-def test_nearest_is_the_same_whatever_the_number_of_queries(spark, tables):
+def test_nearest_is_the_same_whatever_the_size_of_the_blocks(spark, tables, monkeypatch):
     from verdant.operators import search as S
+    from verdant.operators import vectors as V
     e = tables.raw("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     q = e.where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "vec")
     whole = S.nearest(e, q, 4, "doc_id", "query_id", exclude_self=True)
-    blocks = S.nearest(e, q, 4, "doc_id", "query_id", exclude_self=True, block=5)
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
+    first = sorted(map(tuple, whole.collect()))
+    monkeypatch.setattr(V, "BLOCK_BYTES", 5 * 8 * 64)
+    assert sorted(map(tuple, S.nearest(e, q, 4, "doc_id", "query_id", exclude_self=True).collect())) == first
     assert whole.count() == 4 * q.count() and whole.where("query_id = doc_id").count() == 0

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdant.operators import search as S
 from verdant.operators import vectors as V
@@ -76,3 +77,20 @@ def test_empty_sides(spark):
     assert S.nearest(none, one, 3, "symbol", "query_id").collect() == []
     full = spark.createDataFrame([("a", [1.0, 2.0])], "symbol string, vec array<double>")
     assert S.nearest(full, one.limit(0), 3, "symbol", "query_id").collect() == []
+
+
+def test_recall_of_the_inverted_lists(spark, monkeypatch):
+    from verdant.operators import inverted as I
+    monkeypatch.setattr(I, "PIECE_ROWS", 60)
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    corpus = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    index = S.ivf_build(corpus, "doc_id")
+    n = corpus.count()
+    assert index.lists >= n / S.IVF_LIST_ROWS and index.rows.count() == n
+    assert index.rows.groupBy("list_id", "piece").count().agg(F.max("count")).first()[0] < 120     # long lists are split
+    found = {(r.query_id, r.doc_id) for r in S.ivf_search(index, queries, "doc_id", k=5).collect()}
+    exact = {(r.query_id, r.doc_id) for r in S.nearest(corpus, queries, 5, "doc_id", "query_id").collect()}
+    assert len(exact) == 5 * queries.count() and len(found & exact) / len(exact) >= 0.9
+    few = spark.createDataFrame([], "doc_id bigint, vec array<double>")
+    assert S.ivf_search(S.ivf_build(few, "doc_id"), queries, "doc_id").collect() == []

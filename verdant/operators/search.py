@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdant.functions.numeric import fixed_round
+from verdant.operators.inverted import InvertedLists, build_lists, probed
 from verdant.operators.vectors import candidates
 from verdant.session import checkpoint_dir
 
@@ -30,8 +31,8 @@ SIMILAR_MAX = 50
 SEARCH_K = 5
 KEYWORD_CONTENT_POINTS = 1
 KEYWORD_TITLE_POINTS = 2
-IVF_LISTS = 20
-IVF_PROBES = 3
+IVF_LIST_ROWS = 32            # rows a list is meant for
+IVF_SHARE = 0.6               # of the lists that a query looks into: enough for vectors that hardly cluster
 WS_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
@@ -279,45 +280,26 @@ def search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:
 
 # ----------------------------------------------------------------- I7, I8
 
-def ivf_build(corpus: DataFrame, key: str, vec: str = "vec", lists: int = IVF_LISTS, seed: int = 7):
-    """I7 build: k-means (cosine via unit vectors) over the corpus; returns
-    (corpus with list_id, centroids(list_id, centroid)). The centroid table
-    has ``lists`` rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+def ivf_build(corpus: DataFrame, key: str, vec: str = "vec", lists: int | None = None, seed: int = 7) -> InvertedLists:
+    """I7 build over unit vectors: one list for about ``IVF_LIST_ROWS`` rows
+    (or ``lists``) by a two-level quantiser (``operators.inverted``); rows with
+    NULL or zero vectors are in no list."""
     c = with_norm(corpus.select(key, vec), vec)
-    unit = c.select(key, F.transform(vec, lambda x: x / F.col("_norm")).alias("_u"))
-    feats = unit.select(key, array_to_vector("_u").alias("features"))
-    model = KMeans(k=lists, seed=seed, featuresCol="features", predictionCol="list_id").fit(feats)
-    assigned = model.transform(feats).select(key, F.col("list_id").cast("int"))
-    cents = corpus.sparkSession.createDataFrame(
-        [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())],
-        "list_id int, centroid array<double>")
-    return corpus.join(assigned, key), cents
-
-
-def ivf_search(indexed: DataFrame, cents: DataFrame, queries: DataFrame, key: str, k: int = SEARCH_K,
-               probes: int = 2, vec: str = "vec") -> DataFrame:
-    """I7 search: each query ranks the centroids (an array literal of
-    ``lists`` entries) and probes its ``probes`` nearest lists; candidates
-    come from an equi-join on list_id and are re-ranked exactly."""
-    carr = cents.select(F.collect_list(F.struct(
-        "list_id", F.col("centroid").alias("cv"),
-        F.sqrt(dot(F.col("centroid"), F.col("centroid"))).alias("cn")))).scalar()
+    unit = c.select(F.col(key).alias("key"), F.transform(vec, lambda x: x / F.col("_norm")).alias("unit"))
+    return build_lists(unit, lists, IVF_LIST_ROWS, seed)
+
+
+def ivf_search(index: InvertedLists, queries: DataFrame, key: str, k: int = SEARCH_K,
+               probes: int | None = None, vec: str = "vec") -> DataFrame:
+    """I7 search: the rows of each query's ``probes`` nearest lists (by default
+    ``IVF_SHARE`` of all) ranked by their exact cosine distance."""
+    probes = max(1, round(IVF_SHARE * index.lists)) if probes is None else probes
     q = with_norm(queries.select("query_id", vec), vec)
-    qc = q.select("query_id", F.col(vec).alias("_qv"), F.col("_norm").alias("_qn"), F.explode(carr).alias("_c"))
-    qc = qc.select("query_id", "_qv", "_qn", F.col("_c.list_id").alias("list_id"),
-                   (F.lit(1.0) - dot(F.col("_qv"), F.col("_c.cv")) / (F.col("_qn") * F.col("_c.cn"))).alias("_cd"))
-    wq = Window.partitionBy("query_id").orderBy("_cd", "list_id")
-    probe = (qc.withColumn("_pr", F.row_number().over(wq)).where(F.col("_pr") <= probes)
-               .select("query_id", "_qv", "_qn", "list_id"))
-    c = with_norm(indexed.select(key, vec, "list_id"), vec)
-    pairs = c.join(probe, "list_id")
-    pairs = pairs.withColumn("distance", F.lit(1.0) - dot(F.col(vec), F.col("_qv")) / (F.col("_norm") * F.col("_qn")))
-    w = Window.partitionBy("query_id").orderBy("distance", key)
+    unit = q.select(F.col("query_id").alias("key"), F.transform(vec, lambda x: x / F.col("_norm")).alias("unit"))
+    pairs = probed(index, unit, probes).withColumn("distance", F.lit(1.0) - dot(F.col("unit"), F.col("q_unit")))
+    w = Window.partitionBy("query").orderBy("distance", "key")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select("query_id", F.col("rank").cast("bigint").alias("rank"), key, "distance"))
+            .select(F.col("query").alias("query_id"), F.col("rank").cast("bigint").alias("rank"), F.col("key").alias(key), "distance"))
 
 
 def hash_embed(df: DataFrame, text: str = "text", dim: int = 768, fit_on: DataFrame | None = None):

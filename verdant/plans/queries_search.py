@@ -9,6 +9,7 @@ from verdant.operators import search as S
 from verdant.plans.catalog import register
 from verdant.plans.oracle import SYM, cte
 from verdant.plans.queries_read import metrics_of
+from verdant.session import checkpoint_dir
 from verdant.sources.tables import symbol_of
 
 _DOT = "list_reduce(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]), lambda x, y: x + y)"
@@ -157,11 +158,10 @@ def i6_search_with_fallback(t):
 
 @register("i7_ivf_search", None)
 def i7_ivf_search(t):
-    """Inverted-list (20 lists, 3 probes) search of label centroids over
-    the document vectors."""
+    """Inverted-list search of label centroids over the document vectors."""
+    checkpoint_dir(t.spark)
     kb = _knowledge(t).where(F.col("vec").isNotNull())
-    indexed, cents = S.ivf_build(kb.select("doc_id", "vec"), "doc_id", lists=20)
-    return S.ivf_search(indexed, cents, _label_centroids(t), "doc_id", k=5, probes=3)
+    return S.ivf_search(S.ivf_build(kb.select("doc_id", "vec"), "doc_id"), _label_centroids(t), "doc_id", k=5)
 
 
 @register("i8_hash_embed", None)

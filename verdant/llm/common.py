@@ -4,6 +4,7 @@ components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from verdant.session import checkpoint_dir, ship_package
 
 BATCH_ROWS = 512              # rows of one Arrow batch,
-BATCH_BYTES = 2 << 20         # which is also closed beyond so many bytes: texts may be long
+BATCH_BYTES = 1 << 20         # which is also closed beyond so many bytes: texts may be long
 
 
 def prepare(spark: SparkSession) -> None:
@@ -63,7 +64,21 @@ def fresh(columns: list[str], name: str) -> str:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema) -> DataFrame:
     prepare(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):                 # another C library
+        pass
 
 
 # --- word and shingle hashing ------------------------------------------------

@@ -534,7 +534,7 @@ def link_classes(entries: DataFrame, bitmaps: DataFrame, docs: DataFrame, like:
                      .where(f"{like.den} * least(n_a, n_b) >= {like.num} * greatest(n_a, n_b)"))
             close = possible((pairs if turn else pairs.unionByName(direct)).distinct(), bitmaps, like)
         close = stored(close, "close")
-        both = close.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        both = close.select(F.col("a").alias("class")).distinct().unionByName(close.select(F.col("b").alias("class")).distinct()).distinct()
         found = stored(similar(close, candidate_sets(docs, both, like), like), "links")
         drop_stored(close, open_keys, *tables)
         links.append(found)

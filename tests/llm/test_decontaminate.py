@@ -20,14 +20,15 @@ def brute(docs, items):
             places.setdefault(x, set()).add(p)
     for (d, t), (i, s) in itertools.product(docs, items):
         w, b = words(t), words(s)
-        if len(b) < D.LEAST:
+        if not b:
             continue
         n = min(D.WINDOW, len(b))
+        few = n // 6 if n >= D.LEAST else 0
         shifts = Counter(p - j for j, x in enumerate(b) for p in at.get((d, t), {}).get(x, ()))
-        for shift in (k for k, c in shifts.items() if c >= n - n // 6):
+        for shift in (k for k, c in shifts.items() if c >= n - few):
             same = [0 <= shift + j < len(w) and w[shift + j] == b[j] for j in range(len(b))]
             best = max(sum(same[k:k + n]) for k in range(len(b) - n + 1))
-            if best >= n - n // 6:
+            if best >= n - few:
                 out[d, i] = max(best, out.get((d, i), 0))
     return out
 
@@ -41,7 +42,7 @@ def test_masks_meet_every_window():
 def data():
     rnd = random.Random(11)
     voc = [f"w{k}" for k in range(60)] + ["é", "ñandú"]
-    items = [(k, " ".join(rnd.choices(voc, k=rnd.choice([3, 7, 8, 9, 11, 12, 13, 30])))) for k in range(25)]
+    items = [(k, " ".join(rnd.choices(voc, k=rnd.choice([1, 3, 5, 7, 8, 9, 11, 12, 13, 30])))) for k in range(25)]
     docs = []
     for k in range(120):
         w = rnd.choices(voc, k=rnd.choice([0, 2, 30, 80]))
@@ -67,6 +68,24 @@ def test_against_brute_force(spark):
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == sorted(k for k, _ in docs if k not in bad)
 
 
+def test_short_items_stand_word_by_word(spark):
+    docs = [(1, "say: What is the capital of France? Paris"), (2, "what is the big capital of france"), (3, "yes"), (4, "Yes, and no"), (5, "the")]
+    items = [(10, "What is the capital of France?"), (11, "YES"), (12, "and no more"), (13, "of")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in D.overlaps(d, i).collect()}
+    assert got == {(1, 10): 6, (3, 11): 1, (4, 11): 1, (1, 13): 1, (2, 13): 1} == brute(docs, items)
+
+
+def test_a_full_filter_costs_rows_not_results(spark, monkeypatch):
+    monkeypatch.setattr(D, "FILTER_WORDS", 1)
+    docs, items = data()
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.matched for r in D.overlaps(d, i).collect()} == brute(docs, items)
+    plan = D.overlaps(d, i)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEval" not in plan and "MapInArrow" not in plan and "BatchEvalPython" not in plan
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string")

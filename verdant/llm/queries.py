@@ -64,19 +64,19 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Every alignment of an item with a document that agrees in all but a sixth of
-# the words of some window, from equal words alone.
+# the words of some window (items below 8 words: in all), from equal words alone.
 OP8_SQL = """
-with d as (select distinct doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w
+with d as (select distinct doc_id, text, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> ''] as w
            from documents),
-b as (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') as w
+b as (select distinct item_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+') if x <> ''] as w
       from benchmark),
-i as (select item_id, hash(w) as item, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as j from b where len(w) >= 8),
+i as (select item_id, hash(w) as item, len(w) as n, unnest(w) as word, generate_subscripts(w, 1) as j from b where len(w) > 0),
 t as (select doc_id, hash(text) as doc, unnest(w) as word, generate_subscripts(w, 1) as p from d),
 m as (select t.doc_id, t.doc, i.item_id, i.item, i.n, i.j, t.p - i.j as diagonal from t join i using (word)),
 c as (select doc_id, item_id, n, count(*) over (partition by doc_id, doc, item_id, item, diagonal order by j
                                                 range between current row and least(12, n) - 1 following) as matched from m)
 select doc_id, item_id, max(matched) as matched from c
-where matched >= least(12, n) - least(12, n) // 6 group by doc_id, item_id
+where matched >= case when n < 8 then n else least(12, n) - least(12, n) // 6 end group by doc_id, item_id
 """
 
 

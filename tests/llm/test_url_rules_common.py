@@ -56,3 +56,28 @@ def test_common_tokens_take_part(spark, rows, rule, page):
     got = {r.page_id: r.verdict for r in U.judge(pages, labels, 0.02, 0.6, 1.5, rules=()).collect()}
     assert got == {i: "block" if any(set(c) <= brute_tokens(u) for c in mined) else "allow"
                    for i, u in [(i, u) for i, u, _ in rows] + [(999, page)]} and got[999] == "block"
+
+
+def test_shared_segments_are_one_class(spark):
+    """30 segments that six bad urls share, alone and together with others."""
+    import time
+    long = "/".join(f"s{k}" for k in range(30))
+    rows = [(i, f"http://h{i}.net/{long}/{i}", True) for i in range(6)] + [(10 + i, f"http://h{i}.net/ok{i}/x", False) for i in range(34)]
+    labelled = spark.createDataFrame([(u, b) for _, u, b in rows], "url string, bad boolean")
+    began = time.time()
+    rules, members = U.mine_classes(labelled, 0.005, 0.6, 1.5)
+    assert [r.classes for r in rules.collect()] == [["s0"]]
+    assert sorted(r.token for r in members.where("class = 's0'").collect()) == sorted(f"s{k}" for k in range(30))
+    assert {tuple(r.tokens) for r in U.mine(labelled, 0.005, 0.6, 1.5).collect()} == {(f"s{k}",) for k in range(30)}
+    assert time.time() - began < 30                         # twelve took minutes before; some of it is Spark's start
+    good = spark.createDataFrame([(f"http://q{i}.net/{long}/fine/{i}", False) for i in range(12)]
+                                 + [(f"http://q{i}.net/{long}/free/{i}", True) for i in range(8)], "url string, bad boolean")
+    rules, members = U.mine_classes(good, 0.005, 0.6, 1.5)
+    assert {tuple(r.classes) for r in rules.collect()} == {("free",)}
+
+
+def test_support_is_an_argument(spark):
+    rows = [(f"http://a.net/bad/{i}", True) for i in range(3)] + [(f"http://a.net/x/{i}", False) for i in range(7)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    assert U.mine(labelled, 0.0, 0.6, 1.5).collect() == []
+    assert {tuple(r.tokens) for r in U.mine(labelled, 0.0, 0.6, 1.5, min_urls=3).collect()} == {("bad",)}

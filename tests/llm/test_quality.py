@@ -78,3 +78,39 @@ def test_given_labels(spark):
     assert sum((r.p_junk > 0.5) == (r.quality == 0) for r in rows) / len(rows) > 0.98
     assert sum((r.p_toxic > 0.5) == (r.toxic == 1) for r in rows) / len(rows) > 0.94
     assert all(r.p_toxic < 0.5 for r in rows if r.toxic == 0)
+
+
+def test_counts_and_posteriors_by_brute_force(spark):
+    """Tokens of every labelled document by class and fold, vote patterns over all documents, and their posteriors."""
+    from collections import Counter
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    rows = corpus()[:300]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(7, rows[7][1])], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - j, x) for i, _, j, x in rows if i % 3], "doc_id bigint, quality int, toxic int")
+    gold = Q._gold(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(Q.FOLDS)).cast("int"))
+    found = Q.labelled_documents(docs, gold)
+    kept = {r.doc_id: r for r in found.collect()}
+    assert len(kept) > 0.9 * 200 and all(i % 3 for i in kept)               # few words: some share a smallest pair
+    assert found.count() == len(kept)                                       # 7 stands twice and counts once
+    reading = {i: set(Q.read(pa.array([t])).token.view(np.int64).tolist()) for i, t, _, _ in rows}
+    want = Counter()
+    for i, r in kept.items():
+        for tok in reading[i]:
+            for t in Q.TARGETS:
+                want[tok, f"n_{t}{r.fold}"] += 1
+                want[tok, f"yes_{t}{r.fold}"] += r[f"gold_{t}"]
+    got = Counter()
+    for r in Q.token_counts(found).collect():
+        for c, v in r.asDict().items():
+            if c != "token" and v:
+                got[r.token, c] = v
+    assert got == +want
+    model = Q.train(docs, labels)
+    patterns, counts = np.unique(np.array([[1, 0], [1, -1], [0, 0], [-1, 1]], np.int8), axis=0, return_counts=True)
+    prior, table = 0.3, np.array([[[.7, .1, .2], [.1, .8, .1]], [[.6, .2, .2], [.3, .4, .3]]])
+    for p, q in zip(patterns, Q.posterior(patterns, prior, table)):
+        like = [np.prod([table[k, y, p[k] if p[k] >= 0 else 2] for k in range(2)]) for y in (0, 1)]
+        assert abs(q - prior * like[1] / (prior * like[1] + (1 - prior) * like[0])) < 1e-9
+    total = sum(tab[0] >= 0 for tab in model.accuracies.values())
+    assert total == 2 and len(model.lexicon) >= len(INSULTS)

@@ -2,18 +2,21 @@
 
 Two targets, ``junk`` and ``toxic``. For each, several heuristic labellers vote
 1 (yes), 0 (no) or - (no opinion) on every document: rules on characters and
-repetition, a lexicon mined from the labelled sample, and the ``labels`` table
+repetition, a lexicon mined from the labelled documents, and the ``labels`` table
 itself. Expectation-maximisation over the counts of vote patterns (their number
 depends on the labellers alone) estimates how each labeller votes on either
 class; the posterior of a document's pattern labels it. A hashed linear scorer
 (logistic regression over the presence of hashed tokens and style marks) is
 trained on the posteriors and judges documents by their text alone.
 
-The lexicon and the scorer are fitted on a sample of at most ``FIT_ROWS``
-labelled documents (smallest id hashes), near copies counted once. A labelled
-document is voted on with a lexicon mined without its fold, so that the
-lexicon's accuracy is estimated on documents it was not made from. The vote
-patterns are counted over all documents, and all are judged whole.
+Spark counts the tokens of all labelled documents by class and fold, near
+copies once; the lexicon and the tokens that the scorer looks at are those
+whose counts pass its tests. Weights are fitted on a sample of at most
+``FIT_ROWS`` labelled documents (smallest id hashes), of which these tokens
+alone reach the driver. A labelled document is voted on with a lexicon mined
+without its fold, so that the lexicon's accuracy is estimated on documents it
+was not made from. The vote patterns are counted over all documents, and all
+are judged whole.
 
 Defined cases: a null text is the empty text (no words; kept); documents
 without label are voted on by the heuristics alone; several labels of a
@@ -26,19 +29,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdant.llm.common import arrow_map, fresh, mix64, prepare, utf8, word_hashes
+from verdant.llm.common import arrow_map, bit_filter, fresh, in_filter, mix64, prepare, stored, utf8, word_hashes
 
-FIT_ROWS = 8_000              # labelled documents the scorer is fitted on
+FIT_ROWS = 20_000             # labelled documents the scorer is fitted on
 LEXICON_MIN = 3               # toxic documents with a lexicon token, at least,
 LEXICON_LIFT = 20.0           # and how many times as often it is met as in the others
 MIN_DOCS, MIN_Z = 8, 5.0      # support and significance of a token as a feature
 MIN_MARKED = 2                # support of a style mark
+STRETCH = 2_000_000           # tokens counted together before they are sent
 PREFIXES, TIMES = (5, 6, 7), 3   # a beginning of so many bytes that so many tokens share is a token of its own
 FOLDS = 3                     # labelled documents are voted on with the lexicon of the other folds
 ANCHOR_RIGHT = 0.95           # accuracy of the labels table where it has an opinion
@@ -237,19 +242,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, ridge: float = 0.05) -> Scorer:
-    """Logistic regression on soft labels ``q`` over the tokens whose presence
-    differs significantly between the classes."""
+def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, features: np.ndarray, ridge: float = 0.05) -> Scorer:
+    """Logistic regression on soft labels ``q`` over the presence of ``features`` and style marks."""
     base = float(np.clip(q.mean(), 1e-4, 1 - 1e-4)) if n else 0.01
     bias = np.log(base / (1 - base))
     if not len(doc):
         return Scorer(np.empty(0, np.uint64), np.empty(0), bias)
     kinds, at = np.unique(token, return_inverse=True)
     seen = np.bincount(at)
-    yes = np.bincount(at, weights=q[doc])
-    z = (yes - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
-    told = (seen >= MIN_DOCS) & (z >= MIN_Z) & (yes / seen > 0.5)
-    keep = told | np.isin(kinds, MARK_HASHES) & (seen >= MIN_MARKED)
+    keep = np.isin(kinds, features) | np.isin(kinds, MARK_HASHES) & (seen >= MIN_MARKED)
     place = np.full(len(kinds), -1)
     place[keep] = np.arange(keep.sum())
     use = keep[at]
@@ -267,22 +268,97 @@ def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, ridg
     return Scorer(kinds[keep], w, float(bias))
 
 
-def mine_lexicon(doc: np.ndarray, token: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+def token_counts(labelled: DataFrame) -> DataFrame:
+    """token and, by fold k and target, n_<target>k and yes_<target>k: the
+    documents of ``labelled`` with the token, and those of the class."""
+    cells = [f"{part}_{t}{k}" for t in TARGETS for k in range(FOLDS) for part in ("n", "yes")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            token, cell = (np.concatenate(x) for x in zip(*held))
+            kinds, at = np.unique(token, return_inverse=True)
+            table = np.bincount(at * len(cells) + cell, minlength=len(kinds) * len(cells)).reshape(len(kinds), -1)
+            return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(table[:, c].astype(np.int32)) for c in range(len(cells)))],
+                                              names=["token", *cells])
+
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            doc, token = _flat(rows.column("tokens"))
+            token = token.view(np.int64)
+            fold = b.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
+            for t, target in enumerate(TARGETS):
+                gold = b.column(f"gold_{target}").to_numpy(zero_copy_only=False).astype(float)
+                for part, use in enumerate((~np.isnan(gold), gold == 1)):
+                    pick = use[doc]
+                    held.append((token[pick], (2 * (t * FOLDS + fold) + part)[doc[pick]]))
+            size += len(token)
+            if size >= STRETCH:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    counted = arrow_map(labelled.select("tokens", "fold", *(f"gold_{t}" for t in TARGETS)), run,
+                        "token bigint, " + ", ".join(f"{c} int" for c in cells))
+    return counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in cells])
+
+
+def _sums(target: str, folds: list[int]) -> tuple[Column, Column]:
+    """Documents with the token, and those of the class, in ``folds``."""
+    return tuple(reduce(lambda a, b: a + b, [F.col(f"{part}_{target}{k}") for k in folds]) for part in ("n", "yes"))
+
+
+def mine_lexicon(counts: DataFrame, totals: dict[str, int], without: int | None = None) -> np.ndarray:
     """Tokens far more frequent in toxic documents than in others, beyond what
-    the best of so many tokens would be by chance."""
-    n, n_yes = int(use.sum()), int(toxic[use].sum())
+    the best of so many tokens would be by chance; a fold left out."""
+    folds = [k for k in range(FOLDS) if k != without]
+    n, n_yes = (sum(totals[f"{part}_toxic{k}"] for k in folds) for part in ("n", "yes"))
     n_no = n - n_yes
     if not n_yes or not n_no:
         return np.empty(0, np.uint64)
-    doc, token = doc[use[doc]], token[use[doc]]
-    kinds, at = np.unique(token, return_inverse=True)
-    seen = np.bincount(at)
-    yes = np.bincount(at, weights=toxic[doc])
+    seen, yes = _sums("toxic", folds)
     lift = ((yes + 0.5) / (n_yes + 1)) / ((seen - yes + 0.5) / (n_no + 1))
-    often = yes >= LEXICON_MIN
-    share, base = np.clip(yes / seen, 1e-9, 1 - 1e-9), n_yes / n
-    surprise = seen * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    return kinds[often & (lift >= LEXICON_LIFT) & (surprise > np.log(max(1, (seen >= LEXICON_MIN).sum())))]
+    share, base = F.least(F.greatest(F.try_divide(yes, seen), F.lit(1e-9)), F.lit(1 - 1e-9)), n_yes / n
+    surprise = seen * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    tried = counts.where(seen >= LEXICON_MIN).count()
+    found = counts.where((yes >= LEXICON_MIN) & (lift >= LEXICON_LIFT) & (surprise > float(np.log(max(1, tried)))))
+    return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def feature_tokens(counts: DataFrame, totals: dict[str, int], target: str) -> np.ndarray:
+    """Tokens whose presence tells significantly for the class."""
+    seen, yes = _sums(target, [*range(FOLDS)])
+    n, n_yes = (sum(totals[f"{part}_{target}{k}"] for k in range(FOLDS)) for part in ("n", "yes"))
+    base = min(max(n_yes / n, 1e-4), 1 - 1e-4) if n else 0.01
+    z = (yes - seen * base) / F.sqrt(seen * base * (1 - base))
+    found = counts.where((seen >= MIN_DOCS) & (yes / seen > 0.5)).where(z >= MIN_Z)
+    return np.sort(found.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def labelled_documents(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, twins, tokens, marks, junk (votes), gold_junk, gold_toxic, fold of
+    the labelled documents, near copies (a smallest hash in common) once."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(gold.select(F.xxhash64("doc_id").alias("key")), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_filter(wanted.value, b.column("key").to_numpy().view(np.uint64))))
+            if b.num_rows:
+                r, n = read(b.column("text")), b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), _lists(n, np.repeat(np.arange(n), TWINS), r.signature.ravel()), _lists(n, r.doc, r.token),
+                     _lists(n, *style_marks(r)), pa.array(_vote_code(junk_votes(r)), pa.string())],
+                    names=["doc_id", "twins", "tokens", "marks", "junk"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = arrow_map(texts, run, "doc_id bigint, twins array<bigint>, tokens array<bigint>, marks array<bigint>, junk string")
+    rows = stored(found.join(gold, "doc_id").withColumn("row", F.struct(F.xxhash64("doc_id").alias("key"), "doc_id", F.xxhash64("tokens").alias("tokens"))),
+                  "labelled")
+    heads = rows.select("row", F.posexplode("twins")).groupBy("pos", "col").agg(F.min("row").alias("row"))
+    single = heads.groupBy("row").count().where(F.col("count") == TWINS).select("row")
+    return rows.dropDuplicates(["row"]).join(single, "row", "left_semi")
 
 
 @dataclass
@@ -323,36 +399,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     prepare(spark)
     gold = _gold(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
-    chosen = gold.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")     # FIT_ROWS ids at most
-              .select(F.coalesce("text", F.lit("")).alias("text"), "gold_junk", "gold_toxic", "fold"))
+    labelled = stored(labelled_documents(docs, gold), "labelled-once")
+    by_fold = labelled.groupBy("fold").agg(*[f.alias(f"{part}_{t}") for t in TARGETS for part, f in (
+        ("n", F.count(f"gold_{t}")), ("yes", F.count_if(F.col(f"gold_{t}") == 1)))]).collect()
+    totals = {f"{part}_{t}{k}": 0 for t in TARGETS for part in ("n", "yes") for k in range(FOLDS)}
+    totals |= {f"{part}_{t}{r.fold}": r[f"{part}_{t}"] for r in by_fold for t in TARGETS for part in ("n", "yes")}
+    counts = stored(token_counts(labelled), "token-counts")
+    lexicons = [mine_lexicon(counts, totals, k) for k in range(FOLDS)]
+    lexicons.append(mine_lexicon(counts, totals))
+    features = {t: feature_tokens(counts, totals, t) for t in TARGETS}
+    told = spark.sparkContext.broadcast(np.unique(np.concatenate([*lexicons, *features.values()])))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r, n = read(b.column("text")), b.num_rows
-            twins = np.repeat(np.arange(n), TWINS)
-            yield pa.RecordBatch.from_arrays(
-                [_lists(n, twins, r.signature.ravel()), _lists(n, r.doc, r.token), _lists(n, *style_marks(r)),
-                 pa.array(_vote_code(junk_votes(r)), pa.string()), *(b.column(c) for c in ("gold_junk", "gold_toxic", "fold"))],
-                names=["twins", "tokens", "marks", "junk", "gold_junk", "gold_toxic", "fold"])
-
-    drawn = arrow_map(sample, sampled, "twins array<bigint>, tokens array<bigint>, marks array<bigint>, junk string, "
-                                       "gold_junk int, gold_toxic int, fold int").toArrow()
-    seen_twins: set[tuple[int, int]] = set()
-    single = []
-    for i, twins in enumerate(drawn.column("twins").to_pylist()):
-        marks = [*enumerate(twins)]
-        if not any(x in seen_twins for x in marks):
-            single.append(i)
-        seen_twins.update(marks)
-    drawn = drawn.take(pa.array(single, pa.int64()))
+            doc, token = _flat(pa.Table.from_batches([b]).column("tokens"))
+            keep = np.isin(token, told.value)
+            yield pa.RecordBatch.from_arrays([_lists(b.num_rows, doc[keep], token[keep]), *b.columns[1:]], names=b.schema.names)
+
+    sample = labelled.orderBy("row").limit(FIT_ROWS).select("tokens", "marks", "junk", "gold_junk", "gold_toxic", "fold")
+    drawn = arrow_map(sample, sampled, sample.schema).toArrow()
     n = drawn.num_rows
     golds = {t: drawn.column(f"gold_{t}").to_numpy().astype(float) for t in TARGETS}
     doc, token = _flat(drawn.column("tokens"))
     fold = drawn.column("fold").to_numpy()
-    toxic = np.nan_to_num(golds["toxic"])
-    lexicons = [mine_lexicon(doc, token, toxic, fold != k) for k in range(FOLDS)]
-    lexicons.append(mine_lexicon(doc, token, toxic, np.ones(n, bool)))
     shared = spark.sparkContext.broadcast(lexicons)
     codes = [f"toxic{k}" for k in range(FOLDS + 1)]
 
@@ -379,10 +448,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             tables[t] = expectation_maximisation(patterns, np.array([seen[c] for c in sorted(seen)], float),
                                                  anchor=patterns.shape[1] - 1)
     scorers = {}
-    by_fold = [lexicon_marks(n, doc, token, x) for x in lexicons[:FOLDS]]
+    marked = [lexicon_marks(n, doc, token, x) for x in lexicons[:FOLDS]]
     mark_doc, mark = _flat(drawn.column("marks"))
-    all_doc = np.concatenate([doc, mark_doc, *(d[fold[d] == k] for k, (d, _) in enumerate(by_fold))])
-    all_token = np.concatenate([token, mark, *(m[fold[d] == k] for k, (d, m) in enumerate(by_fold))])
+    all_doc = np.concatenate([doc, mark_doc, *(d[fold[d] == k] for k, (d, _) in enumerate(marked))])
+    all_token = np.concatenate([token, mark, *(m[fold[d] == k] for k, (d, m) in enumerate(marked))])
     for t in TARGETS:
         if not n or t not in tables:
             scorers[t] = Scorer(np.empty(0, np.uint64), np.empty(0), -10.0)
@@ -393,7 +462,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             text_votes = np.stack([toxic_votes(n, doc, token, x) for x in lexicons[:FOLDS]])[fold, np.arange(n)]
         g = golds[t]
         full = np.column_stack([text_votes, np.where(np.isnan(g), -1, np.nan_to_num(g)).astype(np.int8)])
-        scorers[t] = train_scorer(n, all_doc, all_token, posterior(full, *tables[t]))
+        scorers[t] = train_scorer(n, all_doc, all_token, posterior(full, *tables[t]), features[t])
     return Model(lexicons[-1], scorers, tables)
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from verdant.operators.metrics import HARD_SCREEN_MIN_ESG, sector_rank_pct
 from verdant.operators.query import clamp, latest
+from verdant.session import checkpoint_dir
 
 # Fixed values of the screening rules.
 SOFT_TOP_PCT = 0.5
 UNIVERSE_MAX = 30
 PARETO_POOL = 100
 PARETO_MAX_N = 100
+RANGE_ROWS = 100_000          # companies of one Sharpe range
 
 
 def _joined(metrics: DataFrame, companies: DataFrame) -> DataFrame:
@@ -84,17 +86,17 @@ def pareto(metrics: DataFrame, companies: DataFrame, pool: int | None = None,
     return ranked.where(F.col("frontier_rank") <= top_n).select(*keys, "frontier_rank", "symbol", "name", "sharpe", "esg")
 
 
-def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64, by: str | None = None,
-               pool: int | None = None) -> DataFrame:
+def pareto_all(metrics: DataFrame, companies: DataFrame, by: str | None = None, pool: int | None = None,
+               range_rows: int = RANGE_ROWS) -> DataFrame:
     """The whole frontier, as a distributed skyline.
 
-    Rows are cut into ``buckets`` Sharpe ranges (split points from an
-    approximate quantile — a list of ``buckets`` numbers). Within a bucket a
-    window finds the rows whose ESG beats every better-ranked row of the
-    bucket; the bucket maxima (``buckets`` rows a group) give, for each bucket,
-    the best ESG of all better buckets. A row is on the frontier when it beats
-    both — the same answer as one walk down the whole ranking, with no
-    single-partition window over the table."""
+    Rows are cut into Sharpe ranges of about ``range_rows``, as many as the data
+    needs, by Spark's range partitioning (equal values share a range), and
+    written with their range. Within a range a window finds the rows whose ESG
+    beats every better-ranked row of the range; the ranges' maxima (a row a
+    range and group) give, for each range, the best ESG of all better ones. A
+    row is on the frontier when it beats both — the same answer as one walk down
+    the whole ranking, with no single-partition window over the table."""
     keys = [by] if by else []
     order = [F.desc("sharpe_252d"), F.desc("avg_esg_composite"), F.asc("symbol")]
     j = (_joined(metrics, companies)
@@ -103,14 +105,13 @@ def pareto_all(metrics: DataFrame, companies: DataFrame, buckets: int = 64, by:
     if pool is not None:
         j = (j.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
               .where(F.col("_pos") <= int(pool)).drop("_pos") if by else j.orderBy(*order).limit(int(pool)))
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = j.select(F.percentile_approx("sharpe_252d", probs, 10000)).first()[0] or []
-    bucket = F.lit(0)
-    for b in sorted(set(splits)):
-        bucket = bucket + (F.col("sharpe_252d") < F.lit(b)).cast("int")
-    # bucket = number of split points above the value: 0 holds the highest
-    # Sharpe values, and equal values always share a bucket
-    j = j.withColumn("_b", bucket.cast("int"))
+    ranges = -(-j.count() // range_rows)
+    if ranges > 1:                                        # written: each range is read twice and must be the same
+        checkpoint_dir(j.sparkSession)
+        j = (j.repartitionByRange(ranges, F.desc("sharpe_252d")).withColumn("_b", F.spark_partition_id())
+             .checkpoint(eager=True))
+    else:
+        j = j.withColumn("_b", F.lit(0))
     w_in = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = j.withColumn("_above_in", F.coalesce(F.max("avg_esg_composite").over(w_in), F.lit(-1.0)))
     local = local.where(F.col("avg_esg_composite") > F.col("_above_in"))

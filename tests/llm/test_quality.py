@@ -101,7 +101,7 @@ def test_counts_and_posteriors_by_brute_force(spark):
                 want[tok, f"n_{t}{r.fold}"] += 1
                 want[tok, f"yes_{t}{r.fold}"] += r[f"gold_{t}"]
     got = Counter()
-    for r in Q.token_counts(found).collect():
+    for r in Q.token_counts(docs, found).collect():
         for c, v in r.asDict().items():
             if c != "token" and v:
                 got[r.token, c] = v

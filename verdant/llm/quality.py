@@ -268,7 +268,35 @@ def train_scorer(n: int, doc: np.ndarray, token: np.ndarray, q: np.ndarray, feat
     return Scorer(kinds[keep], w, float(bias))
 
 
-def token_counts(labelled: DataFrame) -> DataFrame:
+def tokens_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, told (hash of the tokens), tokens of the documents of ``docs``
+    whose id is, or hashes like one, in ``wanted``."""
+    ids = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(in_filter(ids.value, b.column("key").to_numpy().view(np.uint64))))
+            if b.num_rows:
+                r = read(b.column("text"))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_told(b.num_rows, r)), _lists(b.num_rows, r.doc, r.token)],
+                                                 names=["doc_id", "told", "tokens"])
+
+    return arrow_map(_texts(docs), run, "doc_id bigint, told bigint, tokens array<bigint>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _told(n: int, r: Reading) -> np.ndarray:
+    """A hash of every document's tokens."""
+    with np.errstate(over="ignore"):
+        out = np.zeros(n, np.uint64)
+        np.add.at(out, r.doc, mix64(r.token))
+    return mix64(out).view(np.int64)
+
+
+def token_counts(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """token and, by fold k and target, n_<target>k and yes_<target>k: the
     documents of ``labelled`` with the token, and those of the class."""
     cells = [f"{part}_{t}{k}" for t in TARGETS for k in range(FOLDS) for part in ("n", "yes")]
@@ -300,7 +328,10 @@ def token_counts(labelled: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counted = arrow_map(labelled.select("tokens", "fold", *(f"gold_{t}" for t in TARGETS)), run,
+    known = labelled.select("doc_id", "told", "fold", *(f"gold_{t}" for t in TARGETS))
+    # sorted and merged at every size; equal rows of a document meet there and count once
+    rows = tokens_of(docs, labelled).join(known.hint("merge"), ["doc_id", "told"]).dropDuplicates(["doc_id", "told"])
+    counted = arrow_map(rows.select("tokens", "fold", *(f"gold_{t}" for t in TARGETS)), run,
                         "token bigint, " + ", ".join(f"{c} int" for c in cells))
     return counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in cells])
 
@@ -338,27 +369,26 @@ def feature_tokens(counts: DataFrame, totals: dict[str, int], target: str) -> np
 
 
 def labelled_documents(docs: DataFrame, gold: DataFrame) -> DataFrame:
-    """doc_id, twins, tokens, marks, junk (votes), gold_junk, gold_toxic, fold of
-    the labelled documents, near copies (a smallest hash in common) once."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(gold.select(F.xxhash64("doc_id").alias("key")), "key"))
+    """key (hash of the id), doc_id, told, marks, junk (votes), gold_junk,
+    gold_toxic, fold of the labelled documents, near copies (a smallest hash in
+    common) once."""
+    ids = docs.sparkSession.sparkContext.broadcast(bit_filter(gold.select(F.xxhash64("doc_id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(in_filter(wanted.value, b.column("key").to_numpy().view(np.uint64))))
+            b = b.filter(pa.array(in_filter(ids.value, b.column("key").to_numpy().view(np.uint64))))
             if b.num_rows:
                 r, n = read(b.column("text")), b.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), _lists(n, np.repeat(np.arange(n), TWINS), r.signature.ravel()), _lists(n, r.doc, r.token),
+                    [b.column("key"), b.column("doc_id"), pa.array(_told(n, r)), _lists(n, np.repeat(np.arange(n), TWINS), r.signature.ravel()),
                      _lists(n, *style_marks(r)), pa.array(_vote_code(junk_votes(r)), pa.string())],
-                    names=["doc_id", "twins", "tokens", "marks", "junk"])
+                    names=["key", "doc_id", "told", "twins", "marks", "junk"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = arrow_map(texts, run, "doc_id bigint, twins array<bigint>, tokens array<bigint>, marks array<bigint>, junk string")
-    rows = stored(found.join(gold, "doc_id").withColumn("row", F.struct(F.xxhash64("doc_id").alias("key"), "doc_id", F.xxhash64("tokens").alias("tokens"))),
-                  "labelled")
+    found = arrow_map(_texts(docs), run, "key bigint, doc_id bigint, told bigint, twins array<bigint>, marks array<bigint>, junk string")
+    rows = stored(found.join(gold.hint("merge"), "doc_id").withColumn("row", F.struct("key", "doc_id", "told")), "labelled")
     heads = rows.select("row", F.posexplode("twins")).groupBy("pos", "col").agg(F.min("row").alias("row"))
     single = heads.groupBy("row").count().where(F.col("count") == TWINS).select("row")
-    return rows.dropDuplicates(["row"]).join(single, "row", "left_semi")
+    return rows.dropDuplicates(["row"]).join(single, "row", "left_semi").drop("row", "twins")
 
 
 @dataclass
@@ -404,7 +434,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         ("n", F.count(f"gold_{t}")), ("yes", F.count_if(F.col(f"gold_{t}") == 1)))]).collect()
     totals = {f"{part}_{t}{k}": 0 for t in TARGETS for part in ("n", "yes") for k in range(FOLDS)}
     totals |= {f"{part}_{t}{r.fold}": r[f"{part}_{t}"] for r in by_fold for t in TARGETS for part in ("n", "yes")}
-    counts = stored(token_counts(labelled), "token-counts")
+    counts = stored(token_counts(docs, labelled), "token-counts")
     lexicons = [mine_lexicon(counts, totals, k) for k in range(FOLDS)]
     lexicons.append(mine_lexicon(counts, totals))
     features = {t: feature_tokens(counts, totals, t) for t in TARGETS}
@@ -414,10 +444,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             doc, token = _flat(pa.Table.from_batches([b]).column("tokens"))
             keep = np.isin(token, told.value)
-            yield pa.RecordBatch.from_arrays([_lists(b.num_rows, doc[keep], token[keep]), *b.columns[1:]], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], _lists(b.num_rows, doc[keep], token[keep])], names=b.schema.names)
 
-    sample = labelled.orderBy("row").limit(FIT_ROWS).select("tokens", "marks", "junk", "gold_junk", "gold_toxic", "fold")
-    drawn = arrow_map(sample, sampled, sample.schema).toArrow()
+    chosen = labelled.orderBy("key", "doc_id", "told").limit(FIT_ROWS).select("doc_id", "told", "marks", "junk", "gold_junk", "gold_toxic", "fold")
+    picked = tokens_of(docs, chosen)
+    drawn = (arrow_map(picked, sampled, picked.schema).dropDuplicates(["doc_id", "told"]).join(chosen, ["doc_id", "told"])
+             .select("tokens", "marks", "junk", "gold_junk", "gold_toxic", "fold").toArrow())
     n = drawn.num_rows
     golds = {t: drawn.column(f"gold_{t}").to_numpy().astype(float) for t in TARGETS}
     doc, token = _flat(drawn.column("tokens"))

@@ -77,7 +77,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
 def seed_filter(seeds: DataFrame, n: int) -> tuple[Column, int]:
     """A bit array (array<bigint>) of ``n`` distinct seeds (column seed), and its length."""
     size = 1 << 10
-    while size < FILTER_WORDS and size < n // 4:                      # 16 bits a seed where there is room
+    while size < FILTER_WORDS and size < 4 * n:                       # 256 bits a seed where there is room
         size *= 2
     slot = F.pmod("seed", F.lit(64 * size))
     told = seeds.groupBy(F.shiftright(slot, 6).alias("id")).agg(

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.common import arrow_map, fresh
 
-STRETCH_CHARS = 8_000_000     # texts whose pre-tokens are merged together
+STRETCH_CHARS = 4_000_000     # texts whose pre-tokens are merged together
 STRETCH_DOCS = 20_000
 KEPT_PIECES = 600_000         # encoded pieces a task keeps for later stretches
 NO_RANK = np.int64(1) << 40

@@ -49,7 +49,7 @@ class Rule:
         return self.host + self.path
 
 
-STATED = (Rule("org", "/", "allow"), Rule("example.org", "/es/", "allow"), Rule("example.org", "/en/1", "block"),
+STATED = (Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
           Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"))
 
 

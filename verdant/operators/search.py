@@ -8,18 +8,23 @@ are an approximate index of their own, used only when asked for.
 
 Keyword search (I5) keeps the substring semantics exactly without comparing
 every word with every document: a query word (no whitespace) occurs in a text
-exactly when it is a substring of one of the text's tokens, so words are
-matched against the distinct token vocabulary (through its trigram index,
-verified with ``instr``) and token hits are mapped to documents through one
-written (token → document) index — equi-joins only.
+exactly when it is a substring of one of the text's tokens, so a task looks the
+substrings of each distinct token up among the query words. What leaves it is
+one bit a word and entry; entries are scored where their bits meet, and only
+the best of each partition go on: no table of (word, entry) or (query, entry).
 """
 
 from __future__ import annotations
 
-import uuid
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdant.functions.numeric import fixed_round
 from verdant.operators.inverted import InvertedLists, build_lists, probed
@@ -33,6 +38,11 @@ KEYWORD_CONTENT_POINTS = 1
 KEYWORD_TITLE_POINTS = 2
 IVF_LIST_ROWS = 32            # rows a list is meant for
 IVF_SHARE = 0.6               # of the lists that a query looks into: enough for vectors that hardly cluster
+LONG_TOKEN = 64               # characters; longer tokens are searched, not cut up
+KNOWN_TOKENS = 200_000        # that a task remembers
+SCORED_ROWS = 1024            # entries scored together,
+QUERY_BLOCK = 512             # for so many queries at once
+TEXT_BATCH_BYTES = 8 << 20    # of one Arrow batch of texts
 WS_SPLIT = r"[ \t\n\x0B\f\r]+"
 
 
@@ -177,75 +187,121 @@ def centroids(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 
 # ----------------------------------------------------------------- I5, I6
 
-def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Distinct n-grams (code points) of each row's text, built inside the
-    row in one linear regex pass (a zero-width look-ahead captures the n
-    characters at every position), de-duplicated per row before the explode —
-    no per-position substring, no copy of the text per gram."""
-    grams = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-    return (df.where(F.length(text) >= n)
-              .select(key, F.explode(F.array_distinct(grams)).alias("gram")))
-
-
-def token_index(kb: DataFrame) -> DataFrame:
-    """(tok, doc_id, points): the distinct whitespace-delimited tokens of every
-    entry's content (KEYWORD_CONTENT_POINTS) and title (KEYWORD_TITLE_POINTS),
-    lower-cased; one pass over the texts."""
-    def listed(text, points):
-        toks = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), WS_SPLIT))
-        return F.transform(F.array_remove(toks, ""), lambda x: F.struct(x.alias("tok"), F.lit(points).alias("points")))
-
-    both = F.concat(listed(F.col("content"), KEYWORD_CONTENT_POINTS), listed(F.col("title"), KEYWORD_TITLE_POINTS))
-    return kb.select("doc_id", F.explode(both).alias("t")).select("t.tok", "doc_id", "t.points")
-
-
-def word_in_tokens(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(word, tok) for every query word of three or more characters that is a
-    substring of a vocabulary token: candidates through the word's rarest
-    trigram in the token trigram index, verified with ``instr`` on the short
-    token strings."""
-    long_w = words.select("word").distinct().where(F.length("word") >= 3)
-    wg = _grams(long_w, "word", "word", 3)
-    g3 = _grams(vocab, "tok", "tok", 3).join(wg.select("gram").distinct(), "gram", "left_semi")
-    df3 = g3.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (wg.join(df3, "gram")
-                .groupBy("word").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    return (rarest.join(g3, "gram").where(F.instr(F.col("tok"), F.col("word")) > 0)
-                  .select("word", "tok"))
-
-
-def _short_hits(kb: DataFrame, short: list[str]) -> DataFrame:
-    """(word, doc_id, points) for words of one or two characters, which sit
-    inside most tokens: every entry looks for each of them in its own text."""
-    def met(text, points):
-        there = F.filter(F.array(*map(F.lit, short)), lambda w: F.contains(F.lower(F.coalesce(text, F.lit(""))), w))
-        return F.transform(there, lambda w: F.struct(w.alias("word"), F.lit(points).alias("points")))
-
-    both = F.concat(met(F.col("content"), KEYWORD_CONTENT_POINTS), met(F.col("title"), KEYWORD_TITLE_POINTS))
-    return kb.select("doc_id", F.explode(both).alias("t")).select("t.word", "doc_id", "t.points")
-
-
-def keyword_matches(kb: DataFrame, words: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Exact (word, doc_id, points), one row for every distinct query word and
-    each of content and title that contains it (lower-cased substring).
-
-    A query word has no whitespace, so it occurs in a text exactly when it is
-    a substring of one of the text's whitespace-delimited tokens. Words of
-    three or more characters are therefore matched against the distinct token
-    vocabulary (far smaller than the texts), and ``index`` (``token_index``,
-    written once under the shared folder unless given) maps token hits back to
-    documents with an equi-join. The shorter words — no more than the query
-    set's alphabet allows — are looked for in the texts."""
-    spark = kb.sparkSession
-    if index is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/token-index-{uuid.uuid4().hex}"
-        token_index(kb).write.parquet(path)
-        index = spark.read.parquet(path)
-    w = words.select("word").distinct()
-    wt = word_in_tokens(w, index.select("tok").distinct())
-    hits = wt.join(index, "tok").select("word", "doc_id", "points").distinct()
-    short = sorted(r.word for r in w.where(F.length("word") < 3).collect())
-    return hits.unionByName(_short_hits(kb, short)) if short else hits
+def _words_inside(words: list[str]) -> Callable[[str], Sequence[int]]:
+    """Numbers of the ``words`` that a token contains: the token's substrings of
+    the words' lengths are looked up; a token beyond ``LONG_TOKEN`` characters
+    is searched for every word instead."""
+    number = {w: i for i, w in enumerate(words)}
+    lengths = sorted(set(map(len, words)))
+
+    def inside(tok: str) -> Sequence[int]:
+        if len(tok) > LONG_TOKEN:
+            return [i for w, i in number.items() if w in tok]
+        subs = {tok[i:i + n] for n in lengths if n <= len(tok) for i in range(len(tok) - n + 1)}
+        return [number[x] for x in subs if x in number]
+
+    return inside
+
+
+def word_hits(kb: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, bits) of every entry whose content or title contains one of the
+    ``words`` (no whitespace in them; lower-cased substring): a bit for each
+    word met in the content, then one for each met in the title. A word occurs
+    in a text exactly when it is a substring of one of the text's
+    whitespace-delimited tokens, so a task looks at each distinct token once."""
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    shared = kb.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, width = _words_inside(shared.value), len(shared.value)
+        tokens, known = re.compile(r"[^ \t\n\x0B\f\r]+").findall, {}
+        for b in batches:
+            met = np.zeros((b.num_rows, 2 * width), bool)
+            for column, first in ((1, 0), (2, width)):
+                for row, text in enumerate(b.column(column).to_pylist()):
+                    found: set[int] = set()
+                    for tok in set(tokens(text)):
+                        at = known.get(tok)
+                        if at is None:
+                            at = inside(tok)
+                            if len(tok) <= LONG_TOKEN:
+                                if len(known) >= KNOWN_TOKENS:
+                                    known.clear()
+                                known[tok] = at
+                        found.update(at)
+                    met[row, [first + i for i in found]] = True
+            some = np.flatnonzero(met.any(axis=1))
+            bits = np.packbits(met[some], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array([r.tobytes() for r in bits], pa.binary())],
+                                             names=["doc_id", "bits"])
+
+    kb.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
+    return kb.select("doc_id", low("content"), low("title")).mapInArrow(
+        run, T.StructType([T.StructField("doc_id", kb.schema["doc_id"].dataType), T.StructField("bits", T.BinaryType())]))
+
+
+def best_entries(hits: DataFrame, words: list[str], asked: list[list[tuple[int, int]]], ids: list, id_type: T.DataType, k: int) -> DataFrame:
+    """(query_id, doc_id, score): the ``k`` best entries of each partition for
+    every query; ``asked`` holds a query's (word number, times asked). Rows of
+    one entry are dealt to one partition and stand together in it, so that
+    their bits are united before they are scored, and ties go to the smaller
+    doc_id."""
+    width = len(words)
+    shared = hits.sparkSession.sparkContext.broadcast((asked, ids))
+    query_type, doc_type = to_arrow_type(id_type), to_arrow_type(hits.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ids = shared.value
+        best = np.zeros((0, len(ids)), np.int64)
+        held = np.empty((0, len(ids)), object)
+
+        def score(docs: list, rows: list[np.ndarray]) -> None:
+            nonlocal best, held
+            met = np.unpackbits(np.stack(rows), axis=1, count=2 * width)
+            points = (met[:, :width] * float(KEYWORD_CONTENT_POINTS) + met[:, width:] * float(KEYWORD_TITLE_POINTS))
+            scores, docs_of = np.empty((k, len(ids)), np.int64), np.empty((k, len(ids)), object)
+            docs = np.array([*docs, None], object)[:-1]
+            for first in range(0, len(ids), QUERY_BLOCK):                 # bounded memory, however many queries
+                block = asked[first:first + QUERY_BLOCK]
+                times = np.zeros((width, len(block)))
+                for j, pairs in enumerate(block):
+                    for i, n in pairs:
+                        times[i, j] = n
+                span = slice(first, first + len(block))
+                new = np.rint(points @ times).astype(np.int64)
+                every = np.concatenate([best[:, span], new])
+                if len(every) < k:
+                    every = np.concatenate([every, np.zeros((k - len(every), len(block)), np.int64)])
+                top = np.argsort(-every, axis=0, kind="stable")[:k]
+                scores[:, span] = np.take_along_axis(every, top, 0)
+                names = np.concatenate([held[:, span], np.repeat(docs[:, None], len(block), 1)])
+                if len(names) < len(every):
+                    names = np.concatenate([names, np.empty((len(every) - len(names), len(block)), object)])
+                docs_of[:, span] = np.take_along_axis(names, top, 0)
+            best, held = scores, docs_of
+
+        docs: list = []
+        rows: list[np.ndarray] = []
+        for b in batches:
+            for doc, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                row = np.frombuffer(bits, np.uint8)
+                if docs and docs[-1] == doc:
+                    rows[-1] = rows[-1] | row
+                    continue
+                if len(docs) >= SCORED_ROWS:
+                    score(docs, rows)
+                    docs, rows = [], []
+                docs.append(doc)
+                rows.append(row)
+        if docs:
+            score(docs, rows)
+        at, query = np.nonzero(best > 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([ids[j] for j in query], query_type), pa.array(held[at, query].tolist(), doc_type), pa.array(best[at, query], pa.int64())],
+            names=["query_id", "doc_id", "score"])
+
+    together = hits.repartition("doc_id").sortWithinPartitions("doc_id")
+    return together.mapInArrow(run, T.StructType([T.StructField("query_id", id_type), hits.schema["doc_id"], T.StructField("score", T.LongType())]))
 
 
 def query_words(queries: DataFrame, text: str = "query_text") -> DataFrame:
@@ -258,14 +314,22 @@ def query_words(queries: DataFrame, text: str = "query_text") -> DataFrame:
 def keyword_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K, text: str = "query_text") -> DataFrame:
     """score = Σ over query words (+1 content contains it, +2 title
     contains it); score > 0; top k per query (score desc, doc_id). Scans the
-    whole knowledge base."""
-    qw = query_words(queries, text)
-    s = (qw.join(keyword_matches(kb, qw), "word")
-           .groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("points")).alias("score")))
+    whole knowledge base once; the words of the queries, not of the entries,
+    are gathered and sent to the tasks."""
+    spark, id_type = kb.sparkSession, queries.schema["query_id"].dataType
+    asked: dict = {}
+    for r in query_words(queries, text).collect():
+        asked.setdefault(r.query_id, []).append((r.word, r.n))
+    words = sorted({w for pairs in asked.values() for w, _ in pairs})
+    if not words:
+        return spark.createDataFrame([], T.StructType([T.StructField("query_id", id_type), T.StructField("rank", T.LongType()),
+                                                       T.StructField("doc_id", kb.schema["doc_id"].dataType), T.StructField("score", T.LongType())]))
+    number = {w: i for i, w in enumerate(words)}
+    s = best_entries(word_hits(kb, words), words, [[(number[w], n) for w, n in pairs] for pairs in asked.values()],
+                     list(asked), id_type, k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return (s.where(F.col("score") > 0).withColumn("rank", F.row_number().over(w))
-             .where(F.col("rank") <= k).select("query_id", F.col("rank").cast("bigint").alias("rank"),
-                                               "doc_id", F.col("score").cast("bigint").alias("score")))
+    return (s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+             .select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score"))
 
 
 def search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:

@@ -94,3 +94,10 @@ def test_recall_of_the_inverted_lists(spark, monkeypatch):
     assert len(exact) == 5 * queries.count() and len(found & exact) / len(exact) >= 0.9
     few = spark.createDataFrame([], "doc_id bigint, vec array<double>")
     assert S.ivf_search(S.ivf_build(few, "doc_id"), queries, "doc_id").collect() == []
+
+
+def test_norms_are_worked_out_once_a_row(spark):
+    from verdant.operators import search as S
+    df = S.with_norm(spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0])], "id int, vec array<double>")).select("id", S._unit("vec", "_norm"))
+    assert "/ sqrt(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [tuple(r) for r in df.collect()] == [(1, [0.6, 0.8])]

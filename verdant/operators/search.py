@@ -66,6 +66,13 @@ def with_norm(df: DataFrame, vec: str = "vec") -> DataFrame:
     return out.where(F.col(vec).isNotNull() & (F.col("_norm") > 0))
 
 
+def _unit(vec: str, norm: str) -> Column:
+    """The vector over its norm. The norm is an argument, not part of the
+    lambda, where it would be worked out again for every component."""
+    v = F.col(vec)
+    return F.zip_with(v, F.array_repeat(F.col(norm), F.size(v)), lambda x, n: x / n).alias("unit")
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, query_key: str,
             vec: str = "vec", exclude_self: bool = False) -> DataFrame:
     """Exact top-k by cosine distance for each query, however many there are
@@ -74,9 +81,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, corpus_key: str, quer
     checkpoint_dir(corpus.sparkSession)
     c = with_norm(corpus.select(F.col(corpus_key).alias("_c"), F.col(vec).alias("_v")), "_v")
     q = with_norm(queries.select(F.col(query_key).alias("_q"), F.col(vec).alias("_qv")), "_qv").withColumnRenamed("_norm", "_qn")
-    unit = lambda v, n: F.transform(v, lambda x: x / F.col(n)).alias("unit")
-    best = candidates(c.select(F.col("_c").alias("key"), unit("_v", "_norm")),
-                      q.select(F.col("_q").alias("key"), unit("_qv", "_qn")), k, exclude_self)
+    best = candidates(c.select(F.col("_c").alias("key"), _unit("_v", "_norm")),
+                      q.select(F.col("_q").alias("key"), _unit("_qv", "_qn")), k, exclude_self)
     scored = (best.select(F.col("query").alias("_q"), F.col("key").alias("_c")).join(c, "_c").join(q, "_q")
               .withColumn("distance", F.lit(1.0) - dot(F.col("_v"), F.col("_qv")) / (F.col("_norm") * F.col("_qn"))))
     w = Window.partitionBy("_q").orderBy("distance", "_c")
@@ -335,8 +341,10 @@ def keyword_search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K, text: s
 def search(kb: DataFrame, queries: DataFrame, k: int = SEARCH_K) -> DataFrame:
     """Semantic hits per query (query_id, vec, query_text); queries with
     none (no usable vector) fall back to keyword hits."""
-    sem = semantic_search(kb, queries.select("query_id", "vec"), k).select(
-        "query_id", "rank", "doc_id", F.lit("semantic").alias("method"))
+    checkpoint_dir(kb.sparkSession)
+    vectors = kb.select("doc_id", "vec", "title", "topic").checkpoint(eager=True)                      # looked at several times
+    sem = semantic_search(vectors, queries.select("query_id", "vec"), k).select(
+        "query_id", "rank", "doc_id", F.lit("semantic").alias("method")).checkpoint(eager=True)      # at most k a query
     rest = queries.join(sem.select("query_id").distinct(), "query_id", "left_anti")
     kw = keyword_search(kb, rest, k).select("query_id", "rank", "doc_id", F.lit("keyword").alias("method"))
     return sem.unionByName(kw)
@@ -349,7 +357,7 @@ def ivf_build(corpus: DataFrame, key: str, vec: str = "vec", lists: int | None =
     (or ``lists``) by a two-level quantiser (``operators.inverted``); rows with
     NULL or zero vectors are in no list."""
     c = with_norm(corpus.select(key, vec), vec)
-    unit = c.select(F.col(key).alias("key"), F.transform(vec, lambda x: x / F.col("_norm")).alias("unit"))
+    unit = c.select(F.col(key).alias("key"), _unit(vec, "_norm"))
     return build_lists(unit, lists, IVF_LIST_ROWS, seed)
 
 
@@ -359,7 +367,7 @@ def ivf_search(index: InvertedLists, queries: DataFrame, key: str, k: int = SEAR
     ``IVF_SHARE`` of all) ranked by their exact cosine distance."""
     probes = max(1, round(IVF_SHARE * index.lists)) if probes is None else probes
     q = with_norm(queries.select("query_id", vec), vec)
-    unit = q.select(F.col("query_id").alias("key"), F.transform(vec, lambda x: x / F.col("_norm")).alias("unit"))
+    unit = q.select(F.col("query_id").alias("key"), _unit(vec, "_norm"))
     pairs = probed(index, unit, probes).withColumn("distance", F.lit(1.0) - dot(F.col("unit"), F.col("q_unit")))
     w = Window.partitionBy("query").orderBy("distance", "key")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -75,3 +75,11 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id bigint, text string, ids string, decoded string")
     out = bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH, ids_col="ids_")
     assert out.columns == ["doc_id", "ids", "decoded", "ids_", "decoded_"] and bytes(out.first().decoded_) == b"a b"
+
+
+def test_one_python_pass_encodes_and_decodes(spark):
+    df = spark.createDataFrame([(1, "one pass")], "doc_id bigint, text string")
+    out = bpe.digest(df, PATH, public_tokenizers.PATTERN)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    enc = bpe.encode(df.withColumn("decoded", df.doc_id), PATH, public_tokenizers.PATTERN, decoded_col="decoded")
+    assert enc.columns == ["doc_id", "decoded", "ids", "decoded_"] and bytes(enc.first()["decoded_"]) == b"one pass"

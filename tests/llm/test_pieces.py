@@ -124,3 +124,11 @@ def test_tables(spark, library):
         ids = library.encode(t or "")
         assert (i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)), len((t or "").encode())) in got, t
     assert pieces.digest(df, PATH).count() == len(rows) and pieces.digest(df.limit(0), PATH).count() == 0
+
+
+def test_one_python_pass_encodes_and_decodes(spark):
+    df = spark.createDataFrame([(1, "one  pass")], "doc_id bigint, text string")
+    assert pieces.digest(df, PATH)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    enc = pieces.encode(df, PATH, ids_col="decoded", decoded_col="decoded")
+    back = pieces.decode(enc, PATH, ids_col="decoded", out_col="again").first()
+    assert enc.columns == ["doc_id", "decoded", "spans", "decoded_"] and back["decoded_"] == back["again"]

@@ -267,22 +267,32 @@ class Encoder:
                                         pa.array(out.astype(np.int32)))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``df`` with the text replaced by ``out_col`` array<int>, its token ids."""
+def _decoded(by_id: dict[int, bytes], ids: pa.Array) -> pa.Array:
+    return pa.array([b"".join(map(by_id.__getitem__, x or ())) for x in ids.to_pylist()], pa.binary())
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """``df`` with the text replaced by ``out_col`` array<int>, its token ids;
+    with ``decoded_col`` also the bytes these stand for, as ``decode`` gives
+    them, by the same workers: a second pass would double their number."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))    # one vocabulary file: fixed size
     rest = [c for c in df.columns if c != text_col]
     out_col = fresh(rest, out_col)
+    more = [] if decoded_col is None else [fresh([*rest, out_col], decoded_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(MergeReplay(shared.value), pattern)
+        replay = MergeReplay(shared.value)
+        encoder = Encoder(replay, pattern)
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = encoder([t for b in held for t in b.column(text_col).to_pylist()])
             at = 0
             for b in held:
+                mine = ids.slice(at, b.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(c) for c in rest] + [ids.slice(at, b.num_rows)], names=[*rest, out_col])
+                    [b.column(c) for c in rest] + [mine] + [_decoded(replay.tokens, mine) for _ in more], names=[*rest, out_col, *more])
                 at += b.num_rows
 
         held, chars, rows = [], 0, 0
@@ -296,7 +306,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         if held:
             yield from flush(held)
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest] + [f"`{out_col}` array<int>"])
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest] + [f"`{out_col}` array<int>"] + [f"`{c}` binary" for c in more])
     return arrow_map(df.select(*rest, F.col(text_col)), run, schema)
 
 
@@ -308,8 +318,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {r: t for t, r in shared.value.items()}
         for b in batches:
-            texts = [b"".join(map(by_id.__getitem__, x or ())) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(by_id, b.column(ids_col))], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` binary"
     return arrow_map(df, run, schema)
@@ -317,8 +326,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    ids = encode(docs.select("doc_id", "text"), ranks_path, pattern)
-    out = decode(ids, ranks_path)
+    out = encode(docs.select("doc_id", "text"), ranks_path, pattern, decoded_col="decoded")
     return out.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -527,28 +527,33 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", spans_col: str = "spans") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", spans_col: str = "spans",
+           decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the text replaced by its token ids (array<int>) and the byte
-    span (begin, end) of each in the UTF-8 text."""
+    span (begin, end) of each in the UTF-8 text; with ``decoded_col`` also the
+    text the ids stand for, as ``decode`` gives it, by the same workers."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))       # one file: fixed size
     rest = [c for c in docs.columns if c != text_col]
     ids_col = fresh(rest, ids_col)
     spans_col = fresh([*rest, ids_col], spans_col)
+    more = [] if decoded_col is None else [fresh([*rest, ids_col, spans_col], decoded_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
         normalise, merge = Normaliser(model), Merger(model)
+        text = Decoder(model) if more else None
         for b in batches:
             found = encode_texts(normalise, merge, b.column(len(rest)).to_pylist())
             ids = _lists([i.astype(np.int32) for i, _ in found], pa.int32())
             begins = _lists([s[:-1].astype(np.int32) for _, s in found], pa.int32())
             ends = _lists([s[1:].astype(np.int32) for _, s in found], pa.int32())
             spans = pa.ListArray.from_arrays(begins.offsets, pa.StructArray.from_arrays([begins.values, ends.values], ["begin", "end"]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, spans], names=[*rest, ids_col, spans_col])
+            back = [pa.array([text(i) for i, _ in found], pa.string()) for _ in more]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, spans, *back], names=[*rest, ids_col, spans_col, *more])
 
     return arrow_map(docs.select(*[f"`{c}`" for c in rest], F.col(text_col)), run,
                      StructType([*(docs.schema[c] for c in rest), StructField(ids_col, ArrayType(IntegerType())),
-                                 StructField(spans_col, ArrayType(_SPAN))]))
+                                 StructField(spans_col, ArrayType(_SPAN)), *(StructField(c, StringType()) for c in more)]))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -567,9 +572,9 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and covered_bytes (where the last span ends; 0 without)."""
-    ids = encode(docs.select("doc_id", "text"), model_path)
-    short = ids.select("doc_id", "ids", F.coalesce(F.get("spans", F.size("spans") - 1)["end"].cast("bigint"), F.lit(0)).alias("covered_bytes"))
-    return decode(short, model_path).select(
+    out = encode(docs.select("doc_id", "text"), model_path, decoded_col="decoded")
+    return out.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "covered_bytes")
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.get("spans", F.size("spans") - 1)["end"].cast("bigint"), F.lit(0)).alias("covered_bytes"))

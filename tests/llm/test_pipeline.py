@@ -50,5 +50,5 @@ def test_stages(spark):
 
 def test_registered(spark):
     names = E.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {x[:x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {x[:x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
     assert [x for x, _ in C.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "bpe"]

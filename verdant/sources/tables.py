@@ -15,6 +15,18 @@ RAW_TABLES = (
 ).split()
 
 
+ROWS_PER_TASK = 400_000       # of line items that meet in one task
+
+
+def by_symbol(rows: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` dealt by symbol over as many partitions as ``n_rows`` need, so
+    that a task's memory does not grow with the table (and no fewer than
+    Spark's own number, which it may join)."""
+    needed = -(-n_rows // ROWS_PER_TASK)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(needed, "symbol") if needed > usual else rows.repartition("symbol")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -55,8 +67,8 @@ def prices_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A supplier ships about one line per day, so a map-side partial
     # aggregation would barely shrink the data; shuffling once by symbol lets
     # this aggregation and every per-symbol window downstream share one
-    # exchange.
-    g = li.repartition("symbol").groupBy("symbol", "date")
+    # exchange. The count reads Parquet footers alone.
+    g = by_symbol(li, li.count()).groupBy("symbol", "date")
     return g.agg(
         (F.lit(100) + F.min(px).cast("double") / 1000).alias("low"),
         (F.lit(100) + F.max(px).cast("double") / 1000).alias("high"),

@@ -84,3 +84,16 @@ def test_nearest_is_the_same_whatever_the_size_of_the_blocks(spark, tables, monk
     monkeypatch.setattr(V, "BLOCK_BYTES", 5 * 8 * 64)
     assert sorted(map(tuple, S.nearest(e, q, 4, "doc_id", "query_id", exclude_self=True).collect())) == first
     assert whole.count() == 4 * q.count() and whole.where("query_id = doc_id").count() == 0
+
+
+def test_price_fields_are_read_once(spark):
+    from verdant.operators import ingest as A
+    rec = spark.createDataFrame([(1, {"symbol": "A", "date": "2024-01-02", "open": "1", "close": "x"}, 5),
+                                 (2, {"symbol": "B", "date": "2024-01-02", "open": "0", "close": "2"}, 6)],
+                                "id int, record map<string,string>, _read int")
+    typed, bad = A.split_prices(rec)
+    assert typed.columns == ["id", "_read", "symbol", "date", "open", "high", "low", "close", "volume"]
+    assert [(r.id, r._read, r.open, r.close) for r in typed.collect()] == [(2, 6, None, 2.0)]
+    assert bad.columns == ["id", "_read", "record", "reject_reason"] and bad.first().reject_reason == "unreadable_close"
+    plan = A.validate_prices(typed, "2100-01-01").where("status = 'valid'")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("[close]" in line for line in plan.splitlines()) == 1        # no filter or projection reads the record again

@@ -32,3 +32,14 @@ def test_ingest_replay_is_idempotent(spark, tables):
     cur = K.current_prices(spark, f"{root}/log")
     assert cur.count() == 500
     assert cur.groupBy("symbol", "date").count().where(F.col("count") > 1).count() == 0
+
+
+def test_parts_have_as_many_files_as_their_rows_need(spark, monkeypatch):
+    from verdant.plans import queries_stream as Q
+    assert Q._files(10) == Q._FILES and Q._files(0, 4) == Q._FILES
+    monkeypatch.setattr(Q, "_ROWS_PER_FILE", 10)
+    root = K.scratch(spark, "t-parts")
+    df = spark.range(400).select(F.col("id").alias("k"))
+    assert Q._write_in_order(df, F.col("k"), 4, root) == 10
+    parts = [spark.read.parquet(f"{root}/p{i}") for i in range(4)]
+    assert [len(p.inputFiles()) for p in parts] == [10] * 4 and sum(p.count() for p in parts) == 400

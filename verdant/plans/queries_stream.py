@@ -19,22 +19,35 @@ select sector, as_of_date, company_count, round(avg_sharpe, 6) as avg_sharpe,
   round(avg_esg, 6) as avg_esg, round(avg_volatility, 6) as avg_volatility,
   round(avg_return, 6) as avg_return, round(composite_score, 6) as composite_score
 from m_sector_rankings"""
-_FILES = 4                    # files of one part, which one micro-batch takes together
+_FILES = 4                    # files of one part, which one micro-batch takes together: at least,
+_ROWS_PER_FILE = 500_000      # and so many that none holds many more rows
 
 
-def _write_in_order(df, key, parts: int, path: str, by: str | None = None) -> None:
+def _files(rows: int, parts: int = 1) -> int:
+    return max(_FILES, -(-rows // (parts * _ROWS_PER_FILE)))
+
+
+def _whole(df, path: str):
+    """``df`` written once, for inputs that are looked at several times."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _write_in_order(df, key, parts: int, path: str, by: str | None = None) -> int:
     """Write ``df`` as ``parts`` folders in ascending ``key`` order (nulls
-    first), ``_FILES`` files each, so that a file source, which takes files by
-    modification time, sees the parts in that order; with ``by``, rows of one
-    value stay in one file of each part. Split points are approximate
-    quantiles."""
+    first), so that a file source, which takes files by modification time, sees
+    the parts in that order; with ``by``, rows of one value stay in one file of
+    each part. Split points are approximate quantiles. Returns the number of
+    files of each part."""
+    files = _files(df.count(), parts)
     bounds = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)])).first()[0] or []
     edges = [None, *sorted(set(bounds)), None]
     for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
         inside = F.lit(True) if lo is None else key > lo
         inside = inside if hi is None else inside & (key <= hi)
         part = df.where(inside | key.isNull() if lo is None else inside)
-        (part.repartition(_FILES, by) if by else part.repartition(_FILES)).write.parquet(f"{path}/p{i}")
+        (part.repartition(files, by) if by else part.repartition(files)).write.parquet(f"{path}/p{i}")
+    return files
 
 
 def _drain(q) -> None:
@@ -56,10 +69,12 @@ def k1_ingest_stream(t):
     rec = p.select("symbol", F.col("date").cast("string").alias("date"), F.lit(None).cast("string").alias("open"),
                    F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"),
                    F.col("close").cast("string").alias("close"), F.col("volume").cast("string").alias("volume"))
-    rec.repartitionByRange(4, "date").write.json(f"{root}/src/part1")
-    rec.where(F.year(F.col("date").cast("date")) == 1995).write.json(f"{root}/src/part2")
+    rec = _whole(rec, f"{root}/records")
+    files = _files(rec.count())
+    rec.repartitionByRange(files, "date").write.json(f"{root}/src/part1")
+    rec.where(F.year(F.col("date").cast("date")) == 1995).repartition(max(2, files // 4)).write.json(f"{root}/src/part2")
     q = K.ingest_stream(spark, f"{root}/src/*", f"{root}/log", f"{root}/rejects", f"{root}/ckpt",
-                        today="2100-01-01", files_per_trigger=2)
+                        today="2100-01-01", files_per_trigger=files // 2)
     _drain(q)
     return K.current_prices(spark, f"{root}/log")
 
@@ -75,11 +90,11 @@ def k2_progress_stream(t):
     spark = t.spark
     root = K.scratch(spark, "k2")
     ev = t.raw("events")
-    _write_in_order(ev, F.unix_micros(F.col("ts").cast("timestamp")), 5, f"{root}/src")
+    files = _write_in_order(ev, F.unix_micros(F.col("ts").cast("timestamp")), 5, f"{root}/src")
     q = K.progress_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", ev.schema,
                           job=F.col("user_id"), ts=F.col("ts"), failed=F.col("event_type") == "error",
                           records=F.regexp_extract("props", r'"k"\s*:\s*(\d+)', 1).try_cast("bigint"),
-                          window="1 hour", delay="10 minutes", files_per_trigger=_FILES)
+                          window="1 hour", delay="10 minutes", files_per_trigger=files)
     _drain(q)
     return K.current_progress(spark, f"{root}/sink")
 
@@ -96,8 +111,8 @@ def k3_streaming_dsr(t):
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
     pr = B.portfolio_returns(t.rebalance(), returns).select(
         F.col("portfolio_id").cast("bigint"), "date", "port_return")
-    _write_in_order(pr, F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
-    q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", files_per_trigger=_FILES,
+    files = _write_in_order(_whole(pr, f"{root}/returns"), F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
+    q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", files_per_trigger=files,
                                      ttl_days=40 * 365)
     _drain(q)
     out = spark.read.parquet(f"{root}/sink")

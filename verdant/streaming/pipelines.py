@@ -63,7 +63,7 @@ def ingest_stream(spark: SparkSession, source: str, log_path: str, reject_path:
             rec = (arrived.where(F.col(BROKEN).isNull()).withColumn("record", F.create_map(
                 *[x for c in PRICE_RECORD_SCHEMA.fieldNames() for x in (F.lit(c), F.col(c))])).select("arrival", "record"))
             typed, untyped = A.split_prices(rec)
-            checked = A.validate_prices(typed, today)
+            checked = A.validate_prices(typed, today).persist()              # both logs take from it
             (checked.where(F.col("status") == "valid").drop("errors", "warnings", "status")
                     .write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}"))
             rejects = (arrived.where(F.col(BROKEN).isNotNull())
@@ -73,6 +73,7 @@ def ingest_stream(spark: SparkSession, source: str, log_path: str, reject_path:
                            "arrival", F.to_json(F.struct("symbol", "date", "open", "high", "low", "close", "volume")).alias("raw"),
                            F.array_join("errors", ",").alias("reason"))))
             rejects.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
+            checked.unpersist()
         finally:
             arrived.unpersist()
 

@@ -14,7 +14,8 @@ def _brute(kb, queries, k):
             mine = [((t or "").lower(), (c or "").lower()) for d, t, c in kb if d == doc]
             for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()):
                 if w:
-                    score[doc] = score.get(doc, 0) + any(w in c for _, c in mine) + 2 * any(w in t for t, _ in mine)
+                    met = sum if len(w) < 3 else any           # short words count once a row
+                    score[doc] = score.get(doc, 0) + met(w in c for _, c in mine) + 2 * met(w in t for t, _ in mine)
         ranked = sorted((-s, -1 if d is None else d, d) for d, s in score.items() if s > 0)[:k]
         out += [(query, i + 1, d, -s) for i, (s, _, d) in enumerate(ranked)]
     return sorted(out, key=str)

@@ -251,8 +251,10 @@ def best_entries(hits: DataFrame, words: list[str], asked: list[list[tuple[int,
     every query; ``asked`` holds a query's (word number, times asked). Rows of
     one entry are dealt to one partition and stand together in it, so that
     their bits are united before they are scored, and ties go to the smaller
-    doc_id."""
+    doc_id. Words below three characters count once a row of an entry that
+    stands there several times, longer ones once an entry."""
     width = len(words)
+    short = np.array([first + i for first in (0, width) for i, w in enumerate(words) if len(w) < 3], np.int64)
     shared = hits.sparkSession.sparkContext.broadcast((asked, ids))
     query_type, doc_type = to_arrow_type(id_type), to_arrow_type(hits.schema["doc_id"].dataType)
 
@@ -261,10 +263,15 @@ def best_entries(hits: DataFrame, words: list[str], asked: list[list[tuple[int,
         best = np.zeros((0, len(ids)), np.int64)
         held = np.empty((0, len(ids)), object)
 
-        def score(docs: list, rows: list[np.ndarray]) -> None:
+        def bits_of(row: np.ndarray) -> np.ndarray:
+            return np.unpackbits(row, axis=-1, count=2 * width).astype(float)
+
+        def score(docs: list, rows: list[np.ndarray], sums: dict[int, np.ndarray]) -> None:
             nonlocal best, held
-            met = np.unpackbits(np.stack(rows), axis=1, count=2 * width)
-            points = (met[:, :width] * float(KEYWORD_CONTENT_POINTS) + met[:, width:] * float(KEYWORD_TITLE_POINTS))
+            met = bits_of(np.stack(rows))
+            for i, times_met in sums.items():
+                met[i, short] = times_met
+            points = met[:, :width] * KEYWORD_CONTENT_POINTS + met[:, width:] * KEYWORD_TITLE_POINTS
             scores, docs_of = np.empty((k, len(ids)), np.int64), np.empty((k, len(ids)), object)
             docs = np.array([*docs, None], object)[:-1]
             for first in range(0, len(ids), QUERY_BLOCK):                 # bounded memory, however many queries
@@ -288,19 +295,22 @@ def best_entries(hits: DataFrame, words: list[str], asked: list[list[tuple[int,
 
         docs: list = []
         rows: list[np.ndarray] = []
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
             for doc, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = np.frombuffer(bits, np.uint8)
                 if docs and docs[-1] == doc:
+                    at = len(docs) - 1
+                    sums[at] = (sums[at] if at in sums else bits_of(rows[-1])[short]) + bits_of(row)[short]
                     rows[-1] = rows[-1] | row
                     continue
                 if len(docs) >= SCORED_ROWS:
-                    score(docs, rows)
-                    docs, rows = [], []
+                    score(docs, rows, sums)
+                    docs, rows, sums = [], [], {}
                 docs.append(doc)
                 rows.append(row)
         if docs:
-            score(docs, rows)
+            score(docs, rows, sums)
         at, query = np.nonzero(best > 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[j] for j in query], query_type), pa.array(held[at, query].tolist(), doc_type), pa.array(best[at, query], pa.int64())],

@@ -11,12 +11,20 @@ calendar is cut into blocks of ``block`` dates that need not meet in one task:
 one pass reduces every block but the last to its map, the maps of a key are
 folded in order (a few rows a key) to the state each block starts from, and a
 last pass walks the blocks from there.
+
+In a gap the EMAs stay and the signal nears their difference by its share a
+date, so the histogram of a date is that of the last close times (1 − α)^dates.
+``macd_at_closes`` therefore walks the closes alone, one key after the other,
+and leaves the gaps to the caller.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,3 +142,47 @@ def gap_aware_macd(grid: DataFrame, key: str = "symbol", spans: tuple[int, int,
     return run_by_key(begun, "unit", "pos", _walk(key, spans), T.StructType([
         T.StructField(key, kind), T.StructField("date", T.DateType()),
         *_double(["ema_fast", "ema_slow", "macd", "macd_signal", "macd_hist"])]))
+
+
+def macd_at_closes(closes: DataFrame, key: str = "symbol", spans: tuple[int, int, int] = (12, 26, 9)) -> DataFrame:
+    """``closes``: key, pos (place on the calendar, no two the same; negative:
+    without date) and close. The same rows with macd_hist, NULL where the close
+    is NaN or has no date. Rows that lie by key already are not exchanged; a task
+    holds a batch, not a key."""
+    a1, a2, a3 = (2.0 / (s + 1.0) for s in spans)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started, y1, y2, s, at = False, 0.0, 0.0, 0.0, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, pos, x = pdf[key].to_numpy(), pdf["pos"].to_numpy(), pdf["close"].to_numpy(dtype="float64")
+            begins = pdf["_nth"].to_numpy() == 1
+            hist = np.full(len(x), np.nan)
+            counts = np.flatnonzero(begins | ((pos >= 0) & (x == x)))
+            gaps = np.maximum(np.diff(pos[counts], prepend=at), 1)
+            old1, old2, keep = (1.0 - a1) ** gaps, (1.0 - a2) ** gaps, (1.0 - a3) ** (gaps - 1)
+            out = []
+            for new, p, v, o1, o2, k in zip(begins[counts].tolist(), pos[counts].tolist(), x[counts].tolist(),
+                                            old1.tolist(), old2.tolist(), keep.tolist()):
+                started = started and not new
+                if p < 0 or v != v:                               # a key's first row that is no close of a date
+                    out.append(float("nan"))
+                    continue
+                if started:
+                    line = y1 - y2
+                    s = line + (s - line) * k
+                    y1 = y1 if y1 == v else (o1 * y1 + a1 * v) / (o1 + a1)
+                    y2 = y2 if y2 == v else (o2 * y2 + a2 * v) / (o2 + a2)
+                    s = (1 - a3) * s + a3 * (y1 - y2)
+                else:
+                    started, y1, y2, s = True, v, v, 0.0
+                out.append(y1 - y2 - s)
+            hist[counts] = out
+            at = int(pos[counts[-1]]) if len(counts) else at
+            yield pd.DataFrame({key: keys, "pos": pos, "close": x, "macd_hist": hist})
+
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("pos"))         # also brings the key's rows together
+    rows = closes.select(key, F.col("pos").cast("int").alias("pos"), "close", nth.alias("_nth")).sortWithinPartitions(key, "pos")
+    out = rows.mapInPandas(walk, T.StructType([rows.schema[key], T.StructField("pos", T.IntegerType()), *_double(["close", "macd_hist"])]))
+    return out.withColumn("macd_hist", F.when(~F.isnan("macd_hist"), F.col("macd_hist")))

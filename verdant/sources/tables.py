@@ -125,6 +125,10 @@ class Tables:
     def prices(self) -> DataFrame:
         return prices_daily(self.spark, self.sf_dir)
 
+    def price_rows(self) -> int:
+        """Rows the prices come from, by Parquet footers alone."""
+        return self.raw("lineitem").count()
+
     def esg(self) -> DataFrame:
         return esg_scores(self.spark, self.sf_dir)
 

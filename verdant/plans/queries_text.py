@@ -145,6 +145,7 @@ def a3_csv_pages(t):
     return A.rows_to_pages(_doc_rows(t).drop("lang"), kind="csv")
 
 
+_PART_BYTES = 64 << 20        # of text in one part of a delimited file, about
 _FILE_LINE = "concat_ws(chr(9), cast(doc_id as varchar), coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))"
 
 
@@ -156,14 +157,19 @@ select cast(page_no as bigint) as page_no,
   concat('[CSV, Rows ', lo, '-', hi, ']', chr(10), 'doc_id', chr(9), 'lang', chr(9), 'source', chr(9), 'text', chr(10), body) as page_text
 from p""")
 def a3_delimited_file(t):
-    """A3: the documents as one delimited file, texts with commas, quotes and
-    line ends in quoted cells, read by splits and paged."""
+    """A3: the documents as one delimited file in parts, texts with commas,
+    quotes and line ends in quoted cells, read by splits and paged."""
     from verdant.sources.delimited import read_delimited
     from verdant.streaming.pipelines import scratch
     path = scratch(t.spark, "a3")
-    (t.raw("documents").select("doc_id", "lang", "source", "text").orderBy("doc_id").coalesce(1)
-     .write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
-    return A.rows_to_pages(read_delimited(t.spark, path), kind="csv").select("page_no", "page_text")
+    names = ["doc_id", "lang", "source", "text"]
+    docs = t.raw("documents").select(F.lit(1).alias("_line"), F.col("doc_id").alias("_at"), *[F.col(c).cast("string") for c in names])
+    head = t.spark.range(1).select(F.lit(0).alias("_line"), F.lit(None).cast(docs.schema["_at"].dataType).alias("_at"), *[F.lit(c).alias(c) for c in names])
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _PART_BYTES))
+    (docs.unionByName(head).repartitionByRange(parts, "_line", "_at").sortWithinPartitions("_line", "_at").select(*names)
+     .write.csv(path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    return A.rows_to_pages(read_delimited(t.spark, path, whole=True), kind="csv").select("page_no", "page_text")
 
 
 @register("a4_sheet_pages", _pages_sql("sheet"))

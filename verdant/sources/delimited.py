@@ -91,11 +91,14 @@ def _cells(text: pd.Series, delimiter: pd.Series) -> pd.Series:
                       for t, d in zip(text, delimiter)])
 
 
-def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def read_records(spark: SparkSession, path: str, delimiter: str = ",", whole: bool = False) -> DataFrame:
     """file_id (path), row_no (1, 2, … by file, blank records included) and
-    text (line ends inside quoted cells kept) of every record under ``path``."""
+    text (line ends inside quoted cells kept) of every record under ``path``.
+    With ``whole`` the files there are the parts of one, in the order of their
+    names, each but the last ending with a line end; its file_id is ``path``."""
+    name = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("split"),
+        (F.lit(path) if whole else name).alias("file_id"), F.struct(name, "_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
     here = Window.partitionBy("file_id", "split").orderBy("place")
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -118,10 +121,10 @@ def read_records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFr
     return known.where(alone).select("file_id", "row_no", F.col("line").alias("text")).unionByName(several)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """file_id, row_no and cells of every record under ``path``; only records
-    with a quote leave the JVM."""
-    records = read_records(spark, path, delimiter)
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", whole: bool = False) -> DataFrame:
+    """file_id, row_no and cells of every record under ``path`` (one file in
+    parts with ``whole``); only records with a quote leave the JVM."""
+    records = read_records(spark, path, delimiter, whole)
     quoted = F.when(F.contains("text", F.lit(QUOTE)), F.col("text"))
     plain = F.split("text", re.escape(delimiter), -1)
     return records.select("file_id", "row_no", F.coalesce(_cells(quoted, F.lit(delimiter)), plain).alias("cells"))

@@ -1,25 +1,24 @@
 """Back-tests over many portfolios at once.
 
 Weights decided on a date are applied to the return of the next trading date
-(C7). The next date comes from ``lead`` over the distinct-date calendar — a
-table bounded by the number of trading dates — and the weight × return product
+(C7). The next date comes from a table of the days between trading dates, and the weight × return product
 is an equi-join on (symbol, next date). Running values (equity, peak, rolling
 volatility) are windows per portfolio ordered by date; the two recurrences with
 no window form (differential Sharpe, discounted return-to-go) run in one sorted
-pass per partition (``run_by_key``), each kernel call seeing one portfolio's
+pass per partition (``run_values``), each kernel call seeing one portfolio's
 date history.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdant.functions import risk
-from verdant.functions.sequential import run_by_key
+from verdant.functions.sequential import run_values
+from verdant.sources.tables import dealt
 
 # Fixed values of the back-test and reward rules.
 ROLLING_VOL_ROWS = 20
@@ -30,14 +29,18 @@ RTG_EPS = 1e-8
 HOLDING_MIN_WEIGHT = 0.01
 
 
-def next_dates(dates: DataFrame, returns: DataFrame, date: str = "date") -> DataFrame:
-    """(date, next_date) for every date of ``dates``: the first trading date
-    after it, whether or not it is one itself; NULL after the last. One window
-    over distinct dates, of which there are as many as days."""
-    days = (dates.select(date).unionByName(returns.select(date)).distinct()
-            .join(returns.select(F.col(date).alias("trading_date")).distinct(), F.col(date) == F.col("trading_date"), "left"))
-    after = Window.orderBy(date).rowsBetween(1, Window.unboundedFollowing)
-    return days.select(date, F.min("trading_date").over(after).alias("next_date"))
+def _next_trading_date(rows: DataFrame, returns: DataFrame, date: str = "date") -> DataFrame:
+    """``rows`` with next_date, the first trading date after their date, whether
+    or not it is one itself; NULL after the last. Each trading date but the
+    first stands for the days since the one before it: as many rows as days,
+    and ``rows`` are worked out once."""
+    traded = returns.where(F.col("date").isNotNull()).select("date").distinct()
+    before = F.coalesce(F.lag("date").over(Window.orderBy("date")), F.date_sub("date", 1))
+    days = traded.select(F.col("date").alias("next_date"), before.alias("_from")).select(
+        "next_date", F.explode(F.sequence("_from", F.date_sub("next_date", 1))).alias("_day"))
+    first = traded.select(F.min("date")).scalar()
+    j = rows.join(F.broadcast(days), F.col(date) == F.col("_day"), "left").drop("_day")
+    return j.withColumn("next_date", F.coalesce("next_date", F.when(F.col(date) < first, first)))
 
 
 def weights_to_next_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
@@ -45,16 +48,25 @@ def weights_to_next_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
     on the next trading date (0 when the symbol has none that day). A date that
     is no trading date itself counts too; only rows with no trading date after
     them are dropped."""
-    cal = next_dates(weights, returns)
-    w = weights.join(cal, "date").where(F.col("next_date").isNotNull())
+    return _with_next_return(weights, returns).where(F.col("next_date").isNotNull())
+
+
+def _with_next_return(weights: DataFrame, returns: DataFrame) -> DataFrame:
+    """``weights_to_next_return`` with the rows that have no next date (next_date NULL)."""
+    w = _next_trading_date(weights, returns)
     r = returns.select("symbol", F.col("date").alias("next_date"), F.col("ret").alias("next_ret"))
     j = w.join(r, ["symbol", "next_date"], "left")
     return j.withColumn("next_ret", F.coalesce(F.col("next_ret"), F.lit(0.0)))
 
 
-def portfolio_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
-    """H9: Σ weight · next-day return per (portfolio, date)."""
-    j = weights_to_next_return(weights, returns)
+def _by_portfolio(rows: DataFrame, n_rows: int | None) -> DataFrame:
+    return dealt(rows, n_rows, "portfolio_id") if n_rows else rows.repartition("portfolio_id")
+
+
+def portfolio_returns(weights: DataFrame, returns: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """H9: Σ weight · next-day return per (portfolio, date). ``n_rows``: about
+    how many weights there are, for the number of partitions."""
+    j = _by_portfolio(weights_to_next_return(weights, returns).select("portfolio_id", "date", "weight", "next_ret"), n_rows)
     return j.groupBy("portfolio_id", "date").agg(
         F.sum(F.col("weight") * F.col("next_ret")).alias("port_return"))
 
@@ -70,51 +82,65 @@ def turnover(weights: DataFrame) -> DataFrame:
     per (portfolio, symbol). A holding that continues contributes
     |w_t − w_prev|, a new one |w_t|, an exit |w_prev| at the next date, and
     the first date |w − 1/N| plus 1/N for each symbol not yet held."""
-    wd = Window.partitionBy("portfolio_id").orderBy("_d")
+    parts = _with_turnover(weights.where(F.col("portfolio_id").isNotNull()))
+    return parts.groupBy("portfolio_id", "date").agg(F.sum("_c").alias("turnover"))
+
+
+def _with_turnover(weights: DataFrame) -> DataFrame:
+    """``weights`` (and what else they carry) with each row's share ``_c`` of its
+    date's turnover, and the rows of the exits (``_exit``), which carry only
+    portfolio, date and share. All lies by portfolio."""
+    wp = Window.partitionBy("portfolio_id")
+    wd = wp.orderBy("_d")
     ws = Window.partitionBy("portfolio_id", "symbol").orderBy("date")
-    n = weights.groupBy("portfolio_id").agg(F.countDistinct("symbol").alias("_n"))
-    x = (weights.join(n, "portfolio_id")
-         .select("portfolio_id", "symbol", "date", "weight", "_n", F.unix_date("date").alias("_d")))
+    more = [c for c in weights.columns if c not in ("portfolio_id", "date")]
+    x = weights.withColumn("_d", F.unix_date("date"))
     x = x.select(
         "*",
         F.max("date").over(wd.rangeBetween(Window.unboundedPreceding, -1)).alias("_prev"),
         F.min("date").over(wd.rangeBetween(1, Window.unboundedFollowing)).alias("_next"),
-        "_n",
         F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "date")).alias("_held"),
+        F.row_number().over(ws).alias("_nth"),
         F.lag("date").over(ws).alias("_sym_prev"),
         F.lag("weight").over(ws).alias("_sym_prev_w"),
         F.lead("date").over(ws).alias("_sym_next"),
     )
+    x = x.withColumn("_n", F.count_if((F.col("_nth") == 1) & F.col("symbol").isNotNull()).over(wp))     # distinct symbols
     first = F.col("_prev").isNull()
     carried = F.when(F.col("_sym_prev") == F.col("_prev"), F.col("_sym_prev_w")).otherwise(F.lit(0.0))
-    here = (F.when(first, F.abs(F.col("weight") - 1.0 / F.col("_n"))
-                   + (F.col("_n") - F.col("_held")) / F.col("_n") / F.col("_held"))
+    here = (F.when(first, F.abs(F.col("weight") - F.try_divide(F.lit(1.0), F.col("_n")))
+                   + F.try_divide(F.try_divide(F.col("_n") - F.col("_held"), F.col("_n")), F.col("_held")))
              .otherwise(F.abs(F.col("weight") - carried)))
-    at_date = x.select("portfolio_id", "date", here.alias("_c"))
-    exits = (x.where(F.col("_next").isNotNull()
-                     & (F.col("_sym_next").isNull() | (F.col("_sym_next") != F.col("_next"))))
-              .select("portfolio_id", F.col("_next").alias("date"), F.abs("weight").alias("_c")))
-    return (at_date.unionByName(exits).groupBy("portfolio_id", "date")
-                   .agg(F.sum("_c").alias("turnover")))
+    leaves = F.col("_next").isNotNull() & (F.col("_sym_next").isNull() | (F.col("_sym_next") != F.col("_next")))
+    stays = F.struct(F.col("date"), F.lit(False).alias("_exit"), here.alias("_c"), *[F.col(c) for c in more])
+    none = [F.lit(None).cast(weights.schema[c].dataType).alias(c) for c in more]
+    gone = F.struct(F.col("_next").alias("date"), F.lit(True).alias("_exit"), F.abs("weight").alias("_c"), *none)
+    return (x.select("portfolio_id", F.explode(F.when(leaves, F.array(stays, gone)).otherwise(F.array(stays))).alias("_r"))
+             .select("portfolio_id", "_r.*"))
 
 
-def backtest_ledger(weights: DataFrame, returns: DataFrame, esg_unit: DataFrame) -> DataFrame:
+def backtest_ledger(weights: DataFrame, returns: DataFrame, esg_unit: DataFrame, n_rows: int | None = None) -> DataFrame:
     """Per (portfolio, date): portfolio return, value (base 1.0), peak
     (base 1.0), drawdown, turnover, trailing-20 population std of returns (0
     with one row), ESG exposure Σ w·esg (esg_unit 0.5 default).
 
-    Return and ESG exposure come from one aggregation of the weights joined to
-    the next-day returns and the per-symbol ESG table; the running values are
-    windows per portfolio; turnover is its own one-exchange pass."""
-    j = weights_to_next_return(weights, returns).join(esg_unit, "symbol", "left")
-    pr = j.groupBy("portfolio_id", "date").agg(
-        F.sum(F.col("weight") * F.col("next_ret")).alias("port_return"),
-        F.sum(F.col("weight") * F.coalesce(F.col("esg_unit"), F.lit(0.5))).alias("esg"))
+    The weights meet the next-day returns and the per-symbol ESG table and are
+    then dealt by portfolio once: return, exposure and turnover come from one
+    aggregation there, the running values from windows. ``n_rows``: about how
+    many weights there are, for the number of partitions."""
+    j = _with_next_return(weights, returns).join(esg_unit, "symbol", "left")
+    j = _by_portfolio(j.select("portfolio_id", "date", "symbol", "weight", "next_date", "next_ret", "esg_unit"), n_rows)
+    held = ~F.col("_exit")
+    pr = _with_turnover(j).groupBy("portfolio_id", "date").agg(
+        F.sum(F.when(held, F.col("weight") * F.col("next_ret"))).alias("port_return"),
+        F.sum(F.when(held, F.col("weight") * F.coalesce(F.col("esg_unit"), F.lit(0.5)))).alias("esg"),
+        F.sum("_c").alias("turnover"), F.max("next_date").alias("_next_date"))
+    pr = pr.where(F.col("_next_date").isNotNull())
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     trail = w.rowsBetween(-(ROLLING_VOL_ROWS - 1), 0)
     led = pr.select(
-        "portfolio_id", "date", "port_return", "esg",
+        "portfolio_id", "date", "port_return", "esg", F.when(F.col("portfolio_id").isNotNull(), F.col("turnover")).alias("turnover"),
         F.product(1 + F.col("port_return")).over(run).alias("value"),
         F.when(F.count(F.lit(1)).over(run) > 1, F.stddev_pop("port_return").over(trail))
          .otherwise(F.lit(0.0)).alias("rolling_vol"),
@@ -122,8 +148,7 @@ def backtest_ledger(weights: DataFrame, returns: DataFrame, esg_unit: DataFrame)
     )
     led = led.withColumn("peak", F.greatest(F.lit(1.0), F.max("value").over(run)))
     led = led.withColumn("drawdown", (F.col("value") - F.col("peak")) / F.col("peak"))
-    led = led.withColumn("prev_value", F.coalesce(F.lag("value").over(w), F.lit(1.0)))
-    return led.join(turnover(weights), ["portfolio_id", "date"], "left")
+    return led.withColumn("prev_value", F.coalesce(F.lag("value").over(w), F.lit(1.0)))
 
 
 def reward_columns(ledger: DataFrame, lam: float = 0.5) -> DataFrame:
@@ -151,33 +176,30 @@ def dsr_step(a: float, b: float, x: float, eta: float) -> tuple[float, float, fl
 
 def _dsr(r: np.ndarray, eta: float) -> np.ndarray:
     a, b = DSR_A0, DSR_B0
-    out = np.empty_like(r)
-    for i, x in enumerate(r):
+    out = []
+    for x in r.tolist():
         a, b, value = dsr_step(a, b, x, eta)
-        out[i] = np.nan if value is None else value
-    return out
+        out.append(np.nan if value is None else value)
+    return np.array(out)
 
 
 def _rtg(r: np.ndarray, gamma: float) -> np.ndarray:
-    out = np.empty_like(r)
+    out = []
     g = 0.0
-    for i in range(len(r) - 1, -1, -1):
-        g = r[i] + gamma * g
-        out[i] = g
-    return out
+    for x in reversed(r.tolist()):
+        g = x + gamma * g
+        out.append(g)
+    return np.array(out[::-1])
 
 
 def _recurrences(eta: float, gamma: float):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf["port_return"].to_numpy(dtype="float64")
+    def fn(r: np.ndarray) -> tuple[np.ndarray, ...]:
         g = _rtg(r, gamma)
-        if len(g) > 1 and g.std(ddof=1) > 0:
-            z = (g - g.mean()) / (g.std(ddof=1) + RTG_EPS)
+        if len(g) > 1 and (sd := g.std(ddof=1)) > 0:
+            z = (g - g.mean()) / (sd + RTG_EPS)
         else:
             z = g
-        return pd.DataFrame({"portfolio_id": pdf["portfolio_id"].to_numpy(),
-                             "date": pdf["date"].to_numpy(),
-                             "dsr": _dsr(r, eta), "return_to_go": g, "return_to_go_z": z})
+        return _dsr(r, eta), g, z
     return fn
 
 
@@ -193,21 +215,22 @@ def differential_sharpe(ledger: DataFrame, eta: float = DSR_ETA, gamma: float =
     discounted return-to-go (γ) with its per-portfolio z-score, in one grouped
     pass per portfolio."""
     src = ledger.select(F.col("portfolio_id").cast("bigint"), "date", "port_return")
-    out = run_by_key(src, "portfolio_id", "date", _recurrences(eta, gamma), RECURRENCE_SCHEMA)
+    out = run_values(src, "portfolio_id", "date", "port_return", _recurrences(eta, gamma), RECURRENCE_SCHEMA)
     return out.withColumn("dsr", F.when(~F.isnan("dsr"), F.col("dsr")))
 
 
 # ------------------------------------------------------------- H11, H12
 
-def backtest_summary(ledger: DataFrame, weights: DataFrame, esg_unit: DataFrame) -> DataFrame:
+def backtest_summary(ledger: DataFrame, weights: DataFrame) -> DataFrame:
     """H11 per portfolio: total return, annual return / volatility, Sharpe,
     Sortino, max drawdown of the equity curve (first point 1 + r₁), average
     ESG of the mean weights, holdings with mean weight > 1 %, largest mean
     weight, number of days. Mean weights average over all ledger days (a
-    missing weight counts 0)."""
+    missing weight counts 0). ``ledger`` is that of ``weights``: it has every date
+    of a portfolio up to its last one."""
     w = Window.partitionBy("portfolio_id").orderBy("date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = ledger.select("portfolio_id", "date", F.col("port_return").alias(risk.RET), "value") \
+    led = ledger.select("portfolio_id", "date", F.col("port_return").alias(risk.RET), "value", "esg") \
                 .withColumn("_curve_peak", F.max("value").over(run))
     ann = risk.annual_return(risk.RET)
     perf = led.groupBy("portfolio_id").agg(
@@ -218,19 +241,20 @@ def backtest_summary(ledger: DataFrame, weights: DataFrame, esg_unit: DataFrame)
         risk.sortino().alias("sortino"),
         risk.max_drawdown("value", "_curve_peak").alias("max_drawdown"),
         F.count(F.lit(1)).alias("days"),
+        (F.sum("esg") / F.count(F.lit(1))).alias("avg_esg"),           # the mean weights' ESG is the mean of the days' exposures
+        F.max("date").alias("_last"),
     )
-    days = perf.select("portfolio_id", "days")
-    used = weights.join(ledger.select("portfolio_id", "date"), ["portfolio_id", "date"], "left_semi")
-    mw = (used.groupBy("portfolio_id", "symbol").agg(F.sum("weight").alias("_sw"))
-              .join(days, "portfolio_id")
-              .withColumn("mean_weight", F.col("_sw") / F.col("days"))
-              .join(esg_unit, "symbol", "left"))
-    hold = mw.groupBy("portfolio_id").agg(
-        F.sum(F.col("mean_weight") * F.coalesce(F.col("esg_unit"), F.lit(0.5))).alias("avg_esg"),
-        F.count_if(F.col("mean_weight") > HOLDING_MIN_WEIGHT).alias("num_holdings"),
-        F.max("mean_weight").alias("max_position"),
-    )
-    return perf.join(hold, "portfolio_id", "left")
+    keys = perf.columns                                     # the portfolio and what is one value for it: perf is worked out once
+    w = weights.select("portfolio_id", "symbol", F.col("date").alias("_date"), "weight")
+    used = F.col("_date") <= F.col("_last")
+    mw = (perf.join(w, "portfolio_id", "left").groupBy(*keys, "symbol")
+          .agg((F.sum(F.when(used, F.col("weight"))) / F.col("days")).alias("mean_weight"), F.count_if(used).alias("_used")))
+    hold = mw.groupBy(*keys).agg(
+        F.count_if(F.col("mean_weight") > HOLDING_MIN_WEIGHT).alias("_holdings"),
+        F.max("mean_weight").alias("max_position"), F.sum("_used").alias("_used"))
+    held = F.col("_used") > 0
+    return hold.select(*[c for c in keys if c not in ("avg_esg", "_last")], F.when(held, F.col("avg_esg")).alias("avg_esg"),
+                       F.when(held, F.col("_holdings")).alias("num_holdings"), "max_position")
 
 
 def benchmark(returns: DataFrame, universe_size: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions.numeric import fixed_round
 from verdant.operators.query import latest
+from verdant.sources.tables import dealt
 
 # Fixed values of the portfolio rules.
 MAX_WEIGHT = 0.12
@@ -261,24 +262,28 @@ def _pct0(x: Column) -> Column:
     return F.concat(fixed_round(x * 100, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
-def portfolio_warnings(analysis: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def portfolio_warnings(analysis: DataFrame, n_rows: int | None = None) -> DataFrame:
     """H6: one row per rule hit — holding above 12 %, sector above 35 %,
-    fewer than 3 sectors, weighted ESG below 30 — with its message."""
-    totals = totals if totals is not None else portfolio_totals(analysis)
-    holding = analysis.where(F.col("weight") > MAX_WEIGHT).select(
-        "portfolio_id", F.lit("position").alias("rule"),
-        F.concat(F.col("symbol"), F.lit(" weight ("), _pct0(F.col("weight")),
-                 F.lit(f") exceeds {round(MAX_WEIGHT * 100)}% limit")).alias("message"))
-    sec = sector_exposure(analysis).where(F.col("sector_weight") > SECTOR_CAP).select(
-        "portfolio_id", F.lit("sector").alias("rule"),
-        F.concat(F.col("sector"), F.lit(" sector ("), _pct0(F.col("sector_weight")),
-                 F.lit(f") exceeds {round(SECTOR_CAP * 100)}% limit")).alias("message"))
-    low_div = totals.where(F.col("sector_count") < LOW_DIVERSIFICATION_SECTORS).select(
-        "portfolio_id", F.lit("diversification").alias("rule"),
-        F.concat(F.lit("Low diversification: only "), F.col("sector_count").cast("string"),
-                 F.lit(" sector(s)")).alias("message"))
-    low_esg = totals.where(F.col("raw_weighted_esg") < LOW_ESG).select(
-        "portfolio_id", F.lit("esg").alias("rule"),
-        F.concat(F.lit("Low portfolio ESG score ("),
-                 F.format_string("%.1f", fixed_round("raw_weighted_esg", 1)), F.lit(")")).alias("message"))
-    return holding.unionByName(sec).unionByName(low_div).unionByName(low_esg)
+    fewer than 3 sectors, weighted ESG below 30 — with its message.
+
+    The holdings are dealt by portfolio once; sectors and totals are aggregated
+    there, and each portfolio's hits come out of one row. ``n_rows``: about how
+    many holdings there are, for the number of partitions."""
+    hit = lambda rule, *text: F.struct(F.lit(rule).alias("rule"), F.concat(*text).alias("message"))
+    a = analysis.select("portfolio_id", "symbol", "sector", "raw_weight", "weight", "esg")
+    a = dealt(a, n_rows, "portfolio_id") if n_rows else a.repartition("portfolio_id")
+    position = F.when(F.col("weight") > MAX_WEIGHT, hit(
+        "position", F.col("symbol"), F.lit(" weight ("), _pct0(F.col("weight")), F.lit(f") exceeds {round(MAX_WEIGHT * 100)}% limit")))
+    by_sector = a.groupBy("portfolio_id", "sector").agg(
+        F.sum("raw_weight").alias("_sw"), F.sum(F.col("weight") * F.col("esg")).alias("_we"), F.collect_list(position).alias("_hits"))
+    over = F.when(F.col("sector").isNotNull() & (F.col("_sw") > SECTOR_CAP), hit(
+        "sector", F.col("sector"), F.lit(" sector ("), _pct0(F.col("_sw")), F.lit(f") exceeds {round(SECTOR_CAP * 100)}% limit")))
+    g = by_sector.groupBy("portfolio_id").agg(
+        F.count("sector").alias("_sectors"), F.sum("_we").alias("_esg"),
+        F.flatten(F.collect_list("_hits")).alias("_hits"), F.collect_list(over).alias("_over"))
+    low_div = F.when(F.col("_sectors") < LOW_DIVERSIFICATION_SECTORS, hit(
+        "diversification", F.lit("Low diversification: only "), F.col("_sectors").cast("string"), F.lit(" sector(s)")))
+    low_esg = F.when(F.col("_esg") < LOW_ESG, hit(
+        "esg", F.lit("Low portfolio ESG score ("), F.format_string("%.1f", fixed_round("_esg", 1)), F.lit(")")))
+    hits = F.concat("_hits", "_over", F.array_compact(F.array(low_div, low_esg)))
+    return g.select("portfolio_id", F.explode(hits).alias("_hit")).select("portfolio_id", "_hit.*")

@@ -14,6 +14,7 @@ from verdant.operators import screen as S
 from verdant.plans.catalog import register, sig_sql
 from verdant.plans.oracle import cte
 from verdant.plans.queries_read import metrics_of
+from verdant.streaming.pipelines import scratch
 
 # ------------------------------------------------------------------ G
 
@@ -586,7 +587,7 @@ select portfolio_id, 'esg', 'Low portfolio ESG score (' || printf('%.1f', round(
 from m_ptotals where raw_weighted_esg < 30""")
 def h6_portfolio_warnings(t):
     """H6: rule hits with messages for every customer portfolio."""
-    return P.portfolio_warnings(P.analyze(t.holdings(), metrics_of(t), t.companies()))
+    return P.portfolio_warnings(P.analyze(t.holdings(), metrics_of(t), t.companies()), t.price_rows())
 
 
 @register("h8_softmax_weights", """
@@ -660,9 +661,17 @@ from l1 left join m_turnover t on l1.portfolio_id = t.portfolio_id and l1.date =
 """)
 
 
-def _ledger(t):
+def _kept_weights(t):
+    """The rebalance weights written once, where a query needs them twice."""
+    path = scratch(t.spark, "weights")
+    w = t.rebalance()
+    w.write.parquet(path)
+    return t.spark.read.schema(w.schema).parquet(path)
+
+
+def _ledger(t, weights=None):
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
-    return B.backtest_ledger(t.rebalance(), returns, FE.esg_unit_score(t.esg()))
+    return B.backtest_ledger(t.rebalance() if weights is None else weights, returns, FE.esg_unit_score(t.esg()), t.price_rows())
 
 
 _LEDGER_D = ["port_return", "value", "rolling_vol", "peak", "drawdown", "prev_value", "turnover", "esg"]
@@ -673,7 +682,7 @@ select portfolio_id, date, round(port_return, 6) as port_return from m_preturn""
 def h9_portfolio_returns(t):
     """Weights of each rebalance × next trading day's returns."""
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
-    return B.portfolio_returns(t.rebalance(), returns)
+    return B.portfolio_returns(t.rebalance(), returns, t.price_rows())
 
 
 @register("h10_backtest_ledger", f"""
@@ -731,7 +740,7 @@ from d join g on d.portfolio_id = g.portfolio_id and d.rn = g.rn) q""")
 def h14_h15_recurrences(t):
     """H14 + H15: differential Sharpe and discounted return-to-go per step."""
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
-    pr = B.portfolio_returns(t.rebalance(), returns)
+    pr = B.portfolio_returns(t.rebalance(), returns, t.price_rows())
     return B.differential_sharpe(pr)
 
 
@@ -765,7 +774,8 @@ select p.portfolio_id, round(total_return, 6) as total_return, {sig_sql('annual_
 from perf p left join hold h on p.portfolio_id = h.portfolio_id""", sig=("annual_return",))
 def h11_backtest_summary(t):
     """Back-test summary per portfolio."""
-    return B.backtest_summary(_ledger(t), t.rebalance(), FE.esg_unit_score(t.esg()))
+    w = _kept_weights(t)
+    return B.backtest_summary(_ledger(t, w), w)
 
 
 @register("h12_equal_weight_benchmark", f"""
@@ -792,7 +802,8 @@ from reg""")
 def h16_model_registry(t):
     """Back-tested portfolios as a model registry (every 7th marked
     active); activating the best-Sharpe one retires the others."""
-    s = B.backtest_summary(_ledger(t), t.rebalance(), FE.esg_unit_score(t.esg()))
+    w = _kept_weights(t)
+    s = B.backtest_summary(_ledger(t, w), w)
     reg = s.select(F.col("portfolio_id").alias("model_id"), "sharpe",
                    F.when(F.col("portfolio_id") % 7 == 0, F.lit("active")).otherwise(F.lit("trained"))
                     .alias("status"))

@@ -18,13 +18,18 @@ RAW_TABLES = (
 ROWS_PER_TASK = 400_000       # of line items that meet in one task
 
 
-def by_symbol(rows: DataFrame, n_rows: int) -> DataFrame:
-    """``rows`` dealt by symbol over as many partitions as ``n_rows`` need, so
+def dealt(rows: DataFrame, n_rows: int, *keys: Column | str) -> DataFrame:
+    """``rows`` dealt by ``keys`` over as many partitions as ``n_rows`` need, so
     that a task's memory does not grow with the table (and no fewer than
     Spark's own number, which it may join)."""
     needed = -(-n_rows // ROWS_PER_TASK)
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(needed, "symbol") if needed > usual else rows.repartition("symbol")
+    return rows.repartition(needed, *keys) if needed > usual else rows.repartition(*keys)
+
+
+def by_symbol(rows: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` dealt by symbol."""
+    return dealt(rows, n_rows, "symbol")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,9 +108,9 @@ def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw (un-normalised) weights."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
-    j = o.join(li, o.o_orderkey == li.l_orderkey)
-    return (j.groupBy(F.col("o_custkey").alias("portfolio_id"),
-                      symbol_of("l_suppkey").alias("symbol"))
+    j = o.join(li, o.o_orderkey == li.l_orderkey).select(
+        F.col("o_custkey").alias("portfolio_id"), symbol_of("l_suppkey").alias("symbol"), "l_extendedprice")
+    return (dealt(j, li.count(), "portfolio_id").groupBy("portfolio_id", "symbol")      # lies as every use by portfolio needs it
              .agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("double").alias("weight")))
 
 
@@ -146,10 +151,10 @@ def rebalance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
-    j = o.join(li, o.o_orderkey == li.l_orderkey)
-    g = (j.groupBy(F.col("o_custkey").alias("portfolio_id"),
-                   F.col("o_orderdate").cast("date").alias("date"),
-                   symbol_of("l_suppkey").alias("symbol"))
+    j = o.join(li, o.o_orderkey == li.l_orderkey).select(
+        F.col("o_custkey").alias("portfolio_id"), F.col("o_orderdate").cast("date").alias("date"),
+        symbol_of("l_suppkey").alias("symbol"), "l_extendedprice")
+    g = (dealt(j, li.count(), "portfolio_id").groupBy("portfolio_id", "date", "symbol")  # one exchange for this and the window
           .agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).alias("_v")))
     total = F.sum("_v").over(Window.partitionBy("portfolio_id", "date"))
     return g.select("portfolio_id", "date", "symbol",

@@ -109,7 +109,7 @@ def k3_streaming_dsr(t):
     spark = t.spark
     root = K.scratch(spark, "k3")
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
-    pr = B.portfolio_returns(t.rebalance(), returns).select(
+    pr = B.portfolio_returns(t.rebalance(), returns, t.price_rows()).select(
         F.col("portfolio_id").cast("bigint"), "date", "port_return")
     files = _write_in_order(_whole(pr, f"{root}/returns"), F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
     q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", files_per_trigger=files,
@@ -141,19 +141,19 @@ def _recomputed(t, root: str) -> I.IncrementalMetrics:
     dates missing, every ninth close wrong), the later years, what was missing,
     and a quarter of the symbols once more, wrong closes corrected."""
     spark = t.spark
-    p = t.prices().select("symbol", "date", "close").persist()
+    p = _whole(t.prices().select("symbol", "date", "close"), f"{root}/prices")
     early = F.year("date") <= 1995
     late = F.pmod(F.xxhash64("symbol", "date"), F.lit(6)) == 0
     wrong = early & (F.pmod(F.xxhash64("date", "symbol"), F.lit(9)) == 0)
     quarter = F.pmod(F.xxhash64("symbol"), F.lit(4)) == 0
     batches = [p.where(early & ~late).withColumn("close", F.when(wrong, F.col("close") * 1.1).otherwise(F.col("close"))),
                p.where(~early), p.where(early & late), p.where(quarter | wrong)]
+    files = _files(p.count())
     for k, rows in enumerate(batches):
-        rows.repartition(_FILES, "symbol").write.parquet(f"{root}/src/p{k}")
+        rows.repartition(files, "symbol").write.parquet(f"{root}/src/p{k}")
     as_of = F.lit(p.select(F.max("date")).first()[0])
-    p.unpersist()
     tables = I.IncrementalMetrics(spark, f"{root}/tables", t.esg(), t.companies())
-    _drain(I.recompute_stream(tables, f"{root}/src/*", f"{root}/ckpt", files_per_trigger=_FILES, as_of=as_of))
+    _drain(I.recompute_stream(tables, f"{root}/src/*", f"{root}/ckpt", files_per_trigger=files, as_of=as_of))
     return tables
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from verdant.functions import segments as G
 from verdant.operators import metrics as M
+from verdant.sources.tables import ROWS_PER_TASK, dealt
 from verdant.sources.versions import PART, VersionedParts
 
 BUCKETS = 64                  # of symbols, by hash
@@ -84,13 +85,14 @@ class IncrementalMetrics:
 
     def _restate(self, history: DataFrame, named: DataFrame, version: int) -> None:
         """New states of the named (symbol, year), from those years' rows alone."""
-        mine = history.join(named, ["symbol", "year"], "left_semi")
+        n_rows = history.count()                                                       # by footers
+        mine = dealt(history, n_rows, "symbol", "year").join(dealt(named, n_rows, "symbol", "year"), ["symbol", "year"], "left_semi")
         closes = mine.groupBy("symbol", "year", "date").agg(
             F.max_by("close", F.struct("batch_id", "arrival")).alias("close"))
         fresh = G.segment_states(closes, ["symbol", "year"]).withColumn(PART, _bucket())
         buckets = [r[0] for r in named.select(_bucket()).distinct().collect()]         # BUCKETS at most
         kept = self.states.read(buckets, before=version).join(named, ["symbol", "year"], "left_anti")
-        self.states.write(kept.unionByName(fresh), version)
+        self.states.write(dealt(kept.unionByName(fresh), n_rows, PART, F.pmod(F.xxhash64("symbol"), F.lit(n_rows // ROWS_PER_TASK + 1))), version)
 
     def _measure(self, touched: DataFrame, version: int, as_of: Column | None) -> None:
         known = self.companies.select("symbol", "sector", "restricted_business", "severe_controversy")

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -83,3 +85,43 @@ def test_one_python_pass_encodes_and_decodes(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     enc = bpe.encode(df.withColumn("decoded", df.doc_id), PATH, public_tokenizers.PATTERN, decoded_col="decoded")
     assert enc.columns == ["doc_id", "decoded", "ids", "decoded_"] and bytes(enc.first()["decoded_"]) == b"one pass"
+
+
+def most_memory(work):
+    """What ``work`` gives, and the most bytes it held at a time."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_stretch(reference):
+    replay = bpe.MergeReplay(bpe.read_ranks(PATH))
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(12)) for _ in range(20_000)]
+    raw = [w.encode() for w in words]
+    (ids, counts), most = most_memory(lambda: replay.encode(raw))
+    assert most < 64 * sum(map(len, raw))                 # five arrays of positions and what a merge looks up; it was 95
+    assert ids.tolist() == [i for w in words for i in reference.encode_ordinary(w)] and counts.sum() == len(ids)
+
+
+def test_pieces_met_again_are_kept(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 100)
+    enc = bpe.Encoder(bpe.MergeReplay(bpe.read_ranks(PATH)), public_tokenizers.PATTERN)
+    for k in range(8):
+        texts = [f"often and always q{k * 60 + i}" for i in range(60)]
+        assert enc(texts).to_pylist() == [reference.encode_ordinary(t) for t in texts]
+        assert len(enc.begins) == len(enc.spaced) + len(enc.bare) == len(enc.uses) <= 100 + 63
+        if k:
+            assert enc.begins[enc.spaced["always"]] <= 10      # not encoded anew
+
+
+def test_vocabulary():
+    words = bpe.Vocabulary({b"a": 3, b"bc": 0, b"\xff": 7})
+    lists = pa.array([[9], [3, 0, 7], None, [], [0]], pa.list_(pa.int32()))
+    assert words(lists.slice(1)).to_pylist() == [b"abc\xff", b"", b"", b"bc"]
+    assert words(lists.slice(2, 2)).to_pylist() == [b"", b""] and words(lists.slice(0, 0)).to_pylist() == []
+    for bad in (9, 5, -1, None):
+        with pytest.raises(KeyError):
+            words(pa.array([[3, bad]], pa.list_(pa.int64())))

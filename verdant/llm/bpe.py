@@ -22,16 +22,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.common import arrow_map, fresh
 
-STRETCH_CHARS = 4_000_000     # texts whose pre-tokens are merged together
+STRETCH_CHARS = 2_000_000     # texts whose pre-tokens are merged together
 STRETCH_DOCS = 20_000
-KEPT_PIECES = 600_000         # encoded pieces a task keeps for later stretches
-NO_RANK = np.int64(1) << 40
+KEPT_PIECES = 200_000         # encoded pieces a task keeps for later stretches
+BLOCK = 1 << 16               # positions or pieces worked on at once where the order does not matter
+NO_RANK = np.int32(1 << 20)
 
 
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -55,8 +57,7 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) > 0x1FFFF:
             raise ValueError("ranks beyond 17 bits")       # two of them make a key
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         keys, vals = [], []
         for tok, rank in ranks.items():
             for cut in range(1, len(tok)):
@@ -64,7 +65,7 @@ class MergeReplay:
                 if left is not None and right is not None:
                     keys.append(left << 17 | right)
                     vals.append(rank)
-        self.keys, self.vals = np.array(keys, np.int64), np.array(vals, np.int64)
+        self.keys, self.vals = np.array(keys, np.int64), np.array(vals, np.int32)
         self.levels = self._table(self.keys, self.vals)
         # ranks after which an earlier rank may become possible: one merge a word at a time
         back = (self.vals < (self.keys >> 17)) | (self.vals < (self.keys & 0x1FFFF))
@@ -74,10 +75,10 @@ class MergeReplay:
     def _table(keys: np.ndarray, vals: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Hash tables of falling size; a key that finds its slot taken goes to
         the next one, and the slot remembers that."""
-        levels, bits = [], 20
+        levels, bits = [], max(12, len(keys).bit_length() + 2)
         while len(keys):
             slot = _slot(keys, bits)
-            table_k, table_v = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int64)
+            table_k, table_v = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK)
             table_k[slot], table_v[slot] = keys, vals
             left = table_k[slot] != keys
             more = np.zeros(1 << bits, bool)
@@ -89,7 +90,7 @@ class MergeReplay:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token each pair joins to; NO_RANK for none (or a missing side, -1)."""
-        key = (left << 17) | right                    # a missing side makes it negative: never found
+        key = (left.astype(np.int64) << 17) | right   # a missing side makes it negative: never found
         bits, table_k, table_v, more = self.levels[0]
         slot = _slot(key, bits)
         miss = table_k[slot] != key
@@ -116,17 +117,19 @@ class MergeReplay:
         """Ids of all words in one array, and the number of ids of each word."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
-        word = np.repeat(np.arange(len(words)), lens)
+        n = len(raw)
+        kind = np.int32 if n < 0x7FFFFFFF else np.int64               # of positions
+        word = np.repeat(np.arange(len(words), dtype=kind), lens)
         tok = self.byte_id[raw]
-        n = len(tok)
         if n == 0:
             return tok, lens
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=kind), np.arange(-1, n - 1, dtype=kind)
         last = np.cumsum(lens)[lens > 0] - 1
         nxt[last] = n
         prv[np.append(0, last[:-1] + 1)] = n
-        tok, nxt, prv = np.append(tok, -1), np.append(nxt, n), np.append(prv, n)   # slot n: no neighbour
-        now = np.full(n + 1, NO_RANK, np.int64)                # rank of the pair that starts at a position
+        tok = np.append(tok, np.int32(-1))                     # slot n: no neighbour
+        nxt, prv = np.append(nxt, kind(n)), np.append(prv, kind(n))
+        now = np.full(n + 1, NO_RANK)                          # rank of the pair that starts at a position
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
@@ -134,7 +137,9 @@ class MergeReplay:
             rank = self._rank(tok[at], tok[nxt[at]])
             now[at] = rank
             keep = rank < NO_RANK
-            at, rank = at[keep], rank[keep]
+            enter(at[keep], rank[keep])
+
+        def enter(at: np.ndarray, rank: np.ndarray) -> None:
             if not len(at):
                 return
             order = np.argsort(rank, kind="stable")
@@ -147,7 +152,11 @@ class MergeReplay:
                     index[r] = [part]
                     heapq.heappush(heap, r)
 
-        note(np.arange(n))
+        for lo in range(0, n, BLOCK):
+            hi = min(lo + BLOCK, n)
+            now[lo:hi] = self._rank(tok[lo:hi], tok[nxt[lo:hi]])
+        at = np.flatnonzero(now < NO_RANK).astype(kind)
+        enter(at, now[at])
         flag = np.zeros(n + 1, bool)
         while heap:
             r = heapq.heappop(heap)
@@ -168,7 +177,7 @@ class MergeReplay:
                         keep.append(p)
                         taken = int(nxt[p])
                 flag[at] = False
-                at = np.array(keep, np.int64)
+                at = np.array(keep, kind)
             else:
                 flag[at] = False
             gone = nxt[at]
@@ -191,10 +200,16 @@ class MergeReplay:
 
 def _gather(ids: np.ndarray, begins: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The id runs of the entries ``at``, one after another, and where each ends."""
-    reps = counts[at]
-    ends = np.cumsum(reps)
-    step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - reps, reps)
-    return ids[np.repeat(begins[at], reps) + step], ends
+    ends = np.cumsum(counts[at])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, ids.dtype)
+    done = 0
+    for lo in range(0, len(at), BLOCK):
+        some = at[lo:lo + BLOCK]
+        reps, stop = counts[some], ends[lo:lo + BLOCK]
+        step = np.arange(done, int(stop[-1])) - np.repeat(stop - reps, reps)
+        out[done:int(stop[-1])] = ids[np.repeat(begins[some], reps) + step]
+        done = int(stop[-1])
+    return out, ends
 
 
 class Encoder:
@@ -215,10 +230,25 @@ class Encoder:
     def _forget(self) -> None:
         self.spaced: dict[str, int] = {}
         self.bare: dict[str, int] = {}
-        self.ids = np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int32)
         self.begins = self.counts = np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
         self.new: list[str] = []
 
+    def _tidy(self) -> None:
+        """Keep the pieces met more than once; when these are many, none."""
+        keep = self.uses > 1
+        if 2 * int(keep.sum()) > KEPT_PIECES:
+            return self._forget()
+        place = (np.cumsum(keep) - 1).tolist()
+        kept = keep.tolist()
+        self.spaced = {k: place[i] for k, i in self.spaced.items() if kept[i]}
+        self.bare = {k: place[i] for k, i in self.bare.items() if kept[i]}
+        self.ids, ends = _gather(self.ids, self.begins, self.counts, np.flatnonzero(keep))
+        self.counts = self.counts[keep]
+        self.begins = ends - self.counts
+        self.uses = np.ones(len(ends), np.int64)
+
     def _piece(self, table: dict[str, int], key: str, text: str) -> int:
         at = table[key] = len(self.begins) + len(self.new)
         self.new.append(text)
@@ -243,7 +273,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> pa.ListArray:
         if len(self.begins) > KEPT_PIECES:
-            self._forget()
+            self._tidy()
         at: list[int] = []
         stops = np.empty(len(texts) + 1, np.int64)
         stops[0] = 0
@@ -262,13 +292,37 @@ class Encoder:
                     at.append(self._piece(self.spaced, p, " " + p) if j is None else j)
             stops[i + 1] = len(at)
         self._learn()
-        out, ends = _gather(self.ids, self.begins, self.counts, np.array(at, np.int64))
-        return pa.ListArray.from_arrays(pa.array(np.append(0, ends)[stops].astype(np.int32)),
-                                        pa.array(out.astype(np.int32)))
+        where = np.array(at, np.int64)
+        del at
+        self.uses = np.bincount(where, minlength=len(self.begins)) + np.append(self.uses, np.zeros(len(self.begins) - len(self.uses), np.int64))
+        out, ends = _gather(self.ids, self.begins, self.counts, where)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends)[stops].astype(np.int32)), pa.array(out))
 
 
-def _decoded(by_id: dict[int, bytes], ids: pa.Array) -> pa.Array:
-    return pa.array([b"".join(map(by_id.__getitem__, x or ())) for x in ids.to_pylist()], pa.binary())
+class Vocabulary:
+    """The bytes that lists of ids stand for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = pa.array(list(ranks), pa.binary())
+        self.place = np.full(max(ranks.values()) + 1, -1, np.int32)
+        self.place[list(ranks.values())] = np.arange(len(ranks))
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        """One binary a list (null: empty); ids that the vocabulary lacks raise ``KeyError``."""
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))
+        flat = ids.flatten()
+        if flat.null_count:
+            raise KeyError(None)
+        flat = flat.to_numpy(zero_copy_only=False)
+        at = self.place[np.clip(flat, 0, len(self.place) - 1)]
+        if (bad := flat[(at < 0) | (flat < 0) | (flat >= len(self.place))]).size:
+            raise KeyError(int(bad[0]))
+        if not len(at):
+            return pa.array([b""] * len(ids), pa.binary())
+        parts = self.tokens.take(pa.array(at))
+        _, stops, data = parts.buffers()
+        stops = np.frombuffer(stops, np.int32, len(at) + 1)[ends]
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(stops), data])
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids",
@@ -283,8 +337,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     more = [] if decoded_col is None else [fresh([*rest, out_col], decoded_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay = MergeReplay(shared.value)
-        encoder = Encoder(replay, pattern)
+        encoder = Encoder(MergeReplay(shared.value), pattern)
+        decoded = Vocabulary(shared.value) if more else None
 
         def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = encoder([t for b in held for t in b.column(text_col).to_pylist()])
@@ -292,7 +346,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
             for b in held:
                 mine = ids.slice(at, b.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(c) for c in rest] + [mine] + [_decoded(replay.tokens, mine) for _ in more], names=[*rest, out_col, *more])
+                    [b.column(c) for c in rest] + [mine] + [decoded(mine) for _ in more], names=[*rest, out_col, *more])
                 at += b.num_rows
 
         held, chars, rows = [], 0, 0
@@ -316,9 +370,9 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
     names, out_col = df.columns, fresh(df.columns, out_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {r: t for t, r in shared.value.items()}
+        decoded = Vocabulary(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, _decoded(by_id, b.column(ids_col))], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, decoded(b.column(ids_col))], names=[*names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out_col}` binary"
     return arrow_map(df, run, schema)

@@ -21,6 +21,7 @@ select sector, as_of_date, company_count, round(avg_sharpe, 6) as avg_sharpe,
 from m_sector_rankings"""
 _FILES = 4                    # files of one part, which one micro-batch takes together: at least,
 _ROWS_PER_FILE = 500_000      # and so many that none holds many more rows
+_ROWS_PER_BUCKET = 5_000      # returns of the portfolios that share an entry of the state store, about
 
 
 def _files(rows: int, parts: int = 1) -> int:
@@ -111,9 +112,10 @@ def k3_streaming_dsr(t):
     returns = risk.return_path(t.prices()).where(F.col("ret").isNotNull()).select("symbol", "date", "ret")
     pr = B.portfolio_returns(t.rebalance(), returns, t.price_rows()).select(
         F.col("portfolio_id").cast("bigint"), "date", "port_return")
-    files = _write_in_order(_whole(pr, f"{root}/returns"), F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
+    pr = _whole(pr, f"{root}/returns")
+    files = _write_in_order(pr, F.unix_date("date"), 4, f"{root}/src", by="portfolio_id")
     q = K.differential_sharpe_stream(spark, f"{root}/src/*", f"{root}/sink", f"{root}/ckpt", files_per_trigger=files,
-                                     ttl_days=40 * 365)
+                                     ttl_days=40 * 365, buckets=max(64, pr.count() // _ROWS_PER_BUCKET))
     _drain(q)
     out = spark.read.parquet(f"{root}/sink")
     return out.where(~F.col("late")).select("portfolio_id", "date", "dsr")

@@ -9,9 +9,9 @@
 * K2 ``progress_stream`` — job progress per event-time window with a watermark,
   so finished windows leave the state store.
 * K3 ``differential_sharpe_stream`` — the (A, B) moments of the differential
-  Sharpe ratio carried per portfolio in the state store
-  (``applyInPandasWithState``); rows at or before a key's last processed date
-  are late and marked so; a key not seen for the time-to-live leaves the store.
+  Sharpe ratio carried per portfolio in the state store, by buckets of portfolios
+  (``applyInPandasWithState``); rows at or before a portfolio's last processed date
+  are late and marked so; a portfolio not seen for the time-to-live leaves the store.
 
 Checkpoints and sinks live under the shared ``spark.checkpoint.dir``.
 """
@@ -135,56 +135,81 @@ def current_progress(spark: SparkSession, sink: str) -> DataFrame:
 # ---------------------------------------------------------------------- K3
 
 DSR_OUT = T.StructType([
-    T.StructField("portfolio_id", T.LongType()), T.StructField("date", T.DateType()),
+    T.StructField("portfolio_id", T.LongType()), T.StructField("known", T.BooleanType()), T.StructField("day", T.IntegerType()),
     T.StructField("port_return", T.DoubleType()), T.StructField("dsr", T.DoubleType()),
     T.StructField("late", T.BooleanType()),
 ])
-DSR_STATE = T.StructType([
-    T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType()),
-    T.StructField("last_date", T.DateType()),
+DSR_STATE = T.StructType([       # the portfolios of a bucket, side by side
+    T.StructField("portfolio_id", T.ArrayType(T.LongType())), T.StructField("a", T.ArrayType(T.DoubleType())),
+    T.StructField("b", T.ArrayType(T.DoubleType())), T.StructField("last_day", T.ArrayType(T.IntegerType())),
+    T.StructField("expires_ms", T.ArrayType(T.LongType())),
 ])
+DAY_MS = 86_400_000
 
 
 def _dsr_state_fn(eta: float):
     from verdant.operators.backtest import DSR_A0, DSR_B0, dsr_step
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        parts = [] if state.hasTimedOut else list(pdfs)
+        held = {i: v for i, *v in zip(*state.get)} if state.exists else {}      # portfolio → a, b, last day, expiry
+        now, seen = state.getCurrentWatermarkMs(), set()
+        if parts:
+            pdf = pd.concat(parts, ignore_index=True).sort_values("day", kind="stable")
+            ids = [i if k else None for i, k in zip(pdf["portfolio_id"].tolist(), pdf["known"].tolist())]
+            days = [None if d != d else int(d) for d in pdf["day"].tolist()]    # a row without a date comes last
+            values, late = [], []
+            for i, d, r in zip(ids, days, pdf["port_return"].tolist()):
+                a, b, last, _ = held.get(i) or (DSR_A0, DSR_B0, None, 0)
+                value, behind = None, last is not None and d <= last
+                if not behind:
+                    a, b, value = dsr_step(a, b, r, eta)
+                    last = d
+                held[i] = a, b, last, 0
+                seen.add(i)
+                values.append(float("nan") if value is None else value)
+                late.append(behind)
+            yield pd.DataFrame({"portfolio_id": pdf["portfolio_id"].to_numpy(), "known": pdf["known"].to_numpy(), "day": days,
+                                "port_return": pdf["port_return"].to_numpy(), "dsr": values, "late": late})
+        for i in seen:
+            a, b, last, _ = held[i]
+            held[i] = a, b, last, max((last or 0) * DAY_MS, now + 1)
+        held = {i: v for i, v in held.items() if i in seen or v[3] >= now}      # the others' time is over
+        if not held:
             state.remove()
             return
-        a, b, last = state.get if state.exists else (DSR_A0, DSR_B0, None)
-        parts = [p for p in pdfs]
-        pdf = pd.concat(parts) if parts else pd.DataFrame(columns=["date", "port_return"])
-        pdf = pdf.sort_values("date", kind="stable")
-        rows = []
-        for d, r in zip(pdf["date"], pdf["port_return"]):
-            if last is not None and d <= last:
-                rows.append((key[0], d, r, None, True))
-                continue
-            a, b, value = dsr_step(a, b, r, eta)
-            last = d
-            rows.append((key[0], d, r, value, False))
-        state.update((a, b, last))
-        day = int(pd.Timestamp(last).timestamp() * 1000) if last is not None else 0
-        state.setTimeoutTimestamp(max(day, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["portfolio_id", "date", "port_return", "dsr", "late"])
+        columns = [list(c) for c in zip(*held.values())]
+        state.update((list(held), *columns))
+        state.setTimeoutTimestamp(max(min(columns[3]), now + 1))
 
     return fn
 
 
 def differential_sharpe_stream(spark: SparkSession, source: str, sink: str, ckpt: str,
-                               eta: float = 0.01, files_per_trigger: int = 1, ttl_days: int = 400):
+                               eta: float = 0.01, files_per_trigger: int = 1, ttl_days: int = 400,
+                               buckets: int = 1024):
     """K3: start the stateful differential-Sharpe stream over
     (portfolio_id, date, port_return) files. A portfolio whose last row is
     ``ttl_days`` older than the newest of all loses its state and starts anew
-    when it returns; rows that old are beyond the watermark and not processed."""
+    when it returns; rows that old are beyond the watermark and not processed.
+
+    The state store keeps the portfolios of one of ``buckets`` hash buckets as
+    one entry, so that Python is called once a bucket and not once a portfolio;
+    each portfolio has its own moments, last date and expiry there. ``buckets``
+    stays as it is for the life of a checkpoint."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     schema = T.StructType([T.StructField("portfolio_id", T.LongType()), T.StructField("date", T.DateType()),
                            T.StructField("port_return", T.DoubleType())])
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source))
-    timed = src.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", f"{ttl_days} days")
-    out = timed.groupBy("portfolio_id").applyInPandasWithState(
+    # an id that is NULL travels as 0, not known: beside NULLs, pandas would round large ids
+    timed = src.select(F.pmod(F.xxhash64("portfolio_id"), F.lit(buckets)).alias("bucket"),
+                       F.coalesce("portfolio_id", F.lit(0)).alias("portfolio_id"), F.col("portfolio_id").isNotNull().alias("known"),
+                       F.unix_date("date").alias("day"), "port_return",
+                       F.col("date").cast("timestamp").alias("ts")).withWatermark("ts", f"{ttl_days} days")
+    out = timed.groupBy("bucket").applyInPandasWithState(
         _dsr_state_fn(eta), DSR_OUT, DSR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = out.select(F.when(F.col("known"), F.col("portfolio_id")).alias("portfolio_id"),
+                     F.date_from_unix_date("day").alias("date"), "port_return", "dsr", "late")
     return (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
                .outputMode("append").trigger(availableNow=True).start())

@@ -58,24 +58,24 @@ def ingest_stream(spark: SparkSession, source: str, log_path: str, reject_path:
         # arrival: the file's time and name, then the place in it
         arrived = df.withColumn("arrival", F.struct(F.col("_file.file_modification_time").alias("time"),
                                                     F.col("_file.file_path").alias("path"),
-                                                    F.monotonically_increasing_id().alias("place"))).persist()
+                                                    F.monotonically_increasing_id().alias("place")))
+        rec = arrived.select("arrival", BROKEN, F.create_map(
+            *[x for c in PRICE_RECORD_SCHEMA.fieldNames() for x in (F.lit(c), F.col(c))]).alias("record"))
+        checked = A.validate_prices(A.split_prices(rec, apart=False), today)
+        typed = ["symbol", "date", "open", "high", "low", "close", "volume"]
+        malformed, untyped, invalid = F.col(BROKEN).isNotNull(), F.col("reject_reason").isNotNull(), F.col("status") == "rejected"
+        reason = (F.when(malformed, F.lit("malformed")).when(untyped, F.col("reject_reason"))
+                   .when(invalid, F.array_join("errors", ",")))
+        raw = (F.when(malformed, F.col(BROKEN)).when(untyped, F.to_json("record"))
+                .when(invalid, F.to_json(F.struct(*typed))))
+        # both logs take from it: lines are parsed, read and checked once
+        done = checked.select("arrival", *typed, raw.alias("raw"), reason.alias("reason")).persist()
         try:
-            rec = (arrived.where(F.col(BROKEN).isNull()).withColumn("record", F.create_map(
-                *[x for c in PRICE_RECORD_SCHEMA.fieldNames() for x in (F.lit(c), F.col(c))])).select("arrival", "record"))
-            typed, untyped = A.split_prices(rec)
-            checked = A.validate_prices(typed, today).persist()              # both logs take from it
-            (checked.where(F.col("status") == "valid").drop("errors", "warnings", "status")
-                    .write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}"))
-            rejects = (arrived.where(F.col(BROKEN).isNotNull())
-                       .select("arrival", F.col(BROKEN).alias("raw"), F.lit("malformed").alias("reason"))
-                       .unionByName(untyped.select("arrival", F.to_json("record").alias("raw"), F.col("reject_reason").alias("reason")))
-                       .unionByName(checked.where(F.col("status") == "rejected").select(
-                           "arrival", F.to_json(F.struct("symbol", "date", "open", "high", "low", "close", "volume")).alias("raw"),
-                           F.array_join("errors", ",").alias("reason"))))
-            rejects.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
-            checked.unpersist()
+            done.where(F.col("reason").isNull()).drop("raw", "reason").write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+            (done.where(F.col("reason").isNotNull()).select("arrival", "raw", "reason")
+                 .write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}"))
         finally:
-            arrived.unpersist()
+            done.unpersist()
 
     return (src.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
                .trigger(availableNow=True).start())

@@ -215,16 +215,13 @@ _PRICE_FIELDS = ["symbol", "date", "low", "high", "close", "volume"]
 
 
 def _price_files(t):
-    p = t.prices()
-    header = t.prices().select("symbol").distinct().select(
-        F.col("symbol").alias("file_id"), F.lit(0).cast("bigint").alias("row_no"),
-        F.array(*[F.lit(f) for f in _PRICE_FIELDS]).alias("cells"))
-    rows = p.select(F.col("symbol").alias("file_id"),
-                    F.row_number().over(Window.partitionBy("symbol").orderBy("date")).cast("bigint").alias("row_no"),
-                    F.array("symbol", F.col("date").cast("string"), F.col("low").cast("string"),
-                            F.col("high").cast("string"), F.col("close").cast("string"),
-                            F.col("volume").cast("string")).alias("cells"))
-    return header.unionByName(rows)
+    nth = F.row_number().over(Window.partitionBy("symbol").orderBy("date")).cast("bigint")
+    p = t.prices().withColumn("row_no", nth)
+    header = F.struct(F.lit(0).cast("bigint").alias("row_no"), F.array(*[F.lit(f) for f in _PRICE_FIELDS]).alias("cells"))
+    row = F.struct("row_no", F.array("symbol", *[F.col(f).cast("string") for f in _PRICE_FIELDS[1:]]).alias("cells"))
+    # a file's header comes with its first row: the prices are worked out once
+    lines = F.when(F.col("row_no") == 1, F.array(header, row)).otherwise(F.array(row))
+    return p.select(F.col("symbol").alias("file_id"), F.explode(lines).alias("_l")).select("file_id", "_l.row_no", "_l.cells")
 
 
 @register("a8_a13_price_file_roundtrip", """
@@ -237,13 +234,11 @@ def a8_a13_price_file_roundtrip(t):
     pages = A.rows_to_pages(_price_files(t), kind="csv").withColumn(
         "chunk_id", F.concat_ws("#", "file_id", F.col("page_no").cast("string")))
     mapping = spark.createDataFrame([(i, f) for i, f in enumerate(_PRICE_FIELDS)], "col_idx int, field string")
-    cells = A.extract_tabular(pages.select("chunk_id", F.col("page_text").alias("text")), mapping)
-    cleaned = cells.withColumn(
-        "value", F.when(F.col("field") == "date", A.normalize_date("value"))
-                  .when(F.col("field") == "symbol", F.col("value"))
-                  .otherwise(A.clean_numeric("value")))
-    rec = cleaned.groupBy("chunk_id", "line_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("record"))
+    lines = A.extract_tabular(pages.select("chunk_id", F.col("page_text").alias("text")), mapping, long=False)
+    rec = lines.select("chunk_id", "line_no", F.transform_values(
+        "record", lambda field, value: F.when(field == "date", A.normalize_date(value))
+                                        .when(field == "symbol", value)
+                                        .otherwise(A.clean_numeric(value))).alias("record"))
     typed = A.coerce_prices(rec)
     return typed.select("symbol", F.col("date").cast("date").alias("date"), "low", "high", "close",
                         "volume", "open")
